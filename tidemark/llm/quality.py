@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import slices, staged, utf8
 from .words import BLANKS, word_hashes
 
-STATISTICS = ("log_words", "word_length", "upper", "digits", "stops", "dashes", "bars", "marks", "shouts", "other_signs", "high_bytes", "new_words", "line_length", "new_lines", "sign_words")
+STATISTICS = ("log_words", "word_length", "upper", "digits", "stops", "dashes", "bars", "marks", "shouts", "other_signs", "high_bytes", "new_words", "line_length", "new_lines", "sign_words", "stutters")
 
 #: Classes of bytes that are counted.
 _CLASS = np.zeros(256, np.uint8)
@@ -26,9 +26,9 @@ for _k, _bytes in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQR
     _CLASS[list(_bytes)] = _k + 1
 
 
-def _share(part, whole):
-    """A share as log odds, smoothed so that none and all stay finite."""
-    return np.log((part + 0.5) / (whole - part + 20.0))
+def _share(part: float, whole: float, usual: float, weight: float = 40.0) -> float:
+    """The logarithm of a share, drawn to the ``usual`` one where there is little to count."""
+    return np.log((part + weight * usual) / (whole + weight) + 2e-4)
 
 
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -46,10 +46,11 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n, size = len(words), float(len(own))
         ends = own[:-1][(own[1:] >= 10)] if len(own) else own
         signs = float(np.count_nonzero((ends == 6) | (ends == 7) | (ends == 8)))
+        stutters = float(np.count_nonzero(words[1:] == words[:-1]))
         out[i] = (
-            np.log1p(n), np.log1p((size - count[10] - count[11]) / (n + 1)), _share(count[2], size), _share(count[3], size), _share(count[4], size), _share(count[5], size),
-            _share(count[6], size), _share(count[7], size), _share(count[8], size), _share(count[0], size), _share(count[9], size),
-            _share(len(np.unique(words)), n), np.log1p(size / (len(rows) + 1)), _share(len(np.unique(rows)), len(rows)), _share(min(signs, n), n),
+            np.log(n + 20), np.log((size - count[10] - count[11] + 50) / (n + 10)), _share(count[2], size, 0.03), _share(count[3], size, 0.003), _share(count[4], size, 0.025), _share(count[5], size, 0.001),
+            _share(count[6], size, 0.0005), _share(count[7], size, 0.0005), _share(count[8], size, 0.0005), _share(count[0], size, 0.0005), _share(count[9], size, 0.03),
+            _share(len(np.unique(words)), n, 0.7), np.log((size + 400) / (len(rows) + 2)), _share(len(np.unique(rows)), len(rows), 1.0, 4.0), _share(min(signs, n), n, 0.005), _share(stutters, n, 0.01),
         )
     return out
 
@@ -89,7 +90,7 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(self.log_odds(x) / x.shape[1], -500, 500)))
 
 
-def fit(labelled: DataFrame, shrink: float = 0.15, pool: float = 0.1) -> Discriminant:
+def fit(labelled: DataFrame, shrink: float = 0.05, pool: float = 0.05) -> Discriminant:
     """A discriminant from rows of (stats, label), label 0 or 1; rows with a null are left out.
 
     All rows count: each task sums its rows' moments, and only those few numbers meet. A class
