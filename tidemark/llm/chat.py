@@ -62,10 +62,10 @@ each_one AS (
 headed AS (SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM named),
 full_text AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM headed),
 placed AS (
-  SELECT *, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn, who, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM full_text
+  SELECT *, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn, who, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chars FROM full_text
 )
-SELECT conv_id, perspective, turn, role, name, segment, CAST(at AS BIGINT) AS start, CAST(at + length(segment) AS BIGINT) AS "end",
-  CAST(CASE WHEN role = 'assistant' THEN at + length(head) END AS BIGINT) AS train_start,
-  CAST(CASE WHEN role = 'assistant' THEN at + length(segment) - 1 END AS BIGINT) AS train_end
+SELECT conv_id, perspective, turn, role, name, segment, CAST(chars AS BIGINT) AS "start", CAST(chars + length(segment) AS BIGINT) AS "end",
+  CAST(CASE WHEN role = 'assistant' THEN chars + length(head) END AS BIGINT) AS train_start,
+  CAST(CASE WHEN role = 'assistant' THEN chars + length(segment) - 1 END AS BIGINT) AS train_end
 FROM placed
 """
