@@ -22,9 +22,9 @@ from .common import staged
 
 CAPACITY = 2048
 END = 0
-#: Pieces that a task packs at once, bins that a group merges at once, and the free places with
+#: Pieces that a task packs at once, bins that a group merges at once, and the share of free places with
 #: which a bin counts as nearly full.
-LOCAL_BLOCK, GROUP, NEARLY_FULL = 1 << 20, 100_000, 16
+LOCAL_BLOCK, GROUP, NEARLY_FULL = 1 << 20, 100_000, 1 / 128
 
 _PIECE = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -186,7 +186,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", _bin long, _offset long"
     local = staged(items.mapInArrow(_local(kept, capacity), schema), "local")
     bins = local.groupBy("_bin").agg(F.sum("length").alias("_fill"))
-    under = staged(bins.filter(F.col("_fill") < capacity - NEARLY_FULL), "underfull")
+    under = staged(bins.filter(F.col("_fill") < capacity * (1 - NEARLY_FULL)), "underfull")
     moves = None
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
@@ -209,7 +209,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
             moves = staged(moves.join(again, "_into", "left").select("_bin", F.coalesce("_next", "_into").alias("_into"), (F.col("_at") + F.coalesce("_more", F.lit(0))).alias("_at")), "moves")
         if groups == 1:
             break
-        under = staged(merged.filter(F.col("_filled") < capacity - NEARLY_FULL).select(F.col("_into").alias("_bin"), F.col("_filled").alias("_fill")).distinct(), "underfull")
+        under = staged(merged.filter(F.col("_filled") < capacity * (1 - NEARLY_FULL)).select(F.col("_into").alias("_bin"), F.col("_filled").alias("_fill")).distinct(), "underfull")
         # Where merging hardly thins them out, what is left can't be put together any better.
         count, before = under.count(), count
         if count > 0.9 * before:
