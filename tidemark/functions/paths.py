@@ -125,12 +125,16 @@ def content_is_html(content: Column) -> Column:
 
 def needs_html_suffix(path: Column, sniffed: Column) -> Column:
     """Whether a file of a server-side type gets .html appended, by content or by name."""
-    ext, raw = ext_of(path), raw_ext_of(path)
-    # The stem loses the extension only where it is written in lower case.
     name = base_of(path)
-    stem = F.lower(F.when(raw == ext, name.substr(F.lit(1), F.length(name) - F.length(ext))).otherwise(name))
-    asset = stem.rlike(rf"\.({'|'.join(ASSET_ENDINGS)})$") | stem.isin(*ASSET_NAMES)
-    return F.coalesce(sniffed, F.lit(False)) | (ext.isin(*NON_NATIVE_EXTENSIONS) & ~asset)
+
+    def by_name(raw: Column) -> Column:
+        ext = F.lower(raw)
+        # The stem loses the extension only where it is written in lower case.
+        stem = F.lower(F.when(raw == ext, name.substr(F.lit(1), F.length(name) - F.length(ext))).otherwise(name))
+        asset = let(stem, lambda s: s.rlike(rf"\.({'|'.join(ASSET_ENDINGS)})$") | s.isin(*ASSET_NAMES))
+        return ext.isin(*NON_NATIVE_EXTENSIONS) & ~asset
+
+    return F.coalesce(sniffed, F.lit(False)) | let(raw_ext_of(path), by_name)
 
 
 def mime_type(path: Column) -> Column:

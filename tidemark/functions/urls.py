@@ -122,14 +122,14 @@ def _stored(u: Column, x: Column) -> Column:
 
 def _archive_path(prefix: Column, host: Column, path: Column) -> Column:
     """Prefix, host, port and path segments; index.html for a folder; .html by name."""
-    named = F.filter(F.split(path, "/"), lambda s: s != "")
-    low = F.lower(host)
-    where = F.when(F.instr(low, ":") > 0, F.concat(F.substring_index(low, ":", 1), F.lit("/"), low.substr(F.instr(low, ":") + 1, F.length(low)))).otherwise(low)
-    # An extension counts only in a name of the path, not in a host.
-    has_ext = (F.size(named) > 0) & F.coalesce(F.get(named, F.size(named) - 1), F.lit("")).rlike(r"\.[a-zA-Z0-9]{1,10}$")
-    index = ~has_ext & (path.endswith("/") | (path == ""))
-    joined = F.concat_ws("/", prefix, where, F.when(F.size(named) > 0, F.array_join(named, "/")), F.when(index, F.lit("index.html")))
-    return let(joined, lambda j: F.concat(j, F.when(needs_html_suffix(j, F.lit(False)), ".html").otherwise("")))
+
+    def joined(named: Column) -> Column:
+        # An extension counts only in a name of the path, not in a host.
+        has_ext = (F.size(named) > 0) & F.coalesce(F.get(named, F.size(named) - 1), F.lit("")).rlike(r"\.[a-zA-Z0-9]{1,10}$")
+        where = F.replace(F.lower(host), F.lit(":"), F.lit("/"))
+        return F.concat_ws("/", prefix, where, F.when(F.size(named) > 0, F.array_join(named, "/")), F.when(~has_ext & path.endswith("/"), F.lit("index.html")))
+
+    return let(let(F.filter(F.split(path, "/"), lambda s: s != ""), joined), lambda j: F.concat(j, F.when(needs_html_suffix(j, F.lit(False)), ".html").otherwise("")))
 
 
 _WB_ABSOLUTE = rf"(?i)^(?:https?://(?:www\.)?web\.archive\.org)?/web/(\d{{4,14}})([a-z0-9_]*)/({DOT}+)$"
@@ -141,12 +141,12 @@ _PROTO_LESS = rf"(?i)^//([^/]+)(/{DOT}*)?$"
 def fallback_path(url: Column) -> Column:
     """Where a URL would be stored in the archive, whether or not it is there; null if nowhere."""
     got = lambda pattern, i: F.regexp_extract(url, pattern, i)
-    rest = got(_WB_ABSOLUTE, 3)
-    or_root = lambda path: F.when(path == "", "/").otherwise(path)
-    wayback = _archive_path(F.concat(F.lit("https/web.archive.org/web/"), got(_WB_ABSOLUTE, 1), got(_WB_ABSOLUTE, 2)), F.regexp_extract(rest, _REST, 1), or_root(F.regexp_extract(rest, _REST, 2)))
-    direct = _archive_path(F.lower(got(_DIRECT, 1)), got(_DIRECT, 2), or_root(got(_DIRECT, 3)))
-    bare = _archive_path(F.lit("http"), got(_PROTO_LESS, 1), or_root(got(_PROTO_LESS, 2)))
-    return F.when(url.rlike(_WB_ABSOLUTE), wayback).when(url.rlike(_DIRECT), direct).when(url.rlike(_PROTO_LESS), bare)
+    parts = lambda prefix, host, path: F.struct(prefix.alias("prefix"), host.alias("host"), F.when(path == "", "/").otherwise(path).alias("path"))
+    wayback = let(got(_WB_ABSOLUTE, 3), lambda rest: parts(F.concat(F.lit("https/web.archive.org/web/"), got(_WB_ABSOLUTE, 1), got(_WB_ABSOLUTE, 2)), F.regexp_extract(rest, _REST, 1), F.regexp_extract(rest, _REST, 2)))
+    direct = parts(F.lower(got(_DIRECT, 1)), got(_DIRECT, 2), got(_DIRECT, 3))
+    bare = parts(F.lit("http"), got(_PROTO_LESS, 1), got(_PROTO_LESS, 2))
+    chosen = F.when(url.rlike(_WB_ABSOLUTE), wayback).when(url.rlike(_DIRECT), direct).when(url.rlike(_PROTO_LESS), bare)
+    return let(chosen, lambda x: F.when(x.isNotNull(), _archive_path(x["prefix"], x["host"], x["path"])))
 
 
 def wayback_lookup(path: Column) -> Column:

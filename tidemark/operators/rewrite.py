@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import DOT, S, dir_of, hash_of, is_html_file, is_text_file, needs_html_suffix, relative
 from ..functions.urls import INFRASTRUCTURE, link_kind
+from ..sources.staging import staged
 from .index import sniffed, url_index
 from .resolve import resolve_links, resolve_root_relative, resolve_wayback_paths
 
@@ -128,7 +129,8 @@ def page_links(texts: DataFrame) -> DataFrame:
 
 def resolved_links(links: DataFrame, captures: DataFrame, target: int) -> DataFrame:
     """(src_path, url, kind, target_path, how, rel): where each link goes, seen from its page."""
-    index = url_index(captures)
+    # The index serves three kinds of links, and what is sniffed is read once.
+    index, links = staged(url_index(captures), "index"), staged(links, "links")
     of_kind = lambda k: links.filter(F.col("kind") == k)
     one = resolve_links(of_kind("absolute"), index, target).withColumn("kind", F.lit("absolute"))
     two = resolve_wayback_paths(of_kind("wayback"), index, target).withColumn("kind", F.lit("wayback"))
@@ -197,7 +199,7 @@ def _passes(text: str | None, to: dict[str, str], top: str) -> str | None:
 
 def flatten(captures: DataFrame, target: int) -> DataFrame:
     """(archive_path, output_path, action, content): the standalone tree of all captures."""
-    texts = cleaned(captures)
+    texts = staged(cleaned(captures), "texts")
     done = rewritten(texts, resolved_links(page_links(texts), captures, target)).select("archive_path", F.encode("text", "ISO-8859-1").alias("rewritten"))
     html = sniffed(captures).filter("is_html").select("archive_path", F.lit(True).alias("is_html"))
     every = captures.select("archive_path", "content").join(done, "archive_path", "left").join(html, "archive_path", "left")

@@ -13,6 +13,7 @@ from ..operators import ingest as N
 from ..operators import resolve as R
 from ..operators import rewrite as W
 from ..operators import serve as V
+from ..sources.staging import staged
 from . import fixtures as X
 
 QUERIES = {}
@@ -306,7 +307,7 @@ def clean_flat(spark, sf_dir):
 @query
 def rewrite_flat(spark, sf_dir):
     captures = X.marked(spark, sf_dir)
-    texts = W.cleaned(captures)
+    texts = staged(W.cleaned(captures), "texts")
     return W.rewritten(texts, W.resolved_links(W.page_links(texts), captures, X.TARGET))
 
 
