@@ -1,0 +1,114 @@
+"""Literal cases: expected values were derived by reading what the functions are to do."""
+
+import hashlib
+import posixpath
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tidemark.functions import paths as P
+from tidemark.functions import urls as U
+
+
+def values(spark, rows, *columns):
+    names = [f"c{i}" for i in range(len(rows[0]))]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + ", ".join(f"{n} string" for n in names))
+    out = frame.select("i", *[c(*map(F.col, names)).alias(f"v{k}") for k, c in enumerate(columns)]).orderBy("i").collect()
+    return [tuple(r[1:]) if len(columns) > 1 else r[1] for r in out]
+
+
+def test_storage_paths(spark):
+    cases = {
+        "https://web.archive.org/web/20011024204821/http://www.x.com/JAPAN/a.htm": "https/web.archive.org/web/20011024204821/www.x.com/JAPAN/a.htm",
+        "https://web.archive.org/web/20011215022550cs_/http://x.com/s.css": "https/web.archive.org/web/20011215022550cs_/x.com/s.css",
+        "x.com": "http/x.com/index.html",
+        "http://x.com/": "http/x.com/__wayback__directory_index.html",
+        "http://x.com:8080": "http/x.com/8080/index.html",
+        "https://x.com:443/a": "https/x.com/a",
+        "http://x.com/?q=1": "http/x.com/index.html",
+        "http://x.com/dir/?q=1": "http/x.com/dir",
+        "http://x.com/a%3Fb": "http/x.com/a_b",
+        "httpbin.org/get": None,
+        "http://x.com/web/2020/post": "https/web.archive.org/web/2020/post/index.html",
+        "ftp://x.com/a b": "ftp/x.com/a b",
+        "ftp.x.com/a": "ftp/ftp.x.com/a",
+        "http://x.com/a+b%zz/%2e%2e/c": "http/x.com/c",
+        "http://x.com/" + "y" * 201 + ".gif": "http/x.com/" + "y" * 150 + "_" + hashlib.md5(("y" * 201 + ".gif").encode()).hexdigest()[:8] + ".gif",
+    }
+    cases["http://x.com:8080"] = "http/x.com/8080"
+    assert dict(zip(cases, values(spark, [(u,) for u in cases], U.storage_path), strict=True)) == cases
+
+
+def test_parse(spark):
+    cases = {
+        "HTTP://User:pw@X.COM:80/a/./b/../c d?q=é#f": ("http", "x.com", "", "/a/c%20d", "?q=%C3%A9", "#f"),
+        "https://x.com:8443": ("https", "x.com", "8443", "/", "", ""),
+        " http:\\\\x.com\\a\\b ": ("http", "x.com", "", "/a/b", "", ""),
+        "http://a_b.com/|~": ("http", "a_b.com", "", "/|~", "", ""),
+        "http://x.com/a/..": ("http", "x.com", "", "/", "", ""),
+        "http://x.com/%2E%2e/a/.?#": ("http", "x.com", "", "/a/", "", ""),
+        "http://1.2.3.4:0080/": ("http", "1.2.3.4", "", "/", "", ""),
+        "http://1.2.3.999/": None, "http:///": None, "nothing": None, "http://a b/": None, "http://x:99999/": None, "javascript:x": None,
+    }
+    got = values(spark, [(u,) for u in cases], U.parse)
+    assert [None if g is None else tuple(g) for g in got] == list(cases.values())
+    links = values(spark, [(u,) for u in ("//x.com/a", "/a", "#a", "mailto:x", "HTTP://x.com")], U.parse_link)
+    assert [g and g.hostname for g in links] == ["x.com", None, None, None, "x.com"]
+
+
+def test_timestamps(spark):
+    assert values(spark, [("2001",), ("20011215022550cs_",), (None,), ("200112150225501",)], P.ts_number) == [20010000000000, 20011215022550, 0, 20011215022550]
+    dates = values(spark, [("2001",), ("2001-3",), ("2001-03-09",), (None,)], lambda c: P.date_number(c, "2020-02-02"))
+    assert dates == [20010101000000, 20010301000000, 20010309000000, 20200202000000]
+
+
+def test_names(spark):
+    assert values(spark, [("a:b?c",), ("x" * 200,), ("x" * 201,)], P.sanitize) == ["a_b_c", "x" * 200, "x" * 150 + "_" + hashlib.md5(b"x" * 201).hexdigest()[:8]]
+    assert values(spark, [("a/.dot",), ("foo.",), ("a..",), ("a/b.C",), ("x.tar.gz",), ("a.b/c",)], P.ext_of) == ["", ".", ".", ".c", ".gz", ""]
+    assert values(spark, [("a/page.asp",), ("a/style.php",), ("a/x.css.asp",), ("a/page.html",)], lambda c: P.needs_html_suffix(c, F.lit(False))) == [True, False, False, False]
+    assert values(spark, [("a/style.php",)], lambda c: P.needs_html_suffix(c, F.lit(True))) == [True]
+    assert values(spark, [("<a href=\"x\">&'",)], P.escape_html) == ["&lt;a href=&quot;x&quot;&gt;&amp;&#39;"]
+    assert values(spark, [("a?x#y",), ("a#y?z",), ("a",)], P.strip_query, P.hash_of) == [("a", "#y"), ("a", "#y?z"), ("a", "")]
+    assert values(spark, [("x", "text/html"), ("x", "image/png"), ("x.y", "text/css"), ("x", None)], P.inferred_ext) == ["x/index.html", "x.png", "x.y", "x"]
+    assert values(spark, [("a/b/c", "a/b"), ("a/b", "a/b"), ("a/bc", "a/b"), ("a/b/../c", "a/b"), ("x", "."), ("a", "a/b")], P.path_inside) == [True, True, False, False, True, False]
+    assert values(spark, [("index",), ("a/Home",), ("a/x.cgi",), ("screenshot/a.html",), ("a.css",)], P.is_web_page) == [True, True, True, False, False]
+
+
+@pytest.mark.parametrize("blank", [" ", "﻿", "\t"])
+def test_blanks_of_the_script_language_count(spark, blank):
+    page = f"<meta http-equiv{blank}= content-type content='text/html; charset{blank}={blank}x-1'>"
+    assert values(spark, [(page,)], lambda c: P.charset(F.encode(F.regexp_replace(c, "﻿", " "), "ISO-8859-1"))) == ["x-1"]
+
+
+SEGMENT = st.sampled_from(["a", "b", "c", "..", ".", ""])
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.lists(st.sampled_from("abc"), min_size=1, max_size=4), st.lists(SEGMENT, max_size=5)), min_size=1, max_size=20))
+def test_relative_paths_lead_back(spark, pairs):
+    rows = [("/".join(a), "/".join([*b, "f"])) for a, b in pairs if not posixpath.normpath("/".join([*b, "f"]).lstrip("/")).startswith("..")]
+    if rows:
+        for (start, target), rel in zip(rows, values(spark, rows, P.relative), strict=True):
+            assert rel.startswith(".")
+            assert posixpath.normpath(posixpath.join(start, rel)) == posixpath.normpath(target.lstrip("/") or ".")
+
+
+def test_fallbacks(spark):
+    cases = {
+        "https://web.archive.org/web/2001cs_/http://X.com/a": "https/web.archive.org/web/2001cs_/x.com/a",
+        "/web/2001/http/x.com/": "https/web.archive.org/web/2001/x.com/index.html",
+        "/web/2001/x.com": "https/web.archive.org/web/2001/x.com/index.html",
+        "/web/2001/http://x.com:81/d/": "https/web.archive.org/web/2001/x.com/81/d/index.html",
+        "HTTP://X.com/A/r.asp": "http/x.com/A/r.asp.html",
+        "ftp://x.com": "ftp/x.com/index.html",
+        "//x.com/d.e/": "http/x.com/d.e",
+        "a.htm": None,
+    }
+    assert dict(zip(cases, values(spark, [(u,) for u in cases], U.fallback_path), strict=True)) == cases
+
+
+def test_redirects(spark):
+    rows = [("https://x.com:81/a/b", "/c"), ("https://x.com/a/b", "c.htm"), ("https://x.com/b", "c"), ("https://x.com/a", "http://y/"), ("https://x.com/a", "//y/z")]
+    assert values(spark, rows, U.redirect_target) == ["https://x.com:81/c", "https://x.com/a/c.htm", "https://x.com//c", "http://y/", "https://y/z"]
