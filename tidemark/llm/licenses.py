@@ -104,7 +104,8 @@ class Notices:
                 for m in pattern.finditer(window, overlapped=False):
                     edits = sum(m.fuzzy_counts)
                     first = clean.count(b" ", 0, a) + window.count(" ", 0, m.start()) - 1
-                    if edits and (label, first) not in exact:
+                    # What stands exactly is one of the exact phrases' finds already, if it is one of those.
+                    if (edits or (phrase, label) not in PHRASES) and (label, first) not in exact:
                         out.append((label, first, first + m[0].count(" "), edits, False, 1 - edits / len(phrase)))
         return sorted(set(out), key=lambda s: (s[1], s[2], s[0], s[3]))
 
