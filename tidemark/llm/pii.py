@@ -40,7 +40,7 @@ _DIGIT = re.compile(r"[0-9]")
 _FOUND = "row long, doc_id long, text_key long, base array<struct<kind:int,start:int,end:int>>, seen array<struct<kind:int,start:int,end:int,seed:boolean,value:long,patterns:array<long>>>"
 
 #: A pattern is trusted from this many distinct trusted instances and this share of trusted ones.
-SUPPORT, CONFIDENCE, ROUNDS = 4, 0.9, 2
+SUPPORT, CONFIDENCE, ROUNDS = 4, 0.8, 2
 
 
 def luhn(digits: str) -> bool:
