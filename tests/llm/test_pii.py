@@ -1,0 +1,76 @@
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidemark.llm import pii
+
+PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain(text):
+    out = []
+    for kind, pattern in enumerate(PATTERNS):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = (
+                kind == 0
+                or kind == 1 and all(int(x) <= 255 for x in m[0].split("."))
+                or kind == 2 and 16 <= len(digits) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+                or kind == 3 and 8 <= len(digits) <= 15
+            )
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(st.sampled_from(list("aZ09123 .-@+%_()é\n")), max_size=50))
+def test_fixed_spans_are_those_of_the_patterns(text):
+    assert pii.fixed_spans(text) == plain(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["4111111111111111", "4111 1111 1111 1111", "x@y.z", "1.2.3.4", "+1 (974) 555-3436", " ", "-", "1", "a.b@c-d.e_f@g.h", "999.1.1.1", "é"]), max_size=8))
+def test_fixed_spans_of_likely_parts(parts):
+    assert pii.fixed_spans("".join(parts)) == plain("".join(parts))
+
+
+def test_documents_of_the_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in pii.find_personal_data(docs).collect():
+        base = [(s.kind, s.start, s.end) for s in r.base]
+        assert base == plain(texts[r.doc_id])
+        assert set(base) <= {(s.kind, s.start, s.end) for s in r.spans}
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 300_000, "1" * 300_000, "1 " * 200_000, "a.b" * 100_000 + "@", "1." * 150_000, "+1" * 100_000, "@a" * 100_000):
+        pii.fixed_spans(text)
+
+
+def test_trusted_contexts_find_what_the_patterns_miss(spark):
+    cards = ["4111111111111111", "5500005555555559", "4012888888881881", "4242424242424242", "6011000990139424", "3530111333300000"]
+    rows = [(i, f"text {i} bank card: {c} expires soon", "x") for i, c in enumerate(cards)]
+    rows += [(10, "other bank card: 4111111111111112 expires soon", "x"), (11, "we counted 4111111111111112 grains of sand", "x"), (12, None, "x"), (13, "", "x")]
+    rows += [(20 + i, f"the order {1000000000000 + i * 977} was sent", "x") for i in range(30)]
+    out = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()}
+    assert len(out) == len(rows)
+    assert [(s.kind, s.start, s.end) for s in out[10].spans] == [(2, 17, 33)] and out[10].base == []
+    assert all(out[d].spans == out[d].base for d in out if d != 10)
+
+
+def test_redaction_keeps_all_else(spark):
+    rows = [(1, "mail x@y.zz or +1 (974) 555-3436!", "en", 33), (1, "second of the id", "en", 16), (2, None, "fr", None), (None, "ip 10.0.0.1", "de", 11), (None, "ip 10.0.0.1", "de", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    out = pii.redact(docs)
+    assert out.columns == docs.columns
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert got == sorted([(1, "mail <EMAIL> or <PHONE>!", "en", 24), (1, "second of the id", "en", 16), (2, None, "fr", None), (None, "ip <IP>", "de", 7), (None, "ip <IP>", "de", 7)], key=str)
+    assert pii.redact(spark.createDataFrame([], docs.schema)).collect() == []
+
+
+def test_overlapping_spans_are_covered_once():
+    spans = [{"kind": 2, "start": 4, "end": 9}, {"kind": 3, "start": 3, "end": 7}, {"kind": 0, "start": 10, "end": 12}]
+    assert pii._cover("0123456789abcd", spans) == "012<PHONE>9<EMAIL>cd"
