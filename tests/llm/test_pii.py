@@ -74,3 +74,19 @@ def test_redaction_keeps_all_else(spark):
 def test_overlapping_spans_are_covered_once():
     spans = [{"kind": 2, "start": 4, "end": 9}, {"kind": 3, "start": 3, "end": 7}, {"kind": 0, "start": 10, "end": 12}]
     assert pii._cover("0123456789abcd", spans) == "012<PHONE>9<EMAIL>cd"
+
+
+def test_queries_digest(spark, sf):
+    import hashlib
+
+    from tidemark.llm.registry import op1_pii
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op1_pii(spark, sf).collect()
+    assert len(rows) == len(texts) and sum(r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows) > 0
+    for r in rows:
+        base = plain(texts[r.doc_id])
+        listed = [f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(base)]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in base) for kind in range(4)]
+        assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert set(listed) <= set(r.spans.split(","))
