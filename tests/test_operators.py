@@ -59,6 +59,13 @@ def test_nearest_snapshot_is_by_number_and_prefers_its_own_folder(spark):
     assert got == {1: WB + "20010201000000/x.com/a", 2: WB + "20011215022550cs_/x.com/a", 3: WB + "20011215022550/x.com/a", 4: WB + "2005/x.com/d/index.html", 5: None}
 
 
+def test_nearest_snapshot_by_elapsed_time(spark):
+    files = [WB + t + "/x.com/a" for t in ("20001231235959", "20010201000000", "2005")]
+    frame = spark.createDataFrame([(1, "20010101000000", "x.com/a"), (2, "20041220", "x.com/a")], "request_id long, ts string, url string")
+    out = R.nearest_snapshot(frame, archive(spark, files), "chronological").collect()
+    assert {r.request_id: r.ts_dir for r in out} == {1: "20001231235959", 2: "2005"}
+
+
 def test_nearest_snapshot_against_a_scan_of_all_folders(spark):
     rng = random.Random(5)
     dirs = sorted({"".join(rng.choice("0123456789") for _ in range(rng.choice([4, 8, 14]))) + rng.choice(["", "id_"]) for _ in range(60)})

@@ -156,6 +156,16 @@ def ts_number(ts: Column) -> Column:
     return F.when(digits != "", F.rpad(digits, 14, "0").cast("long")).otherwise(F.lit(0).cast("long"))
 
 
+def ts_seconds(ts: Column) -> Column:
+    """A timestamp of 4 to 14 digits as seconds since 1970; what it leaves out is the earliest there is."""
+
+    def seconds(t: Column) -> Column:
+        part = lambda at, least: F.greatest(F.substring(t, at, 2), F.lit(least))
+        return F.unix_timestamp(F.try_to_timestamp(F.concat(F.substring(t, 1, 4), part(5, "01"), part(7, "01"), F.substring(t, 9, 6)), F.lit("yyyyMMddHHmmss")))
+
+    return let(F.rpad(F.regexp_extract(F.coalesce(ts, F.lit("")), r"^(\d+)", 1), 14, "0"), seconds)
+
+
 def date_number(date: Column, today: str) -> Column:
     """YYYY[-MM[-DD]] as a 14-digit number; null or empty is ``today``, an argument so that results repeat."""
     given = F.when(F.coalesce(date, F.lit("")) == "", F.lit(today)).otherwise(date)

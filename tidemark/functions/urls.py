@@ -92,6 +92,12 @@ def _decoded(segment: Column) -> Column:
 _WAYBACK_IN_URL = rf"/web/(\d{{4,14}})([a-z0-9_]+)?/({DOT}*)"
 
 
+def decoded_names(url: Column) -> Column:
+    """The decoded path segments of a URL; null where it has no parse."""
+    full = F.when(url.rlike("^(http|ftp)"), url).otherwise(F.concat(F.lit("http://"), url))
+    return let(parse(full), lambda u: F.transform(F.filter(F.split(u["pathname"], "/"), lambda s: s != ""), _decoded))
+
+
 def storage_path(url: Column) -> Column:
     """Where a fetched URL is stored, or null where it has no parse."""
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import catalogue_size, escape_html, is_flat_web_page, is_web_page, listing_size
 from ..sources.captures import IGNORED, visible
+from ..sources.staging import staged
 
 
 def pages(captures: DataFrame) -> DataFrame:
@@ -47,7 +48,8 @@ def ordered(rows: DataFrame) -> DataFrame:
     """
     keys = [F.col("domain"), F.desc("date_raw"), F.col("file_path")]
     ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_at", F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33))
+    # Staged, as another run of the range partitioning might cut elsewhere.
+    ranged = staged(ranged.withColumn("_at", F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33)), "ranged")
     counts = ranged.groupBy("_part").count()
     before = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
     # One row for each partition.

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import inferred_ext
-from ..functions.urls import storage_path
+from ..functions.paths import MAX_SEGMENT, inferred_ext, sanitize
+from ..functions.urls import decoded_names, storage_path
 
 #: Redirects followed at most, and requests at a time.
 MAX_REDIRECTS, CONCURRENCY = 5, 8
@@ -35,6 +35,13 @@ def path_collisions(urls: DataFrame) -> DataFrame:
     return placed.groupBy("dest").agg(F.count("*").alias("n_urls"), F.min_by("url", "line_no").alias("first_url")).filter("n_urls > 1")
 
 
+def name_mapping(urls: DataFrame) -> DataFrame:
+    """(short, original) of path segments (of ``url``) that are too long for a file name; the first URL's of equal ones."""
+    names = urls.select("line_no", F.explode(decoded_names(F.col("url"))).alias("name")).filter(F.length("name") > MAX_SEGMENT)
+    kept = names.select("line_no", sanitize(F.col("name")).alias("short"), F.regexp_replace("name", r'[<>:"/\\|?*]', "_").alias("original"))
+    return kept.groupBy("short").agg(F.min_by("original", "line_no").alias("original"))
+
+
 def fetch(plan: DataFrame, get: Callable[[str], tuple[int, dict, bytes]]) -> DataFrame:
     """(url, dest, status, error, content) of a plan (url, dest).
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import sanitize, strip_query, ts_number
+from ..functions.paths import sanitize, strip_query, ts_number, ts_seconds
 from ..functions.urls import DEFAULT_DOCS, fallback_path, key, page_context, parse_link, wayback_lookup, www_toggled
 from .index import scan, url_index
 
@@ -121,21 +121,25 @@ def _folded(captures: DataFrame, inside: Column) -> DataFrame:
     return captures.withColumn("_k", F.explode(keys)).withColumn("variant", F.col("_k.variant")).withColumn("fold", F.col("_k.fold")).drop("_k")
 
 
-def nearest_snapshot(requests: DataFrame, captures: DataFrame) -> DataFrame:
+def nearest_snapshot(requests: DataFrame, captures: DataFrame, distance: str = "numeric") -> DataFrame:
     """(ts_dir, archive_path, how) for each request (request_id, ts, url); null where nothing is captured.
 
     A capture in the folder that is named like the request's ts comes first. Else the timestamp with
     the smallest numeric distance wins, of equal ones the first folder by name. Requests and captures
     of one path meet in a sort by time, in which each request sees the capture before and after it:
     the work for a path is linear in its requests and captures.
+
+    ``distance`` "numeric" compares timestamps as numbers, so that a month counts as much as a hundred
+    days; "chronological" compares elapsed time.
     """
+    number = ts_number if distance == "numeric" else lambda ts: F.coalesce(ts_seconds(ts), F.lit(0))
     rest = F.regexp_replace(F.regexp_replace("url", "(?i)^https?://", ""), "(?i)^https?/|^ftp/", "")
     folds = F.array_join(request_path(rest), "/")
-    asked = requests.select("request_id", F.col("ts").alias("req_dir"), ts_number(F.col("ts")).alias("ts_num"), folds.alias("fold")).filter("fold <> ''")
+    asked = requests.select("request_id", F.col("ts").alias("req_dir"), number(F.col("ts")).alias("ts_num"), folds.alias("fold")).filter("fold <> ''")
 
     stored = scan(captures).filter(F.col("is_wayback") & F.col("archive_path").startswith("https/web.archive.org/web/") & F.col("ts_dir").rlike(r"^\d{4,14}([a-z]{2}_)?$"))
     inside = F.regexp_replace("archive_path", r"^https/web\.archive\.org/web/[^/]*/", "")
-    stored = _folded(stored.select("archive_path", "ts_dir", ts_number(F.col("ts_dir")).alias("ts_num"), inside.alias("inside")), F.col("inside"))
+    stored = _folded(stored.select("archive_path", "ts_dir", number(F.col("ts_dir")).alias("ts_num"), inside.alias("inside")), F.col("inside"))
     stored = stored.groupBy("fold", "ts_dir", "ts_num").agg(F.min(F.struct("variant", "archive_path")).alias("v")).select("fold", "ts_dir", "ts_num", F.col("v.archive_path").alias("archive_path"))
 
     exact = asked.join(stored.select("fold", F.col("ts_dir").alias("req_dir"), "archive_path"), ["fold", "req_dir"]).select("request_id", F.col("req_dir").alias("ts_dir"), "archive_path", F.lit(0).alias("tier"), F.lit(0).cast("long").alias("distance"))

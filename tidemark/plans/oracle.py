@@ -225,6 +225,16 @@ ORACLES = {
       best AS (SELECT request_id, arg_min({{'d': ts_dir, 'p': archive_path, 'e': ts_dir = req.ts}}, (ts_dir <> req.ts, abs(CAST(rpad(files.ts, 14, '0') AS BIGINT) - CAST(rpad(req.ts[1:6], 14, '0') AS BIGINT)), ts_dir, archive_path)) AS b
         FROM req JOIN files ON lower(req.fold) = files.fold GROUP BY request_id)
       SELECT request_id, b.d AS ts_dir, b.p AS archive_path, CASE WHEN b.e THEN 'exact' WHEN b.d IS NOT NULL THEN 'nearest' END AS how FROM req LEFT JOIN best USING (request_id)""",
+    "nearest_chronological": rf"""WITH {CLASSIFIED}, req AS (
+        SELECT page_id * 3 + k AS request_id, strftime(TIMESTAMP '2003-01-01' + to_days(CAST(page_id * 53 % 7000 + k * 777 AS INTEGER)), '%Y%m') || CASE WHEN k = 2 THEN 'id_' ELSE '' END AS ts,
+          regexp_replace(regexp_replace(CASE WHEN k = 1 THEN upper(rest) ELSE rest END, '(?i)^https?://', ''), '/$', '') AS fold
+        FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS rest, unnest(range(0, 3)) AS k FROM pages)
+      ), files AS (SELECT archive_path, ts_dir, ts, unnest([lower(regexp_extract(archive_path, '/web/[^/]*/(.*)$', 1)), regexp_replace(lower(regexp_extract(archive_path, '/web/[^/]*/(.*)$', 1)), '/index\.html$', '')]) AS fold FROM cls WHERE is_wayback),
+      best AS (SELECT request_id, arg_min({{'d': ts_dir, 'p': archive_path, 'e': ts_dir = req.ts}}, (ts_dir <> req.ts, abs(epoch(strptime(files.ts, '%Y%m%d%H%M%S')) - epoch(strptime(req.ts[1:6] || '01', '%Y%m%d'))), ts_dir, archive_path)) AS b
+        FROM req JOIN files ON lower(req.fold) = files.fold GROUP BY request_id)
+      SELECT request_id, b.d AS ts_dir, b.p AS archive_path, CASE WHEN b.e THEN 'exact' WHEN b.d IS NOT NULL THEN 'nearest' END AS how FROM req LEFT JOIN best USING (request_id)""",
+    "name_mapping": r"""SELECT short, arg_min(original, page_id) AS original FROM (SELECT page_id, o AS original, o[1:150] || '_' || md5(o)[1:8] || '.html' AS short FROM (SELECT page_id, repeat('n', 195) || ' ' || page_id || '_tail.html' AS o FROM pages)) GROUP BY short""",
+    "state_load": "SELECT unnest([url, url || '#2']) AS url FROM pages WHERE page_id % 6 <> 0",
     "smart_find": r"""WITH files AS (
         SELECT DISTINCT CASE WHEN length(a) % 2 = 0 THEN a || '/index.html' ELSE a END AS archive_path FROM (SELECT regexp_replace(regexp_replace(url, '[?#].*$|/$', ''), '://', '/') AS a FROM pages)
       ), folded AS (SELECT archive_path, unnest([lower(archive_path), regexp_replace(lower(archive_path), '/index\.html$', '')]) AS fold, unnest([0, 1]) AS variant FROM files),

@@ -13,6 +13,7 @@ from ..operators import ingest as N
 from ..operators import resolve as R
 from ..operators import rewrite as W
 from ..operators import serve as V
+from ..sources import captures as S
 from ..sources.staging import staged
 from . import fixtures as X
 
@@ -134,6 +135,24 @@ def path_collisions(spark, sf_dir):
     return N.path_collisions(N.load_urls(X.lines(spark, sf_dir)))
 
 
+@query
+def name_mapping(spark, sf_dir):
+    longer = F.concat(F.regexp_replace("url", r"[?#].*$|/$", ""), F.lit("/"), F.repeat(F.lit("n"), 195), F.lit("%20"), F.col("page_id").cast("string"), F.lit("_tail.html"))
+    return N.name_mapping(X.pages(spark, sf_dir).select(F.col("page_id").alias("line_no"), longer.alias("url")))
+
+
+@query
+def state_load(spark, sf_dir):
+    text = F.when(F.col("page_id") % 6 == 0, F.lit("{broken")).otherwise(F.to_json(F.array("url", F.concat("url", F.lit("#2")))))
+    states = S.parse_state(X.pages(spark, sf_dir).select(text.alias("value")), "array<string>")
+    return states.select(F.explode("state").alias("url"))
+
+
+@query
+def nearest_chronological(spark, sf_dir):
+    return R.nearest_snapshot(X.snapshot_requests(spark, sf_dir), X.captures(spark, sf_dir), "chronological")
+
+
 @query
 def orphan_captures(spark, sf_dir):
     """Stored under a name that no lookup ever asks for."""

@@ -56,6 +56,9 @@ def json_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         text = spark.createDataFrame([], "value string")
-    return text.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("state")).filter("state IS NOT NULL")
+    return parse_state(text, schema)
 
 
+def parse_state(texts: DataFrame, schema: str) -> DataFrame:
+    """(state) of JSON texts (value), without those that can't be parsed."""
+    return texts.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("state")).filter("state IS NOT NULL")
