@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import sanitize, strip_query, ts_number, ts_seconds
 from ..functions.urls import DEFAULT_DOCS, fallback_path, key, page_context, parse_link, wayback_lookup, www_toggled
-from .index import scan, url_index
+from .index import scan
 
 
 def probe_keys(u: Column, with_extensions: bool) -> Column:
