@@ -9,6 +9,7 @@ confidence then take in look-alikes that the fixed patterns miss.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pandas as pd
 import pyarrow as pa
@@ -110,9 +111,18 @@ def _scan(batches):
             base = fixed_spans(text)
             marks = [(*s, True) for s in base]
             if base or _DIGIT.search(text) or "@" in text:
+                # Covered stretches in order, so that an overlap is found by bisection.
+                starts, ends = [], []
+                for start, end in sorted((s, e) for _, s, e in base):
+                    if ends and start <= ends[-1]:
+                        ends[-1] = max(ends[-1], end)
+                    else:
+                        starts.append(start)
+                        ends.append(end)
                 for kind, loose in _LOOSE:
                     for m in loose.finditer(text):
-                        if not any(s < m.end() and m.start() < e for _, s, e in base):
+                        k = bisect_right(ends, m.start())
+                        if k == len(ends) or starts[k] >= m.end():
                             marks.append((kind, m.start(), m.end(), False))
             bases.append([{"kind": k, "start": s, "end": e} for k, s, e in base])
             all_seen.append([{"kind": k, "start": s, "end": e, "seed": seed, "value": _hash(text[s:e].lower()), "patterns": _contexts(text, k, s, e)} for k, s, e, seed in marks])
