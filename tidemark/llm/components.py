@@ -37,7 +37,7 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     now = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).filter("u > v").distinct()
     now = staged(now, "edges")
     before, state = None, _state(now)
-    while state != before:
+    while state[0] and state != before:
         after = staged(_small_star(_large_star(now)), "edges")
         discard(now)
         now, before = after, state

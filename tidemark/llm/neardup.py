@@ -4,19 +4,22 @@ Two permutations of the universe make the whole signature. The first spreads a d
 the second, shifted circularly by k, gives coordinate k. Rows of coordinates make bands; documents
 that agree in a band share a bucket. In every bucket each member meets one hub, chosen at random
 per bucket, so that the pairs grow with the documents and not with the square of a group's size.
-Buckets whose members are not all in one component after that are searched further: each member
-outside the hub's component meets the members of the other components. All pairs are confirmed on
-full shingle sets.
+Buckets whose members are not all in one component after that are searched further: first against
+the member that has most in common with the others, then each member that is still outside that
+one's component against those members of other components that it can be similar to at all. What can
+be similar is bounded exactly: shingles that only one of the searched sets has are in no overlap, and
+an overlap is at most the sum, over the parts of the universe, of the smaller count. All pairs are
+confirmed on full shingle sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, slices, staged, utf8
+from .common import slices, staged, utf8
 from .components import components
 from .words import mix, shingle_sets
 
@@ -25,6 +28,9 @@ BANDS, ROWS = 56, 7
 #: The universe that shingle hashes are folded to; folding only raises similarities.
 UNIVERSE = 1 << 20
 
+#: Parts of the universe in which overlaps are bounded one by one.
+PARTS = 64
+
 _SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
 
 
@@ -81,7 +87,9 @@ def _sets(width: int):
             for i, j in slices(offsets):
                 own = [x.view(np.int64) for x in shingle_sets(data, offsets[i : j + 1], width)]
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(own)))], names=["doc_id", "shingles"])
+                counts = np.concatenate([np.bincount(x & (PARTS - 1), minlength=PARTS) for x in own]).astype(np.int32)
+                parts = pa.ListArray.from_arrays(pa.array(np.arange(0, len(counts) + 1, PARTS), pa.int32()), pa.array(counts))
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(own))), parts], names=["doc_id", "shingles", "parts"])
 
     return run
 
@@ -93,6 +101,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.filter(100 * shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
 
+def _relabelled(owner: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, own) after ``links`` (a, b) have joined components; ``own`` is a component's smallest node."""
+    ends = links.join(owner.toDF("a", "own_a"), "a").join(owner.toDF("b", "own_b"), "b").select("own_a", "own_b")
+    joined = components(ends, "own_a", "own_b").toDF("own", "least")
+    return owner.join(joined, "own", "left").select("node", F.coalesce("least", "own").alias("own"))
+
+
+def _open(members: DataFrame, owner: DataFrame) -> DataFrame:
+    """The members, with their components, of buckets that hold several components."""
+    rows = members.join(owner, "node")
+    mixed = rows.groupBy("bucket").agg(F.min("own").alias("least"), F.max("own").alias("most")).filter("least <> most").select("bucket")
+    return rows.join(mixed, "bucket", "left_semi")
+
+
+def _possible(similarity: int, n_x: str, n_y: str, overlap: Column) -> Column:
+    """Whether sets of n shingles that have ``overlap`` in common at most can reach the similarity."""
+    return 100 * overlap >= similarity * (F.col(n_x) + F.col(n_y) - overlap)
+
+
 def link_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, bands: int = BANDS, rows: int = ROWS, signer=Circulant) -> DataFrame:
     """Near-duplicate classes of documents by word shingles.
 
@@ -117,26 +144,42 @@ def link_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, bands
     first = staged(first, "pairs")
     meeting = crowded.select(F.col("node").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = staged(texts.join(meeting, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
-    links = staged(_verified(first, sets, similarity), "links")
-    found = staged(components(links, "a", "b"), "components")
-
-    # Buckets that the hubs left in more than one component.
-    more = crowded.filter("members > 2").join(found.withColumnRenamed("node", "_node").withColumnRenamed("component", "_own"), F.col("node") == F.col("_node"), "left").select("bucket", "node", "hub", F.coalesce("_own", "node").alias("own"))
-    heads = more.filter("node = hub").select("bucket", F.col("own").alias("of_hub"))
-    open_buckets = more.groupBy("bucket").agg(F.min("own").alias("least"), F.max("own").alias("most")).filter("least <> most").select("bucket")
-    more = staged(more.join(open_buckets, "bucket", "left_semi").join(heads, "bucket").filter("node <> hub"), "open")
-    left = more.filter("own <> of_hub").select("bucket", F.col("node").alias("x"), F.col("own").alias("own_x"))
-    right = more.select("bucket", F.col("node").alias("y"), F.col("own").alias("own_y"), "of_hub")
-    second = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("own_x") != F.col("own_y")) & ((F.col("own_y") == F.col("of_hub")) | (F.col("x") < F.col("y"))))
-    sizes = nodes.select("node", "n_shingles")
-    second = second.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = second.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").filter(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b").distinct()
-    late = staged(_verified(second, sets, similarity), "links")
-    if late.take(1):
-        found = staged(components(links.union(late), "a", "b"), "components")
-
-    of_node = nodes.select("h1", "h2", "n_shingles", "node").join(found, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "node").alias("component"))
+    sets = staged(texts.join(meeting, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>, parts array<int>").dropDuplicates(["doc_id"]), "sets")
+    owner = staged(_relabelled(meeting.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("own")), staged(_verified(first, sets, similarity), "links")), "owner")
+
+    # What of each set is in any other set of the open buckets bounds its overlap with all of them.
+    waiting = staged(_open(crowded.filter("members > 2"), owner), "open")
+    searched = sets.join(waiting.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    once = searched.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("doc_id").alias("node")).filter("n = 1")
+    by_part = F.array(*[F.count_if(F.pmod("s", F.lit(PARTS)) == k).cast("int") for k in range(PARTS)])
+    alone = once.groupBy("node").agg(F.count("*").alias("u"), by_part.alias("alone"))
+    common = F.when(F.col("alone").isNull(), F.col("parts")).otherwise(F.zip_with("parts", "alone", lambda a, b: a - b))
+    shared = searched.select(F.col("doc_id").alias("node"), F.size("shingles").alias("n"), "parts").join(alone, "node", "left")
+    shared = shared.select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("v"), common.alias("c")).filter(100 * F.col("v") >= similarity * F.col("n"))
+    waiting = staged(waiting.drop("own").join(shared, "node"), "open")
+
+    # A second hub for each open bucket: the member that has most in common with others.
+    rows = waiting.join(owner, "node")
+    heads = rows.groupBy("bucket").agg(F.max(F.struct(F.col("v") / F.col("n"), "node", "own", "n", "v")).alias("head")).select("bucket", "head")
+    second = rows.join(heads, "bucket").filter((F.col("own") != F.col("head.own")) & _possible(similarity, "n", "head.n", F.least("v", "head.v")))
+    second = second.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    second = staged(second, "pairs")
+    owner = staged(_relabelled(owner, staged(_verified(second, sets, similarity), "links")), "owner")
+
+    # What is still apart meets outright, where the bound lets it.
+    rows = _open(waiting, owner)
+    heads = rows.groupBy("bucket").agg(F.max(F.struct(F.col("v") / F.col("n"), "node", "own")).alias("head")).select("bucket", F.col("head.own").alias("of_head"))
+    rows = staged(rows.join(heads, "bucket"), "open")
+    left = rows.filter("own <> of_head").select("bucket", F.col("node").alias("x"), F.col("own").alias("own_x"), F.col("n").alias("n_x"), F.col("v").alias("v_x"), F.col("c").alias("c_x"))
+    right = rows.select(F.col("bucket").alias("_bucket"), F.col("node").alias("y"), F.col("own").alias("own_y"), "of_head", F.col("n").alias("n_y"), F.col("v").alias("v_y"), F.col("c").alias("c_y"))
+    apart = (F.col("own_x") != F.col("own_y")) & ((F.col("own_y") == F.col("of_head")) | (F.col("x") < F.col("y")))
+    overlap = sum((F.least(F.get("c_x", F.lit(k)), F.get("c_y", F.lit(k))) for k in range(1, PARTS)), F.least(F.get("c_x", F.lit(0)), F.get("c_y", F.lit(0))))
+    bound = _possible(similarity, "n_x", "n_y", F.least("v_x", "v_y")) & _possible(similarity, "n_x", "n_y", overlap)
+    third = left.join(right, (F.col("bucket") == F.col("_bucket")) & apart & bound)
+    third = third.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first.union(second), ["a", "b"], "left_anti")
+    owner = _relabelled(owner, staged(_verified(third, sets, similarity), "links"))
+
+    of_node = nodes.select("h1", "h2", "n_shingles", "node").join(owner, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("own", "node").alias("component"))
     linked = live.select("doc_id", "n_shingles", "h1", "h2").join(of_node, ["h1", "h2", "n_shingles"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -158,7 +201,7 @@ WITH RECURSIVE base AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), runs AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))) END AS s FROM base
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM base
 ), sets AS (SELECT doc_id, s, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS h FROM runs),
 nodes AS (SELECT h, min(doc_id) AS node, any_value(n) AS n, any_value(s) AS s FROM sets WHERE n > 0 GROUP BY h),
 flat AS (SELECT node, n, unnest(s) AS x FROM nodes),
