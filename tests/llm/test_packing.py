@@ -72,8 +72,9 @@ def test_documents_are_packed_whole(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, _bin string").repartition(9)
     out = packing.pack_documents(frame, word_tokenizer(), 256).collect()
     n = check(out, 256)
-    total = sum(r.length for r in out)
-    assert n <= -(-total // 256) * 1.03 + 1
+    # Nine partitions of some 45 pieces each lose little against one best-fit over all pieces.
+    at_once = len(set(packing.best_fit(np.array([r.length for r in out]), 256)[0].tolist()))
+    assert n <= at_once * 1.05 + 1
     tokenizer = whole()
     for d, text, _ in rows[-5:]:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
