@@ -1,6 +1,8 @@
 import hashlib
 
-from tidemark.llm.fingerprints import compare_edited, fingerprint
+import numpy as np
+
+from tidemark.llm.fingerprints import Universal, compare_edited, fingerprint
 
 
 def jaccard(a, b):
@@ -42,3 +44,20 @@ def test_small_tables(spark):
     assert only.edited_sha256 == hashlib.sha256(b"abab").hexdigest()
     rows = compare_edited(spark.createDataFrame([(None, "x y"), (1, "a b"), (1, "a b"), (2, None)], schema)).collect()
     assert sorted(str(r.doc_id) for r in rows) == ["1", "1", "2", "None"]
+
+
+def test_likeness_of_very_long_texts(spark):
+    universal = Universal()
+    for n in (500, 20_000, 200_000, 1_000_000):
+        hashes = np.random.default_rng(n).integers(0, 1 << 64, 2 * n, dtype=np.uint64)
+        own = universal(hashes[:n])
+        assert (own == universal(hashes[n:])).mean() < 0.05
+        assert abs((own == universal(hashes[n // 2 : n // 2 + n])).mean() - 1 / 3) < 0.2
+
+    n = 120_000
+    texts = [" ".join(f"{c}{i:06d}" for i in range(n)) for c in "abc"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = compare_edited(frame).collect()
+    assert len(rows) == 3 and len({r.fingerprint for r in rows}) == 3
+    for r in rows:
+        assert r.near_next < 0.05 and abs(r.near_edited - 1 / 3) < 0.2
