@@ -61,6 +61,24 @@ def test_trusted_contexts_find_what_the_patterns_miss(spark):
     assert all(out[d].spans == out[d].base for d in out if d != 10)
 
 
+def test_contexts_reached_through_contexts_are_trusted(spark):
+    rows = [f"place {i} email: user{i}@mail.org end{i}" for i in range(100)]
+    rows += [f"spot {i} email: user{i} [at] mail [dot] org stop{i}" for i in range(100, 126)]
+    rows += [f"spot {i} contact: user{i} [at] mail [dot] org close{i}" for i in range(120, 126)]
+    rows += [f"site {i} contact: user{i} [at] mail [dot] org last{i}" for i in range(126, 130)]
+    rows += [f"shop {i} reach: user{i} [at] mail [dot] org last{i}" for i in range(126, 133)]
+    chained = len(rows) - 3
+    rows += [f"we paid {1000000000000 + i * 977} for it" for i in range(40)] + [f"we paid +1 (974) 555-{1000 + i} for it" for i in range(5)]
+    rows += [f"sum {i} of 10000{i * 977:05d} was" for i in range(8)]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.find_personal_data(frame).collect()}
+    added = {d for d in out if len(out[d].spans) > len(out[d].base)}
+    assert added == set(range(100, 126 + 6 + 4 + 7))
+    assert max(added) == chained + 2 and len(out[100].spans) == 1
+    s = out[chained].spans[0]
+    assert rows[chained][s.start : s.end] == "user130 [at] mail [dot] org"
+
+
 def test_redaction_keeps_all_else(spark):
     rows = [(1, "mail x@y.zz or +1 (974) 555-3436!", "en", 33), (1, "second of the id", "en", 16), (2, None, "fr", None), (None, "ip 10.0.0.1", "de", 11), (None, "ip 10.0.0.1", "de", 11)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")

@@ -1,9 +1,9 @@
 """Personal data: fixed patterns, and contextual extraction bootstrapped from what they find.
 
 The fixed patterns' finds are the seeds. The words around a find make lexical patterns; Spark joins
-patterns and instances into a graph and scores both sides in turn: a pattern by the share of its
-distinct instances that are trusted, an instance by the patterns that hold it. Patterns of high
-confidence then take in look-alikes that the fixed patterns miss.
+patterns and instances into a graph and judges both sides in turn: a pattern by the share of trusted
+ones among its distinct instances, an instance by the patterns that hold it, until nothing changes.
+Trusted patterns then take in look-alikes that the fixed patterns miss.
 """
 
 from __future__ import annotations
@@ -37,11 +37,15 @@ _LOOSE = (
 )
 _WORD = re.compile(r"\S+")
 _DIGIT = re.compile(r"[0-9]")
+_LABEL = re.compile(r".*\w.*[:=\uFF1A]")
 
 _FOUND = "row long, doc_id long, text_key long, base array<struct<kind:int,start:int,end:int>>, seen array<struct<kind:int,start:int,end:int,seed:boolean,value:long,patterns:array<long>>>"
 
-#: A pattern is trusted from this many distinct trusted instances and this share of trusted ones.
-SUPPORT, CONFIDENCE, ROUNDS = 4, 0.8, 2
+#: A pattern is trusted from this many distinct trusted instances and this share of trusted ones among
+#: those that are trusted or wrong.
+SUPPORT, CONFIDENCE = 4, 0.8
+#: A pattern of so many instances of which some, but less than this share, are seeds tells against the others.
+ORDINARY, ORDINARY_SHARE = 16, 0.2
 
 
 def luhn(digits: str) -> bool:
@@ -85,7 +89,7 @@ def _hash(text: str) -> int:
 
 
 def _contexts(text: str, kind: int, start: int, end: int) -> list[int]:
-    """Pattern names of a span: two words before, and one word before with one after it.
+    """Pattern names of a span: a label (a word with a colon or equals sign) before, two words before, and one word before with one after it.
 
     A word is white-space bounded, lower-cased, with its digits as 0; words further than 64 code
     points away don't count.
@@ -93,6 +97,8 @@ def _contexts(text: str, kind: int, start: int, end: int) -> list[int]:
     before = [_DIGIT.sub("0", w.lower()) for w in _WORD.findall(text[max(0, start - 64) : start])[-2:]]
     after = [_DIGIT.sub("0", w.lower()) for w in _WORD.findall(text[end : end + 64])[:1]]
     out = []
+    if before and _LABEL.fullmatch(before[-1]):
+        out.append(_hash(f"{kind}|{before[-1]} _"))
     if len(before) == 2:
         out.append(_hash(f"{kind}|{before[0]} {before[1]} _"))
     if before and after:
@@ -132,25 +138,37 @@ def _scan(batches):
         yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "text_key", "base", "seen"])
 
 
-def trusted_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def trusted_patterns(found: DataFrame) -> DataFrame:
     """The pattern names that the graph of patterns and instances trusts.
 
-    Edges are distinct (pattern, kind, value), so that copies of a text don't count twice. Both
-    sides' scores are grouped sums, pre-aggregated before each shuffle.
+    Edges are distinct (pattern, kind, value), so that copies of a text don't count twice. Seeds are
+    trusted, and so is what a trusted pattern holds; such instances support further patterns, with
+    seeds or without, until nothing changes. An instance without trust is wrong where a pattern of
+    many instances, a few of them seeds, holds it too; else it is unknown and doesn't count, but
+    trusted instances must be at least half of a pattern's. As trust only grows, patterns only
+    become trusted, so that the rounds end. Grouped sums are pre-aggregated before each shuffle.
     """
-    edges = found.select(F.explode("seen").alias("s")).select(F.explode("s.patterns").alias("pattern"), F.col("s.kind").alias("kind"), F.col("s.value").alias("value"), F.col("s.seed").alias("seed"))
-    edges = edges.groupBy("pattern", "kind", "value").agg(F.max("seed").alias("seed"))
-    wide = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds")).filter(F.col("n") >= SUPPORT).filter("seeds > 0").select("pattern")
-    edges = staged(edges.join(wide, "pattern", "left_semi").withColumn("trust", F.col("seed").cast("double")), "edges")
-    for _ in range(rounds):
-        scores = edges.groupBy("pattern").agg((F.sum("trust") / F.count("*")).alias("score"), F.sum("trust").alias("support"))
-        good = scores.filter((F.col("support") >= SUPPORT) & (F.col("score") >= CONFIDENCE))
-        # An instance is trusted as far as not all of its patterns are wrong.
-        doubt = F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))
-        instances = edges.join(good, "pattern").groupBy("kind", "value").agg((1 - doubt).alias("lent"))
-        edges = staged(edges.join(instances, ["kind", "value"], "left").select("pattern", "kind", "value", "seed", F.greatest(F.col("seed").cast("double"), F.coalesce("lent", F.lit(0.0))).alias("trust")), "edges")
-    scores = edges.groupBy("pattern").agg((F.sum("trust") / F.count("*")).alias("score"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-    return scores.filter((F.col("seeds") >= SUPPORT) & (F.col("score") >= CONFIDENCE)).select("pattern")
+    marks = found.select(F.explode("seen").alias("s"))
+    seeds = staged(marks.filter("s.seed").select("s.kind", "s.value").distinct(), "trusted")
+    edges = marks.select(F.explode("s.patterns").alias("pattern"), F.col("s.kind").alias("kind"), F.col("s.value").alias("value")).distinct()
+    wide = edges.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT)
+    edges = staged(edges.join(wide.select("pattern"), "pattern", "left_semi"), "edges")
+    trusted, mistaken, before = seeds, None, 0
+    while True:
+        marked = staged(edges.join(trusted.withColumn("yes", F.lit(1)), ["kind", "value"], "left").select("pattern", "kind", "value", F.coalesce("yes", F.lit(0)).alias("trust")), "marked")
+        counts = marked.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("trust").alias("support"))
+        if mistaken is None:
+            ordinary = counts.filter((F.col("n") >= ORDINARY) & (F.col("support") > 0) & (F.col("support") < ORDINARY_SHARE * F.col("n"))).select("pattern")
+            mistaken = staged(marked.filter("trust = 0").join(ordinary, "pattern", "left_semi").select("kind", "value").distinct(), "mistaken")
+        likely = counts.filter((F.col("support") >= SUPPORT) & (2 * F.col("support") >= F.col("n")))
+        wrong = marked.filter("trust = 0").join(mistaken, ["kind", "value"], "left_semi").groupBy("pattern").agg(F.count("*").alias("wrong"))
+        right = F.col("support") >= CONFIDENCE * (F.col("support") + F.coalesce("wrong", F.lit(0)))
+        good = staged(likely.join(wrong, "pattern", "left").filter(right).select("pattern"), "good")
+        n = good.count()
+        if n == before:
+            return good
+        before = n
+        trusted = staged(seeds.union(edges.join(good, "pattern", "left_semi").select("kind", "value")).distinct(), "trusted")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
