@@ -247,6 +247,29 @@ def test_ingestion_resumes(spark, tmp_path):
     assert done() == ["http://a/d.js", "http://a/ok"]
 
 
+def test_ingestion_skips_stored_files_and_keeps_the_first_of_a_path(spark, tmp_path):
+    lists, state, root = (str(tmp_path / x) for x in ("lists", "state", "root"))
+    calls = tmp_path / "calls"
+    for x in (calls, tmp_path / "lists", tmp_path / "root/http/a/_x/page"):
+        x.mkdir(parents=True)
+    (tmp_path / "root/http/a/d.js").write_bytes(b"kept")
+    (tmp_path / "root/http/a/_x/page/index.html").write_bytes(b"kept")
+    (tmp_path / "root/http/a/empty.js").write_bytes(b"")
+
+    def get(url):
+        name = url.replace("/", "_")
+        (calls / name).write_text("")
+        return (404, {}, b"no") if "gone" in url else (200, {"content-type": "text/html" if "ok" in url or "page" in url else ""}, url.encode())
+
+    urls = ["http://a/d.js", "http://a/_x/page", "http://a/empty.js", "http://a/ok/index.html", "http://a/ok", "http://a/t.js#gone", "http://a/t.js#1", "http://a/t.js#2"]
+    (tmp_path / "lists" / "one.txt").write_text("\n".join(urls))
+    ingest(spark, lists, state, root, get).awaitTermination()
+    fetched = {x.name for x in calls.iterdir()}
+    assert fetched == {u.replace("/", "_") for u in ("http://a/empty.js", "http://a/ok/index.html", "http://a/t.js#gone", "http://a/t.js#1")}
+    files = {u: (tmp_path / "root/http/a" / u).read_bytes() for u in ("d.js", "_x/page/index.html", "empty.js", "ok/index.html", "t.js")}
+    assert files == {"d.js": b"kept", "_x/page/index.html": b"kept", "empty.js": b"http://a/empty.js", "ok/index.html": b"http://a/ok/index.html", "t.js": b"http://a/t.js#1"}
+
+
 def test_files_round_trip(spark, tmp_path):
     data = {"http/x.com/a.bin": bytes(range(256)), "b/../../c": b"kept inside", "e": b""}
     write_tree(spark.createDataFrame(list(data.items()), "path string, content binary"), str(tmp_path / "t"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,12 +15,27 @@ from ..sources.writer import write_tree
 _CAPTURES = "archive_path string, size long"
 
 
+def _unstored(plan: DataFrame, root: str) -> DataFrame:
+    """``plan`` without rows whose file ``dest`` under ``root``, or its index.html, has content; only these two are looked at."""
+
+    def full(dest: str) -> bool:
+        at = os.path.join(root, *(p for p in dest.split("/") if p not in ("", ".", "..")))
+        return any(os.path.isfile(x) and os.path.getsize(x) > 0 for x in (at, os.path.join(at, "index.html")))
+
+    def run(frames):
+        for frame in frames:
+            yield frame[[not full(x) for x in frame["dest"]]]
+
+    return plan.mapInPandas(run, plan.schema)
+
+
 def ingest(spark: SparkSession, lists: str, state: str, root: str, get: Callable[[str], tuple[int, dict, bytes]]) -> StreamingQuery:
     """Fetches all lines of text files under ``lists`` that are new since the last run, then ends.
 
     The checkpoint under ``state`` remembers the files read; the table beside it the URLs stored. Only
     successes are recorded, so that failures are tried again when their line comes again. A batch
-    that is repeated after a failure fetches nothing twice that was recorded.
+    that is repeated after a failure fetches nothing twice that was recorded or stored. Of URLs with
+    one storage path the first of a batch is stored, or the next where it fails.
     """
     done_path = f"{state}/done"
 
@@ -28,11 +44,19 @@ def ingest(spark: SparkSession, lists: str, state: str, root: str, get: Callable
         session.createDataFrame([], "url string, dest string").write.mode("append").parquet(done_path)
         done = session.read.schema("url string, dest string").parquet(done_path)
         urls = load_urls(lines.select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line")))
-        plan = pending(urls, done, session.createDataFrame([], _CAPTURES))
-        # Fetched once: the results are kept until both the files and the record are written.
-        got = fetch(plan, get).filter("error IS NULL").checkpoint()
-        write_tree(got.select(F.col("dest").alias("path"), "content"), root)
-        got.select("url", "dest").write.mode("append").parquet(done_path)
+        plan = _unstored(pending(urls, done, session.createDataFrame([], _CAPTURES)), root)
+        plan = plan.withColumn("key", F.regexp_replace("dest", "/index\\.html$", ""))
+        left = plan.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("line_no"))).checkpoint()
+        place = 1
+        while not left.isEmpty():
+            now = left.filter(F.col("place") == place)
+            # Fetched once: the results are kept until both the files and the record are written.
+            got = fetch(now, get).filter("error IS NULL").checkpoint()
+            write_tree(got.select(F.col("dest").alias("path"), "content"), root)
+            got.select("url", "dest").write.mode("append").parquet(done_path)
+            taken = now.join(got.select("url"), "url").select("key")
+            left = left.filter(F.col("place") > place).join(taken, "key", "left_anti").checkpoint()
+            place += 1
 
     stream = spark.readStream.text(lists)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start()
