@@ -218,17 +218,22 @@ def test_url_lists(spark):
     assert [tuple(r) for r in N.path_collisions(urls).collect()] == [("http/a/1", 2, "http://a/1")]
 
 
-def fake(url):
-    pages = {"http://a/ok": (200, {"content-type": "text/html"}, b"page"), "http://a/r": (302, {"location": "/ok"}, b""), "http://a/loop": (302, {"location": "/loop"}, b""), "http://a/e": (200, {}, b""), "http://a/d.js": (200, {}, b"js")}
-    if url == "http://a/boom":
-        raise OSError("no route")
-    return pages.get(url, (404, {}, b"no"))
+def fetcher():
+    """A getter made here, so that workers get it by value and need no module of the tests."""
+
+    def get(url):
+        pages = {"http://a/ok": (200, {"content-type": "text/html"}, b"page"), "http://a/r": (302, {"location": "/ok"}, b""), "http://a/loop": (302, {"location": "/loop"}, b""), "http://a/e": (200, {}, b""), "http://a/d.js": (200, {}, b"js")}
+        if url == "http://a/boom":
+            raise OSError("no route")
+        return pages.get(url, (404, {}, b"no"))
+
+    return get
 
 
 def test_fetching(spark):
     urls = [f"http://a/{x}" for x in ("ok", "r", "loop", "e", "d.js", "boom", "none")]
     plan = spark.createDataFrame([(u, u.replace("://", "/")) for u in urls], "url string, dest string")
-    got = {r.url: (r.dest, r.error, r.content and bytes(r.content)) for r in N.fetch(plan, fake).collect()}
+    got = {r.url: (r.dest, r.error, r.content and bytes(r.content)) for r in N.fetch(plan, fetcher()).collect()}
     assert got["http://a/ok"] == ("http/a/ok/index.html", None, b"page") and got["http://a/r"] == ("http/a/r/index.html", None, b"page") and got["http://a/d.js"] == ("http/a/d.js", None, b"js")
     assert {u: e for u, (_, e, _) in got.items() if e} == {"http://a/loop": "too many redirects", "http://a/e": "empty", "http://a/boom": "no route", "http://a/none": "HTTP 404"}
 
@@ -237,13 +242,13 @@ def test_ingestion_resumes(spark, tmp_path):
     lists, state, root = (str(tmp_path / x) for x in ("lists", "state", "root"))
     (tmp_path / "lists").mkdir()
     (tmp_path / "lists" / "one.txt").write_text("http://a/ok\nhttp://a/none\n# no\n")
-    ingest(spark, lists, state, root, fake).awaitTermination()
+    ingest(spark, lists, state, root, fetcher()).awaitTermination()
     done = lambda: sorted(r.url for r in spark.read.parquet(f"{state}/done").collect())
     assert done() == ["http://a/ok"] and (tmp_path / "root/http/a/ok/index.html").read_bytes() == b"page"
     (tmp_path / "lists" / "two.txt").write_text("http://a/ok\nhttp://a/d.js\n")
-    ingest(spark, lists, state, root, fake).awaitTermination()
+    ingest(spark, lists, state, root, fetcher()).awaitTermination()
     assert done() == ["http://a/d.js", "http://a/ok"]
-    ingest(spark, lists, state, root, fake).awaitTermination()
+    ingest(spark, lists, state, root, fetcher()).awaitTermination()
     assert done() == ["http://a/d.js", "http://a/ok"]
 
 
