@@ -39,6 +39,56 @@ def test_edits_within_the_bound_are_found(data):
     assert label in {s[0] for s in found}
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def mutated(draw):
+    phrase, _ = draw(st.sampled_from([n for n in licenses.NOTICES if licenses.edits_allowed(n[0])]))
+    text = phrase
+    for _ in range(draw(st.integers(0, licenses.edits_allowed(phrase) + 1))):
+        i = draw(st.integers(0, len(text) - 1))
+        text = draw(st.sampled_from([text[:i] + text[i + 1 :], text[:i] + "q" + text[i + 1 :], text[:i] + "é" + text[i:], text[:i] + " " + text[i:]]))
+    return text
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.data())
+def test_spans_are_those_of_a_plain_bounded_edit_matcher(data):
+    """Every span is within its bound, with its true distance as edits; every stretch of words within the bound meets a span."""
+    parts = [mutated(data.draw) if data.draw(st.booleans()) else data.draw(st.sampled_from(["any", "old é words", "gnu", "license", "public"])) for _ in range(data.draw(st.integers(1, 4)))]
+    words = " ".join(parts).split()
+    spans = licenses.Notices().spans(f" {' '.join(words)} ".encode())
+    near = {}
+    for phrase, label in licenses.NOTICES:
+        k = licenses.edits_allowed(phrase)
+        for i in range(len(words)):
+            for j in range(i, len(words)):
+                text = " ".join(words[i : j + 1])
+                if abs(len(text) - len(phrase)) <= k and (d := distance(text, phrase)) <= k:
+                    near[label, i, j] = min((d, d / len(phrase)), near.get((label, i, j), (99, 99)))
+    for label, first, last, edits, exact, similarity in spans:
+        d, share = near.get((label, first, last), (0, 0) if exact else (None, None))
+        assert edits == d and abs(similarity - (1 - share)) < 1e-9
+    for label, i, j in near:
+        assert any(s[0] == label and s[1] <= j and i <= s[2] for s in spans), (label, words[i : j + 1])
+
+
+def test_long_repetitive_texts_take_linear_time():
+    import time
+
+    for unit in ("cc by ", "apache license ", "apache licence "):
+        clean = f" {unit * (800_000 // len(unit))}".encode()
+        start = time.process_time()
+        assert len(licenses.Notices().spans(clean)) == 800_000 // len(unit)
+        assert time.process_time() - start < 10  # what is quadratic takes minutes
+
+
 def test_pieces_cover_a_phrase_and_plain_text_has_no_notice():
     for phrase, _ in licenses.NOTICES:
         assert "".join(p for _, p in licenses.pieces(phrase, 3)) == phrase

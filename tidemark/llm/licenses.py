@@ -8,6 +8,9 @@ gives the span.
 
 from __future__ import annotations
 
+from operator import itemgetter
+
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -52,6 +55,19 @@ def pieces(phrase: str, edits: int) -> list[tuple[int, str]]:
     return [(a, phrase[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _places(text: bytes, sought: bytes) -> list[int]:
+    """All places of ``sought``, overlapping ones too."""
+    out, at = [], text.find(sought)
+    while at >= 0:
+        out.append(at)
+        at = text.find(sought, at + 1)
+    return out
+
+
+def _blanks(text: bytes, unit) -> np.ndarray:
+    return np.flatnonzero(np.frombuffer(text, unit) == 32)
+
+
 class Notices:
     """The compiled phrases: exact ones with blanks around, pieces and bounded-error patterns."""
 
@@ -64,29 +80,29 @@ class Notices:
             k = edits_allowed(phrase)
             if k:
                 seeds = [(at, piece.encode()) for at, piece in pieces(phrase, k)]
-                pattern = regex.compile(rf"(?e)(?<= )(?:{regex.escape(phrase, special_only=True)}){{e<={k}}}(?= )")
-                self.fuzzy.append((phrase, label, k, seeds, pattern))
+                body = regex.escape(phrase, special_only=True)
+                pattern = regex.compile(rf"(?e)(?<= )(?:{body}){{e<={k}}}(?= )")
+                fewer = [regex.compile(rf"(?:{body}){{e<={j}}}") for j in range(k)]
+                self.fuzzy.append((phrase, label, k, seeds, pattern, fewer))
 
     def spans(self, clean: bytes) -> list[tuple]:
         """(label, first word, last word, edits, exact, similarity) of all finds.
 
-        ``clean`` has the words with one blank before and after each.
+        ``clean`` has the words with one blank before and after each. Word numbers come from one
+        list of the blanks' places, so that the work is linear in the text.
         """
-        out, exact = [], set()
+        out, exact, blanks = [], set(), None
         for phrase, label, words in self.exact:
-            at = clean.find(phrase)
-            while at >= 0:
-                first = clean.count(b" ", 0, at)
-                out.append((label, first, first + words - 1, 0, True, 1.0))
-                exact.add((label, first))
-                at = clean.find(phrase, at + 1)
-        for phrase, label, k, seeds, pattern in self.fuzzy:
+            places = _places(clean, phrase)
+            if places:
+                blanks = _blanks(clean, np.uint8) if blanks is None else blanks
+                firsts = np.searchsorted(blanks, places).tolist()
+                out += [(label, first, first + words - 1, 0, True, 1.0) for first in firsts]
+                exact.update((label, first) for first in firsts)
+        for phrase, label, k, seeds, pattern, fewer in self.fuzzy:
             windows = set()
             for offset, piece in seeds:
-                at = clean.find(piece)
-                while at >= 0:
-                    windows.add(at - offset)
-                    at = clean.find(piece, at + 1)
+                windows.update(at - offset for at in _places(clean, piece))
             # Windows that overlap are searched as one, so that a find is given once.
             reach, end = [], -1
             for start in sorted(windows):
@@ -101,13 +117,18 @@ class Notices:
                 a, b = clean.rfind(b" ", 0, a + 1), clean.find(b" ", b)
                 a, b = max(a, 0), b + 1 if b >= 0 else len(clean)
                 window = clean[a:b].decode()
-                for m in pattern.finditer(window, overlapped=False):
-                    edits = sum(m.fuzzy_counts)
-                    first = clean.count(b" ", 0, a) + window.count(" ", 0, m.start()) - 1
+                # A find's edits aren't always the least ones: it is held against smaller bounds as a whole.
+                finds = [(m.start(), next((j for j in range(sum(m.fuzzy_counts)) if fewer[j].fullmatch(m[0])), sum(m.fuzzy_counts)), m[0]) for m in pattern.finditer(window, overlapped=False)]
+                if not finds:
+                    continue
+                blanks = _blanks(clean, np.uint8) if blanks is None else blanks
+                inside = _blanks(window.encode("utf-32-le"), np.uint32)
+                firsts = np.searchsorted(blanks, a) + np.searchsorted(inside, [at for at, _, _ in finds]) - 1
+                for first, (_, edits, found) in zip(firsts.tolist(), finds, strict=True):
                     # What stands exactly is one of the exact phrases' finds already, if it is one of those.
                     if (edits or (phrase, label) not in PHRASES) and (label, first) not in exact:
-                        out.append((label, first, first + m[0].count(" "), edits, False, 1 - edits / len(phrase)))
-        return sorted(set(out), key=lambda s: (s[1], s[2], s[0], s[3]))
+                        out.append((label, first, first + found.count(" "), edits, False, 1 - edits / len(phrase)))
+        return sorted(set(out), key=itemgetter(1, 2, 0, 3))
 
 
 def _scan(batches):
