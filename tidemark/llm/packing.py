@@ -2,7 +2,7 @@
 
 Each partition packs its own pieces best-fit, longest first, and gives out its nearly full bins. The
 underfull bins go on as items: they are dealt into groups of bounded size and packed again, level by
-level, until one group holds them all.
+level, until one group holds all that can still be put together.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import staged
 
@@ -153,71 +154,99 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def _local(columns: list[str], capacity: int):
+def _local(capacity: int, block: int):
     def run(batches):
-        part, held, rows, block = TaskContext.get().partitionId(), [], 0, 0
+        # Bins are numbered through within a task, which has 40 bits for it.
+        made, held, rows = TaskContext.get().partitionId() << 40, [], 0
 
         def packed():
+            nonlocal made
             table = pa.Table.from_batches(held).combine_chunks()
             bins, offsets = best_fit(table["length"].to_numpy(), capacity)
-            table = table.append_column("_bin", pa.array(bins + ((part << 40) | (block << 20)))).append_column("_offset", pa.array(offsets))
+            table = table.append_column("bin", pa.array(bins + made)).append_column("at", pa.array(offsets))
+            made += int(bins.max()) + 1
             return table.to_batches(max_chunksize=100_000)
 
         for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= LOCAL_BLOCK - 20_000:
-                yield from packed()
-                held, rows, block = [], 0, block + 1
+            while batch.num_rows:
+                held.append(batch.slice(0, block - rows))
+                rows += held[-1].num_rows
+                batch = batch.slice(held[-1].num_rows)
+                if rows == block:
+                    yield from packed()
+                    held, rows = [], 0
         if rows:
             yield from packed()
 
     return run
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+def _merged(dealt: DataFrame, capacity: int) -> DataFrame:
+    """(bin, into, at, filled): the bins (group, bin, fill) of each group packed best-fit once more."""
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["fill", "bin"], ascending=[False, True], ignore_index=True)
+        bins, offsets = best_fit(frame["fill"].to_numpy(), capacity)
+        first = pd.Series(frame["bin"].to_numpy()).groupby(bins).transform("first")
+        filled = frame["fill"].groupby(bins).transform("sum")
+        return pd.DataFrame({"bin": frame["bin"], "into": first, "at": offsets, "filled": filled})
+
+    return dealt.groupBy("group").applyInPandas(merge, "bin long, into long, at long, filled long")
+
+
+def _dealt(bins: DataFrame, level: int, groups: int, of: int | None = None) -> DataFrame:
+    """Bins with a group each; of ``of`` shares, those of the first ``groups``. Each level deals afresh."""
+    group = F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(of or groups))
+    return bins.select("bin", "fill", group.alias("group")).filter(F.col("group") < groups)
+
+
+def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, block: int = LOCAL_BLOCK) -> DataFrame:
     """``items`` with sequence_id and offset: which sequence each piece is in, and where.
 
-    ``items`` has a long ``length`` of 1 to ``capacity`` and any further columns, which ride along.
-    Sequences are gapless from 0. Equal items are packed one by one. An empty table gives an empty
-    result.
-    """
-    kept = items.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", _bin long, _offset long"
-    local = staged(items.mapInArrow(_local(kept, capacity), schema), "local")
-    bins = local.groupBy("_bin").agg(F.sum("length").alias("_fill"))
-    under = staged(bins.filter(F.col("_fill") < capacity * (1 - NEARLY_FULL)), "underfull")
-    moves = None
+    ``items`` has a long ``length`` of 1 to ``capacity`` and any further columns, which ride along,
+    whatever their names; columns sequence_id and offset are replaced. Sequences are gapless from 0
+    and never longer than ``capacity``. Equal items are packed one by one. An empty table gives an
+    empty result.
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["_fill", "_bin"], ascending=[False, True], ignore_index=True)
-        bins, offsets = best_fit(frame["_fill"].to_numpy(), capacity)
-        first = pd.Series(frame["_bin"].to_numpy()).groupby(bins).transform("first")
-        fill = frame["_fill"].groupby(bins).transform("sum")
-        return pd.DataFrame({"_bin": frame["_bin"], "_into": first, "_at": offsets, "_filled": fill})
+    ``block`` pieces are packed at once in a task, ``group`` bins in a merge. Of bins packed best-fit
+    together no two fit into one, so at most one a group is half full or less. Those go on to the next
+    level, with as many fuller ones that have room for the least of them, in groups fewer by far,
+    until there is one group: what is lost against merging all bins at once is less than one
+    sequence for every ``group`` underfull bins.
+    """
+    kept = [c for c in items.columns if c not in ("sequence_id", "offset")]
+    boxed = items.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("item"), F.col("length").cast("long").alias("length"))
+    schema = T.StructType([*boxed.schema.fields, T.StructField("bin", T.LongType()), T.StructField("at", T.LongType())])
+    local = staged(boxed.mapInArrow(_local(capacity, block), schema), "local")
+    room = F.col("fill") < capacity * (1 - NEARLY_FULL)
+    under = staged(local.groupBy("bin").agg(F.sum("length").alias("fill")).filter(room), "underfull")
 
     count = under.count()
-    while count:
-        groups = -(-count // group)
-        dealt = under.withColumn("_group", F.pmod(F.xxhash64("_bin"), F.lit(groups)))
-        merged = staged(dealt.groupBy("_group").applyInPandas(merge, "_bin long, _into long, _at long, _filled long"), "merged")
-        step = merged.select("_bin", "_into", "_at")
+    moves, level, groups = None, 0, -(-count // group)
+    dealt = _dealt(under, level, max(groups, 1))
+    while count > 1:
+        merged = staged(_merged(dealt, capacity), "merged")
+        step = merged.select("bin", "into", "at")
         if moves is None:
             moves = step
         else:
-            again = step.toDF("_into", "_next", "_more")
-            moves = staged(moves.join(again, "_into", "left").select("_bin", F.coalesce("_next", "_into").alias("_into"), (F.col("_at") + F.coalesce("_more", F.lit(0))).alias("_at")), "moves")
+            again = step.toDF("into", "next", "more")
+            moves = staged(moves.join(again, "into", "left").select("bin", F.coalesce("next", "into").alias("into"), (F.col("at") + F.coalesce("more", F.lit(0))).alias("at")), "moves")
         if groups == 1:
             break
-        under = staged(merged.filter(F.col("_filled") < capacity * (1 - NEARLY_FULL)).select(F.col("_into").alias("_bin"), F.col("_filled").alias("_fill")).distinct(), "underfull")
-        # Where merging hardly thins them out, what is left can't be put together any better.
-        count, before = under.count(), count
-        if count > 0.9 * before:
+        left = merged.filter("bin = into").select("bin", F.col("filled").alias("fill")).filter(room)
+        small = left.filter(2 * F.col("fill") <= capacity)
+        n_small, least = small.agg(F.count("*"), F.min("fill")).first()
+        if not n_small:
             break
+        large = left.filter((2 * F.col("fill") > capacity) & (F.col("fill") + least <= capacity))
+        level, groups = level + 1, -(-2 * n_small // group)
+        shares = max(groups, -(-2 * large.count() // group))
+        dealt = _dealt(small, level, groups).union(_dealt(large, level, groups, shares))
+    bins = local if moves is None else local.join(moves.select("bin", "into", F.col("at").alias("from")), "bin", "left")
     if moves is None:
-        return local.select(*kept, F.col("_bin").alias("sequence_id"), F.col("_offset").alias("offset"))
-    joined = local.join(moves, "_bin", "left")
-    return joined.select(*kept, F.coalesce("_into", "_bin").alias("sequence_id"), (F.col("_offset") + F.coalesce("_at", F.lit(0))).alias("offset"))
+        return bins.select("item.*", F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
+    return bins.select("item.*", F.coalesce("into", "bin").alias("sequence_id"), (F.col("at") + F.coalesce("from", F.lit(0))).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -231,7 +260,9 @@ def sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Data
     """The packed sequences themselves: sequence_id, ids (little-endian unsigned 32-bit numbers) and
     the parts (doc_id, piece, offset, length) they are made of. A sequence is at most ``capacity``
     long, so that its pieces may meet in one task."""
-    packed = pack(pieces(docs, tokenizer, capacity), capacity)
+    # Lengths alone are packed; the ids join what has been decided.
+    cut = staged(pieces(docs, tokenizer, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    packed = pack(cut.select("row", "doc_id", "piece", "length"), capacity).join(cut.select("row", "ids"), "row")
     part = F.struct("offset", "doc_id", "piece", "length", "ids")
     grouped = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(part)).alias("p"))
     ids = F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"]))
