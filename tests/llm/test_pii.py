@@ -50,15 +50,74 @@ def test_long_runs_take_linear_time():
         pii.fixed_spans(text)
 
 
-def test_trusted_contexts_find_what_the_patterns_miss(spark):
+def test_look_alikes_by_kind():
+    def of(text):
+        return [(k, text[s:e]) for k, s, e, _ in pii.look_alikes(text, pii.fixed_spans(text))]
+
+    assert of("ann [at] mail [dot] org") == [(0, "ann [at] mail [dot] org")]
+    assert of("10[.]0[.]0[.]1 and 300,1,1,1") == [(1, "10[.]0[.]0[.]1"), (-1, "300,1,1,1")]
+    assert of("378282246310005")[0] == (2, "378282246310005")  # 15 digits that pass the check sum
+    assert of("4111 1111 1111 1112 or 4111111111111112") == [(-1, "4111 1111 1111 1112"), (-1, "4111111111111112")]
+    assert of("call (030) 555-3436 in 2024, 3.5 times") == [(3, "(030) 555-3436"), (-1, "2024"), (-1, "3.5")]
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert pii.look_alikes(f'"{key}" then aB3dE6gH9kL2-x', []) == [(4, 1, 41, True), (4, 48, 62, False)]
+    assert of("a long-hyphenated-word and no digit") == [] == of("x@y.zz 4111111111111111 +1 (974) 555-3436")
+
+
+def spans_by_hand(texts, support=4, confidence=0.8):
+    """The whole graph in plain loops: index of a text -> its added (kind, start, end)."""
+    def context(text, s, e):
+        words = lambda x: [re.sub("[0-9]", "0", w.lower()) for w in re.findall(r"\w+|[^\w\s]", x)]
+        left, right = words(text[max(0, s - 64) : s])[-3:], words(text[e : e + 64])[:1]
+        found = {(*left, None)} if len(left) == 3 else set()
+        found |= {(*left[-2:], None)} if len(left) > 1 else set()
+        found |= {(left[-1], None, right[0])} if left and right else set()
+        return {p for p in found if any(w and w[0].isalnum() for w in p)}
+
+    marks, seeds = [], set()
+    for i, text in enumerate(texts):
+        base = plain(text)
+        for kind, s, e, seed in [(*b, True) for b in base] + pii.look_alikes(text, base):
+            marks.append((i, kind, s, e, (kind, s, e) in base, context(text, s, e)))
+            if seed:
+                seeds.add((kind, text[s:e].lower()))
+    held = {}
+    for i, kind, s, e, _, found in marks:
+        for p in found:
+            held.setdefault(p, set()).add((kind, texts[i][s:e].lower()))
+    trusted, good = set(seeds), set()
+    while True:
+        new = {(p, k) for p, v in held.items() for k in range(5)
+               if (n := len({x for x in v & trusted if x[0] == k})) >= support and 2 * n >= len({x for x in v if x[0] == k}) and n >= confidence * len({x for x in v if x in trusted or x[0] < 0})} - good
+        if not new:
+            break
+        good |= new
+        trusted |= {x for p, k in good for x in held[p] if x[0] == k}
+    out = {}
+    for i, kind, s, e, is_base, found in sorted(marks, key=lambda m: (m[0], m[2], m[3], m[1])):
+        if kind >= 0 and not is_base and any((p, kind) in good for p in found):
+            own = out.setdefault(i, [])
+            if not own or own[-1][2] <= s:
+                own.append((kind, s, e))
+    return out
+
+
+def run(spark, texts):
+    frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
+    rows = {r.doc_id: r for r in pii.find_personal_data(frame).collect()}
+    spans = lambda c: [(s.kind, s.start, s.end) for s in c]
+    assert len(rows) == len(texts) and all(spans(r.base) == plain(texts[d] or "") for d, r in rows.items())
+    added = {d: sorted(set(spans(r.spans)) - set(spans(r.base)), key=lambda x: x[1]) for d, r in rows.items()}
+    return {d: x for d, x in added.items() if x}
+
+
+def test_contexts_of_seeds_find_what_the_patterns_miss(spark):
     cards = ["4111111111111111", "5500005555555559", "4012888888881881", "4242424242424242", "6011000990139424", "3530111333300000"]
-    rows = [(i, f"text {i} bank card: {c} expires soon", "x") for i, c in enumerate(cards)]
-    rows += [(10, "other bank card: 4111111111111112 expires soon", "x"), (11, "we counted 4111111111111112 grains of sand", "x"), (12, None, "x"), (13, "", "x")]
-    rows += [(20 + i, f"the order {1000000000000 + i * 977} was sent", "x") for i in range(30)]
-    out = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()}
-    assert len(out) == len(rows)
-    assert [(s.kind, s.start, s.end) for s in out[10].spans] == [(2, 17, 33)] and out[10].base == []
-    assert all(out[d].spans == out[d].base for d in out if d != 10)
+    texts = [f"text {i} bank card: {c} expires soon" for i, c in enumerate(cards)]
+    texts += ["other bank card: 378282246310005 expires soon", "other bank card: 4111111111111112 expires soon", "we counted 378282246310005 grains of sand", "", None]
+    texts += [f"the order {1000000000000 + i * 977} was sent" for i in range(30)]
+    got = run(spark, texts)
+    assert got == {6: [(2, 17, 32)]} == spans_by_hand([t or "" for t in texts])
 
 
 def test_contexts_reached_through_contexts_are_trusted(spark):
@@ -67,16 +126,57 @@ def test_contexts_reached_through_contexts_are_trusted(spark):
     rows += [f"spot {i} contact: user{i} [at] mail [dot] org close{i}" for i in range(120, 126)]
     rows += [f"site {i} contact: user{i} [at] mail [dot] org last{i}" for i in range(126, 130)]
     rows += [f"shop {i} reach: user{i} [at] mail [dot] org last{i}" for i in range(126, 133)]
-    chained = len(rows) - 3
+    chained = len(rows)
     rows += [f"we paid {1000000000000 + i * 977} for it" for i in range(40)] + [f"we paid +1 (974) 555-{1000 + i} for it" for i in range(5)]
     rows += [f"sum {i} of 10000{i * 977:05d} was" for i in range(8)]
-    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    out = {r.doc_id: r for r in pii.find_personal_data(frame).collect()}
-    added = {d for d in out if len(out[d].spans) > len(out[d].base)}
-    assert added == set(range(100, 126 + 6 + 4 + 7))
-    assert max(added) == chained + 2 and len(out[100].spans) == 1
-    s = out[chained].spans[0]
-    assert rows[chained][s.start : s.end] == "user130 [at] mail [dot] org"
+    got = run(spark, rows)
+    assert set(got) == set(range(100, chained)) and got == spans_by_hand(rows)
+    kind, s, e = got[chained - 1][0]
+    assert kind == 0 and rows[chained - 1][s:e] == "user132 [at] mail [dot] org"
+
+
+def test_secrets_of_another_form_are_found_where_keys_stand(spark):
+    import hashlib
+
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    texts = [f'word{i} token = "{key(i)}" more{i}' for i in range(6)] + ['then token = "aB3dE6gH9kL2mN5" after', f"commit {key(9)} of the tree", f'x token = "{key(0)}" y']
+    got = run(spark, texts)
+    assert got == spans_by_hand(texts) and set(got) == {0, 1, 2, 3, 4, 5, 6, 8}
+    assert [texts[6][s:e] for _, s, e in got[6]] == ["aB3dE6gH9kL2mN5"]
+
+
+def test_common_contexts_are_trusted_for_nothing(spark):
+    """What holds seeds of several kinds, or numbers too, vouches for none of them."""
+    texts = [f"in the {x} house" for i in range(8) for x in (f"u{i}@mail.org", f"10.0.0.{i}", f"+1 (974) 555-{1000 + i}")]
+    texts += [f"at the {x} door" for i in range(8) for x in (f"+1 (974) 555-{2000 + i}", str(100 + i))]
+    texts += ["in the 555-343-9876 house", "at the 555-343-9876 door", "in the u9 [at] mail [dot] org house"]
+    assert run(spark, texts) == {} == spans_by_hand(texts)
+
+
+def test_the_graph_on_random_texts(spark):
+    import random
+
+    rng = random.Random(4)
+    things = [lambda: f"u{rng.randrange(40)}@mail.org", lambda: f"u{rng.randrange(40)} [at] mail [dot] org", lambda: f"10.0.0.{rng.randrange(300)}", lambda: f"10[.]0[.]0[.]{rng.randrange(9)}",
+              lambda: f"+1 (974) 555-{rng.randrange(1000, 1040)}", lambda: f"(974) 555-{rng.randrange(1000, 1040)}", lambda: str(rng.randrange(9)), lambda: f"{rng.randrange(16**31, 16**32):032x}", lambda: f"k{rng.randrange(10**12)}z"]
+    texts = []
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(9)
+            # Contexts that mostly, but not only, hold things of one kind.
+            parts.append(f"{rng.choice('abc')} {['mail', 'mail', 'ip', 'ip', 'tel', 'tel', 'n', 'key', 'key'][k] if rng.random() < 0.9 else rng.choice(['mail', 'ip', 'tel', 'key'])}: {things[k]()} {rng.choice('xyz')}")
+        texts.append(" ".join(parts))
+    want = spans_by_hand(texts)
+    assert len(want) > 50 and run(spark, texts) == want
+
+
+def test_the_tables_secrets_are_added_and_decoys_left_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [r.text or "" for r in docs.orderBy("doc_id").collect()]
+    got = run(spark, texts)
+    found = {(d, *s) for d, own in got.items() for s in own}
+    assert found == {(d, 4, m.start(1), m.end(1)) for d, t in enumerate(texts) for m in re.finditer(r'token = "([0-9a-f]{40})"', t)} and len(found) > 5
 
 
 def test_redaction_keeps_all_else(spark):

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.staging import staged
 
@@ -21,6 +22,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def boxed(df: DataFrame) -> DataFrame:
+    """``df`` as one column ``row``: what is put beside it clashes with no column of any name."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a staged table that nothing reads any more."""
     spark = df.sparkSession

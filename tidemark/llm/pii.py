@@ -1,15 +1,18 @@
 """Personal data: fixed patterns, and contextual extraction bootstrapped from what they find.
 
-The fixed patterns' finds are the seeds. The words around a find make lexical patterns; Spark joins
-patterns and instances into a graph and judges both sides in turn: a pattern by the share of trusted
-ones among its distinct instances, an instance by the patterns that hold it, until nothing changes.
-Trusted patterns then take in look-alikes that the fixed patterns miss.
+The fixed patterns' finds are the seeds, and so are runs of hexadecimal digits as long as a key or a
+digest. The words and signs around a find make lexical patterns; Spark joins patterns and instances
+into a graph and judges both sides in turn: a pattern by how many of what it holds is trusted for
+one kind, against what is trusted for another kind and what is surely none of them; an instance by
+the patterns that hold it, until nothing changes. Trusted patterns then take in look-alikes that the
+fixed patterns miss.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -17,9 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import boxed, staged
 
-KINDS = ("email", "ip", "card", "phone")
+#: The fixed patterns' kinds, and after them the kind that contexts alone vouch for.
+KINDS = ("email", "ip", "card", "phone", "secret")
+SECRET, NEITHER = 4, -1
 
 # Fixed patterns. Look-behinds keep runs of digits from being tried again from each digit.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -28,24 +33,25 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-# Look-alikes by kind: what a context may vouch for.
-_LOOSE = (
-    (0, re.compile(r"(?<![^\s<(\[\"'])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}(?:@| ?[\[(]at[\])] ?)[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]{1,63}){0,8}")),
-    (1, re.compile(r"(?<![0-9.])[0-9]{1,3}(?:[.,][0-9]{1,3}){3,5}(?![0-9])")),
-    (2, re.compile(r"(?<![0-9+])[0-9](?:[ .-]?[0-9]){12,18}(?![0-9])")),
-    (3, re.compile(r"(?<![0-9+])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,14}(?![0-9])")),
-)
-_WORD = re.compile(r"\S+")
-_DIGIT = re.compile(r"[0-9]")
-_LABEL = re.compile(r".*\w.*[:=\uFF1A]")
+# Look-alikes: what a context may vouch for, each a token of its own. An address has at most 64
+# characters before its sign and 9 labels of at most 63 after it, as mail has.
+_SPELT = re.compile(r"(?<![^\s<(\[\"'])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}(?:@| ?[\[(]at[\])] ?)[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]{1,63}){0,8}")
+_QUAD = re.compile(r"(?<![\w.,])[0-9]{1,3}(?:(?:[.,]|\[\.\]|\(\.\))[0-9]{1,3}){3}(?!\w|[.,][0-9])")
+_RUN = re.compile(r"(?<![\w+])[0-9](?:[ ./-]?[0-9])*+(?!\w)")
+_DIAL = re.compile(r"(?<![\w+])\(?[0-9](?:[ ().-]{0,2}[0-9])*+(?!\w)")
+_HEX = re.compile(r"(?<!\w)(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})(?!\w)")
+_OPAQUE = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_-]{12,}+={0,2}(?![\w+/=-])")
+_NUMBER = re.compile(r"(?<![\w.])[0-9]++(?:[.,:/-][0-9]++)*+(?!\w)")
+_DIGIT, _DIGITS, _LETTER = re.compile(r"[0-9]"), re.compile(r"[0-9]+"), re.compile(r"[A-Za-z]")
+_TOKEN = re.compile(r"\w+|[^\w\s]")
 
 _FOUND = "row long, doc_id long, text_key long, base array<struct<kind:int,start:int,end:int>>, seen array<struct<kind:int,start:int,end:int,seed:boolean,value:long,patterns:array<long>>>"
 
-#: A pattern is trusted from this many distinct trusted instances and this share of trusted ones among
-#: those that are trusted or wrong.
+#: A pattern is trusted for a kind from this many distinct trusted instances of the kind and this share of
+#: them among all that are trusted or surely neither.
 SUPPORT, CONFIDENCE = 4, 0.8
-#: A pattern of so many instances of which some, but less than this share, are seeds tells against the others.
-ORDINARY, ORDINARY_SHARE = 16, 0.2
+#: Code points to either side of a find in which its context is.
+REACH = 64
 
 
 def luhn(digits: str) -> bool:
@@ -88,22 +94,72 @@ def _hash(text: str) -> int:
     return xxh64_intdigest(text) - (1 << 63)
 
 
-def _contexts(text: str, kind: int, start: int, end: int) -> list[int]:
-    """Pattern names of a span: a label (a word with a colon or equals sign) before, two words before, and one word before with one after it.
+def look_alikes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool]]:
+    """(kind, start, end, seed) of what contexts may vouch for and of what tells against a context.
 
-    A word is white-space bounded, lower-cased, with its digits as 0; words further than 64 code
-    points away don't count.
+    Nothing here overlaps ``base``. Kind NEITHER are numbers that are none of the kinds: such as runs
+    of 16 to 19 digits that fail the cards' check sum, or quads with a part over 255.
     """
-    before = [_DIGIT.sub("0", w.lower()) for w in _WORD.findall(text[max(0, start - 64) : start])[-2:]]
-    after = [_DIGIT.sub("0", w.lower()) for w in _WORD.findall(text[end : end + 64])[:1]]
-    out = []
-    if before and _LABEL.fullmatch(before[-1]):
-        out.append(_hash(f"{kind}|{before[-1]} _"))
-    if len(before) == 2:
-        out.append(_hash(f"{kind}|{before[0]} {before[1]} _"))
+    spelt = "@" in text or "at]" in text or "at)" in text
+    if not spelt and not _DIGIT.search(text):
+        return []
+    # Covered stretches in order, so that an overlap is found by bisection.
+    starts, ends = [], []
+    for start, end in sorted((s, e) for _, s, e in base):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+
+    def free(m) -> bool:
+        k = bisect_right(ends, m.start())
+        return k == len(ends) or starts[k] >= m.end()
+
+    out, neither = [], []
+    if spelt:
+        out += [(0, m.start(), m.end(), False) for m in _SPELT.finditer(text) if free(m)]
+    for m in _QUAD.finditer(text):
+        if free(m):
+            kept = all(int(x) <= 255 for x in _DIGITS.findall(m[0]))
+            (out if kept else neither).append((1 if kept else NEITHER, m.start(), m.end(), False))
+    for m in _RUN.finditer(text):
+        if m.end() - m.start() >= 13 and free(m):
+            digits = "".join(_DIGITS.findall(m[0]))
+            if 13 <= len(digits) <= 19 and luhn(digits):
+                out.append((2, m.start(), m.end(), False))
+            elif len(digits) >= 16:
+                neither.append((NEITHER, m.start(), m.end(), False))
+    for m in _DIAL.finditer(text):
+        if m.end() - m.start() >= 7 and free(m) and 7 <= len(_DIGIT.findall(m[0])) <= 15:
+            out.append((3, m.start(), m.end(), False))
+    seeds = {m.span() for m in _HEX.finditer(text) if _LETTER.search(m[0]) and _DIGIT.search(m[0]) and free(m)}
+    out += [(SECRET, *span, True) for span in sorted(seeds)]
+    for m in _OPAQUE.finditer(text):
+        if m.span() not in seeds and free(m) and len(_DIGIT.findall(m[0])) >= 2 and len(_LETTER.findall(m[0])) >= 2:
+            out.append((SECRET, m.start(), m.end(), False))
+    taken = sorted({(s, e) for _, s, e, _ in out + neither})
+    at = [s for s, _ in taken]
+    reach = list(accumulate((e for _, e in taken), max))
+    for m in _NUMBER.finditer(text):
+        k = bisect_left(at, m.end())
+        if free(m) and not (k and reach[k - 1] > m.start()):
+            neither.append((NEITHER, m.start(), m.end(), False))
+    return out + neither
+
+
+def contexts(text: str, start: int, end: int) -> list[str]:
+    """The lexical patterns of a span: three tokens before, two before, and one before with one after.
+
+    A token is a word, lower-cased and with each digit as 0, or a single sign. A pattern without any
+    word is none.
+    """
+    before = [_DIGIT.sub("0", w.lower()) for w in _TOKEN.findall(text[max(0, start - REACH) : start])[-3:]]
+    after = [_DIGIT.sub("0", w.lower()) for w in _TOKEN.findall(text[end : end + REACH])[:1]]
+    out = [[*before[-k:], "_"] for k in (3, 2) if len(before) >= k]
     if before and after:
-        out.append(_hash(f"{kind}|{before[-1]} _ {after[0]}"))
-    return out
+        out.append([before[-1], "_", after[0]])
+    return [" ".join(p) for p in out if any(w[0].isalnum() for w in p)]
 
 
 def _scan(batches):
@@ -115,23 +171,9 @@ def _scan(batches):
         for text in batch.column(1):
             text = text.as_py() or ""
             base = fixed_spans(text)
-            marks = [(*s, True) for s in base]
-            if base or _DIGIT.search(text) or "@" in text:
-                # Covered stretches in order, so that an overlap is found by bisection.
-                starts, ends = [], []
-                for start, end in sorted((s, e) for _, s, e in base):
-                    if ends and start <= ends[-1]:
-                        ends[-1] = max(ends[-1], end)
-                    else:
-                        starts.append(start)
-                        ends.append(end)
-                for kind, loose in _LOOSE:
-                    for m in loose.finditer(text):
-                        k = bisect_right(ends, m.start())
-                        if k == len(ends) or starts[k] >= m.end():
-                            marks.append((kind, m.start(), m.end(), False))
+            marks = [(*s, True) for s in base] + look_alikes(text, base)
             bases.append([{"kind": k, "start": s, "end": e} for k, s, e in base])
-            all_seen.append([{"kind": k, "start": s, "end": e, "seed": seed, "value": _hash(text[s:e].lower()), "patterns": _contexts(text, k, s, e)} for k, s, e, seed in marks])
+            all_seen.append([{"kind": k, "start": s, "end": e, "seed": seed, "value": _hash(text[s:e].lower()), "patterns": [_hash(c) for c in contexts(text, s, e)]} for k, s, e, seed in marks])
             rows.append(part + at)
             at += 1
         columns = [pa.array(rows, pa.int64()), batch.column(0), batch.column(2), pa.array(bases, pa.list_(span)), pa.array(all_seen, pa.list_(seen))]
@@ -139,36 +181,35 @@ def _scan(batches):
 
 
 def trusted_patterns(found: DataFrame) -> DataFrame:
-    """The pattern names that the graph of patterns and instances trusts.
+    """(pattern, kind): what the graph of patterns and instances trusts each pattern for.
 
     Edges are distinct (pattern, kind, value), so that copies of a text don't count twice. Seeds are
-    trusted, and so is what a trusted pattern holds; such instances support further patterns, with
-    seeds or without, until nothing changes. An instance without trust is wrong where a pattern of
-    many instances, a few of them seeds, holds it too; else it is unknown and doesn't count, but
-    trusted instances must be at least half of a pattern's. As trust only grows, patterns only
-    become trusted, so that the rounds end. Grouped sums are pre-aggregated before each shuffle.
+    trusted, and so is what a trusted pattern holds of its kind; such instances support further
+    patterns, with seeds or without, until nothing changes. A pattern is trusted for a kind from
+    SUPPORT trusted instances of it, if these are at least CONFIDENCE of all its instances that are
+    trusted for any kind or surely neither, and at least half of its instances of the kind. So a context
+    that holds anything, as common words do, is trusted for nothing. Patterns once trusted stay so,
+    and the rounds end. Grouped sums are pre-aggregated before each shuffle.
     """
     marks = found.select(F.explode("seen").alias("s"))
-    seeds = staged(marks.filter("s.seed").select("s.kind", "s.value").distinct(), "trusted")
+    seeds = staged(marks.filter("s.seed").select("s.kind", "s.value").distinct(), "seeds")
     edges = marks.select(F.explode("s.patterns").alias("pattern"), F.col("s.kind").alias("kind"), F.col("s.value").alias("value")).distinct()
-    wide = edges.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT)
-    edges = staged(edges.join(wide.select("pattern"), "pattern", "left_semi"), "edges")
-    trusted, mistaken, before = seeds, None, 0
+    wide = edges.filter(F.col("kind") != NEITHER).groupBy("pattern", "kind").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT).select("pattern").distinct()
+    edges = staged(edges.join(wide, "pattern", "left_semi"), "edges")
+    trusted, good, before = seeds, None, 0
+    own = lambda k: F.col("kind") == k
     while True:
-        marked = staged(edges.join(trusted.withColumn("yes", F.lit(1)), ["kind", "value"], "left").select("pattern", "kind", "value", F.coalesce("yes", F.lit(0)).alias("trust")), "marked")
-        counts = marked.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("trust").alias("support"))
-        if mistaken is None:
-            ordinary = counts.filter((F.col("n") >= ORDINARY) & (F.col("support") > 0) & (F.col("support") < ORDINARY_SHARE * F.col("n"))).select("pattern")
-            mistaken = staged(marked.filter("trust = 0").join(ordinary, "pattern", "left_semi").select("kind", "value").distinct(), "mistaken")
-        likely = counts.filter((F.col("support") >= SUPPORT) & (2 * F.col("support") >= F.col("n")))
-        wrong = marked.filter("trust = 0").join(mistaken, ["kind", "value"], "left_semi").groupBy("pattern").agg(F.count("*").alias("wrong"))
-        right = F.col("support") >= CONFIDENCE * (F.col("support") + F.coalesce("wrong", F.lit(0)))
-        good = staged(likely.join(wrong, "pattern", "left").filter(right).select("pattern"), "good")
+        marked = edges.join(trusted.withColumn("yes", F.lit(True)), ["kind", "value"], "left").withColumn("yes", F.coalesce("yes", F.lit(False)))
+        sums = [c for k in range(len(KINDS)) for c in (F.count_if(own(k) & F.col("yes")).alias(f"s{k}"), F.count_if(own(k)).alias(f"n{k}"))]
+        counts = marked.groupBy("pattern").agg(F.count_if(own(NEITHER) | F.col("yes")).alias("sure"), *sums)
+        judged = counts.select("pattern", "sure", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"s{k}").alias("s"), F.col(f"n{k}").alias("n")) for k in range(len(KINDS))])).alias("j"))
+        now = judged.filter((F.col("j.s") >= SUPPORT) & (2 * F.col("j.s") >= F.col("j.n")) & (F.col("j.s") >= CONFIDENCE * F.col("sure"))).select("pattern", "j.kind")
+        good = staged(now if good is None else good.union(now).distinct(), "good")
         n = good.count()
         if n == before:
             return good
         before = n
-        trusted = staged(seeds.union(edges.join(good, "pattern", "left_semi").select("kind", "value")).distinct(), "trusted")
+        trusted = staged(seeds.union(edges.join(good, ["pattern", "kind"], "left_semi").select("kind", "value")).distinct(), "trusted")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -177,15 +218,19 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
     ``base`` has the fixed patterns' spans and ``spans`` those and what trusted contexts add, both
     as arrays of (kind, start, end) in the order of KINDS and then of start; code points, ends
-    exclusive. An added span overlaps no other span of the row. A null or empty text has none;
-    repeated rows give repeated results; further columns are ignored.
+    exclusive. Secrets (opaque tokens such as keys) are added by contexts only. An added span
+    overlaps no other span of the row; what fails a card's check sum is never added. Contexts reach
+    REACH code points to either side. A null or empty text has no spans; repeated rows give repeated
+    results; further columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.withColumn("text_key", F.xxhash64("text"))
     found = staged(texts.mapInArrow(_scan, _FOUND), "found")
     patterns = trusted_patterns(found)
-    marks = found.select("row", F.explode("seen").alias("s")).filter("NOT s.seed").select("row", "s.kind", "s.start", "s.end", F.explode("s.patterns").alias("pattern"))
-    added = marks.join(patterns, "pattern", "left_semi").select("row", F.struct("start", "end", "kind").alias("a")).groupBy("row").agg(F.array_sort(F.collect_set("a")).alias("added"))
+    # What is in ``base`` already isn't added: only secrets are seeds without being there.
+    marks = found.select("row", F.explode("seen").alias("s")).filter(f"s.kind = {SECRET} OR (s.kind <> {NEITHER} AND NOT s.seed)")
+    marks = marks.select("row", "s.kind", "s.start", "s.end", F.explode("s.patterns").alias("pattern"))
+    added = marks.join(patterns, ["pattern", "kind"], "left_semi").select("row", F.struct("start", "end", "kind").alias("a")).groupBy("row").agg(F.array_sort(F.collect_set("a")).alias("added"))
     # Left to right, each added span gives way to one before it that it overlaps.
     free = F.aggregate("added", F.array().cast("array<struct<start:int,end:int,kind:int>>"), lambda acc, x: F.when((F.size(acc) == 0) | (F.element_at(acc, F.lit(-1))["end"] <= x["start"]), F.concat(acc, F.array(x))).otherwise(acc))
     added = added.select("row", F.transform(F.when(F.size("added") > 0, free), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("added"))
@@ -210,15 +255,14 @@ def redact(docs: DataFrame) -> DataFrame:
     are untouched.
     """
     found = find_personal_data(docs).filter(F.size("spans") > 0)
-    spans = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_key"])
+    spans = found.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "spans").dropDuplicates(["id", "key"])
 
     @F.pandas_udf("string")
     def cover(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([_cover(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    joined = docs.withColumn("_text_key", F.xxhash64(F.col("text").cast("string"))).join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
-    clean = joined.filter("_spans IS NULL").select(*docs.columns)
-    covered = joined.filter("_spans IS NOT NULL").withColumn("text", cover("text", "_spans"))
-    if "n_chars" in docs.columns:
-        covered = covered.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.union(covered.select(*docs.columns))
+    joined = boxed(docs).join(spans, F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("key")), "left")
+    clean = joined.filter("spans IS NULL").select("row.*")
+    covered = joined.filter("spans IS NOT NULL").select("row", cover(F.col("row.text").cast("string"), "spans").alias("new"))
+    new = {"text": F.col("new")} | ({"n_chars": F.length("new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return clean.union(covered.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]))
