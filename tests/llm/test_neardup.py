@@ -14,7 +14,7 @@ def shingles(text, width):
     return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
 
 
-def brute(rows, width=5, similarity=80):
+def brute(rows, width=4, similarity=80):
     """doc_id -> (set size, component) by comparing all pairs."""
     sets = {d: shingles(t, width) for d, t in rows}
     parent = {d: d for d in sets}
@@ -55,15 +55,15 @@ def test_components_are_those_of_all_pairs(spark, link):
     rows = corpus()
     frame = spark.createDataFrame([(t, d, "x") for d, t in rows], "text string, doc_id long, bands string").repartition(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in link(frame).collect()}
-    assert got == brute(rows)
+    assert got == brute(rows, fingerprints.WIDTH if link is fingerprints.link_by_fingerprint else neardup.WIDTH)
 
 
 def test_width_and_result_columns(spark):
     rows = corpus(2)
-    out = neardup.link_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4)
+    out = neardup.link_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=5)
     assert out.columns == ["doc_id", "n_shingles", "component_id", "kept"]
     got = out.collect()
-    want = brute(rows, 4)
+    want = brute(rows, 5)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
@@ -72,13 +72,34 @@ def test_nulls_repeats_and_empty_tables(spark):
     schema = "doc_id long, text string, lang string"
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (None, "a b c d e f", "x"), (2, None, None), (3, "a b c d e f", "y")]
     got = sorted(map(tuple, neardup.link_duplicates(spark.createDataFrame(rows, schema)).collect()), key=str)
-    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, None, True), (2, 0, 2, True), (3, 2, 1, False)], key=str)
+    assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (None, 3, None, True), (2, 0, 2, True), (3, 3, 1, False)], key=str)
     assert neardup.link_duplicates(spark.createDataFrame([], schema)).collect() == []
     kept = neardup.keep_one(spark.createDataFrame(rows, schema))
     assert kept.columns == ["doc_id", "text", "lang"]
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "None"]
 
 
+def test_repeated_ids_lose_no_text(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(1, a, "x", "y"), (1, b, "x", "y"), (2, a, "x", "y"), (3, b, "x", "y"), (1, a, "z", "y"), (5, "", "x", "y"), (5, None, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, node string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.link_duplicates(docs).collect())
+    assert got == [(1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (5, 5, True), (5, 5, True)]
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, str(r.text)) for r in kept.collect()) == [(1, a), (1, b), (5, ""), (5, "None")]
+
+
+def test_pairs_of_large_buckets_meet_in_a_grid(spark, monkeypatch):
+    """Crowded buckets in cells of a few members: the last search finds all links that the hubs miss."""
+    monkeypatch.setattr(neardup, "LEFT", 3)
+    monkeypatch.setattr(neardup, "RIGHT", 2)
+    rows = corpus(7)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = neardup.link_duplicates(frame, bands=40, rows=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(rows)
+
+
 def test_circulant_signature_is_the_definition_and_estimates_similarity():
     c = neardup.Circulant(64, universe=1 << 12)
     rng = np.random.default_rng(0)

@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged, utf8
+from .common import boxed, slices, staged, utf8
 from .components import components
 from .words import mix, shingle_sets
 
+#: Words in a shingle.
+WIDTH = 4
 #: Bands of rows: a pair of similarity 0.8 shares no band with probability (1 - 0.8**7)**56 < 2e-6.
 BANDS, ROWS = 56, 7
 #: The universe that shingle hashes are folded to; folding only raises similarities.
@@ -31,7 +33,10 @@ UNIVERSE = 1 << 20
 #: Parts of the universe in which overlaps are bounded one by one.
 PARTS = 64
 
-_SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
+#: Members of a bucket that meet in one task at most, of those outside the head's component and of all.
+LEFT, RIGHT = 4096, 512
+
+_SIGNATURE = "doc_id long, text_key long, n_shingles long, h1 long, h2 long, bands array<long>"
 
 
 class Circulant:
@@ -74,7 +79,7 @@ def _sign(width: int, bands: int, rows: int, signer):
                         keys.append(np.zeros(0, np.int64))
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(size, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists], names=["doc_id", "n_shingles", "h1", "h2", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(size, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists], names=["doc_id", "text_key", "n_shingles", "h1", "h2", "bands"])
 
     return run
 
@@ -83,20 +88,20 @@ def _sets(width: int):
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            ids = batch.column(0).cast(pa.int64())
+            nodes = batch.column(0)
             for i, j in slices(offsets):
                 own = [x.view(np.int64) for x in shingle_sets(data, offsets[i : j + 1], width)]
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
                 counts = np.concatenate([np.bincount(x & (PARTS - 1), minlength=PARTS) for x in own]).astype(np.int32)
                 parts = pa.ListArray.from_arrays(pa.array(np.arange(0, len(counts) + 1, PARTS), pa.int32()), pa.array(counts))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(own))), parts], names=["doc_id", "shingles", "parts"])
+                yield pa.RecordBatch.from_arrays([nodes.slice(i, j - i), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(own))), parts], names=["node", "shingles", "parts"])
 
     return run
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= similarity * union, on full sets."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a")
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     return both.filter(100 * shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
@@ -120,80 +125,116 @@ def _possible(similarity: int, n_x: str, n_y: str, overlap: Column) -> Column:
     return 100 * overlap >= similarity * (F.col(n_x) + F.col(n_y) - overlap)
 
 
-def link_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, bands: int = BANDS, rows: int = ROWS, signer=Circulant) -> DataFrame:
-    """Near-duplicate classes of documents by word shingles.
+def _pairs_apart(rows: DataFrame, shares: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) of members of a bucket that are in different components and can be similar at all.
 
-    ``docs`` has doc_id and text; further columns are ignored. Returns one row per input row:
-    doc_id, n_shingles (size of its set of lower-cased ``width``-word shingles), component_id
-    (smallest doc_id that links of at least ``similarity`` per cent reach) and kept (whether that is
-    the row's own). Equal sets are one node from the start, so copies are never paired.
+    ``rows`` has bucket, node, own (its component), n and v; ``shares`` node and c. Only members outside
+    the component of the bucket's head ask; they meet all others. A bucket is dealt into a grid, so
+    that no task has more than some LEFT of those that ask and RIGHT of the others, whatever its size.
+    """
+    rows = staged(rows, "open")
+    heads = rows.groupBy("bucket").agg(F.max(F.struct(F.col("v") / F.col("n"), "node", "own")).alias("head"), F.count("*").alias("members")).select("bucket", F.col("head.own").alias("of_head"), "members")
+    asking = rows.join(heads, "bucket").filter("own <> of_head").groupBy("bucket").agg(F.count("*").alias("asking"))
+    grid = heads.join(asking, "bucket").select("bucket", "of_head", F.ceil(F.col("asking") / LEFT).alias("rows"), F.ceil(F.col("members") / RIGHT).alias("columns"))
+    rows = staged(rows.join(grid, "bucket"), "open")
+    cell = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    x = rows.filter("own <> of_head").join(shares, "node").withColumn("i", cell("rows")).withColumn("j", every("columns"))
+    x = x.select("bucket", "i", "j", F.col("node").alias("x"), F.col("own").alias("own_x"), F.col("n").alias("n_x"), F.col("v").alias("v_x"), F.col("c").alias("c_x"))
+    y = rows.join(shares, "node").withColumn("j", cell("columns")).withColumn("i", every("rows"))
+    y = y.select(F.col("bucket").alias("_bucket"), F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("node").alias("y"), F.col("own").alias("own_y"), "of_head", F.col("n").alias("n_y"), F.col("v").alias("v_y"), F.col("c").alias("c_y"))
+    apart = (F.col("own_x") != F.col("own_y")) & ((F.col("own_y") == F.col("of_head")) | (F.col("x") < F.col("y")))
+    overlap = sum((F.least(F.get("c_x", F.lit(k)), F.get("c_y", F.lit(k))) for k in range(1, PARTS)), F.least(F.get("c_x", F.lit(0)), F.get("c_y", F.lit(0))))
+    bound = _possible(similarity, "n_x", "n_y", F.least("v_x", "v_y")) & _possible(similarity, "n_x", "n_y", overlap)
+    met = x.join(y, (F.col("bucket") == F.col("_bucket")) & (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")) & apart & bound)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    A null or wordless text has an empty set and links with nothing. A text of fewer than ``width``
-    words is one shingle. A row with a null doc_id links with nothing: its component_id is null and
-    it is kept. Rows that repeat a doc_id are one node. An empty table gives an empty result.
+
+def _classes(docs: DataFrame, width: int, similarity: int, bands: int, rows: int, signer) -> tuple[DataFrame, DataFrame]:
+    """The signed rows (doc_id, text_key, n_shingles, h1, h2, bands), and the distinct shingle sets
+    (h1, h2, n_shingles, doc_id and text_key of the first row that has it, own), where ``own`` names
+    the set's class.
+
+    The sets are the nodes, whichever rows and doc_ids have them, and are numbered for the purpose.
     """
-    signed = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sign(width, bands, rows, signer), _SIGNATURE), "signed")
-    live = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = staged(live.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")), "nodes")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    signed = staged(texts.select("doc_id", "text", "text_key").mapInArrow(_sign(width, bands, rows, signer), _SIGNATURE), "signed")
+    first = F.min_by(F.struct("doc_id", "text_key", "bands"), F.struct("doc_id", "text_key"))
+    nodes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n_shingles").agg(first.alias("s"))
+    nodes = staged(nodes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "n_shingles", "s.*"), "nodes")
 
     entries = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
     hubs = entries.groupBy("bucket").agg(F.count("*").alias("members"), F.min_by("node", F.xxhash64("node", "bucket")).alias("hub")).filter("members > 1")
     crowded = staged(entries.join(hubs, "bucket"), "crowded")
 
-    first = crowded.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    first = staged(first, "pairs")
-    meeting = crowded.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = staged(texts.join(meeting, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>, parts array<int>").dropDuplicates(["doc_id"]), "sets")
-    owner = staged(_relabelled(meeting.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("own")), staged(_verified(first, sets, similarity), "links")), "owner")
+    first = staged(crowded.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
+    meeting = crowded.select("node").distinct()
+    wanted = nodes.join(meeting, "node", "left_semi").select("node", "doc_id", "text_key")
+    sets = texts.join(wanted, ["doc_id", "text_key"]).select("node", "text")
+    sets = staged(sets.mapInArrow(_sets(width), "node long, shingles array<long>, parts array<int>").dropDuplicates(["node"]), "sets")
+    owner = staged(_relabelled(meeting.select("node", F.col("node").alias("own")), staged(_verified(first, sets, similarity), "links")), "owner")
 
     # What of each set is in any other set of the open buckets bounds its overlap with all of them.
     waiting = staged(_open(crowded.filter("members > 2"), owner), "open")
-    searched = sets.join(waiting.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    once = searched.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("doc_id").alias("node")).filter("n = 1")
+    searched = sets.join(waiting.select("node").distinct(), "node", "left_semi")
+    once = searched.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
     by_part = F.array(*[F.count_if(F.pmod("s", F.lit(PARTS)) == k).cast("int") for k in range(PARTS)])
     alone = once.groupBy("node").agg(F.count("*").alias("u"), by_part.alias("alone"))
     common = F.when(F.col("alone").isNull(), F.col("parts")).otherwise(F.zip_with("parts", "alone", lambda a, b: a - b))
-    shared = searched.select(F.col("doc_id").alias("node"), F.size("shingles").alias("n"), "parts").join(alone, "node", "left")
-    shared = shared.select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("v"), common.alias("c")).filter(100 * F.col("v") >= similarity * F.col("n"))
-    waiting = staged(waiting.drop("own").join(shared, "node"), "open")
+    shares = searched.select("node", F.size("shingles").alias("n"), "parts").join(alone, "node", "left")
+    shares = staged(shares.select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("v"), common.alias("c")).filter(100 * F.col("v") >= similarity * F.col("n")), "shares")
+    waiting = staged(waiting.select("bucket", "node").join(shares.drop("c"), "node"), "open")
 
     # A second hub for each open bucket: the member that has most in common with others.
-    rows = waiting.join(owner, "node")
-    heads = rows.groupBy("bucket").agg(F.max(F.struct(F.col("v") / F.col("n"), "node", "own", "n", "v")).alias("head")).select("bucket", "head")
-    second = rows.join(heads, "bucket").filter((F.col("own") != F.col("head.own")) & _possible(similarity, "n", "head.n", F.least("v", "head.v")))
+    open_rows = waiting.join(owner, "node")
+    heads = open_rows.groupBy("bucket").agg(F.max(F.struct(F.col("v") / F.col("n"), "node", "own", "n", "v")).alias("head")).select("bucket", "head")
+    second = open_rows.join(heads, "bucket").filter((F.col("own") != F.col("head.own")) & _possible(similarity, "n", "head.n", F.least("v", "head.v")))
     second = second.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     second = staged(second, "pairs")
     owner = staged(_relabelled(owner, staged(_verified(second, sets, similarity), "links")), "owner")
 
     # What is still apart meets outright, where the bound lets it.
-    rows = _open(waiting, owner)
-    heads = rows.groupBy("bucket").agg(F.max(F.struct(F.col("v") / F.col("n"), "node", "own")).alias("head")).select("bucket", F.col("head.own").alias("of_head"))
-    rows = staged(rows.join(heads, "bucket"), "open")
-    left = rows.filter("own <> of_head").select("bucket", F.col("node").alias("x"), F.col("own").alias("own_x"), F.col("n").alias("n_x"), F.col("v").alias("v_x"), F.col("c").alias("c_x"))
-    right = rows.select(F.col("bucket").alias("_bucket"), F.col("node").alias("y"), F.col("own").alias("own_y"), "of_head", F.col("n").alias("n_y"), F.col("v").alias("v_y"), F.col("c").alias("c_y"))
-    apart = (F.col("own_x") != F.col("own_y")) & ((F.col("own_y") == F.col("of_head")) | (F.col("x") < F.col("y")))
-    overlap = sum((F.least(F.get("c_x", F.lit(k)), F.get("c_y", F.lit(k))) for k in range(1, PARTS)), F.least(F.get("c_x", F.lit(0)), F.get("c_y", F.lit(0))))
-    bound = _possible(similarity, "n_x", "n_y", F.least("v_x", "v_y")) & _possible(similarity, "n_x", "n_y", overlap)
-    third = left.join(right, (F.col("bucket") == F.col("_bucket")) & apart & bound)
-    third = third.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first.union(second), ["a", "b"], "left_anti")
+    third = _pairs_apart(_open(waiting, owner), shares.select("node", "c"), similarity).join(first.union(second), ["a", "b"], "left_anti")
     owner = _relabelled(owner, staged(_verified(third, sets, similarity), "links"))
+    return signed, staged(nodes.drop("bands").join(owner, "node", "left").withColumn("own", F.coalesce("own", "node")), "classes")
+
+
+def link_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = 80, bands: int = BANDS, rows: int = ROWS, signer=Circulant) -> DataFrame:
+    """Near-duplicate classes of documents by word shingles.
+
+    ``docs`` has doc_id and text; further columns are ignored. Returns one row per input row:
+    doc_id, n_shingles (size of its set of lower-cased ``width``-word shingles), component_id
+    (smallest doc_id that links of at least ``similarity`` per cent reach) and kept (whether that is
+    the row's own). Equal sets are one node from the start, so copies are never paired.
 
-    of_node = nodes.select("h1", "h2", "n_shingles", "node").join(owner, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("own", "node").alias("component"))
-    linked = live.select("doc_id", "n_shingles", "h1", "h2").join(of_node, ["h1", "h2", "n_shingles"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    A null or wordless text has an empty set and links with nothing. A text of fewer than ``width``
+    words is one shingle. A row with a null doc_id links with nothing: its component_id is null and
+    it is kept. Rows that repeat a doc_id with other texts are linked by their texts alone, each in
+    its own class. An empty table gives an empty result.
+    """
+    signed, sets = _classes(docs, width, similarity, bands, rows, signer)
+    names = sets.groupBy("own").agg(F.min("doc_id").alias("component_id"))
+    named = sets.join(names, "own").select("h1", "h2", "n_shingles", "component_id")
+    linked = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
     alone = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = WIDTH, similarity: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each near-duplicate class is kept.
 
-    All columns stay as they are. Rows with a null doc_id stay; of rows that repeat a kept doc_id
-    one stays.
+    Of each class the text of the smallest doc_id stays (of several under it the one with the smallest
+    hash), in one row where rows repeat it. Texts without words and rows with a null doc_id are in no
+    class: these stay, but rows that repeat such a text under the same doc_id stay once. All columns
+    stay as they are, whatever their names.
     """
-    kept = link_duplicates(docs, width, similarity).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
-    one = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id IS NULL"))
+    signed, sets = _classes(docs, width, similarity, BANDS, ROWS, Circulant)
+    first = sets.groupBy("own").agg(F.min(F.struct("doc_id", "text_key")).alias("k")).select("k.*")
+    empty = signed.filter("n_shingles = 0 AND doc_id IS NOT NULL").select("doc_id", "text_key").distinct()
+    stay = first.union(empty).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    rows = boxed(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("row.text").cast("string")).alias("text_key"))
+    one = rows.join(stay, (F.col("doc_id") == F.col("id")) & (F.col("text_key") == F.col("key")), "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return one.select("row.*").union(rows.filter("doc_id IS NULL").select("row.*"))
 
 
 ORACLE = r"""
