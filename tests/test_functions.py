@@ -58,6 +58,20 @@ def test_parse(spark):
     assert [g and g.hostname for g in links] == ["x.com", None, None, None, "x.com"]
 
 
+def test_plain_urls_are_cut_as_the_whole_algorithm_does(spark):
+    import random
+
+    rng = random.Random(3)
+    hosts = ["x.com", "www.a-b.co.uk", "X.com", "1.2.3.4", "a.0x1", "a.b1", "localhost", "x.com:80", "u@x.com", "a_b.c", "x..c", "x.com."]
+    names = ["", "a", "b.html", ".", "..", ".hid", "c d", "%2e", "é", "~u", "(x)", "a'b", "x\\y"]
+    urls = []
+    for _ in range(600):
+        url = f"{rng.choice(['http', 'https', 'ftp', 'HTTP', 'x'])}://{rng.choice(hosts)}" + "".join(f"/{rng.choice(names)}" for _ in range(rng.randrange(4)))
+        urls.append(url + rng.choice(["", "", "?", "?q=1&r=a/b", "?q=é", "?a'"]) + rng.choice(["", "", "#", "#s", "#a b", "#x?y"]) + rng.choice(["", "", "", "\n", " "]))
+    got = values(spark, [(u,) for u in urls], U.parse, U.parse_any)
+    assert all(a == b for a, b in got) and sum(a is not None for a, _ in got) > 200
+
+
 def test_timestamps(spark):
     assert values(spark, [("2001",), ("20011215022550cs_",), (None,), ("200112150225501",)], P.ts_number) == [20010000000000, 20011215022550, 0, 20011215022550]
     dates = values(spark, [("2001",), ("2001-3",), ("2001-03-09",), (None,)], lambda c: P.date_number(c, "2020-02-02"))

@@ -275,6 +275,50 @@ def test_ingestion_skips_stored_files_and_keeps_the_first_of_a_path(spark, tmp_p
     assert files == {"d.js": b"kept", "_x/page/index.html": b"kept", "empty.js": b"http://a/empty.js", "ok/index.html": b"http://a/ok/index.html", "t.js": b"http://a/t.js#1"}
 
 
+def test_a_mark_in_a_page_stays(spark):
+    for text in ("<a href=\x00\"http://x.com/\">", "a{b:url\x00('c')}", "x\x01y"):
+        assert texts(spark, text, lambda c: W.rewrite_server(c, F.lit("2005"))) == text
+
+
+def test_the_flattening_job_writes_a_tree_and_its_report(spark, tmp_path):
+    from tidemark import jobs
+
+    archive_dir, out = tmp_path / "in", tmp_path / "out"
+    files = {PAGE: '<a href="/img/c.gif">', WB + "20030404183527/www.x.com/img/c.gif": "GIF", WB + "20030404183527/www.x.com/a.php": "<html>\xe9"}
+    for path, text in files.items():
+        (archive_dir / path).parent.mkdir(parents=True, exist_ok=True)
+        (archive_dir / path).write_bytes(text.encode("latin-1"))
+    done = jobs.flatten_tree(spark, str(archive_dir), str(out), 20080101000000).collect()
+    assert {r.action: r.n for r in done} == {"rewritten": 2, "copied": 1}
+    assert (out / PAGE).read_text() == '<a href="../img/c.gif">'
+    assert (out / (WB + "20030404183527/www.x.com/a.php.html")).read_bytes() == b"<html>\xe9"
+    report = "".join(p.read_text() for p in sorted((out / "index.report").glob("part-*")))
+    assert report.count("<tr class=") == 2 and "p.htm" in report
+
+
+def test_pages_that_cannot_be_rewritten_are_copied(spark, monkeypatch):
+    rows = spark.createDataFrame([("a.html", None), ("b.html", "<p>")], "archive_path string, text string")
+    none = spark.createDataFrame([], "src_path string, url string, kind string, target_path string, how string, rel string")
+    assert {r.archive_path: r.text for r in W.rewritten(rows, none).collect()} == {"a.html": None, "b.html": "<p>"}
+
+
+def test_configuration(spark, tmp_path):
+    from tidemark.sources.config import save_location
+
+    (tmp_path / "c.json").write_text('{"currentSaveLocation": "__USER_DOCUMENTS__/web"}')
+    assert save_location(spark, str(tmp_path / "c.json"), "/docs") == "/docs/web"
+    (tmp_path / "d.json").write_text("{}")
+    with pytest.raises(ValueError, match="currentSaveLocation"):
+        save_location(spark, str(tmp_path / "d.json"))
+
+
+def test_staged_tables_are_in_one_folder_of_the_run(spark):
+    from tidemark.sources.staging import staged, staging_dir
+
+    kept = staged(spark.range(3), "kept")
+    assert kept.count() == 3 and all(staging_dir(spark) in f for f in kept.inputFiles())
+
+
 def test_files_round_trip(spark, tmp_path):
     data = {"http/x.com/a.bin": bytes(range(256)), "b/../../c": b"kept inside", "e": b""}
     write_tree(spark.createDataFrame(list(data.items()), "path string, content binary"), str(tmp_path / "t"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .paths import DOT, let, needs_html_suffix, sanitize, strip_query
 
+# Names that stand for a folder, the name of a stored folder, and the archive's own hosts.
 DEFAULT_DOCS = ("index.html", "index.htm", "default.asp", "default.aspx", "default.htm", "default.html", "default.shtml", "index.shtml", "home.asp", "home.html", "main.html")
 DIRECTORY_INDEX = "__wayback__directory_index.html"
 INFRASTRUCTURE = ("archive.org", "web.archive.org", "web-static.archive.org", "analytics.archive.org", "polyfill.archive.org")
@@ -37,8 +38,25 @@ def _clean_path(path: Column) -> Column:
     return let(F.split(F.regexp_replace(path, r"^[/\\]", ""), r"[/\\]"), clean)
 
 
+# A URL in its own normal form already: a lower-case host with a name at its end and no port, no segment
+# that begins with a dot, nothing to encode.
+_PLAIN = r"^(https?|ftp)://((?:[a-z0-9-]+\.)+[a-z][a-z-]*)((?:/(?!\.)[\w!$&()*+,;=:@~.-]*)*)(\?[\w!$&()*+,;=:@~./-]*)?(#[\w!$&()*+,;=:@~./-]*)?\z"
+
+
 def parse(url: Column) -> Column:
-    """(protocol, hostname, port, pathname, search, hash), or null where the URL has no parse."""
+    """(protocol, hostname, port, pathname, search, hash), or null where the URL has no parse.
+
+    What is in normal form is cut by one expression; all else goes through the whole algorithm.
+    """
+    part = lambda i: F.regexp_extract(url, _PLAIN, i)
+    bare = lambda i, sign: F.when(part(i) == sign, "").otherwise(part(i))
+    path = F.when(part(3) == "", "/").otherwise(part(3))
+    plain = F.struct(part(1).alias("protocol"), part(2).alias("hostname"), F.lit("").alias("port"), path.alias("pathname"), bare(4, "?").alias("search"), bare(5, "#").alias("hash"))
+    return F.when(url.rlike(_PLAIN), plain).otherwise(parse_any(url))
+
+
+def parse_any(url: Column) -> Column:
+    """As ``parse``, by the whole algorithm."""
     text = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
     lowered = let(text, lambda t: F.concat(F.lower(F.regexp_extract(t, r"^[^:]*", 0)), F.regexp_extract(t, r"(?s)^[^:]*(:.*)$", 1)))
     parts = lambda t: F.struct(t.rlike(_SPECIAL).alias("special"), *[F.regexp_extract(t, _SPECIAL, i).alias(f"p{i}") for i in range(1, 6)])

@@ -49,10 +49,14 @@ def scan(captures: DataFrame) -> DataFrame:
     return classify(visible(captures)).filter("is_wayback IS NOT NULL")
 
 
+def url_entries(captures: DataFrame) -> DataFrame:
+    """(url_key, archive_path, ts, ts_num, ts_dir) of every capture under each of its keys."""
+    return scan(captures).select(F.explode(url_keys()).alias("url_key"), "archive_path", "ts", ts_number(F.col("ts")).alias("ts_num"), "ts_dir")
+
+
 def url_index(captures: DataFrame) -> DataFrame:
-    """(url_key, archive_path, ts, ts_num, ts_dir), each path once for a key."""
-    keyed = scan(captures).select(F.explode(url_keys()).alias("url_key"), "archive_path", "ts", ts_number(F.col("ts")).alias("ts_num"), "ts_dir")
-    return keyed.dropDuplicates(["url_key", "archive_path"])
+    """``url_entries``, each path once for a key."""
+    return url_entries(captures).dropDuplicates(["url_key", "archive_path"])
 
 
 def sniffed(captures: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import sanitize, strip_query, ts_number, ts_seconds
 from ..functions.urls import DEFAULT_DOCS, fallback_path, key, page_context, parse_link, wayback_lookup, www_toggled
+from ..sources.staging import staged
 from .index import scan
 
 
@@ -35,71 +36,98 @@ def _probes(links: DataFrame, url: str, with_extensions: bool, carry: list[str])
     return probes.withColumn("other_protocol", F.substring_index("url_key", "://", 1) != F.col("protocol"))
 
 
-def _nearest_by_key(index: DataFrame, target: int) -> DataFrame:
+def best_captures(index: DataFrame, target: int) -> DataFrame:
+    """(url_key, ts_dir, distance, archive_path): of each key and folder the capture nearest to ``target``.
+
+    Written once: what resolves links of several kinds reads the same table.
+    """
     distance = F.abs(F.col("ts_num") - F.lit(target))
-    return index.groupBy("url_key").agg(F.min(F.struct(distance.alias("distance"), "archive_path")).alias("best")).select("url_key", "best.distance", "best.archive_path")
+    best = index.groupBy("url_key", "ts_dir").agg(F.min(F.struct(distance.alias("distance"), "archive_path")).alias("best"))
+    return staged(best.select("url_key", "ts_dir", "best.distance", "best.archive_path"), "best")
+
+
+def _of_key(best: DataFrame) -> DataFrame:
+    return best.groupBy("url_key").agg(F.min(F.struct("distance", "archive_path")).alias("b")).select("url_key", "b.distance", "b.archive_path")
 
 
-def resolve(links: DataFrame, index: DataFrame, target: int, url: str = "url") -> DataFrame:
+def resolve(links: DataFrame, best: DataFrame, url: str = "url") -> DataFrame:
     """(url, target_path) of every distinct URL that has a capture.
 
-    Of all captures under the tried keys the best has the URL's own protocol, then the smallest
-    distance of its timestamp to ``target`` as a number, then the earlier key, then the first path.
+    ``best`` is of ``best_captures``. Of all captures under the tried keys the best has the URL's own
+    protocol, then the smallest distance of its timestamp as a number, then the earlier key, then the
+    first path.
     """
-    hits = _probes(links, url, True, []).join(_nearest_by_key(index, target), "url_key")
+    hits = _probes(links, url, True, []).join(_of_key(best), "url_key")
     rank = F.struct("other_protocol", "distance", "key_rank", "archive_path")
     return hits.groupBy("url").agg(F.min(rank).alias("best")).select("url", F.col("best.archive_path").alias("target_path"))
 
 
-def resolve_preferring(links: DataFrame, index: DataFrame, target: int) -> DataFrame:
+def _preferring(probes: DataFrame, best: DataFrame, more: list[str]) -> DataFrame:
+    """Captures under ``probes`` (url, ts_dir, url_key, ...) with ``elsewhere``: whether not in the folder ts_dir.
+
+    Of each key the best capture of all, and the best in the folder.
+    """
+    wanted = ["url", "ts_dir", *more, "elsewhere", "other_protocol", "distance", "key_rank", "archive_path"]
+    plain = probes.join(_of_key(best), "url_key").withColumn("elsewhere", ~F.col("archive_path").contains(F.concat(F.lit("/"), F.col("ts_dir"), F.lit("/"))))
+    exact = probes.join(best, ["url_key", "ts_dir"]).withColumn("elsewhere", F.lit(False))
+    return plain.select(*wanted).unionByName(exact.select(*wanted))
+
+
+def resolve_preferring(links: DataFrame, best: DataFrame) -> DataFrame:
     """(url, ts_dir, target_path) for distinct (url, ts_dir): a capture in the folder ts_dir comes first.
 
     Else as ``resolve``, without the keys that add an extension.
     """
-    probes = _probes(links, "url", False, ["ts_dir"])
-    plain = probes.join(_nearest_by_key(index, target), "url_key").withColumn("elsewhere", ~F.col("archive_path").contains(F.concat(F.lit("/"), F.col("ts_dir"), F.lit("/"))))
-    inside = index.groupBy("url_key", F.col("ts_dir").alias("_dir")).agg(F.min(F.struct(F.abs(F.col("ts_num") - F.lit(target)).alias("distance"), "archive_path")).alias("best"))
-    inside = inside.select(F.col("url_key").alias("_key"), "_dir", "best.distance", "best.archive_path")
-    exact = probes.join(inside, (F.col("url_key") == F.col("_key")) & (F.col("ts_dir") == F.col("_dir"))).withColumn("elsewhere", F.lit(False))
-    wanted = ["url", "ts_dir", "elsewhere", "other_protocol", "distance", "key_rank", "archive_path"]
-    hits = plain.select(*wanted).unionByName(exact.select(*wanted))
+    hits = _preferring(_probes(links, "url", False, ["ts_dir"]), best, [])
     rank = F.struct("elsewhere", "other_protocol", "distance", "key_rank", "archive_path")
     return hits.groupBy("url", "ts_dir").agg(F.min(rank).alias("best")).select("url", "ts_dir", F.col("best.archive_path").alias("target_path"))
 
 
-def resolve_links(links: DataFrame, index: DataFrame, target: int) -> DataFrame:
+def resolve_links(links: DataFrame, index: DataFrame | None, target: int, best: DataFrame | None = None) -> DataFrame:
     """(url, target_path, how) of distinct absolute links: from the index, else a computed fallback."""
+    best = best_captures(index, target) if best is None else best
     distinct = links.select("url").distinct().withColumn("lookup", strip_query(F.col("url")))
-    found = resolve(distinct, index, target, "lookup").withColumnRenamed("url", "lookup")
+    found = resolve(distinct, best, "lookup").withColumnRenamed("url", "lookup")
     joined = distinct.join(found, "lookup", "left").withColumn("fallback", fallback_path(F.col("lookup")))
     how = F.when(F.col("target_path").isNotNull(), "index").when(F.col("fallback").isNotNull(), "fallback")
     return joined.select("url", F.coalesce("target_path", "fallback").alias("target_path"), how.alias("how"))
 
 
-def resolve_wayback_paths(links: DataFrame, index: DataFrame, target: int) -> DataFrame:
+def resolve_wayback_paths(links: DataFrame, index: DataFrame | None, target: int, best: DataFrame | None = None) -> DataFrame:
     """(url, target_path, how) of distinct /web/<ts><flags>/<rest> links."""
+    best = best_captures(index, target) if best is None else best
     w = wayback_lookup(F.col("link"))
     distinct = links.select(F.col("url").alias("link")).distinct().withColumn("w", w).filter("w IS NOT NULL")
     distinct = distinct.select("link", strip_query(F.col("w.lookup")).alias("url"), F.concat("w.ts", "w.flags").alias("ts_dir"))
-    found = resolve_preferring(distinct, index, target)
+    found = resolve_preferring(distinct, best)
     joined = distinct.join(found, ["url", "ts_dir"], "left").withColumn("fallback", fallback_path(F.col("link")))
     how = F.when(F.col("target_path").isNotNull(), "index").when(F.col("fallback").isNotNull(), "fallback")
     return joined.select(F.col("link").alias("url"), F.coalesce("target_path", "fallback").alias("target_path"), how.alias("how"))
 
 
-def resolve_root_relative(links: DataFrame, index: DataFrame, target: int) -> DataFrame:
+def resolve_root_relative(links: DataFrame, index: DataFrame | None, target: int, best: DataFrame | None = None) -> DataFrame:
     """(ts_dir, host, url, target_path, how) of distinct root-relative links of Wayback pages.
 
-    ``links`` has src_path and url. Four attempts: in the page's own folder under http and https, then
-    anywhere under http and https; else a path beside the page.
+    ``links`` has src_path and url. Four attempts: in the page's own folder first under http and https,
+    then with an extension added under http and https; else a path beside the page. All attempts' keys
+    meet the index in one go, ranked by attempt. The keys under http and https are the same but for
+    their order, so that https is tried only where a host has a port, which one of them may imply.
     """
+    best = best_captures(index, target) if best is None else best
     pages = links.select("src_path", "url").withColumn("c", page_context(F.col("src_path"))).filter("c IS NOT NULL")
     asked = pages.select(F.concat("c.ts", "c.flags").alias("ts_dir"), F.col("c.host").alias("host"), F.col("url").alias("link")).distinct().withColumn("clean", strip_query(F.col("link")))
-    tries = asked.select("*", F.posexplode(F.array(F.lit("http://"), F.lit("https://"))).alias("attempt", "scheme")).withColumn("url", F.concat("scheme", "host", "clean"))
-    near = tries.join(resolve_preferring(tries, index, target), ["url", "ts_dir"]).select("ts_dir", "host", "link", "attempt", "target_path")
-    far = tries.join(resolve(tries, index, target), "url").select("ts_dir", "host", "link", (F.col("attempt") + 2).alias("attempt"), "target_path")
-    best = near.union(far).groupBy("ts_dir", "host", "link").agg(F.min_by("target_path", "attempt").alias("target_path"))
-    joined = asked.join(best, ["ts_dir", "host", "link"], "left")
+    schemes = F.when(F.col("host").contains(":"), F.array(F.lit("http://"), F.lit("https://"))).otherwise(F.array(F.lit("http://")))
+    urls = asked.select("ts_dir", "host", "clean").distinct().select("ts_dir", "host", "clean", F.posexplode(schemes).alias("attempt", "scheme"))
+    urls = urls.withColumn("url", F.concat("scheme", "host", "clean")).withColumn("u", parse_link(F.col("url"))).filter("u IS NOT NULL")
+    flagged = lambda keys, added: F.transform(keys, lambda k: F.struct(F.lit(added).alias("added"), k.alias("url_key")))
+    plain = probe_keys(F.col("u"), False)
+    keys = F.concat(flagged(plain, False), flagged(F.array_except(probe_keys(F.col("u"), True), plain), True))
+    probes = urls.select("url", "ts_dir", "host", "clean", "attempt", F.col("u.protocol").alias("protocol"), F.posexplode(keys).alias("key_rank", "k"))
+    probes = probes.select("url", "ts_dir", "host", "clean", "key_rank", "k.url_key", "k.added", (F.col("attempt") + F.when(F.col("k.added"), 2).otherwise(0)).alias("attempt"), (F.substring_index("k.url_key", "://", 1) != F.col("protocol")).alias("other_protocol"))
+    hits = _preferring(probes, best, ["host", "clean", "attempt", "added"]).withColumn("elsewhere", F.col("elsewhere") & ~F.col("added"))
+    rank = F.struct("attempt", "elsewhere", "other_protocol", "distance", "key_rank", "archive_path")
+    found = hits.groupBy("ts_dir", "host", "clean").agg(F.min(rank).alias("b")).select("ts_dir", "host", "clean", F.col("b.archive_path").alias("target_path"))
+    joined = asked.join(found, ["ts_dir", "host", "clean"], "left")
     beside = F.concat(F.lit("https/web.archive.org/web/"), "ts_dir", F.lit("/"), "host", "clean")
     how = F.when(F.col("target_path").isNotNull(), "index").otherwise("fallback")
     return joined.select("ts_dir", "host", F.col("link").alias("url"), F.coalesce("target_path", beside).alias("target_path"), how.alias("how"))

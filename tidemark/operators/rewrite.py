@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.paths import DOT, S, dir_of, hash_of, is_html_file, is_text_file, needs_html_suffix, relative
 from ..functions.urls import INFRASTRUCTURE, link_kind
 from ..sources.staging import staged
-from .index import sniffed, url_index
-from .resolve import resolve_links, resolve_root_relative, resolve_wayback_paths
+from .index import sniffed, url_entries
+from .resolve import best_captures, resolve_links, resolve_root_relative, resolve_wayback_paths
 
 # What archives inject into pages. Each is removed wherever it stands.
 _ANY = r"[\s\S]*?"
@@ -64,10 +64,13 @@ def clean_server(text: Column, origin: str | None = None) -> Column:
 
 
 def rewrite_server(text: Column, ts: Column) -> Column:
-    """Attributes, CSS url() and all other archive URLs as paths of a local server."""
+    """Attributes, CSS url() and all other archive URLs as paths of a local server.
+
+    ``text`` is bytes read as Latin-1.
+    """
     prefix = F.concat(F.lit("/web/"), ts, F.lit("/"))
-    # A mark keeps what one step has settled from the steps after it.
-    done = "\x00"
+    # A mark keeps what one step has settled from the steps after it. No byte reads as this character.
+    done = "\ue000"
     attr = r"(?i)(href|src|action|background)=[\"']"
     text = F.regexp_replace(text, attr + rf"https?://(?:www\.)?web\.archive\.org(/web/{DOT}*?)[\"']", f'$1={done}"$2"')
     hosts = "|".join(re.escape(h) for h in INFRASTRUCTURE)
@@ -82,7 +85,7 @@ def rewrite_server(text: Column, ts: Column) -> Column:
     return F.regexp_replace(text, r"(?i)(?:https?:)?//(?:www\.)?web\.archive\.org/web/(\d{4,14})", "/web/$1")
 
 
-# The passes over a flattened page, each over what the one before has left.
+# The passes over a flattened page, each over what the one before has left.
 ATTRIBUTE = rf"""(href|src|action|background|data){S}*={S}*(["'])({DOT}*?)\2"""
 CSS_URL = rf"""url\({S}*["']?({DOT}*?)["']?{S}*\)"""
 IMPORT = rf"""@import{S}+(?:url\({S}*)?["']?({DOT}+?)["']?{S}*\)?{S}*;"""
@@ -129,13 +132,13 @@ def page_links(texts: DataFrame) -> DataFrame:
 
 def resolved_links(links: DataFrame, captures: DataFrame, target: int) -> DataFrame:
     """(src_path, url, kind, target_path, how, rel): where each link goes, seen from its page."""
-    # The index serves three kinds of links, and what is sniffed is read once.
-    index, links = staged(url_index(captures), "index"), staged(links, "links")
+    # The best captures serve three kinds of links.
+    best, links = best_captures(url_entries(captures), target), staged(links, "links")
     of_kind = lambda k: links.filter(F.col("kind") == k)
-    one = resolve_links(of_kind("absolute"), index, target).withColumn("kind", F.lit("absolute"))
-    two = resolve_wayback_paths(of_kind("wayback"), index, target).withColumn("kind", F.lit("wayback"))
+    one = resolve_links(of_kind("absolute"), None, target, best).withColumn("kind", F.lit("absolute"))
+    two = resolve_wayback_paths(of_kind("wayback"), None, target, best).withColumn("kind", F.lit("wayback"))
     by_url = links.filter("kind <> 'root'").join(one.unionByName(two), ["url", "kind"])
-    three = resolve_root_relative(of_kind("root"), index, target)
+    three = resolve_root_relative(of_kind("root"), None, target, best)
     context = r"(?i)^(?:https?/)?web\.archive\.org/web/(\d{4,14}[a-z0-9_]*)/([^/]+)"
     roots = of_kind("root").withColumn("ts_dir", F.regexp_extract("src_path", context, 1)).withColumn("host", F.regexp_extract("src_path", context, 2)).join(three, ["ts_dir", "host", "url"])
     every = by_url.select("src_path", "url", "kind", "target_path", "how").unionByName(roots.select("src_path", "url", "kind", "target_path", "how")).filter("target_path IS NOT NULL")
@@ -147,7 +150,10 @@ def resolved_links(links: DataFrame, captures: DataFrame, target: int) -> DataFr
 
 
 def rewritten(texts: DataFrame, links: DataFrame) -> DataFrame:
-    """(archive_path, text) with the replacements put in; a link that only a pass brings about stays."""
+    """(archive_path, text) with the replacements put in; a link that only a pass brings about stays.
+
+    A page that can't be rewritten has a null text: its bytes are then copied as they are.
+    """
     # The links of one page, which its own text bounds.
     maps = links.groupBy("src_path").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit(" "), "url"), "rel"))).alias("to"))
     top = F.array_join(F.array_repeat(F.lit(".."), F.size(F.split("archive_path", "/")) - 1), "/")
@@ -155,7 +161,13 @@ def rewritten(texts: DataFrame, links: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def put(texts: pd.Series, maps: pd.Series, tops: pd.Series) -> pd.Series:
-        return pd.Series([_passes(t, dict(m) if m is not None else {}, p) for t, m, p in zip(texts, maps, tops, strict=True)], dtype=object)
+        def one(t, m, p):
+            try:
+                return _passes(t, dict(m) if m is not None else {}, p)
+            except (ValueError, RecursionError, re.error):
+                return None
+
+        return pd.Series([one(t, m, p) for t, m, p in zip(texts, maps, tops, strict=True)], dtype=object)
 
     joined = texts.join(maps, texts["archive_path"] == maps["src_path"], "left")
     return joined.select("archive_path", put("text", "to", top).alias("text"))

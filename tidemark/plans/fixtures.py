@@ -10,6 +10,13 @@ from ..sources.captures import from_pages
 #: The date that links are resolved for.
 TARGET = 20080101000000
 
+#: What an archive injects into a page, and links of every form.
+INJECTED = (
+    '<!-- BEGIN WAYBACK TOOLBAR INSERT --><div>bar</div><!-- END WAYBACK TOOLBAR INSERT --><script src="/js/athena.js"></script><script>window.RufflePlayer={}</script>'
+    '<base href="http://x.com/"><a HREF = \'/img/a.gif\'>a</a><a href="https://web.archive.org/web/20050101/http://x.com/b">b</a><img src="http://archive.org/logo.png">'
+    "<style>p{background:url( '/img/c.png' )}\n@import \"/css/d.css\";</style><script>var u='//web.archive.org/web/2005im_/http://x.com/e.js';var s='https://web-static.archive.org/_static/f.css'</script>"
+)
+
 ENDINGS = (".asp", ".css.asp", ".php", ".html", "", ".JS", "/index.html", ".jsp")
 
 
@@ -85,10 +92,5 @@ def root_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with what an archive injects and links of every form."""
-    more = (
-        '<!-- BEGIN WAYBACK TOOLBAR INSERT --><div>bar</div><!-- END WAYBACK TOOLBAR INSERT --><script src="/js/athena.js"></script><script>window.RufflePlayer={}</script>'
-        '<base href="http://x.com/"><a HREF = \'/img/a.gif\'>a</a><a href="https://web.archive.org/web/20050101/http://x.com/b">b</a><img src="http://archive.org/logo.png">'
-        "<style>p{background:url( '/img/c.png' )}\n@import \"/css/d.css\";</style><script>var u='//web.archive.org/web/2005im_/http://x.com/e.js';var s='https://web-static.archive.org/_static/f.css'</script>"
-    )
-    content = F.encode(F.concat(F.decode("content", "ISO-8859-1"), F.lit(more)), "ISO-8859-1")
+    content = F.encode(F.concat(F.decode("content", "ISO-8859-1"), F.lit(INJECTED)), "ISO-8859-1")
     return captures(spark, sf_dir).withColumn("archive_path", F.concat(F.regexp_replace("archive_path", r"/$|\.html$", ""), F.lit(".html"))).withColumn("content", content)

@@ -8,14 +8,19 @@ back-references) it says the same in another way.
 from __future__ import annotations
 
 from ..functions.paths import ASSET_ENDINGS, ASSET_NAMES, HTML_EXTENSIONS, INDEX_NAMES, MIME_TYPES, NON_NATIVE_EXTENSIONS, SERVED_AS_HTML, TEXT_EXTENSIONS
-from ..functions.urls import DEFAULT_DOCS, DIRECTORY_INDEX
-from .fixtures import ENDINGS, TARGET
+from ..functions.urls import DEFAULT_DOCS, DIRECTORY_INDEX, INFRASTRUCTURE
+from ..operators.rewrite import FLAT_REMOVALS, SHARED_REMOVALS
+from .fixtures import ENDINGS, INJECTED, TARGET
 
 
 def _in(names) -> str:
     return "(" + ", ".join(f"'{n}'" for n in names) + ")"
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _list(names) -> str:
     return "[" + ", ".join(f"'{n}'" for n in names) + "]"
 
@@ -127,6 +132,38 @@ _CATALOGUE = (
 )
 
 
+MARKED = (
+    CAPTURES
+    + f""", marked AS (SELECT page_id, k, html || {_quoted(INJECTED)} AS text, regexp_replace(archive_path, '/$|\\.html$', '') || '.html' AS archive_path FROM captures)""".replace("\\\\", "\\")
+)
+_BYTES = "CAST(strlen(t) AS BIGINT) AS n_bytes, md5(t) AS text_md5"
+
+
+def _without(text: str, patterns) -> str:
+    for pattern in patterns:
+        text = f"regexp_replace({text}, {_quoted(pattern)}, '', 'gi')"
+    return text
+
+
+def _cleaned_for_server(text: str) -> str:
+    return f"regexp_replace(regexp_replace({_without(text, SHARED_REMOVALS)}, 'https?://web-static\\.archive\\.org/_static/', '/_static/', 'gi'), '<!-- End Wayback Rewrite JS Include -->', '', 'gi')".replace("\\\\", "\\")
+
+
+def _served(text: str, ts: str) -> str:
+    """SQL for a page as a local server gives it out. A mark of its own, chr(1), keeps steps apart."""
+    attr, hosts = "(href|src|action|background)=[\"'']", "|".join(INFRASTRUCTURE).replace(".", "\\.")
+    steps = (
+        (attr + "https?://(?:www\\.)?web\\.archive\\.org(/web/[^\\n\\r]*?)[\"'']", "'\\1=' || chr(1) || '\"\\2\"'", "gi"),
+        (attr + f"(?-i:https?://)((?:{hosts})(?:/[^\\n\\r]*?)?)[\"'']", "'\\1=' || chr(1) || '\"/\\2\"'", "gi"),
+        (attr + "((?-i:http)[^\\n\\r]*?)[\"'']", f"'\\1=' || chr(1) || '\"/web/' || {ts} || '/\\2\"'", "gi"),
+        ("url\\([\"'']?https?://(?:www\\.)?web\\.archive\\.org(/web/[^\\n\\r]*?)[\"'']?\\)", "'url' || chr(1) || '(''\\1'')'", "gi"),
+        ("url\\([\"'']?(http[^\\n\\r]*?)[\"'']?\\)", f"'url' || chr(1) || '(''/web/' || {ts} || '/\\1'')'", "gi"),
+    )
+    for pattern, by, how in steps:
+        text = f"regexp_replace({text}, '{pattern}', {by}, '{how}')"
+    return f"regexp_replace(replace({text}, chr(1), ''), '(?:https?:)?//(?:www\\.)?web\\.archive\\.org/web/(\\d{{{{4,14}}}})', '/web/\\1', 'gi')".replace("{{", "{").replace("}}", "}")
+
+
 def _flag(name: str, expression: str) -> str:
     return f"WITH {TYPED} SELECT archive_path, {expression} AS {name} FROM typed"
 
@@ -248,6 +285,28 @@ ORACLES = {
       SELECT request_id, path, ['wayback', 'wayback', 'static', 'file', CASE WHEN page_id = 0 THEN 'root' ELSE 'file' END][k + 1] AS route, [path[6:11], '20041231im_', NULL, NULL, NULL][k + 1] AS ts,
         [regexp_replace(url, '[?#].*$', ''), regexp_replace(bare, '[?#].*$', ''), '_static/js/' || page_id || '.js', 'http/' || regexp_replace(bare, '\?.*$', ''), CASE WHEN page_id = 0 THEN 'index.html' ELSE 'missing/' || page_id END][k + 1] AS url FROM r""",
     "static_lookup": "SELECT page_id * 5 + 2 AS request_id, CASE WHEN page_id % 10 = 0 THEN 'https/web-static.archive.org/_static/js/' || page_id || '.js' END AS archive_path FROM pages",
+    "clean_flat": f"WITH {MARKED} SELECT archive_path, {_BYTES} FROM (SELECT archive_path, {_without('text', FLAT_REMOVALS)} AS t FROM marked)",
+    "clean_server": rf"""WITH {MARKED} SELECT archive_path, {_BYTES} FROM (
+      SELECT archive_path, regexp_replace(regexp_replace({_cleaned_for_server("text")}, '__wm\.init\(["''][^"'']*["'']\)', '__wm.init("http://localhost:8080/web")', 'g'), '"https?://web\.archive\.org/"', '"http://localhost:8080/"', 'g') AS t FROM marked)""",
+    "rewrite_server": f"WITH {MARKED} SELECT archive_path, {_BYTES} FROM (SELECT archive_path, {_served(_cleaned_for_server('text'), repr('20050101'))} AS t FROM marked)",
+    "extract_css_urls": rf"""WITH {MARKED} SELECT archive_path, unnest(list_concat(regexp_extract_all(text, '(?i)url\(\s*["'']?([^\n\r]*?)["'']?\s*\)', 1),
+      list_transform(regexp_extract_all(text, '(?i)@import\s+(?:url\(\s*)?["'']?([^\n\r]+?)["'']?\s*\)?\s*;', 1), lambda u: trim(regexp_replace(u, '["'']', '', 'g'))))) AS url FROM marked""",
+    "serve_requests": rf"""WITH {CLASSIFIED}, req AS (
+        SELECT page_id * 5 + k AS request_id, k, [strftime(DATE '2005-01-01' + to_months(CAST(page_id % 12 AS INTEGER)), '%Y%m'), '20041231im_', NULL, NULL, NULL][k + 1] AS ts,
+          CASE WHEN k < 2 THEN regexp_replace(lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://', '')), '/$', '') WHEN k = 3 THEN 'http/' || regexp_replace(lower(regexp_replace(regexp_replace(url, '\?.*$', ''), '^[a-z]+://', '')), '/$', '') END AS fold
+        FROM (SELECT *, unnest(range(0, 5)) AS k FROM pages)
+      ), files AS (SELECT archive_path, ts_dir, ts, unnest([lower(regexp_extract(archive_path, '/web/[^/]*/(.*)$', 1)), regexp_replace(lower(regexp_extract(archive_path, '/web/[^/]*/(.*)$', 1)), '/index\.html$', '')]) AS fold FROM cls WHERE is_wayback),
+      direct AS (SELECT archive_path, unnest([lower(archive_path), regexp_replace(lower(archive_path), '/index\.html$', '')]) AS fold, unnest([0, 1]) AS variant FROM cls WHERE NOT is_wayback),
+      near AS (SELECT request_id, arg_min({{'d': ts_dir, 'p': archive_path}}, (ts_dir <> req.ts, abs(CAST(rpad(files.ts, 14, '0') AS BIGINT) - CAST(rpad(regexp_extract(req.ts, '^\d+'), 14, '0') AS BIGINT)), ts_dir, archive_path)) AS b
+        FROM req JOIN files ON req.fold = files.fold WHERE k < 2 GROUP BY request_id),
+      tried AS (SELECT request_id, unnest([fold, regexp_replace(fold, '^http/', 'http/www.'), regexp_replace(fold, '^http/www\.', 'http/')]) AS fold FROM req WHERE k = 3),
+      smart AS (SELECT request_id, arg_min(archive_path, (variant, archive_path)) AS p FROM tried JOIN direct USING (fold) GROUP BY request_id),
+      found AS (SELECT req.request_id, coalesce(b.p, p) AS archive_path, b.d AS ts_dir FROM req LEFT JOIN near USING (request_id) LEFT JOIN smart USING (request_id)),
+      typed AS (SELECT found.*, html, lower(regexp_extract(found.archive_path, '[^/](\.[^./]*)$', 1)) AS ext FROM found LEFT JOIN captures USING (archive_path)),
+      sent AS (SELECT *, CASE WHEN ts_dir IS NOT NULL AND (ext IN {_in(SERVED_AS_HTML)} OR ext IN ('.css', '.js')) THEN {_served(_cleaned_for_server("html"), "ts_dir")} ELSE html END AS t FROM typed)
+      SELECT request_id, CASE WHEN archive_path IS NULL THEN 404 ELSE 200 END AS status, archive_path, md5(coalesce(t, '404 Not Found')) AS body_md5,
+        CASE WHEN archive_path IS NULL THEN 'text/plain' ELSE CASE ext {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MIME_TYPES.items())} ELSE 'application/octet-stream' END ||
+          CASE WHEN ext IN {_in(SERVED_AS_HTML)} THEN '; charset=' || coalesce(nullif(regexp_extract(t[1:8192], '(?i)<meta[^>]+charset\s*=\s*["'']?([a-zA-Z0-9\-_]+)', 1), ''), 'iso-8859-1') ELSE '' END END AS content_type FROM sent""",
     "serve_plan": f"""WITH {TYPED} SELECT archive_path, CASE ext {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MIME_TYPES.items())} ELSE 'application/octet-stream' END AS mime,
       ext IN {_in(SERVED_AS_HTML)} OR ext IN ('.css', '.js') AS buffered_archived, ext IN {_in(SERVED_AS_HTML)} AS buffered_plain FROM typed""",
 }

@@ -259,17 +259,17 @@ def relative_paths(spark, sf_dir):
 
 @query
 def resolve_links(spark, sf_dir):
-    return R.resolve_links(X.absolute_links(spark, sf_dir), I.url_index(X.captures(spark, sf_dir)), X.TARGET)
+    return R.resolve_links(X.absolute_links(spark, sf_dir), I.url_entries(X.captures(spark, sf_dir)), X.TARGET)
 
 
 @query
 def resolve_links_ts(spark, sf_dir):
-    return R.resolve_wayback_paths(X.wayback_links(spark, sf_dir), I.url_index(X.captures(spark, sf_dir)), X.TARGET)
+    return R.resolve_wayback_paths(X.wayback_links(spark, sf_dir), I.url_entries(X.captures(spark, sf_dir)), X.TARGET)
 
 
 @query
 def resolve_root_relative(spark, sf_dir):
-    return R.resolve_root_relative(X.root_links(spark, sf_dir), I.url_index(X.captures(spark, sf_dir)), X.TARGET)
+    return R.resolve_root_relative(X.root_links(spark, sf_dir), I.url_entries(X.captures(spark, sf_dir)), X.TARGET)
 
 
 @query
@@ -307,20 +307,27 @@ def serve_requests(spark, sf_dir):
     return V.serve(X.paths_requested(spark, sf_dir), X.captures(spark, sf_dir)).select("request_id", "status", "content_type", "archive_path", F.md5("body").alias("body_md5"))
 
 
+def _digest(text):
+    """A digest of the bytes of a page's text."""
+    return F.md5(F.encode(text, "ISO-8859-1"))
+
+
 @query
 def clean_server(spark, sf_dir):
-    return X.marked(spark, sf_dir).select("archive_path", W.clean_server(W.latin1(F.col("content")), "http://localhost:8080").alias("text"))
+    text = W.clean_server(W.latin1(F.col("content")), "http://localhost:8080")
+    return X.marked(spark, sf_dir).select("archive_path", F.length(text).cast("long").alias("n_bytes"), _digest(text).alias("text_md5"))
 
 
 @query
 def rewrite_server(spark, sf_dir):
-    text = W.clean_server(W.latin1(F.col("content")))
-    return X.marked(spark, sf_dir).select("archive_path", W.rewrite_server(text, F.lit("20050101")).alias("text"))
+    text = W.rewrite_server(W.clean_server(W.latin1(F.col("content"))), F.lit("20050101"))
+    return X.marked(spark, sf_dir).select("archive_path", F.length(text).cast("long").alias("n_bytes"), _digest(text).alias("text_md5"))
 
 
 @query
 def clean_flat(spark, sf_dir):
-    return X.marked(spark, sf_dir).select("archive_path", W.clean_flat(W.latin1(F.col("content"))).alias("text"))
+    text = W.clean_flat(W.latin1(F.col("content")))
+    return X.marked(spark, sf_dir).select("archive_path", F.length(text).cast("long").alias("n_bytes"), _digest(text).alias("text_md5"))
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,23 +14,37 @@ class Written(WriterCommitMessage):
     files: int
 
 
+def place_of(root: str, path: str) -> str | None:
+    """Where ``path`` lies under ``root``; no path leaves it."""
+    parts = [p for p in path.split("/") if p not in ("", ".", "..")]
+    return "/".join([root.rstrip("/"), *parts]) if parts else None
+
+
+def file_system(root: str):
+    """The file system of a folder and the folder's path in it: a URI (hdfs:, s3:, file:), or a plain path that all executors share."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+
+
 class _FileWriter(DataSourceWriter):
     def __init__(self, root: str):
         self.root = root
 
     def write(self, rows):
-        n = 0
+        (where, root), n, folders = file_system(self.root), 0, set()
         for row in rows:
-            # No path leaves the root; an empty file is never written.
-            parts = [p for p in row["path"].split("/") if p not in ("", ".", "..")]
-            if not parts or not row["content"]:
+            place = place_of(root, row["path"])
+            if place is None or not row["content"]:  # an empty file is never written
                 continue
-            where = os.path.join(self.root, *parts)
-            os.makedirs(os.path.dirname(where), exist_ok=True)
-            part = f"{where}.part-{os.getpid()}"
-            with open(part, "wb") as f:
+            folder = place.rsplit("/", 1)[0]
+            if folder not in folders:
+                where.create_dir(folder, recursive=True)
+                folders.add(folder)
+            part = f"{place}.part-{uuid.uuid4().hex}"
+            with where.open_output_stream(part) as f:
                 f.write(bytes(row["content"]))
-            os.replace(part, where)  # a task that runs twice leaves one whole file
+            where.move(part, place)  # a task that runs twice leaves one whole file
             n += 1
         return Written(n)
 

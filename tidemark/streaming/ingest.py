@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ingest import fetch, load_urls, pending
-from ..sources.writer import write_tree
+from ..sources.writer import file_system, place_of, write_tree
 
 _CAPTURES = "archive_path string, size long"
 
@@ -18,13 +17,12 @@ _CAPTURES = "archive_path string, size long"
 def _unstored(plan: DataFrame, root: str) -> DataFrame:
     """``plan`` without rows whose file ``dest`` under ``root``, or its index.html, has content; only these two are looked at."""
 
-    def full(dest: str) -> bool:
-        at = os.path.join(root, *(p for p in dest.split("/") if p not in ("", ".", "..")))
-        return any(os.path.isfile(x) and os.path.getsize(x) > 0 for x in (at, os.path.join(at, "index.html")))
-
     def run(frames):
+        where, top = file_system(root)
         for frame in frames:
-            yield frame[[not full(x) for x in frame["dest"]]]
+            places = [place_of(top, x) or top for x in frame["dest"]]
+            full = [bool(x.size) for x in where.get_file_info([x for p in places for x in (p, f"{p}/index.html")])]
+            yield frame[[not (full[2 * i] or full[2 * i + 1]) for i in range(len(places))]]
 
     return plan.mapInPandas(run, plan.schema)
 
