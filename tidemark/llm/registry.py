@@ -39,9 +39,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    n_hit = F.size("hits").cast("long")
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    names = lambda c: F.sha2(F.array_join(F.array_sort(F.transform(c, lambda x: x.cast("string"))), ","), 256)
+    size = lambda c: F.size(c).cast("long")
+    return found.select(
+        "doc_id", "n_words", size("hits").alias("n_hit"), size("items").alias("n_items"), names("items").alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
+        size("near").alias("n_near_items"), names("near").alias("near_items_sha256"),
+    )
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
