@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -56,4 +58,45 @@ def test_nulls_repeats_and_missing_labels(spark):
     assert len(quality.score_quality(docs, some).collect()) == 4
     assert quality.score_quality(docs.limit(0), some).collect() == []
     kept = quality.keep_good(docs, some)
-    assert kept.columns == docs.columns and any(r.doc_id is None for r in kept.collect())
+    assert kept.columns == docs.columns
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    by = {r.doc_id: r.quality for r in labels.collect()}
+    texts = {r.doc_id: r.text for r in table.collect()}
+    good, bad = (next(texts[d] for d, q in sorted(by.items()) if q == k and texts[d] and len(texts[d]) > 400) for k in (1, 0))
+    more = spark.createDataFrame([(5000, good, 1, 2), (5000, bad, 1, 2), (None, good, 1, 2), (None, bad, 1, 2)], "doc_id long, text string, row int, text_key int")
+    docs = table.selectExpr("doc_id", "text", "1 AS row", "2 AS text_key").union(more)
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.filter("doc_id IS NULL OR doc_id = 5000").collect()) == [("5000", good), ("None", good)]
+
+
+def by_hand(text):
+    """The sixteen statistics in plain Python, by byte and by word."""
+    data = text.encode()
+    of = lambda chars: sum(b in chars for b in data)
+    share = lambda part, whole, usual, weight=40.0: math.log((part + weight * usual) / (whole + weight) + 2e-4)
+    lower = lambda b: bytes(c + 32 if 65 <= c <= 90 else c for c in b)
+    words = [lower(w) for w in re.split(rb"[ \t-\r]+", data) if w]
+    lines = [lower(x) for x in re.split(rb"[\n\r]+", data) if x]
+    blank, newline, n, size = b" \t\r\x0b\x0c", b"\n", len(words), len(data)
+    classes = {"lower": range(97, 123), "upper": range(65, 91), "digits": range(48, 58), "stops": b".,;:?'\"()", "dashes": b"-_/", "bars": b"|\\<>{}[]=", "marks": b"#$%&*@^~+`", "shouts": b"!", "high": range(128, 256)}
+    known = {b for c in classes.values() for b in c} | set(blank) | set(newline)
+    signs = sum(a in classes["bars"] or a in classes["marks"] or a in classes["shouts"] for a, b in zip(data, data[1:]) if b in blank or b in newline)
+    return [
+        math.log(n + 20), math.log((size - of(blank) - of(newline) + 50) / (n + 10)), share(of(classes["upper"]), size, 0.03), share(of(classes["digits"]), size, 0.003),
+        share(of(classes["stops"]), size, 0.025), share(of(classes["dashes"]), size, 0.001), share(of(classes["bars"]), size, 0.0005), share(of(classes["marks"]), size, 0.0005),
+        share(of(classes["shouts"]), size, 0.0005), share(sum(b not in known for b in data), size, 0.0005), share(of(classes["high"]), size, 0.03), share(len(set(words)), n, 0.7),
+        math.log((size + 400) / (len(lines) + 2)), share(len(set(lines)), len(lines), 1.0, 4.0), share(min(signs, n), n, 0.005), share(sum(a == b for a, b in zip(words, words[1:])), n, 0.01),
+    ]
+
+
+def test_statistics_are_those_counted_by_hand():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist() + ["", "a", "A b A b\n\nc\r\nc", "É!! ### | x =\n", "\x00\x01 odd\x7f", "one\n" * 50, "no no no\tyes", "x" * 5000, " \n "]
+    got = quality.statistics(*utf8(pa.array(texts)))
+    assert np.allclose(got, [by_hand(t or "") for t in texts])

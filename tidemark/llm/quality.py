@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged, utf8
+from .common import boxed, slices, staged, utf8
 from .words import BLANKS, word_hashes
 
 STATISTICS = ("log_words", "word_length", "upper", "digits", "stops", "dashes", "bars", "marks", "shouts", "other_signs", "high_bytes", "new_words", "line_length", "new_lines", "sign_words", "stutters")
@@ -65,12 +65,13 @@ def _features(batches):
         for i, j in slices(offsets):
             values = statistics(data, offsets[i : j + 1])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, len(STATISTICS)), pa.int32()), pa.array(values.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), lists], names=["doc_id", "text_key", "stats"])
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of every whole text, one row per input row; null reads as empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_features, "doc_id long, stats array<double>")
+    """doc_id, text_key (a hash of the text) and the statistics of every whole text, one row per input row; null reads as empty."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    return texts.mapInArrow(_features, "doc_id long, text_key long, stats array<double>")
 
 
 @dataclass(frozen=True)
@@ -102,7 +103,7 @@ def fit(labelled: DataFrame, shrink: float = 0.05, pool: float = 0.05) -> Discri
     def moments(frames):
         total = np.zeros((2, 1 + size + size * size))
         for frame in frames:
-            x, y = np.array(frame["stats"].tolist()).reshape(len(frame), -1), frame["label"].to_numpy()
+            x, y = np.array(frame["stats"].tolist(), float).reshape(-1, size), frame["label"].to_numpy()
             for k in (0, 1):
                 own = x[y == k]
                 if len(own):
@@ -141,7 +142,7 @@ def with_scores(stats: DataFrame, model: Discriminant) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(np.array(x.tolist()).reshape(len(x), -1)))
+        return pd.Series(shared.value.score(np.array(x.tolist(), float).reshape(-1, len(STATISTICS))))
 
     return stats.withColumn("score", score("stats"))
 
@@ -150,6 +151,12 @@ def held_out_fold(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1
 
 
+def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    stats = staged(document_statistics(docs), "stats")
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter(~held_out_fold())
+    return with_scores(stats, fit(stats.join(marks, "doc_id"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The quality of every whole text: doc_id, held_out, score and predicted, one row per input row.
 
@@ -158,17 +165,15 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     a score as any other. Repeated rows and repeated labels count each time. Further columns are
     ignored; an empty table gives an empty result.
     """
-    stats = staged(document_statistics(docs), "stats")
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter(~held_out_fold())
-    model = fit(stats.join(marks, "doc_id"))
-    scored = with_scores(stats, model)
-    return scored.select("doc_id", F.coalesce(held_out_fold(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return _scored(docs, labels).select("doc_id", F.coalesce(held_out_fold(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, with all their columns.
 
-    A doc_id stays if any of its rows is good; rows with a null doc_id stay.
+    Each row is judged by its own text, also where doc_ids repeat or are null; columns may have any
+    names.
     """
-    best = score_quality(docs, labels).groupBy("doc_id").agg(F.max("predicted").alias("best")).filter("best = 0").select(F.col("doc_id").alias("_bad_id"))
-    return docs.join(best, F.col("doc_id") == F.col("_bad_id"), "left_anti")
+    bad = _scored(docs, labels).filter("predicted = 0").select("doc_id", "text_key").distinct()
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("text_key"))
+    return boxed(docs).join(bad, same, "left_anti").select("row.*")
