@@ -1,5 +1,6 @@
 import math
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -21,11 +22,11 @@ def rule(host, path):
     return max(fits, key=lambda x: len(x[0]), default=(None, None))
 
 
-def scores(texts):
-    """Plain interpolated models: text -> mean log likelihood difference. texts: [(text, verdict)]."""
+def scores(texts, examples):
+    """Plain interpolated models of examples: text -> mean log likelihood difference. Both: [(text, verdict)]."""
     counts = {"allow": Counter(), "block": Counter()}
     pad = lambda t: "\x02" * urls.ORDER + t + "\x03"
-    for text, verdict in texts:
+    for text, verdict in examples:
         if verdict:
             p = pad(text)
             for i in range(urls.ORDER, len(p)):
@@ -52,10 +53,15 @@ def brute(pages):
     for page, url in pages:
         host, path = parts(url)
         rows.append((page, host, path, *rule(host, path), "".join(c.lower() if "A" <= c <= "Z" else c for c in host + path)))
-    by_text = scores([(r[5], r[4]) for r in rows])
+    marked = [(r[5], r[4]) for r in rows]
+    by_text = scores(marked, marked)
+    fold = lambda t: zlib.crc32(t.encode()) % 2
+    held = {}
+    for k in (0, 1):
+        held |= scores([m for m in marked if fold(m[0]) == k], [m for m in marked if fold(m[0]) != k])
     sums = []
     for side in ("allow", "block"):
-        own = [by_text[r[5]] for r in rows if r[4] == side]
+        own = [held[r[5]] for r in rows if r[4] == side]
         sums += [float(len(own)), sum(own), sum(x * x for x in own)]
     cut = urls._cut(*sums)
     return [(page, host, path, r, v or ("allow" if by_text[t] >= cut else "block"), by_text[t]) for page, host, path, r, v, t in rows]

@@ -2,8 +2,8 @@
 
 Smoothed variable-order Markov models of accepted and of rejected URLs are grouped counts of
 character runs. A URL's score is the difference of its log likelihoods divided by its length; the
-cut between accepting and rejecting is calibrated on the URLs that rules decide. All in DataFrame
-operations.
+cut between accepting and rejecting is calibrated on the URLs that rules decide, each scored by models
+of the other fold's URLs. All in DataFrame operations.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 # Verdict, host, path.
 RULES = (
     ("block", "net", "/"),
@@ -46,32 +48,40 @@ def _first_rule(rules, value) -> Column:
 
 
 def gram_ratios(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Runs of characters of each text, and each run's log likelihood ratio.
+    """Runs of characters of each text, and each run's log likelihood ratios.
 
-    ``texts`` has text, accepted and rejected (how many URLs of that text rules decided so). The first
-    result is (text, gram), a row for every character with its context; the second (gram, ratio).
+    ``texts`` has id, text, accepted and rejected (how many URLs of that text rules decided so) and fold
+    (0 or 1). The first result is (id, gram), a row for every character with its context; the second
+    (gram, ratio, ratio_0, ratio_1): by models of all texts, and of all but fold 0's or fold 1's.
     """
     padded = F.concat(F.lit(_START * ORDER), "text", F.lit(_STOP))
-    runs = texts.withColumn("_p", padded).select("text", "accepted", "rejected", F.explode(F.transform(F.sequence(F.lit(1), F.length("text") + 1), lambda i: F.col("_p").substr(i, F.lit(ORDER + 1)))).alias("gram"))
-    counts = runs.groupBy("gram").agg(F.sum("accepted").alias("n_accepted"), F.sum("rejected").alias("n_rejected"))
-    # Counts of shorter runs and of contexts are sums over the longest runs.
+    runs = texts.withColumn("_p", padded).select("id", "accepted", "rejected", "fold", F.explode(F.transform(F.sequence(F.lit(1), F.length("text") + 1), lambda i: F.col("_p").substr(i, F.lit(ORDER + 1)))).alias("gram"))
+    sums = {f"{side}{fold}": F.sum(F.when(F.col("fold") == fold, F.col(of)).otherwise(0)) for side, of in (("a", "accepted"), ("r", "rejected")) for fold in (0, 1)}
+    counts = staged(runs.groupBy("gram").agg(*[x.alias(c) for c, x in sums.items()]), "grams")
+    # Counts of shorter runs and of contexts are sums over the longest runs; the empty context's are totals.
+    total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums]).first()
     joined = counts
     for k in range(ORDER + 1):
-        last = F.col("gram").substr(ORDER + 1 - k, k + 1)
-        context = F.col("gram").substr(ORDER + 1 - k, k) if k else F.lit("")
+        last, context = F.col("gram").substr(ORDER + 1 - k, k + 1), F.col("gram").substr(ORDER + 1 - k, k)
         for name, key in (("c", last), ("x", context)):
-            if name == "c" and k == ORDER:
+            if (name, k) in (("c", ORDER), ("x", 0)):
                 continue
-            some = counts.groupBy(key.alias(f"_{name}{k}")).agg(F.sum("n_accepted").alias(f"{name}a{k}"), F.sum("n_rejected").alias(f"{name}r{k}"))
+            some = counts.groupBy(key.alias(f"_{name}{k}")).agg(*[F.sum(c).alias(f"{name}{k}{c}") for c in sums])
             joined = joined.withColumn(f"_k{name}{k}", key).join(some, F.col(f"_k{name}{k}") == F.col(f"_{name}{k}"))
-    estimates = []
-    for side, n in (("a", "n_accepted"), ("r", "n_rejected")):
-        p = F.lit(1 / 256)
-        for k in range(ORDER + 1):
-            count = F.col(f"c{side}{k}") if k < ORDER else F.col(n)
-            p = (count + WEIGHT * p) / (F.col(f"x{side}{k}") + WEIGHT)
-        estimates.append(F.log(p))
-    return runs.select("text", "gram"), joined.select("gram", (estimates[0] - estimates[1]).alias("ratio"))
+
+    def ratio(folds) -> Column:
+        estimates = []
+        for side in "ar":
+            p = F.lit(1 / 256)
+            for k in range(ORDER + 1):
+                count = sum((F.col(f"c{k}{side}{f}" if k < ORDER else f"{side}{f}") for f in folds), F.lit(0))
+                context = sum((F.col(f"x{k}{side}{f}") if k else F.lit(total[f"{side}{f}"]) for f in folds), F.lit(0))
+                p = (count + WEIGHT * p) / (context + WEIGHT)
+            estimates.append(F.log(p))
+        return estimates[0] - estimates[1]
+
+    ratios = joined.select("gram", ratio((0, 1)).alias("ratio"), ratio((1,)).alias("ratio_0"), ratio((0,)).alias("ratio_1"))
+    return runs.select("id", "gram"), staged(ratios, "ratios")
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -81,7 +91,8 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     Where none fits, the verdict is by the language models: allow where the length-normalised log
     likelihood difference is at least the calibrated cut. ``rule`` is null there. The models' texts
     are host and path with A-Z lower-cased; URLs that rules decide are their examples, all of them
-    and as often as they occur. Without examples of a side the cut is 0.
+    and as often as they occur. The cut is set on scores that these examples have by models of the
+    other fold (texts by their CRC-32, odd or even). Without examples of a side the cut is 0.
 
     Null urls have an empty host and path, and are judged as the empty text. Repeated rows give
     repeated results; columns other than page_id and url are ignored.
@@ -90,13 +101,15 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     parts = parts.withColumn("text", F.translate(F.concat("host", "path"), _UPPER, _LOWER))
     side = lambda x: F.sum(F.when(F.col("by_rule") == x, 1).otherwise(0))
     texts = parts.groupBy("text").agg(side("allow").alias("accepted"), side("block").alias("rejected"))
+    texts = staged(texts.withColumn("fold", (F.crc32("text") % 2).cast("int")).withColumn("id", F.monotonically_increasing_id()), "texts")
     runs, ratios = gram_ratios(texts)
-    scores = runs.join(ratios, "gram").groupBy("text").agg((F.sum("ratio") / F.count("*")).alias("score"))
-
-    known = texts.join(scores, "text")
-    sums = [F.sum(F.col(c) * f) for c in ("accepted", "rejected") for f in (F.lit(1.0), F.col("score"), F.col("score") * F.col("score"))]
+    means = [(F.sum(c) / F.count("*")).alias(c) for c in ("ratio", "ratio_0", "ratio_1")]
+    scores = runs.join(ratios, "gram").groupBy("id").agg(*means)
+    known = texts.join(scores, "id").select("text", "accepted", "rejected", F.col("ratio").alias("score"), F.when(F.col("fold") == 0, F.col("ratio_0")).otherwise(F.col("ratio_1")).alias("held"))
+    known = staged(known, "scores")
+    sums = [F.sum(F.col(c) * f) for c in ("accepted", "rejected") for f in (F.lit(1.0), F.col("held"), F.col("held") * F.col("held"))]
     cut = _cut(*(x or 0.0 for x in known.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()))
-    scored = parts.join(scores.withColumnRenamed("text", "_text"), F.col("text") == F.col("_text"))
+    scored = parts.join(known.select(F.col("text").alias("_text"), "score"), F.col("text") == F.col("_text"))
     verdict = F.coalesce("by_rule", F.when(F.col("score") >= cut, "allow").otherwise("block"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
