@@ -91,6 +91,7 @@ def root_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with what an archive injects and links of every form."""
-    content = F.encode(F.concat(F.decode("content", "ISO-8859-1"), F.lit(INJECTED)), "ISO-8859-1")
-    return captures(spark, sf_dir).withColumn("archive_path", F.concat(F.regexp_replace("archive_path", r"/$|\.html$", ""), F.lit(".html"))).withColumn("content", content)
+    """Pages with what an archive injects, links of every form, and a link to the page itself."""
+    own = F.concat(F.lit('<a href="http://'), F.regexp_replace("archive_path", r"^https/web\.archive\.org/web/[^/]*/|^[a-z]+/", ""), F.lit('#top">own</a>'))
+    content = F.encode(F.concat(F.decode("content", "ISO-8859-1"), F.lit(INJECTED), own), "ISO-8859-1")
+    return captures(spark, sf_dir).withColumn("content", content).withColumn("archive_path", F.concat(F.regexp_replace("archive_path", r"/$|\.html$", ""), F.lit(".html")))

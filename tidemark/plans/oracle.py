@@ -132,10 +132,11 @@ _CATALOGUE = (
 )
 
 
-MARKED = (
-    CAPTURES
-    + f""", marked AS (SELECT page_id, k, html || {_quoted(INJECTED)} AS text, regexp_replace(archive_path, '/$|\\.html$', '') || '.html' AS archive_path FROM captures)""".replace("\\\\", "\\")
-)
+_OWN = r"""'<a href="http://' || regexp_replace(archive_path, '^https/web\.archive\.org/web/[^/]*/|^[a-z]+/', '') || '#top">own</a>'"""
+_MARKED_PATH = r"regexp_replace(archive_path, '/$|\.html$', '') || '.html'"
+MARKED = CAPTURES + f""", marked AS (SELECT page_id, k, html || {_quoted(INJECTED)} || {_OWN} AS text, {_MARKED_PATH} AS archive_path FROM captures)"""
+# The same captures under the names of marked pages, and their index.
+MARKED_CLASSIFIED = CLASSIFIED.replace("captures AS (", "plain AS (").replace("), seg AS (", f"), captures AS (SELECT * REPLACE ({_MARKED_PATH} AS archive_path), html || {_quoted(INJECTED)} || {_OWN} AS text FROM plain), seg AS (")
 _BYTES = "CAST(strlen(t) AS BIGINT) AS n_bytes, md5(t) AS text_md5"
 
 
@@ -164,6 +165,38 @@ def _served(text: str, ts: str) -> str:
     return f"regexp_replace(replace({text}, chr(1), ''), '(?:https?:)?//(?:www\\.)?web\\.archive\\.org/web/(\\d{{{{4,14}}}})', '/web/\\1', 'gi')".replace("{{", "{").replace("}}", "}")
 
 
+def _flattened(columns: str) -> str:
+    """SQL for flattened pages, for the forms that marked pages have: links from the root lead to no capture, a page's
+    link to itself leads to the nearest one, and all other links to where their target would be stored."""
+    direct = "CASE WHEN url = 'http://x.com/' THEN 'http/x.com/index.html' WHEN url = 'http://archive.org/logo.png' THEN 'http/archive.org/logo.png' WHEN url = 'https://web.archive.org/web/20050101/http://x.com/b' THEN 'https/web.archive.org/web/20050101/x.com/b' END"
+    direct = direct.replace(" END", f" WHEN ends_with(url, '#top') THEN {_page("regexp_replace(url, '[?#].*$', '')")} END")
+    return rf"""WITH {MARKED_CLASSIFIED}, pages_in AS (
+      SELECT archive_path, is_wayback, CASE WHEN is_wayback THEN {_without("text", FLAT_REMOVALS)} ELSE text END AS text,
+        list_filter(string_split(regexp_replace(archive_path, '/[^/]*$', ''), '/'), lambda x: x <> '') AS dir, CASE WHEN is_wayback THEN 'https/web.archive.org/web/' || p[4] || '/' || p[5] END AS root FROM seg
+    ), attrs AS (
+      SELECT archive_path, m, regexp_extract(m, '^[a-zA-Z]+') AS attr, m[-1:] AS quote, regexp_extract(m, '=\s*["''](.*)["'']$', 1) AS url
+      FROM (SELECT archive_path, unnest(list_distinct(regexp_extract_all(text, '(?i)(?:href|src|action|background|data)\s*=\s*(?:"[^"\n\r]*"|''[^''\n\r]*'')'))) AS m FROM pages_in)
+    ), src AS (SELECT DISTINCT url, regexp_replace(url, '[?#].*$', '') AS lookup FROM attrs WHERE ends_with(url, '#top')), {_probes("src", True)},
+    best AS (SELECT url, arg_min(archive_path, (far, abs(ts_num - {TARGET}), key_rank, archive_path)) AS target FROM probes JOIN idx USING (url_key) GROUP BY url),
+    asked AS (
+      SELECT archive_path, m, url, attr || '=' || quote AS before, quote AS after FROM attrs UNION ALL
+      SELECT archive_path, x.m, x.url, x.b, x.a FROM (SELECT archive_path, unnest([
+        {{'m': 'url( ''/img/c.png'' )', 'url': '/img/c.png', 'b': 'url(', 'a': ')'}}, {{'m': '@import "/css/d.css";', 'url': '/css/d.css', 'b': '@import "', 'a': '";'}},
+        {{'m': '//web.archive.org/web/2005im_/http://x.com/e.js', 'url': 'e.js', 'b': '', 'a': ''}}]) AS x FROM pages_in)
+    ), placed AS (
+      SELECT archive_path, dir, m, before, after, regexp_extract(url, '#.*$') AS hash,
+        string_split(CASE WHEN url = 'e.js' THEN 'http/x.com/e.js' WHEN starts_with(url, '/') THEN root || regexp_replace(url, '[?#].*$', '') ELSE coalesce(target, {direct}) END, '/') AS target
+      FROM asked JOIN pages_in USING (archive_path) LEFT JOIN best USING (url)
+    ), shared AS (SELECT *, len(list_filter(range(1, least(len(dir), len(target)) + 1), lambda i: dir[1:i] = target[1:i])) AS c FROM placed WHERE target IS NOT NULL),
+    rels AS (SELECT *, repeat('../', len(dir) - c) || array_to_string(target[c + 1:], '/') AS rel FROM shared),
+    swaps AS (SELECT archive_path, list({{'m': m, 'n': before || CASE WHEN starts_with(rel, '.') THEN rel ELSE './' || rel END || hash || after}}) AS swaps FROM rels GROUP BY archive_path),
+    swapped AS (
+      SELECT archive_path, dir, list_reduce(list_concat([{{'m': text, 'n': ''}}], coalesce(swaps, [])), lambda a, x: {{'m': replace(a.m, x.m, x.n), 'n': ''}}).m AS text FROM pages_in LEFT JOIN swaps USING (archive_path)
+    ), done AS (
+      SELECT archive_path, replace(text, '''https://web-static.archive.org/_static/', '''' || CASE WHEN len(dir) = 0 THEN './' ELSE repeat('../', len(dir)) END || 'https/web-static.archive.org/_static/') AS t FROM swapped
+    ) SELECT archive_path, {columns} FROM done"""
+
+
 def _flag(name: str, expression: str) -> str:
     return f"WITH {TYPED} SELECT archive_path, {expression} AS {name} FROM typed"
 
@@ -285,6 +318,8 @@ ORACLES = {
       SELECT request_id, path, ['wayback', 'wayback', 'static', 'file', CASE WHEN page_id = 0 THEN 'root' ELSE 'file' END][k + 1] AS route, [path[6:11], '20041231im_', NULL, NULL, NULL][k + 1] AS ts,
         [regexp_replace(url, '[?#].*$', ''), regexp_replace(bare, '[?#].*$', ''), '_static/js/' || page_id || '.js', 'http/' || regexp_replace(bare, '\?.*$', ''), CASE WHEN page_id = 0 THEN 'index.html' ELSE 'missing/' || page_id END][k + 1] AS url FROM r""",
     "static_lookup": "SELECT page_id * 5 + 2 AS request_id, CASE WHEN page_id % 10 = 0 THEN 'https/web-static.archive.org/_static/js/' || page_id || '.js' END AS archive_path FROM pages",
+    "rewrite_flat": _flattened(_BYTES),
+    "flatten_outputs": _flattened("archive_path AS output_path, 'rewritten' AS action, md5(t) AS content_md5"),
     "clean_flat": f"WITH {MARKED} SELECT archive_path, {_BYTES} FROM (SELECT archive_path, {_without('text', FLAT_REMOVALS)} AS t FROM marked)",
     "clean_server": rf"""WITH {MARKED} SELECT archive_path, {_BYTES} FROM (
       SELECT archive_path, regexp_replace(regexp_replace({_cleaned_for_server("text")}, '__wm\.init\(["''][^"'']*["'']\)', '__wm.init("http://localhost:8080/web")', 'g'), '"https?://web\.archive\.org/"', '"http://localhost:8080/"', 'g') AS t FROM marked)""",

@@ -334,7 +334,8 @@ def clean_flat(spark, sf_dir):
 def rewrite_flat(spark, sf_dir):
     captures = X.marked(spark, sf_dir)
     texts = staged(W.cleaned(captures), "texts")
-    return W.rewritten(texts, W.resolved_links(W.page_links(texts), captures, X.TARGET))
+    done = W.rewritten(texts, W.resolved_links(W.page_links(texts), captures, X.TARGET))
+    return done.select("archive_path", F.length("text").cast("long").alias("n_bytes"), _digest(F.col("text")).alias("text_md5"))
 
 
 @query
