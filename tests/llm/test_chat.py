@@ -1,3 +1,5 @@
+import hashlib
+
 from tidemark.llm.chat import rotate
 
 
@@ -5,7 +7,7 @@ def plain(messages):
     """(conv, perspective) -> the rendered text and what is trained on."""
     out = {}
     for conv in {m[0] for m in messages}:
-        own = sorted((m for m in messages if m[0] == conv), key=lambda m: (m[1] is not None, m[1] or 0, m[2] is not None, m[2] or "", m[3] or ""))
+        own = sorted((m for m in messages if m[0] == conv), key=lambda m: (m[1] is not None, m[1] or 0, m[2] is not None, m[2] or "", hashlib.sha256((m[3] or "").encode()).hexdigest()))
         for who in {m[2] for m in own} - {"system", None}:
             text, trained = "", []
             for _, _, speaker, said in own:
@@ -48,6 +50,12 @@ def test_long_conversations_are_summed_in_blocks(spark):
     assert rendered(rotate(frame(spark, many)).collect()) == plain(many)
 
 
+def test_repeated_turns_of_no_conversation_are_summed_in_blocks(spark):
+    """A third of all rows without a conversation or a turn, most of them equal: dealt apart, and still in order."""
+    many = [(None, None, "ann", f"t{t % 2}") for t in range(900)] + [(None, 1, "bob", "w" * (t % 11)) for t in range(900)] + [(5, t, "ann", "x") for t in range(900)]
+    assert rendered(rotate(frame(spark, many)).collect()) == plain(many)
+
+
 def test_empty_table_and_other_speaker_column(spark):
     assert rotate(frame(spark, MESSAGES).limit(0)).collect() == []
     renamed = frame(spark, MESSAGES).withColumnRenamed("role", "speaker")

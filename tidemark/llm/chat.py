@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turns that a running sum takes at once; the sums of whole blocks are added to it.
-TURNS = 256
+from .common import staged
+
+#: Messages that a running sum takes at once; the sums of whole blocks are added to it.
+BLOCK = 256
 
 
 def rotate(messages: DataFrame, speaker: str = "role", system: str = "system") -> DataFrame:
@@ -24,11 +26,11 @@ def rotate(messages: DataFrame, speaker: str = "role", system: str = "system") -
     start are the rendering), train_start and train_end (what the loss is taken on; null except for
     the assistant's turns).
 
-    Messages are in the order of turn, then speaker, then text; nulls come first. A null text reads
-    as empty; a null speaker is a user without a name. Repeated rows are repeated turns. A
-    conversation of the system alone has no rendering; rows with a null conv_id are one
-    conversation. A conversation's rows are never gathered: places come from running sums over
-    blocks of turns.
+    Messages are in the order of turn, then speaker, then the text's SHA-256; nulls come first. A null
+    text reads as empty; a null speaker is a user without a name. Repeated rows are repeated turns. A
+    conversation of the system alone has no rendering; rows with a null conv_id are one conversation.
+    A conversation's rows are never gathered: they are dealt out by ranges of that order, and places
+    come from running sums over blocks of rows, over a partition's blocks, and over partitions.
     """
     said = messages.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col(speaker).cast("string").alias("who"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     people = said.filter(F.col("who").isNotNull() & (F.col("who") != system)).select(F.col("conv").alias("_conv"), F.col("who").alias("perspective")).distinct()
@@ -36,14 +38,24 @@ def rotate(messages: DataFrame, speaker: str = "role", system: str = "system") -
     role = F.when(F.col("who") == system, "system").when(F.col("who") == F.col("perspective"), "assistant").otherwise("user")
     head = F.concat(F.lit("<|im_start|>"), "role", F.coalesce(F.concat(F.lit(" name="), "name"), F.lit("")), F.lit("\n"))
     each = each.withColumn("role", role).withColumn("name", F.when(F.col("role") == "user", F.col("who"))).withColumn("head", head)
-    each = each.withColumn("segment", F.concat("head", "text", F.lit("<|im_end|>\n"))).withColumn("size", F.length("segment").cast("long")).withColumn("block", F.expr(f"coalesce(turn div {TURNS}, -1)"))
+    each = each.withColumn("segment", F.concat("head", "text", F.lit("<|im_end|>\n"))).withColumn("size", F.length("segment").cast("long"))
+
+    # Equal rows may be dealt apart, as their order doesn't matter.
+    each = each.withColumn("digest", F.sha2("text", 256)).drop("text").withColumn("tie", F.monotonically_increasing_id())
+    order = ["conv", "perspective", "turn", "who", "digest", "tie"]
+    ranged = each.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Staged, as another run of the range partitioning might cut elsewhere.
+    ranged = staged(ranged.withColumn("part", F.spark_partition_id()).withColumn("block", F.expr(f"(monotonically_increasing_id() & {(1 << 33) - 1}) div {BLOCK}")), "ranged")
+
+    def earlier(*keys, by):
+        return F.coalesce(F.sum("size").over(Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-    sums = each.groupBy("conv", "perspective", "block").agg(F.sum("size").alias("sum"))
-    earlier = Window.partitionBy("conv", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(F.col("conv").alias("_conv"), F.col("perspective").alias("_perspective"), F.col("block").alias("_block"), F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("base"))
-    within = Window.partitionBy("conv", "perspective", "block").orderBy("turn", "who", "text").rowsBetween(Window.unboundedPreceding, -1)
-    placed = each.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(base, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("perspective") == F.col("_perspective")) & (F.col("block") == F.col("_block")))
+    whose = ["conv", "perspective"]
+    blocks = ranged.groupBy(*whose, "part", "block").agg(F.sum("size").alias("size"))
+    parts = blocks.groupBy(*whose, "part").agg(F.sum("size").alias("size")).select(F.col("conv").alias("_c"), F.col("perspective").alias("_p"), F.col("part").alias("_part"), earlier(*whose, by=["part"]).alias("before_part"))
+    same = F.col("conv").eqNullSafe(F.col("_c")) & (F.col("perspective") == F.col("_p")) & (F.col("part") == F.col("_part"))
+    base = blocks.withColumn("before_block", earlier(*whose, "part", by=["block"])).join(parts, same).select("_c", "_p", "_part", F.col("block").alias("_block"), (F.col("before_part") + F.col("before_block")).alias("base"))
+    placed = ranged.withColumn("before", earlier(*whose, "part", "block", by=order[2:])).join(base, same & (F.col("block") == F.col("_block")))
     start = F.col("base") + F.col("before")
     mine = F.col("role") == "assistant"
     return placed.select(
@@ -62,7 +74,7 @@ each_one AS (
 headed AS (SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM named),
 full_text AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM headed),
 placed AS (
-  SELECT *, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn, who, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chars FROM full_text
+  SELECT *, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, who NULLS FIRST, sha256(text) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chars FROM full_text
 )
 SELECT conv_id, perspective, turn, role, name, segment, CAST(chars AS BIGINT) AS "start", CAST(chars + length(segment) AS BIGINT) AS "end",
   CAST(CASE WHEN role = 'assistant' THEN chars + length(head) END AS BIGINT) AS train_start,
