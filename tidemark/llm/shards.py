@@ -11,10 +11,10 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import boxed, staged
 
 PLACES = 1 << 16
 
@@ -70,18 +70,18 @@ def bounded_pieces(counts: np.ndarray, shards: int, each: int) -> list[tuple[int
     return out
 
 
-def assign(rows: DataFrame, key: str, shards: int = 40, each: int = 64) -> DataFrame:
-    """``rows`` with ``shard`` and ``slot``; shard sizes in rows are at most one apart.
+def _assigned(rows: DataFrame, shards: int, each: int) -> DataFrame:
+    """(row, shard, slot) of rows (row, hash).
 
-    A row's place on the ring depends on its ``key`` and on ``text_crc32`` where there is such a
-    column, so that rows that share a key spread out. Slots are gapless from 0 in each shard. Null
-    keys have a place like any other. An empty table gives an empty result.
+    Rows are in the order of their hashes around the ring. Of rows with one hash, which are equal in
+    what decides, those of each partition are ranked for themselves; the partitions' counts are added up.
     """
     spark = rows.sparkSession
-    salt = ["text_crc32"] if "text_crc32" in rows.columns else []
-    placed = staged(rows.withColumn("_hash", F.xxhash64(key, *salt)).withColumn("_place", F.shiftrightunsigned("_hash", 48).cast("int")), "ring")
+    placed = rows.withColumn("place", F.shiftrightunsigned("hash", 48).cast("int")).withColumn("part", F.spark_partition_id())
+    placed = staged(placed, "ring")
+    counted = placed.groupBy("place", "hash", "part").agg(F.count("*").alias("n"))
     counts = np.zeros(PLACES, np.int64)
-    for place, n in placed.groupBy("_place").count().toLocalIterator():
+    for place, n in counted.groupBy("place").agg(F.sum("n")).toLocalIterator():
         counts[place] = n
     pieces = bounded_pieces(counts, shards, each)
     before = np.concatenate([[0], np.cumsum(counts)])
@@ -93,12 +93,31 @@ def assign(rows: DataFrame, key: str, shards: int = 40, each: int = 64) -> DataF
             if first >= b:
                 break
             parts.append((int(place), max(first, a) - a, min(end, b) - a, shard, slot + max(first, a) - first))
-    plan = spark.createDataFrame(parts, "_place int, _from long, _to long, shard int, _slot long")
-    rank = F.row_number().over(Window.partitionBy("_place").orderBy("_hash", key, *salt)) - 1
-    ranked = placed.withColumn("_rank", rank)
+    plan = spark.createDataFrame(parts, "at int, low long, high long, shard int, first long")
+    earlier = Window.partitionBy("place").orderBy("hash", "part").rowsBetween(Window.unboundedPreceding, -1)
+    begin = counted.select("hash", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begin"))
+    rank = F.row_number().over(Window.partitionBy("hash", "part").orderBy("place")) - 1
+    ranked = placed.withColumn("rank", rank).join(begin, ["hash", "part"]).withColumn("rank", F.col("begin") + F.col("rank"))
     # The plan has a row for each of the 2**16 places and each piece at most, whatever the input.
-    joined = ranked.join(F.broadcast(plan), (ranked["_place"] == plan["_place"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    return joined.select(*[ranked[c] for c in rows.columns], "shard", (F.col("_slot") + F.col("_rank") - F.col("_from")).cast("long").alias("slot"))
+    joined = ranked.join(F.broadcast(plan), (F.col("place") == F.col("at")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    return joined.select("row", "shard", (F.col("first") + F.col("rank") - F.col("low")).cast("long").alias("slot"))
+
+
+def assign(rows: DataFrame, key: str, shards: int = 40, each: int = 64) -> DataFrame:
+    """``rows`` with ``shard`` and ``slot``; shard sizes in rows are at most one apart.
+
+    A row's place on the ring depends on its ``key`` and on ``text_crc32`` where there is such a
+    column, so that rows that share a key spread out. Slots are gapless from 0 in each shard. Null
+    keys have a place like any other. Columns may have any names; shard and slot are replaced. An
+    empty table gives an empty result.
+    """
+    salt = ["row.text_crc32"] if "text_crc32" in rows.columns else []
+    hashed = boxed(rows.drop("shard", "slot")).withColumn("hash", F.xxhash64(F.col("row").getField(key), *salt))
+    return _assigned(hashed, shards, each).select("row.*", "shard", "slot")
+
+
+def _crc(text) -> Column:
+    return F.crc32(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, each: int = 64) -> DataFrame:
@@ -107,16 +126,16 @@ def shard_documents(docs: DataFrame, shards: int = 40, each: int = 64) -> DataFr
     A null text counts as empty. Further columns are ignored; repeated rows get slots of their own.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), _crc(F.col("text")).alias("text_crc32"))
     return assign(rows, "doc_id", shards, each)
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 40) -> None:
+def write_shards(docs: DataFrame, path: str, shards: int = 40, each: int = 64) -> None:
     """Writes the documents as one folder of Parquet files for each shard, in slot order.
 
-    A shard's files are cut by slot ranges, so that no task writes a whole shard.
+    All columns are written, but shard and slot are replaced. A shard's files are cut by slot ranges,
+    so that no task writes a whole shard.
     """
-    placed = shard_documents(docs, shards).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot").dropDuplicates(["_id", "_crc"])
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    joined = docs.drop("shard", "slot").withColumn("_crc_of", F.crc32(text)).join(placed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_crc_of") == F.col("_crc")))
-    joined.drop("_id", "_crc", "_crc_of").repartition("shard", F.expr("slot div 100000")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    hashed = boxed(docs.drop("shard", "slot")).withColumn("hash", F.xxhash64(F.col("row.doc_id").cast("long"), _crc(F.col("row.text"))))
+    placed = _assigned(hashed, shards, each).select("row.*", "shard", "slot")
+    placed.repartition("shard", F.expr("slot div 100000")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
