@@ -37,6 +37,37 @@ def test_every_row_meets_its_successor(spark):
     assert plain == {d: got[d].fingerprint for d in got}
 
 
+def test_fingerprints_are_those_of_the_definition(spark):
+    """Each coordinate in plain integers: the least of (a * x + b) mod 2**64 over the shingles, mixed, its top 16 bits."""
+    from tidemark.llm.words import shingle_sets
+
+    universal, top = Universal(), (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & top
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & top
+        return x ^ x >> 31
+
+    texts = ["one two three four five six seven", "one", "a b c d e " * 100, "", None, "É é 日本 x y z w"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in fingerprint(frame).collect()}
+    for d, text in enumerate(texts):
+        data = (text or "").encode()
+        (own,) = shingle_sets(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 5)
+        words = (text or "").split()
+        assert len(own) == (len({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}) if words else 0)
+        least = [min([(a * x + b) & top for x in own.tolist()], default=top) for a, b in zip(universal.times.tolist(), universal.plus.tolist(), strict=True)]
+        assert got[d] == "".join(f"{mixed(x) >> 48:04x}" for x in least)
+
+
+def test_rows_of_one_id_are_dealt_apart(spark):
+    rows = [(None if i % 3 else 7, f"text number {i % 50} of the rows " * 3) for i in range(600)]
+    out = compare_edited(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((str(r.doc_id), r.n_chars) for r in out) == sorted((str(d), len(t)) for d, t in rows)
+    # Equal texts of an id follow one another, but for the last of each.
+    assert sum(r.near_next == 1.0 for r in out) >= len(rows) - len(set(rows))
+
+
 def test_small_tables(spark):
     schema = "doc_id long, text string"
     assert compare_edited(spark.createDataFrame([], schema)).collect() == []

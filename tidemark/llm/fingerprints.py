@@ -130,16 +130,18 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 
     The edited text of a document: the last floor(n_chars / 2) code points give way to the first as
     many (or all) of the next document's, by ascending doc_id; after the last comes the first. Rows
-    with a null doc_id come first; rows of one doc_id are in the order of their texts. A single row
-    is its own successor. A null text reads as empty; an empty table gives an empty result.
+    with a null doc_id come first; rows of one doc_id are in the order of their texts' hashes. A single
+    row is its own successor. A null text reads as empty; an empty table gives an empty result.
 
-    The rows are dealt out by ranges of doc_id; only the first and last row of each partition meet
-    in a second, small step.
+    The rows are dealt out by ranges of doc_id, and of one doc_id by ranges of the hash, repeated rows
+    too; only the first and last row of each partition meet in a second, small step.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    found = staged(ranged.mapInArrow(_compare, _COMPARED), "compared")
+    order = ["doc_id", "key", "tie"]
+    rows = rows.withColumn("key", F.xxhash64("text")).withColumn("tie", F.monotonically_increasing_id())
+    ranged = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    found = staged(ranged.select("doc_id", "text").mapInArrow(_compare, _COMPARED), "compared")
 
     ends = found.filter("place IS NOT NULL").select("place", "doc_id", "text")
     order = Window.orderBy("place")  # two rows a partition
