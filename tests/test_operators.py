@@ -178,7 +178,7 @@ def test_requests_get_responses(spark):
         "index.html": "root", PAGE: '<meta charset="x-mac"><a href="http://y.com/">', WB + "2004/www.x.com/plain.html": "<p>", WB + "2004/www.x.com/s.css": "a{b:url(http://y/c)}", WB + "2004/www.x.com/i.gif": "GIF",
         "https/web-static.archive.org/_static/js/w.js": "w", "http/x.com/f.txt": "t",
     }
-    paths = ["/", "/web/2003/http://www.x.com/dir/p.htm?q", "/web/2004/www.x.com/plain.html", "/web/2004cs_/http://www.x.com/s.css", "/web/2004/www.x.com/i.gif", "/_static/js/w.js?v=2", "http://h:80/http/x.com/F.TXT", "/web/2004/none", "/nope%zz"]
+    paths = ["/", "/web/2003/http://www.x.com/dir/p.htm?q", "/web/2004/www.x.com/plain.html", "/web/2004cs_/http://www.x.com/s.css", "/web/2004/www.x.com/i.gif", "/_static/js/w.js?v=2", "http://h:80/http/x.com/F.TXT", "/web/2004/none", "/nope%zz", "/http/x.com/?q", "/http://x.com", "/http/none/"]
     out = V.serve(spark.createDataFrame(list(enumerate(paths)), "request_id long, path string"), archive(spark, files))
     got = {r.request_id: (r.status, r.content_type, bytes(r.body)) for r in out.collect()}
     assert got == {
@@ -186,8 +186,19 @@ def test_requests_get_responses(spark):
         1: (200, "text/html; charset=x-mac", b'<meta charset="x-mac"><a href="/web/20030404183527/http://y.com/">'),
         2: (200, "text/html; charset=iso-8859-1", b"<p>"),
         3: (200, "text/css", b"a{b:url('/web/2004/http://y/c')}"),
-        4: (200, "image/gif", b"GIF"), 5: (200, "application/javascript", b"w"), 6: (200, "text/plain", b"t"), 7: (404, "text/plain", b"404 Not Found"), 8: (404, "text/plain", b"404 Not Found"),
+        4: (200, "image/gif", b"GIF"), 5: (200, "application/javascript", b"w"), 6: (200, "text/plain", b"t"), 7: (404, "text/plain", b"404: Page not found locally."), 8: (400, "text/plain", b"400 Bad Request"),
+        9: (200, "text/html; charset=utf-8", got[9][2]), 10: got[9], 11: (404, "text/plain", b"404 Not Found"),
     }
+    assert b'<a href="/http">[ Parent Directory ]</a>' in got[9][2] and b'<a href="/http/x.com/f.txt">f.txt</a></td><td class="size">0.0 KB' in got[9][2]
+
+
+def test_large_folders_are_listed_in_pages(spark, monkeypatch):
+    monkeypatch.setattr(C, "LISTED", 2)
+    files = archive(spark, [f"d/{i}.txt" for i in range(5)])
+    asked = spark.createDataFrame([(0, "/d/"), (1, "/d?page=1"), (2, "/d?page=2"), (3, "/d?page=3"), (4, "/")], "request_id long, path string")
+    got = {r.request_id: (r.status, bytes(r.body).decode()) for r in V.serve(asked, files).collect()}
+    assert [got[i][1].count("[FILE]") for i in range(3)] == [2, 2, 1] and got[3][0] == 404 and "?page=1" in got[0][1] and "?page" not in got[2][1]
+    assert 'href="/d/">d</a>' in got[4][1]
 
 
 def test_catalogue_rows(spark, tmp_path):
@@ -238,6 +249,37 @@ def test_fetching(spark):
     assert {u: e for u, (_, e, _) in got.items() if e} == {"http://a/loop": "too many redirects", "http://a/e": "empty", "http://a/boom": "no route", "http://a/none": "HTTP 404"}
 
 
+def test_http_getter_and_redirects(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Site(BaseHTTPRequestHandler):
+        def do_GET(self):
+            code, place, body = {"/ok": (200, None, b"page"), "/d/r": (302, "n?x", b"")}.get(self.path, (200, None, self.headers["Accept"].encode()) if self.path == "/d/n?x" else (404, None, b"no"))
+            self.send_response(code)
+            if place:
+                self.send_header("Location", place)
+            self.send_header("Content-Type", "text/plain")
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    plan = spark.createDataFrame([(base + p, f"http/a{p}") for p in ("/ok", "/d/r", "/none")], "url string, dest string")
+    got = {r.dest: (r.status, r.error, r.content and bytes(r.content)) for r in N.fetch(plan).collect()}
+    server.shutdown()
+    assert got == {"http/a/ok": (200, None, b"page"), "http/a/d/r": (200, None, N.HEADERS["Accept"].encode()), "http/a/none": (404, "HTTP 404", None)}
+    from tidemark.functions.urls import redirect_target
+
+    cases = [(u, t) for u in ("http://x.com/a/b?q", "https://x.com", "http://x.com:8080/a/") for t in ("/c", "c.htm", "http://y.com/d", "//z.com/e")]
+    rows = spark.createDataFrame(cases, "u string, t string").select("u", "t", redirect_target(F.col("u"), F.col("t")).alias("to")).collect()
+    assert all(N.redirected(r.u, r.t) == r.to for r in rows)
+
+
 def test_ingestion_resumes(spark, tmp_path):
     lists, state, root = (str(tmp_path / x) for x in ("lists", "state", "root"))
     (tmp_path / "lists").mkdir()
@@ -250,6 +292,10 @@ def test_ingestion_resumes(spark, tmp_path):
     assert done() == ["http://a/d.js", "http://a/ok"]
     ingest(spark, lists, state, root, fetcher()).awaitTermination()
     assert done() == ["http://a/d.js", "http://a/ok"]
+    from tidemark.streaming.ingest import compact
+
+    compact(spark, state)
+    assert done() == ["http://a/d.js", "http://a/ok"] and len(list((tmp_path / "state/done").glob("part-*"))) == 1
 
 
 def test_ingestion_skips_stored_files_and_keeps_the_first_of_a_path(spark, tmp_path):

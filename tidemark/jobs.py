@@ -1,6 +1,7 @@
-"""Whole jobs over an archive: flattening it into a standalone tree, and its catalogue.
+"""Whole jobs over an archive: ingesting it, flattening it into a standalone tree, and its catalogue.
 
 ``spark-submit tidemark/jobs.py flatten --output-dir=PATH [--archive-dir=PATH | --config=FILE] [--date=YYYY[-MM[-DD]]]``
+``spark-submit tidemark/jobs.py ingest --url-lists=PATH --state=PATH --output-dir=PATH``
 ``spark-submit tidemark/jobs.py catalogue --output-dir=PATH [--archive-dir=PATH | --config=FILE]``
 """
 
@@ -19,6 +20,7 @@ from tidemark.sources.captures import from_files
 from tidemark.sources.config import save_location
 from tidemark.sources.staging import clear_staged, staged
 from tidemark.sources.writer import write_tree
+from tidemark.streaming.ingest import compact, ingest
 
 
 def flatten_tree(spark: SparkSession, archive: str, output: str, target: int) -> DataFrame:
@@ -39,12 +41,21 @@ def write_catalogue(spark: SparkSession, archive: str, output: str) -> None:
 
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tidemark")
-    parser.add_argument("job", choices=("flatten", "catalogue"))
+    parser.add_argument("job", choices=("flatten", "ingest", "catalogue"))
     parser.add_argument("--archive-dir")
     parser.add_argument("--config", help="JSON file with currentSaveLocation, for want of --archive-dir")
     parser.add_argument("--output-dir", required=True)
     parser.add_argument("--date", default="", help="the date that links are resolved for; today if none is given")
+    parser.add_argument("--url-lists", help="folder of URL lists to ingest")
+    parser.add_argument("--state", help="folder for the record of what has been ingested")
     given = parser.parse_args(arguments)
+    if given.job == "ingest":
+        if not (given.url_lists and given.state):
+            parser.error("ingest needs --url-lists and --state")
+        spark = SparkSession.builder.appName("tidemark").getOrCreate()
+        ingest(spark, given.url_lists, given.state, given.output_dir).awaitTermination()
+        compact(spark, given.state)
+        return
     if not (given.archive_dir or given.config):
         parser.error("--archive-dir or --config is required")
     spark = SparkSession.builder.appName("tidemark").getOrCreate()

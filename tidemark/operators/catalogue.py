@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import catalogue_size, escape_html, is_flat_web_page, is_web_page, listing_size
 from ..sources.captures import IGNORED, visible
-from ..sources.staging import staged
+from .ranking import ranked
+
+#: Entries on one page of a folder's listing.
+LISTED = 10_000
 
 
 def pages(captures: DataFrame) -> DataFrame:
@@ -41,19 +44,8 @@ def describe(files: DataFrame, flat: bool = False) -> DataFrame:
 
 
 def ordered(rows: DataFrame) -> DataFrame:
-    """Catalogue rows by domain, newest first; ``pos`` is the place in that order.
-
-    A catalogue is ordered as a whole. Places come from a range partitioning by domain: rows are
-    ranked within their partition, and the partitions' counts, which are few, are added up.
-    """
-    keys = [F.col("domain"), F.desc("date_raw"), F.col("file_path")]
-    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    # Staged, as another run of the range partitioning might cut elsewhere.
-    ranged = staged(ranged.withColumn("_at", F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33)), "ranged")
-    counts = ranged.groupBy("_part").count()
-    before = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-    # One row for each partition.
-    return ranged.join(F.broadcast(before), "_part").select((F.col("_before") + F.col("_at") + 1).alias("pos"), *rows.columns)
+    """Catalogue rows by domain, newest first; ``pos`` is the place in that order of the whole."""
+    return ranked(rows, [], [F.col("domain"), F.desc("date_raw"), F.col("file_path")]).select("pos", *rows.columns)
 
 
 def html_rows(catalogue: DataFrame) -> DataFrame:
@@ -83,7 +75,26 @@ def listing(captures: DataFrame) -> DataFrame:
     levels = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i - 1), "/").alias("dir"), F.element_at(parts, i).alias("name"), (i < F.size(parts)).alias("is_dir")))
     entries = files.withColumn("e", F.explode(levels)).select("e.*", F.when(~F.col("e.is_dir"), F.col("size")).alias("bytes"))
     entries = entries.groupBy("dir", "name", "is_dir").agg(F.max("bytes").alias("bytes"))
-    order = Window.partitionBy("dir").orderBy(F.desc("is_dir"), F.collate("name", "UNICODE"), "name")
-    return entries.select("dir", "name", "is_dir", F.when(F.col("is_dir"), "-").otherwise(listing_size(F.col("bytes"))).alias("size"), F.row_number().over(order).cast("long").alias("pos"))
+    placed = ranked(entries, ["dir"], [F.desc("is_dir"), F.collate("name", "UNICODE"), F.col("name")])
+    return placed.select("dir", "name", "is_dir", F.when(F.col("is_dir"), "-").otherwise(listing_size(F.col("bytes"))).alias("size"), F.col("pos").cast("long").alias("pos"))
 
 
+def listing_html(entries: DataFrame) -> DataFrame:
+    """(dir, page, html): listing pages of every folder, from the rows of ``listing``.
+
+    A page has at most LISTED entries, so that a folder of any size has pages of bounded size; a full
+    one ends with a link to the next. All but the root's first begin with a row for the folder above.
+    """
+    here = F.concat(F.lit("/"), F.col("dir"))
+    inside = F.when(F.col("dir") == "", "/").otherwise(F.concat(here, F.lit("/")))
+    cells = lambda kind, href, name, size: F.concat(F.lit(f'<tr><td class="type">{kind}</td><td><a href="'), href, F.lit('">'), name, F.lit('</a></td><td class="size">'), size, F.lit("</td></tr>"))
+    href = F.concat(escape_html(F.concat(inside, "name")), F.when(F.col("is_dir"), "/").otherwise(""))
+    row = F.when(F.col("is_dir"), cells("[DIR]", href, escape_html(F.col("name")), F.col("size"))).otherwise(cells("[FILE]", href, escape_html(F.col("name")), F.col("size")))
+    rows = entries.select("dir", F.expr(f"(pos - 1) div {LISTED}").alias("page"), F.struct("pos", row.alias("row")).alias("r"))
+    pages = rows.groupBy("dir", "page").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    above = F.when(F.col("dir").contains("/"), F.concat(F.lit("/"), F.regexp_replace("dir", "/[^/]*$", ""))).otherwise("/")
+    up = F.when((F.col("dir") != "") & (F.col("page") == 0), cells("[DIR]", escape_html(above), F.lit("[ Parent Directory ]"), F.lit("-"))).otherwise("")
+    more = F.when(F.size("rows") == LISTED, F.concat(F.lit('<p><a href="?page='), (F.col("page") + 1).cast("string"), F.lit('">more</a></p>'))).otherwise("")
+    title = F.concat(F.lit("Index of "), escape_html(here))
+    table = F.concat(F.lit("<table><tr><th>Type</th><th>Name</th><th>Size</th></tr>"), up, F.array_join(F.transform("rows", lambda x: x["row"]), ""), F.lit("</table>"))
+    return pages.select("dir", "page", F.concat(F.lit("<html><head><title>"), title, F.lit("</title></head><body><h2>"), title, F.lit("</h2>"), table, more, F.lit("</body></html>")).alias("html"))

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.paths import NON_NATIVE_EXTENSIONS, content_is_html, ext_of, ts_number
 from ..functions.urls import key, www_toggled
 from ..sources.captures import visible
+from .ranking import ranked
+
+#: Captures in one list of the grouped index.
+LISTED = 10_000
 
 
 def classify(captures: DataFrame) -> DataFrame:
@@ -59,6 +63,13 @@ def url_index(captures: DataFrame) -> DataFrame:
     return url_entries(captures).dropDuplicates(["url_key", "archive_path"])
 
 
+def index_pages(index: DataFrame) -> DataFrame:
+    """(url_key, page, n_entries, paths): each key's captures in order of path, in lists of at most LISTED."""
+    placed = ranked(index.select("url_key", "archive_path"), ["url_key"], [F.col("archive_path")])
+    paged = placed.withColumn("page", F.expr(f"(pos - 1) div {LISTED}"))
+    return paged.groupBy("url_key", "page").agg(F.count("*").alias("n_entries"), F.sort_array(F.collect_list("archive_path")).alias("paths"))
+
+
 def sniffed(captures: DataFrame) -> DataFrame:
     """The files of server-side types, and whether their content is HTML. Only their contents are read."""
     return captures.filter(ext_of(F.col("archive_path")).isin(*NON_NATIVE_EXTENSIONS)).select("archive_path", content_is_html(F.col("content")).alias("is_html"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,6 +14,12 @@ from ..functions.urls import decoded_names, storage_path
 
 #: Redirects followed at most, and requests at a time.
 MAX_REDIRECTS, CONCURRENCY = 5, 8
+# Seconds that a request may take, and what it says of itself.
+TIMEOUT = 30
+HEADERS = {
+    "User-Agent": "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/90.0.0.0 Safari/537.36",
+    "Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,image/webp,image/apng,*/*;q=0.8",
+}
 
 
 def load_urls(lines: DataFrame) -> DataFrame:
@@ -42,16 +49,47 @@ def name_mapping(urls: DataFrame) -> DataFrame:
     return kept.groupBy("short").agg(F.min_by("original", "line_no").alias("original"))
 
 
-def fetch(plan: DataFrame, get: Callable[[str], tuple[int, dict, bytes]]) -> DataFrame:
+def redirected(url: str, location: str) -> str:
+    """Where a redirect leads, as ``redirect_target`` has it for columns."""
+    from urllib.parse import urlsplit
+
+    at = urlsplit(url)
+    origin = f"{at.scheme}://{at.netloc}"
+    if location.startswith("//"):
+        return f"{at.scheme}:{location}"
+    if location.startswith("/"):
+        return origin + location
+    if location.startswith("http"):
+        return location
+    return f"{origin}{re.sub('/[^/]*/?$', '', at.path or '/') or '/'}/{location}"
+
+
+def http_get(url: str) -> tuple[int, dict, bytes]:
+    """One GET over HTTP: status, headers by lower-case name, and the body; redirects are not followed."""
+    from urllib.error import HTTPError
+    from urllib.request import HTTPRedirectHandler, Request, build_opener
+
+    class Stay(HTTPRedirectHandler):
+        def redirect_request(self, *_):
+            return None
+
+    try:
+        answer = build_opener(Stay).open(Request(url, headers=HEADERS), timeout=TIMEOUT)
+    except HTTPError as e:
+        return e.code, {k.lower(): v for k, v in e.headers.items()}, b""
+    with answer:
+        return answer.status, {k.lower(): v for k, v in answer.headers.items()}, answer.read()
+
+
+def fetch(plan: DataFrame, get: Callable[[str], tuple[int, dict, bytes]] = http_get) -> DataFrame:
     """(url, dest, status, error, content) of a plan (url, dest).
 
     ``get`` returns a status, headers and a body for one URL; it is called on the executors, with at
-    most CONCURRENCY tasks. Redirects are followed up to a limit; an empty body is an error.
+    most CONCURRENCY tasks. Redirects are followed up to a limit; an empty body is an error. What has
+    an error has no content.
     """
 
     def run(frames):
-        from urllib.parse import urljoin
-
         for frame in frames:
             rows = []
             for url, dest in zip(frame["url"], frame["dest"], strict=True):
@@ -61,7 +99,7 @@ def fetch(plan: DataFrame, get: Callable[[str], tuple[int, dict, bytes]]) -> Dat
                         status, headers, body = get(at)
                         if not (300 <= status < 400 and headers.get("location")):
                             break
-                        at = urljoin(at, headers["location"])
+                        at = redirected(at, headers["location"])
                     else:
                         error = "too many redirects"
                     error = error or (f"HTTP {status}" if status != 200 else "empty" if not body else None)

@@ -14,6 +14,7 @@ from ..functions.paths import sanitize, strip_query, ts_number, ts_seconds
 from ..functions.urls import DEFAULT_DOCS, fallback_path, key, page_context, parse_link, wayback_lookup, www_toggled
 from ..sources.staging import staged
 from .index import scan
+from .ranking import ranged
 
 
 def probe_keys(u: Column, with_extensions: bool) -> Column:
@@ -153,9 +154,11 @@ def nearest_snapshot(requests: DataFrame, captures: DataFrame, distance: str = "
     """(ts_dir, archive_path, how) for each request (request_id, ts, url); null where nothing is captured.
 
     A capture in the folder that is named like the request's ts comes first. Else the timestamp with
-    the smallest numeric distance wins, of equal ones the first folder by name. Requests and captures
-    of one path meet in a sort by time, in which each request sees the capture before and after it:
-    the work for a path is linear in its requests and captures.
+    the smallest numeric distance wins, of equal ones the first folder by name. The distinct times
+    asked for and the captures of a path meet in a sort by time, in which each sees the capture before
+    and after it: the work for a path is linear in its requests and captures. The sort is dealt out by
+    ranges of path and time, so that a path of very many requests or captures spans several tasks;
+    what a range sees last is carried on to the next ones of the path.
 
     ``distance`` "numeric" compares timestamps as numbers, so that a month counts as much as a hundred
     days; "chronological" compares elapsed time.
@@ -173,14 +176,18 @@ def nearest_snapshot(requests: DataFrame, captures: DataFrame, distance: str = "
     exact = asked.join(stored.select("fold", F.col("ts_dir").alias("req_dir"), "archive_path"), ["fold", "req_dir"]).select("request_id", F.col("req_dir").alias("ts_dir"), "archive_path", F.lit(0).alias("tier"), F.lit(0).cast("long").alias("distance"))
 
     times = stored.groupBy("fold", "ts_num").agg(F.min(F.struct("ts_dir", "archive_path")).alias("hit"))
-    events = asked.select("fold", "ts_num", "request_id", F.lit(None).cast("struct<ts_dir:string,archive_path:string>").alias("hit"), F.lit(1).alias("is_request"))
-    events = events.unionByName(times.select("fold", "ts_num", F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), "hit", F.lit(0).alias("is_request")))
-    seen = F.when(F.col("is_request") == 0, F.struct("ts_num", "hit.ts_dir", "hit.archive_path"))
-    order = Window.partitionBy("fold").orderBy("ts_num", "is_request")
-    back = Window.partitionBy("fold").orderBy(F.desc("ts_num"), F.desc("is_request"))
-    sided = events.withColumn("seen", seen).withColumn("before", F.last("seen", True).over(order)).withColumn("after", F.last("seen", True).over(back)).filter("is_request = 1")
-    sides = sided.select("request_id", "ts_num", F.explode(F.array("before", "after")).alias("s")).filter("s IS NOT NULL")
-    near = sides.select("request_id", F.col("s.ts_dir").alias("ts_dir"), F.col("s.archive_path").alias("archive_path"), F.lit(1).alias("tier"), F.abs(F.col("s.ts_num") - F.col("ts_num")).alias("distance"))
+    seen = F.struct("ts_num", "hit.ts_dir", "hit.archive_path").alias("seen")
+    events = times.select("fold", "ts_num", seen).unionByName(asked.select("fold", "ts_num").distinct(), True)
+    events = ranged(events.withColumn("is_request", F.col("seen").isNull().cast("int")), F.col("fold"), F.col("ts_num"), F.col("is_request"))
+    order = Window.partitionBy("fold", "_part").orderBy("ts_num", "is_request")
+    back = Window.partitionBy("fold", "_part").orderBy(F.desc("ts_num"), F.desc("is_request"))
+    sided = events.withColumn("before", F.last("seen", True).over(order)).withColumn("after", F.last("seen", True).over(back)).filter("is_request = 1")
+    ends = events.groupBy("fold", "_part").agg(F.max("seen").alias("last"), F.min("seen").alias("first"))
+    whole = Window.partitionBy("fold").orderBy("_part")
+    carried = ends.select("fold", "_part", F.last("last", True).over(whole.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first("first", True).over(whole.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    sides = sided.join(carried, ["fold", "_part"]).select("fold", "ts_num", F.explode(F.array(F.coalesce("before", "earlier"), F.coalesce("after", "later"))).alias("s")).filter("s IS NOT NULL")
+    nearest = sides.groupBy("fold", "ts_num").agg(F.min(F.struct(F.abs(F.col("s.ts_num") - F.col("ts_num")).alias("distance"), "s.ts_dir", "s.archive_path")).alias("n"))
+    near = asked.join(nearest, ["fold", "ts_num"]).select("request_id", "n.ts_dir", "n.archive_path", F.lit(1).alias("tier"), "n.distance")
     best = exact.unionByName(near).groupBy("request_id").agg(F.min(F.struct("tier", "distance", "ts_dir", "archive_path")).alias("b"))
     return requests.select("request_id").join(best, "request_id", "left").select("request_id", F.col("b.ts_dir").alias("ts_dir"), F.col("b.archive_path").alias("archive_path"), F.when(F.col("b.tier") == 0, "exact").when(F.col("b.tier") == 1, "nearest").alias("how"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import DOT, SERVED_AS_HTML, charset, ext_of, mime_type
+from .catalogue import listing, listing_html
 from .resolve import nearest_snapshot, smart_find
 from .rewrite import clean_server, latin1, rewrite_server
 
@@ -44,19 +45,46 @@ def locate(requests: DataFrame, captures: DataFrame) -> DataFrame:
     return requests.select("request_id", "route").join(wayback.union(static).union(files), "request_id")
 
 
+def folders(requests: DataFrame, captures: DataFrame) -> DataFrame:
+    """(request_id, listed): listing pages for parsed requests (request_id, path, url) of folders of the tree; ``?page=`` names the page."""
+    dir_of = F.regexp_replace(F.regexp_replace("url", ":/", "/"), "/+", "/")
+    page = F.coalesce(F.regexp_extract("path", r"[?&]page=(\d{1,9})", 1).try_cast("long"), F.lit(0))
+    asked = requests.filter("route IN ('root', 'file')").select("request_id", F.regexp_replace(dir_of, "^/|/$", "").alias("dir"), page.alias("page"))
+    wanted = asked.select("dir").distinct()
+    pages = listing_html(listing(captures.select("archive_path", "size")).join(wanted, "dir", "left_semi"))
+    return asked.join(pages, ["dir", "page"]).select("request_id", F.col("html").alias("listed"))
+
+
+def malformed(path: Column) -> Column:
+    """Whether a path has a percent sign that encodes nothing."""
+    return path.rlike(r"^[^?]*%(?![0-9A-Fa-f]{2})")
+
+
 def serve(requests: DataFrame, captures: DataFrame, origin: str | None = None) -> DataFrame:
     """(request_id, status, content_type, archive_path, body) of requests (request_id, path).
 
     Archived pages, style sheets and scripts are rewritten for their snapshot's time; all else goes
-    out as it is. A page without a declared charset is served as ISO-8859-1.
+    out as it is. A page without a declared charset is served as ISO-8859-1. A folder without a page
+    of its own is listed. What isn't there is 404, a path outside the archived pages that can't be
+    decoded 400. ``captures`` has archive_path, size and content.
     """
-    found = locate(parse_requests(requests), captures)
-    hits = found.join(captures.select("archive_path", "content"), "archive_path", "left")
+    parsed = parse_requests(requests)
+    found = locate(parsed, captures)
+    missing = parsed.join(found.filter("archive_path IS NULL").select("request_id"), "request_id", "left_semi")
+    found = found.join(folders(missing, captures), "request_id", "left")
+    bad = parsed.select("request_id", ((F.col("route") != "wayback") & malformed(F.col("path"))).alias("bad"))
+    hits = found.join(bad, "request_id").join(captures.select("archive_path", "content"), "archive_path", "left")
     path, content = F.col("archive_path"), F.col("content")
     html = ext_of(path).isin(*SERVED_AS_HTML)
     archived = F.col("ts_dir").isNotNull() & needs_buffer(path, F.lit(True))
     text = rewrite_server(clean_server(latin1(content), origin), F.col("ts_dir"))
-    body = F.when(archived, F.encode(text, "ISO-8859-1")).otherwise(content)
-    hits = hits.withColumn("body", body)
+    hits = hits.withColumn("body", F.when(archived, F.encode(text, "ISO-8859-1")).otherwise(content))
     kind = F.concat(mime_type(path), F.when(html, F.concat(F.lit("; charset="), F.coalesce(charset(F.col("body")), F.lit("iso-8859-1")))).otherwise(""))
-    return hits.select("request_id", F.when(path.isNull(), 404).otherwise(200).alias("status"), F.when(path.isNull(), "text/plain").otherwise(kind).alias("content_type"), "archive_path", F.coalesce("body", F.encode(F.lit("404 Not Found"), "UTF-8")).alias("body"))
+    # The texts of responses without a file.
+    said = F.when(F.col("bad"), "400 Bad Request").when(F.col("route") == "wayback", "404: Page not found locally.").otherwise("404 Not Found")
+    listed = F.col("listed").isNotNull()
+    return hits.select(
+        "request_id", F.when(path.isNotNull() | listed, 200).when(F.col("bad"), 400).otherwise(404).alias("status"),
+        F.when(path.isNotNull(), kind).when(listed, "text/html; charset=utf-8").otherwise("text/plain").alias("content_type"),
+        "archive_path", F.coalesce(F.col("body"), F.encode(F.coalesce("listed", said), "UTF-8")).alias("body"),
+    )

@@ -201,6 +201,14 @@ def _flag(name: str, expression: str) -> str:
     return f"WITH {TYPED} SELECT archive_path, {expression} AS {name} FROM typed"
 
 
+_LISTING = f"""WITH {TYPED}, levels AS (
+      SELECT DISTINCT array_to_string(p[1:i - 1], '/') AS dir, p[i] AS name, i < len(p) AS is_dir, CASE WHEN i = len(p) THEN size END AS bytes
+      FROM (SELECT string_split(archive_path, '/') AS p, size, unnest(range(1, len(string_split(archive_path, '/')) + 1)) AS i FROM typed)
+    ), e AS (SELECT dir, name, is_dir, max(bytes) AS bytes FROM levels GROUP BY ALL)
+    SELECT dir, name, is_dir, CASE WHEN is_dir THEN '-' ELSE CAST(floor(bytes * 10 / 1024.0 + 0.5) AS BIGINT) // 10 || '.' || CAST(floor(bytes * 10 / 1024.0 + 0.5) AS BIGINT) % 10 || ' KB' END AS size,
+      row_number() OVER (PARTITION BY dir ORDER BY is_dir DESC, lower(name), name) AS pos FROM e"""
+
+
 ORACLES = {
     "web_pages": _flag("web_pages", f"NOT contains(archive_path, 'screenshot') AND (ext IN {_in(HTML_EXTENSIONS)} OR {_IS_INDEX})"),
     "flat_web_pages": _flag("flat_web_pages", f"NOT contains(base, 'screenshot') AND (ext IN ('.html', '.htm') OR {_IS_INDEX})"),
@@ -212,7 +220,7 @@ ORACLES = {
     "classify_captures": f"""WITH {CLASSIFIED} SELECT archive_path, is_wayback, ts, host, port, url_path,
       array_to_string(flatten(list_transform(ps, lambda x: list_transform(hs, lambda h: x || '://' || h || '/' || url_path))), ' ') AS url_keys FROM hosts""",
     "url_index": f"WITH {CLASSIFIED} SELECT url_key, archive_path, ts, ts_num FROM idx",
-    "url_index_grouped": f"WITH {CLASSIFIED} SELECT url_key, count(*) AS n_entries, string_agg(archive_path, ' ' ORDER BY archive_path) AS paths FROM idx GROUP BY url_key",
+    "url_index_grouped": f"WITH {CLASSIFIED} SELECT url_key, CAST(0 AS BIGINT) AS page, count(*) AS n_entries, string_agg(archive_path, ' ' ORDER BY archive_path) AS paths FROM idx GROUP BY url_key",
     "archive_stats": f"""WITH {TYPED}, keyed AS (
       SELECT archive_path, unnest([h, CASE WHEN starts_with(h, 'www.') THEN h[5:] ELSE 'www.' || h END]) AS host, proto, rest FROM (
         SELECT archive_path, regexp_extract(archive_path, '^([^/]*)/', 1) AS proto, lower(regexp_extract(archive_path, '^[^/]*/([^/]*)', 1)) AS h, regexp_extract(archive_path, '^[^/]*/[^/]*/?(.*)$', 1) AS rest FROM typed))
@@ -231,12 +239,15 @@ ORACLES = {
       SELECT 'Direct' AS type, strftime(mtime, '%Y-%m-%d %H:%M') AS date_display, regexp_extract(archive_path, '^[^/]*') AS domain, archive_path AS file_path, CAST(CAST(ceil(size / 1024.0) AS BIGINT) AS VARCHAR) || 'KB' AS size,
         row_number() OVER (ORDER BY regexp_extract(archive_path, '^[^/]*'), mtime DESC, archive_path) AS pos
       FROM typed WHERE size > 0 AND base <> 'index.html' AND NOT contains(base, 'screenshot') AND (ext IN ('.html', '.htm') OR {_IS_INDEX})) SELECT pos, {_HTML_ROWS} AS html FROM o""",
-    "directory_listing": f"""WITH {TYPED}, levels AS (
-      SELECT DISTINCT array_to_string(p[1:i - 1], '/') AS dir, p[i] AS name, i < len(p) AS is_dir, CASE WHEN i = len(p) THEN size END AS bytes
-      FROM (SELECT string_split(archive_path, '/') AS p, size, unnest(range(1, len(string_split(archive_path, '/')) + 1)) AS i FROM typed)
-    ), e AS (SELECT dir, name, is_dir, max(bytes) AS bytes FROM levels GROUP BY ALL)
-    SELECT dir, name, is_dir, CASE WHEN is_dir THEN '-' ELSE CAST(floor(bytes * 10 / 1024.0 + 0.5) AS BIGINT) // 10 || '.' || CAST(floor(bytes * 10 / 1024.0 + 0.5) AS BIGINT) % 10 || ' KB' END AS size,
-      row_number() OVER (PARTITION BY dir ORDER BY is_dir DESC, lower(name), name) AS pos FROM e""",
+    "directory_listing": _LISTING,
+    "listing_pages": f"""WITH l AS ({_LISTING}), e AS (
+      SELECT *, replace(replace(name, '&', '&amp;'), '''', '&#39;') AS shown, replace(replace(dir, '&', '&amp;'), '''', '&#39;') AS place FROM l
+    ), r AS (
+      SELECT dir, place, pos, '<tr><td class="type">' || CASE WHEN is_dir THEN '[DIR]' ELSE '[FILE]' END || '</td><td><a href="/' || CASE WHEN dir = '' THEN '' ELSE place || '/' END || shown || CASE WHEN is_dir THEN '/' ELSE '' END ||
+        '">' || shown || '</a></td><td class="size">' || size || '</td></tr>' AS row FROM e
+    ) SELECT dir, CAST(0 AS BIGINT) AS page, md5('<html><head><title>Index of /' || place || '</title></head><body><h2>Index of /' || place || '</h2><table><tr><th>Type</th><th>Name</th><th>Size</th></tr>' ||
+      CASE WHEN dir <> '' THEN '<tr><td class="type">[DIR]</td><td><a href="/' || CASE WHEN contains(place, '/') THEN regexp_replace(place, '/[^/]*$', '') ELSE '' END || '">[ Parent Directory ]</a></td><td class="size">-</td></tr>' ELSE '' END ||
+      string_agg(row, '' ORDER BY pos) || '</table></body></html>') AS html_md5 FROM r GROUP BY dir, place""",
     "url_list_load": f"WITH {LINES} SELECT line_no, url FROM urls",
     "pending_urls": f"""WITH {LINES} SELECT line_no, url, {DEST} AS dest FROM urls WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 9 = 1)
       AND {DEST} NOT IN (SELECT {DEST} FROM pages WHERE page_id % 8 = 0) AND {DEST} || '/index.html' NOT IN (SELECT {DEST} FROM pages WHERE page_id % 8 = 0)""",
@@ -336,10 +347,10 @@ ORACLES = {
         FROM req JOIN files ON req.fold = files.fold WHERE k < 2 GROUP BY request_id),
       tried AS (SELECT request_id, unnest([fold, regexp_replace(fold, '^http/', 'http/www.'), regexp_replace(fold, '^http/www\.', 'http/')]) AS fold FROM req WHERE k = 3),
       smart AS (SELECT request_id, arg_min(archive_path, (variant, archive_path)) AS p FROM tried JOIN direct USING (fold) GROUP BY request_id),
-      found AS (SELECT req.request_id, coalesce(b.p, p) AS archive_path, b.d AS ts_dir FROM req LEFT JOIN near USING (request_id) LEFT JOIN smart USING (request_id)),
-      typed AS (SELECT found.*, html, lower(regexp_extract(found.archive_path, '[^/](\.[^./]*)$', 1)) AS ext FROM found LEFT JOIN captures USING (archive_path)),
+      found AS (SELECT req.request_id, k AS k, coalesce(b.p, p) AS archive_path, b.d AS ts_dir FROM req LEFT JOIN near USING (request_id) LEFT JOIN smart USING (request_id)),
+      typed AS (SELECT found.* , html, lower(regexp_extract(found.archive_path, '[^/](\.[^./]*)$', 1)) AS ext FROM found LEFT JOIN captures USING (archive_path)),
       sent AS (SELECT *, CASE WHEN ts_dir IS NOT NULL AND (ext IN {_in(SERVED_AS_HTML)} OR ext IN ('.css', '.js')) THEN {_served(_cleaned_for_server("html"), "ts_dir")} ELSE html END AS t FROM typed)
-      SELECT request_id, CASE WHEN archive_path IS NULL THEN 404 ELSE 200 END AS status, archive_path, md5(coalesce(t, '404 Not Found')) AS body_md5,
+      SELECT request_id, CASE WHEN archive_path IS NULL THEN 404 ELSE 200 END AS status, archive_path, md5(coalesce(t, CASE WHEN k < 2 THEN '404: Page not found locally.' ELSE '404 Not Found' END)) AS body_md5,
         CASE WHEN archive_path IS NULL THEN 'text/plain' ELSE CASE ext {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MIME_TYPES.items())} ELSE 'application/octet-stream' END ||
           CASE WHEN ext IN {_in(SERVED_AS_HTML)} THEN '; charset=' || coalesce(nullif(regexp_extract(t[1:8192], '(?i)<meta[^>]+charset\s*=\s*["'']?([a-zA-Z0-9\-_]+)', 1), ''), 'iso-8859-1') ELSE '' END END AS content_type FROM sent""",
     "serve_plan": f"""WITH {TYPED} SELECT archive_path, CASE ext {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MIME_TYPES.items())} ELSE 'application/octet-stream' END AS mime,

@@ -53,8 +53,8 @@ def url_index(spark, sf_dir):
 
 @query
 def url_index_grouped(spark, sf_dir):
-    index = I.url_index(X.captures(spark, sf_dir))
-    return index.groupBy("url_key").agg(F.count("*").alias("n_entries"), F.array_join(F.sort_array(F.collect_list("archive_path")), " ").alias("paths"))
+    """The index as lists of captures by key, in pages of at most I.LISTED."""
+    return I.index_pages(I.url_index(X.captures(spark, sf_dir))).select("url_key", "page", "n_entries", F.array_join("paths", " ").alias("paths"))
 
 
 @query
@@ -113,6 +113,12 @@ def directory_listing(spark, sf_dir):
     return C.listing(X.typed(spark, sf_dir))
 
 
+@query
+def listing_pages(spark, sf_dir):
+    pages = C.listing_html(C.listing(X.typed(spark, sf_dir)))
+    return pages.select("dir", "page", F.md5("html").alias("html_md5"))
+
+
 @query
 def url_list_load(spark, sf_dir):
     return N.load_urls(X.lines(spark, sf_dir))

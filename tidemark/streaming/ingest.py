@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ingest import fetch, load_urls, pending
+from ..operators.ingest import fetch, http_get, load_urls, pending
 from ..sources.writer import file_system, place_of, write_tree
 
 _CAPTURES = "archive_path string, size long"
@@ -27,7 +27,34 @@ def _unstored(plan: DataFrame, root: str) -> DataFrame:
     return plan.mapInPandas(run, plan.schema)
 
 
-def ingest(spark: SparkSession, lists: str, state: str, root: str, get: Callable[[str], tuple[int, dict, bytes]]) -> StreamingQuery:
+_DONE = "url string, dest string"
+
+
+def recorded(spark: SparkSession, state: str) -> DataFrame:
+    """(url, dest) of what has been stored so far; none before the first success."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(_DONE).parquet(f"{state}/done")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _DONE)
+
+
+def compact(spark: SparkSession, state: str) -> None:
+    """Puts the record's many small files together; between runs, not during one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    rows = recorded(spark, state).distinct()
+    size = max(1, rows.count() // 1_000_000)
+    rows.repartition(size).write.mode("overwrite").parquet(f"{state}/done.new")
+    at = path(f"{state}/done")
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(at, True)
+    files.rename(path(f"{state}/done.new"), at)
+
+
+def ingest(spark: SparkSession, lists: str, state: str, root: str, get: Callable[[str], tuple[int, dict, bytes]] = http_get) -> StreamingQuery:
     """Fetches all lines of text files under ``lists`` that are new since the last run, then ends.
 
     The checkpoint under ``state`` remembers the files read; the table beside it the URLs stored. Only
@@ -39,8 +66,7 @@ def ingest(spark: SparkSession, lists: str, state: str, root: str, get: Callable
 
     def batch(lines: DataFrame, batch_id: int) -> None:
         session = lines.sparkSession
-        session.createDataFrame([], "url string, dest string").write.mode("append").parquet(done_path)
-        done = session.read.schema("url string, dest string").parquet(done_path)
+        done = recorded(session, state)
         urls = load_urls(lines.select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line")))
         plan = _unstored(pending(urls, done, session.createDataFrame([], _CAPTURES)), root)
         plan = plan.withColumn("key", F.regexp_replace("dest", "/index\\.html$", ""))
@@ -51,7 +77,8 @@ def ingest(spark: SparkSession, lists: str, state: str, root: str, get: Callable
             # Fetched once: the results are kept until both the files and the record are written.
             got = fetch(now, get).filter("error IS NULL").checkpoint()
             write_tree(got.select(F.col("dest").alias("path"), "content"), root)
-            got.select("url", "dest").write.mode("append").parquet(done_path)
+            if not got.isEmpty():
+                got.select("url", "dest").coalesce(1).write.mode("append").parquet(done_path)
             taken = now.join(got.select("url"), "url").select("key")
             left = left.filter(F.col("place") > place).join(taken, "key", "left_anti").checkpoint()
             place += 1
