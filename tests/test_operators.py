@@ -365,6 +365,16 @@ def test_staged_tables_are_in_one_folder_of_the_run(spark):
     assert kept.count() == 3 and all(staging_dir(spark) in f for f in kept.inputFiles())
 
 
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace as Fake
+
+    from tidemark.sources.staging import checkpoint_dir
+
+    context = Fake(getConf=lambda: Fake(get=lambda *_: None), getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Fake(sparkContext=context, conf=Fake(get=lambda *_: None)))
+
+
 def test_files_round_trip(spark, tmp_path):
     data = {"http/x.com/a.bin": bytes(range(256)), "b/../../c": b"kept inside", "e": b""}
     write_tree(spark.createDataFrame(list(data.items()), "path string, content binary"), str(tmp_path / "t"))
