@@ -48,11 +48,15 @@ def parse(url: Column) -> Column:
 
     What is in normal form is cut by one expression; all else goes through the whole algorithm.
     """
-    part = lambda i: F.regexp_extract(url, _PLAIN, i)
-    bare = lambda i, sign: F.when(part(i) == sign, "").otherwise(part(i))
-    path = F.when(part(3) == "", "/").otherwise(part(3))
-    plain = F.struct(part(1).alias("protocol"), part(2).alias("hostname"), F.lit("").alias("port"), path.alias("pathname"), bare(4, "?").alias("search"), bare(5, "#").alias("hash"))
-    return F.when(url.rlike(_PLAIN), plain).otherwise(parse_any(url))
+
+    def cut(text: Column) -> Column:
+        part = lambda i: F.regexp_extract(text, _PLAIN, i)
+        bare = lambda i, sign: F.when(part(i) == sign, "").otherwise(part(i))
+        path = F.when(part(3) == "", "/").otherwise(part(3))
+        plain = F.struct(part(1).alias("protocol"), part(2).alias("hostname"), F.lit("").alias("port"), path.alias("pathname"), bare(4, "?").alias("search"), bare(5, "#").alias("hash"))
+        return F.when(text.rlike(_PLAIN), plain).otherwise(parse_any(text))
+
+    return let(url, cut)
 
 
 def parse_any(url: Column) -> Column:

@@ -32,7 +32,8 @@ def probe_keys(u: Column, with_extensions: bool) -> Column:
 
 
 def _probes(links: DataFrame, url: str, with_extensions: bool, carry: list[str]) -> DataFrame:
-    distinct = links.select(F.col(url).alias("url"), *carry).distinct().withColumn("u", parse_link(F.col("url"))).filter("u IS NOT NULL")
+    # A URL without a parse has null keys, which meet nothing.
+    distinct = links.select(F.col(url).alias("url"), *carry).distinct().withColumn("u", parse_link(F.col("url")))
     probes = distinct.select("url", *carry, F.col("u.protocol").alias("protocol"), F.posexplode(probe_keys(F.col("u"), with_extensions)).alias("key_rank", "url_key"))
     return probes.withColumn("other_protocol", F.substring_index("url_key", "://", 1) != F.col("protocol"))
 
@@ -119,7 +120,7 @@ def resolve_root_relative(links: DataFrame, index: DataFrame | None, target: int
     asked = pages.select(F.concat("c.ts", "c.flags").alias("ts_dir"), F.col("c.host").alias("host"), F.col("url").alias("link")).distinct().withColumn("clean", strip_query(F.col("link")))
     schemes = F.when(F.col("host").contains(":"), F.array(F.lit("http://"), F.lit("https://"))).otherwise(F.array(F.lit("http://")))
     urls = asked.select("ts_dir", "host", "clean").distinct().select("ts_dir", "host", "clean", F.posexplode(schemes).alias("attempt", "scheme"))
-    urls = urls.withColumn("url", F.concat("scheme", "host", "clean")).withColumn("u", parse_link(F.col("url"))).filter("u IS NOT NULL")
+    urls = urls.withColumn("url", F.concat("scheme", "host", "clean")).withColumn("u", parse_link(F.col("url")))
     flagged = lambda keys, added: F.transform(keys, lambda k: F.struct(F.lit(added).alias("added"), k.alias("url_key")))
     plain = probe_keys(F.col("u"), False)
     keys = F.concat(flagged(plain, False), flagged(F.array_except(probe_keys(F.col("u"), True), plain), True))
