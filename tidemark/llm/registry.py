@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprints, licenses, neardup, packing, pii, quality, shards, urls
+from . import chat, decontam, fingerprints, licenses, neardup, negatives, packing, pii, quality, shards, urls, whitening
 from .common import table
 
 
@@ -68,7 +68,17 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_licenses, op3_neardup, op4_packing, op5_decontam, op6_quality, op7_chat, op8_urls, op9_shards, op10_fingerprints)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    each = rows.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"))
+    return each.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error")
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_licenses, op3_neardup, op4_packing, op5_decontam, op6_quality, op7_chat, op8_urls, op9_shards, op10_fingerprints, op11_whitening, op12_negatives)}
 
 
 def queries() -> dict:
@@ -80,5 +90,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    sql = {"op3_neardup": neardup.ORACLE, "op5_decontam": decontam.ORACLE, "op7_chat": chat.ORACLE}
+    sql = {"op3_neardup": neardup.ORACLE, "op5_decontam": decontam.ORACLE, "op7_chat": chat.ORACLE, "op12_negatives": negatives.ORACLE}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
