@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprints, licenses, neardup, negatives, packing, pii, quality, shards, urls, whitening
+from . import chat, decontam, fingerprints, licenses, lines, neardup, negatives, packing, pii, quality, shards, urls, whitening
 from .common import table
 
 
@@ -78,7 +78,13 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_licenses, op3_neardup, op4_packing, op5_decontam, op6_quality, op7_chat, op8_urls, op9_shards, op10_fingerprints, op11_whitening, op12_negatives)}
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = lines.judge_lines(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    content = F.size(F.filter("content", lambda c: c)).cast("long")
+    return judged.select("doc_id", *lines.COUNTS, "base_failed", "kept", "n_content_words", content.alias("n_content_lines"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_licenses, op3_neardup, op4_packing, op5_decontam, op6_quality, op7_chat, op8_urls, op9_shards, op10_fingerprints, op11_whitening, op12_negatives, op13_lines)}
 
 
 def queries() -> dict:

@@ -63,6 +63,14 @@ def word_bounds(block: np.ndarray, offsets: np.ndarray, between: np.ndarray):
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def range_hashes(block: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the ranges of a block, each by its bytes alone."""
+    up, down = _Powers.upto(len(block))
+    sums = np.zeros(len(block) + 1, np.uint64)
+    np.cumsum(_BYTE[block] * up[: len(block)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = BLANKS):
     """64-bit hashes of the lower-cased words of all texts, and where each text's words begin.
 
@@ -70,10 +78,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = BLA
     """
     block = LOWER[data[offsets[0] : offsets[-1]]]
     starts, ends, bounds = word_bounds(block, offsets - offsets[0], between)
-    up, down = _Powers.upto(len(block))
-    sums = np.zeros(len(block) + 1, np.uint64)
-    np.cumsum(_BYTE[block] * up[: len(block)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), bounds
+    return range_hashes(block, starts, ends), bounds
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int):
