@@ -89,6 +89,31 @@ def test_long_repetitive_texts_take_linear_time():
         assert time.process_time() - start < 10  # what is quadratic takes minutes
 
 
+def test_long_words_take_linear_time():
+    import time
+
+    for unit, notices in (("許諾" * 10 + "license", 0), ("許諾" * 10 + "license ", 0), ("許諾 apache licence 許諾", 1), ("e" * 50 + "public", 0), ("許" * 20 + " mit lic\u00e9nse ", 1)):
+        n = 1_000_000 // len(unit.encode())
+        clean = f" {unit * n} ".encode()
+        start = time.process_time()
+        spans = licenses.Notices().spans(b" " + b" ".join(clean.split()) + b" ")
+        assert len(spans) >= n * notices * 0.99 and (notices or not spans)
+        assert time.process_time() - start < (10 if notices else 2)  # what is quadratic takes half an hour
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.data())
+def test_notices_beside_signs_of_many_bytes(data):
+    """What stands beside a notice, or in it, may be of any width in bytes."""
+    phrase, label = data.draw(st.sampled_from([n for n in licenses.NOTICES if licenses.edits_allowed(n[0])]))
+    i = data.draw(st.integers(1, len(phrase) - 2))
+    sign = data.draw(st.sampled_from(["é", "許", "😀"]))
+    text = data.draw(st.sampled_from([phrase[:i] + sign + phrase[i:], phrase[:i] + sign + phrase[i + 1 :]]))
+    before, after = (data.draw(st.sampled_from(["", "許" * 30 + " ", "😀 "])) for _ in range(2))
+    words = f"{before}{text} {after}".split()
+    assert label in {s[0] for s in licenses.Notices().spans(f" {' '.join(words)} ".encode())}
+
+
 def test_pieces_cover_a_phrase_and_plain_text_has_no_notice():
     for phrase, _ in licenses.NOTICES:
         assert "".join(p for _, p in licenses.pieces(phrase, 3)) == phrase

@@ -103,19 +103,21 @@ class Notices:
             windows = set()
             for offset, piece in seeds:
                 windows.update(at - offset for at in _places(clean, piece))
-            # Windows that overlap are searched as one, so that a find is given once.
-            reach, end = [], -1
+            # A find around a seed reaches no further than its edits do, each of four bytes at most; the
+            # blanks beside it are asked for where it stands. Windows that overlap are searched as one.
+            spare, reach, end = 4 * k + 4, [], -1
             for start in sorted(windows):
-                a, b = max(0, start - k - 1), start + len(phrase) + k + 1
+                a, b = max(0, start - spare), min(len(clean), start + len(phrase) + spare)
                 if a < end:
                     reach[-1][1] = end = max(end, b)
                 else:
                     reach.append([a, b])
                     end = b
             for a, b in reach:
-                # Whole words only: stretch the window to the blanks around it.
-                a, b = clean.rfind(b" ", 0, a + 1), clean.find(b" ", b)
-                a, b = max(a, 0), b + 1 if b >= 0 else len(clean)
+                while clean[a] & 0xC0 == 0x80:
+                    a += 1
+                while b < len(clean) and clean[b] & 0xC0 == 0x80:
+                    b -= 1
                 window = clean[a:b].decode()
                 # A find's edits aren't always the least ones: it is held against smaller bounds as a whole.
                 finds = [(m.start(), next((j for j in range(sum(m.fuzzy_counts)) if fewer[j].fullmatch(m[0])), sum(m.fuzzy_counts)), m[0]) for m in pattern.finditer(window, overlapped=False)]
