@@ -100,3 +100,25 @@ def test_without_examples_or_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = urls.judge(spark.createDataFrame(HARD, "page_id long, url string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_a_very_long_url_takes_linear_time(spark):
+    import time
+
+    took = []
+    for n in (250_000, 1_000_000):
+        rows = [(0, "http://q.example/" + "aé😀/" * (n // 4)), (1, "http://q.example/x"), *[(k, f"http://{'a' if k % 2 else 'b'}.net/{k}") for k in range(2, 30)]]
+        began = time.perf_counter()
+        out = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+        took.append(time.perf_counter() - began)
+        assert len(out) == len(rows) and len(out[0].path) == n // 4 * 4 + 1 and out[0].rule is None
+    assert took[1] < 8 * took[0] + 5  # what is quadratic takes sixteen times as long, and hours
+
+
+def test_runs_of_characters_of_any_width(spark):
+    texts = [(0, "aé😀b"), (1, ""), (2, "許x")]
+    rows = spark.createDataFrame([(i, t, 1, 0, 0) for i, t in texts], "id long, text string, accepted long, rejected long, fold int")
+    runs, _ = urls.gram_ratios(rows)
+    pad = lambda t: "\x02" * urls.ORDER + t + "\x03"
+    want = sorted((i, pad(t)[k : k + urls.ORDER + 1]) for i, t in texts for k in range(len(t) + 1))
+    assert sorted(tuple(r) for r in runs.collect()) == want

@@ -55,7 +55,10 @@ def gram_ratios(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     (gram, ratio, ratio_0, ratio_1): by models of all texts, and of all but fold 0's or fold 1's.
     """
     padded = F.concat(F.lit(_START * ORDER), "text", F.lit(_STOP))
-    runs = texts.withColumn("_p", padded).select("id", "accepted", "rejected", "fold", F.explode(F.transform(F.sequence(F.lit(1), F.length("text") + 1), lambda i: F.col("_p").substr(i, F.lit(ORDER + 1)))).alias("gram"))
+    # A text is cut into characters once, and a run is joined from the array: that is linear in the text.
+    run = lambda c, i: F.concat(*[F.get(c, i + k) for k in range(ORDER + 1)])
+    cut = F.flatten(F.transform(F.array(F.split(padded, "")), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - (ORDER + 1)), lambda i: run(c, i))))
+    runs = texts.select("id", "accepted", "rejected", "fold", F.explode(cut).alias("gram"))
     sums = {f"{side}{fold}": F.sum(F.when(F.col("fold") == fold, F.col(of)).otherwise(0)) for side, of in (("a", "accepted"), ("r", "rejected")) for fold in (0, 1)}
     counts = staged(runs.groupBy("gram").agg(*[x.alias(c) for c, x in sums.items()]), "grams")
     # Counts of shorter runs and of contexts are sums over the longest runs; the empty context's are totals.
