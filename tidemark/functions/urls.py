@@ -107,8 +107,16 @@ def www_toggled(host: Column) -> Column:
     return F.when(host.startswith("www."), host.substr(F.lit(5), F.length(host))).otherwise(F.concat(F.lit("www."), host))
 
 
+def decoded_strictly(text: Column) -> Column:
+    """``text`` with its percent signs decoded as UTF-8; null where one encodes nothing, or bytes that aren't UTF-8."""
+    # What can't be decoded comes out as this sign: there may be as many of it as the text has, in either form.
+    signs = lambda t: F.regexp_count(t, F.lit("\ufffd"))
+    plain = F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+    return F.when(~text.contains("%"), text).otherwise(let(plain, lambda d: F.when(signs(d) == F.regexp_count(text, F.lit("(?i)\ufffd|%EF%BF%BD")), d)))
+
+
 def _decoded(segment: Column) -> Column:
-    return F.coalesce(F.try_url_decode(F.replace(segment, F.lit("+"), F.lit("%2B"))), segment)
+    return F.coalesce(decoded_strictly(segment), segment)
 
 
 _WAYBACK_IN_URL = rf"/web/(\d{{4,14}})([a-z0-9_]+)?/({DOT}*)"

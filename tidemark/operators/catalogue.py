@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import catalogue_size, escape_html, is_flat_web_page, is_web_page, listing_size
 from ..sources.captures import IGNORED, visible
+from .lookup import entries
 from .ranking import ranked
 
 #: Entries on one page of a folder's listing.
@@ -70,13 +71,13 @@ def listing(captures: DataFrame) -> DataFrame:
 
     ``dir`` is empty for the root.
     """
-    files = visible(captures, ()).select("archive_path", "size")
-    parts = F.split("archive_path", "/")
-    levels = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i - 1), "/").alias("dir"), F.element_at(parts, i).alias("name"), (i < F.size(parts)).alias("is_dir")))
-    entries = files.withColumn("e", F.explode(levels)).select("e.*", F.when(~F.col("e.is_dir"), F.col("size")).alias("bytes"))
-    entries = entries.groupBy("dir", "name", "is_dir").agg(F.max("bytes").alias("bytes"))
-    placed = ranked(entries, ["dir"], [F.desc("is_dir"), F.collate("name", "UNICODE"), F.col("name")])
-    return placed.select("dir", "name", "is_dir", F.when(F.col("is_dir"), "-").otherwise(listing_size(F.col("bytes"))).alias("size"), F.col("pos").cast("long").alias("pos"))
+    return placed(entries(captures))
+
+
+def placed(listed: DataFrame) -> DataFrame:
+    """As ``listing``, of folder entries (dir, name, is_dir, bytes)."""
+    order = ranked(listed, ["dir"], [F.desc("is_dir"), F.collate("name", "UNICODE"), F.col("name")])
+    return order.select("dir", "name", "is_dir", F.when(F.col("is_dir"), "-").otherwise(listing_size(F.col("bytes"))).alias("size"), F.col("pos").cast("long").alias("pos"))
 
 
 def listing_html(entries: DataFrame) -> DataFrame:

@@ -7,14 +7,13 @@ captures, or with very many links to it, gives one row for each link and key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import sanitize, strip_query, ts_number, ts_seconds
 from ..functions.urls import DEFAULT_DOCS, fallback_path, key, page_context, parse_link, wayback_lookup, www_toggled
 from ..sources.staging import staged
-from .index import scan
-from .ranking import ranged
+from .lookup import Lookup, chunked, files, snapshots
 
 
 def probe_keys(u: Column, with_extensions: bool) -> Column:
@@ -144,62 +143,41 @@ def request_path(url: Column) -> Column:
     return F.transform(F.filter(F.split(text, "/"), lambda s: (s != "") & (s != ".")), lambda s: F.lower(sanitize(s)))
 
 
-def _folded(captures: DataFrame, inside: Column) -> DataFrame:
-    """Folded path keys of files: the path itself, and the folder that an index.html stands for."""
-    path = F.lower(inside)
-    keys = F.when(path.endswith("/index.html"), F.array(F.struct(F.lit(0).alias("variant"), path.alias("fold")), F.struct(F.lit(1).alias("variant"), F.regexp_replace(path, "/index\\.html$", "").alias("fold")))).otherwise(F.array(F.struct(F.lit(0).alias("variant"), path.alias("fold"))))
-    return captures.withColumn("_k", F.explode(keys)).withColumn("variant", F.col("_k.variant")).withColumn("fold", F.col("_k.fold")).drop("_k")
-
-
 def nearest_snapshot(requests: DataFrame, captures: DataFrame, distance: str = "numeric") -> DataFrame:
     """(ts_dir, archive_path, how) for each request (request_id, ts, url); null where nothing is captured.
 
     A capture in the folder that is named like the request's ts comes first. Else the timestamp with
-    the smallest numeric distance wins, of equal ones the first folder by name. The distinct times
-    asked for and the captures of a path meet in a sort by time, in which each sees the capture before
-    and after it: the work for a path is linear in its requests and captures. The sort is dealt out by
-    ranges of path and time, so that a path of very many requests or captures spans several tasks;
-    what a range sees last is carried on to the next ones of the path.
+    the smallest numeric distance wins, of equal ones the first folder by name. Only captures of paths that
+    are asked for are put in order; a path's captures are in chunks by time, of which a request meets one,
+    so that the work for a path is linear in its requests and captures, and a hot path spans several tasks.
 
     ``distance`` "numeric" compares timestamps as numbers, so that a month counts as much as a hundred
     days; "chronological" compares elapsed time.
     """
-    number = ts_number if distance == "numeric" else lambda ts: F.coalesce(ts_seconds(ts), F.lit(0))
+    number = numbered(distance)
+    asked = asked_snapshots(requests, number)
+    found = snapshots(captures, number).join(asked.select("fold").distinct(), "fold", "left_semi")
+    return snapshots_found(requests, Lookup([chunked(found)], None, None).nearest(asked))
+
+
+def numbered(distance: str):
+    return ts_number if distance == "numeric" else lambda ts: F.coalesce(ts_seconds(ts), F.lit(0))
+
+
+def asked_snapshots(requests: DataFrame, number=ts_number) -> DataFrame:
+    """(request_id, req_dir, ts_num, fold) of requests (request_id, ts, url) that name a path."""
     rest = F.regexp_replace(F.regexp_replace("url", "(?i)^https?://", ""), "(?i)^https?/|^ftp/", "")
-    folds = F.array_join(request_path(rest), "/")
-    asked = requests.select("request_id", F.col("ts").alias("req_dir"), number(F.col("ts")).alias("ts_num"), folds.alias("fold")).filter("fold <> ''")
-
-    stored = scan(captures).filter(F.col("is_wayback") & F.col("archive_path").startswith("https/web.archive.org/web/") & F.col("ts_dir").rlike(r"^\d{4,14}([a-z]{2}_)?$"))
-    inside = F.regexp_replace("archive_path", r"^https/web\.archive\.org/web/[^/]*/", "")
-    stored = _folded(stored.select("archive_path", "ts_dir", number(F.col("ts_dir")).alias("ts_num"), inside.alias("inside")), F.col("inside"))
-    stored = stored.groupBy("fold", "ts_dir", "ts_num").agg(F.min(F.struct("variant", "archive_path")).alias("v")).select("fold", "ts_dir", "ts_num", F.col("v.archive_path").alias("archive_path"))
-
-    exact = asked.join(stored.select("fold", F.col("ts_dir").alias("req_dir"), "archive_path"), ["fold", "req_dir"]).select("request_id", F.col("req_dir").alias("ts_dir"), "archive_path", F.lit(0).alias("tier"), F.lit(0).cast("long").alias("distance"))
-
-    times = stored.groupBy("fold", "ts_num").agg(F.min(F.struct("ts_dir", "archive_path")).alias("hit"))
-    seen = F.struct("ts_num", "hit.ts_dir", "hit.archive_path").alias("seen")
-    events = times.select("fold", "ts_num", seen).unionByName(asked.select("fold", "ts_num").distinct(), True)
-    events = ranged(events.withColumn("is_request", F.col("seen").isNull().cast("int")), F.col("fold"), F.col("ts_num"), F.col("is_request"))
-    order = Window.partitionBy("fold", "_part").orderBy("ts_num", "is_request")
-    back = Window.partitionBy("fold", "_part").orderBy(F.desc("ts_num"), F.desc("is_request"))
-    sided = events.withColumn("before", F.last("seen", True).over(order)).withColumn("after", F.last("seen", True).over(back)).filter("is_request = 1")
-    ends = events.groupBy("fold", "_part").agg(F.max("seen").alias("last"), F.min("seen").alias("first"))
-    whole = Window.partitionBy("fold").orderBy("_part")
-    carried = ends.select("fold", "_part", F.last("last", True).over(whole.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first("first", True).over(whole.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-    sides = sided.join(carried, ["fold", "_part"]).select("fold", "ts_num", F.explode(F.array(F.coalesce("before", "earlier"), F.coalesce("after", "later"))).alias("s")).filter("s IS NOT NULL")
-    nearest = sides.groupBy("fold", "ts_num").agg(F.min(F.struct(F.abs(F.col("s.ts_num") - F.col("ts_num")).alias("distance"), "s.ts_dir", "s.archive_path")).alias("n"))
-    near = asked.join(nearest, ["fold", "ts_num"]).select("request_id", "n.ts_dir", "n.archive_path", F.lit(1).alias("tier"), "n.distance")
-    best = exact.unionByName(near).groupBy("request_id").agg(F.min(F.struct("tier", "distance", "ts_dir", "archive_path")).alias("b"))
-    return requests.select("request_id").join(best, "request_id", "left").select("request_id", F.col("b.ts_dir").alias("ts_dir"), F.col("b.archive_path").alias("archive_path"), F.when(F.col("b.tier") == 0, "exact").when(F.col("b.tier") == 1, "nearest").alias("how"))
+    return requests.select("request_id", F.col("ts").alias("req_dir"), number(F.col("ts")).alias("ts_num"), F.array_join(request_path(rest), "/").alias("fold")).filter("fold <> ''")
 
 
-def smart_find(requests: DataFrame, captures: DataFrame) -> DataFrame:
-    """(request_id, archive_path) of requests (request_id, url) for files anywhere in the tree.
+def snapshots_found(requests: DataFrame, nearest: DataFrame) -> DataFrame:
+    """(request_id, ts_dir, archive_path, how) of all ``requests`` by what ``Lookup.nearest`` has for some."""
+    how = F.when(F.col("elsewhere"), "nearest").when(~F.col("elsewhere"), "exact")
+    return requests.select("request_id").join(nearest, "request_id", "left").select("request_id", "ts_dir", "archive_path", how.alias("how"))
 
-    Case doesn't count; a folder stands for its index.html; under http and https a host matches with
-    and without www.; a path that doesn't begin with http is tried under http last. An empty path is
-    the root's index.html, else default.htm.
-    """
+
+def asked_files(requests: DataFrame) -> DataFrame:
+    """(request_id, attempt, fold): the folded paths that requests (request_id, url) for files are tried under."""
     parts = request_path(F.col("url"))
     other_hosts = lambda p: F.when(
         F.get(p, F.lit(0)).isin("http", "https") & (F.size(p) > 1),
@@ -212,7 +190,21 @@ def smart_find(requests: DataFrame, captures: DataFrame) -> DataFrame:
         F.when(F.size("p") == 0, F.array(F.array(F.lit("default.htm")))).when(~F.coalesce(F.get("p", F.lit(0)).startswith("http"), F.lit(False)), other_hosts(under_http)).otherwise(F.array().cast("array<array<string>>")),
         lambda x: F.struct(F.lit(1).alias("attempt"), F.array_join(x, "/").alias("fold")),
     )
-    probes = asked.select("request_id", F.explode(F.concat(first, second)).alias("k")).select("request_id", "k.attempt", "k.fold")
-    files = _folded(captures.select("archive_path"), F.col("archive_path")).groupBy("fold").agg(F.min(F.struct("variant", "archive_path")).alias("v")).select("fold", "v.*")
-    hits = probes.join(files, "fold").groupBy("request_id").agg(F.min(F.struct("attempt", "variant", "archive_path")).alias("b"))
-    return requests.select("request_id").join(hits, "request_id", "left").select("request_id", F.col("b.archive_path").alias("archive_path"))
+    return asked.select("request_id", F.explode(F.concat(first, second)).alias("k")).select("request_id", "k.attempt", "k.fold")
+
+
+def files_found(probes: DataFrame, stored: DataFrame) -> DataFrame:
+    """(request_id, archive_path) of the first of ``asked_files`` that is among ``stored`` (fold, variant, archive_path)."""
+    best = stored.groupBy("fold").agg(F.min(F.struct("variant", "archive_path")).alias("v")).select("fold", "v.*")
+    hits = probes.join(best, "fold").groupBy("request_id").agg(F.min(F.struct("attempt", "variant", "archive_path")).alias("b"))
+    return hits.select("request_id", F.col("b.archive_path").alias("archive_path"))
+
+
+def smart_find(requests: DataFrame, captures: DataFrame) -> DataFrame:
+    """(request_id, archive_path) of requests (request_id, url) for files anywhere in the tree.
+
+    Case doesn't count; a folder stands for its index.html; under http and https a host matches with
+    and without www.; a path that doesn't begin with http is tried under http last. An empty path is
+    the root's index.html, else default.htm.
+    """
+    return requests.select("request_id").join(files_found(asked_files(requests), files(captures)), "request_id", "left")

@@ -209,6 +209,24 @@ _LISTING = f"""WITH {TYPED}, levels AS (
       row_number() OVER (PARTITION BY dir ORDER BY is_dir DESC, lower(name), name) AS pos FROM e"""
 
 
+_BODY = "coalesce(t, CASE WHEN k < 2 THEN '404: Page not found locally.' ELSE '404 Not Found' END)"
+_SENT = rf"""WITH {CLASSIFIED}, req AS (
+        SELECT page_id * 5 + k AS request_id, k, [strftime(DATE '2005-01-01' + to_months(CAST(page_id % 12 AS INTEGER)), '%Y%m'), '20041231im_', NULL, NULL, NULL][k + 1] AS ts,
+          CASE WHEN k < 2 THEN regexp_replace(lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://', '')), '/$', '') WHEN k = 3 THEN 'http/' || regexp_replace(lower(regexp_replace(regexp_replace(url, '\?.*$', ''), '^[a-z]+://', '')), '/$', '') END AS fold
+        FROM (SELECT *, unnest(range(0, 5)) AS k FROM pages)
+      ), files AS (SELECT archive_path, ts_dir, ts, unnest([lower(regexp_extract(archive_path, '/web/[^/]*/(.*)$', 1)), regexp_replace(lower(regexp_extract(archive_path, '/web/[^/]*/(.*)$', 1)), '/index\.html$', '')]) AS fold FROM cls WHERE is_wayback),
+      direct AS (SELECT archive_path, unnest([lower(archive_path), regexp_replace(lower(archive_path), '/index\.html$', '')]) AS fold, unnest([0, 1]) AS variant FROM cls WHERE NOT is_wayback),
+      near AS (SELECT request_id, arg_min({{'d': ts_dir, 'p': archive_path}}, (ts_dir <> req.ts, abs(CAST(rpad(files.ts, 14, '0') AS BIGINT) - CAST(rpad(regexp_extract(req.ts, '^\d+'), 14, '0') AS BIGINT)), ts_dir, archive_path)) AS b
+        FROM req JOIN files ON req.fold = files.fold WHERE k < 2 GROUP BY request_id),
+      tried AS (SELECT request_id, unnest([fold, regexp_replace(fold, '^http/', 'http/www.'), regexp_replace(fold, '^http/www\.', 'http/')]) AS fold FROM req WHERE k = 3),
+      smart AS (SELECT request_id, arg_min(archive_path, (variant, archive_path)) AS p FROM tried JOIN direct USING (fold) GROUP BY request_id),
+      found AS (SELECT req.request_id, k AS k, coalesce(b.p, p) AS archive_path, b.d AS ts_dir FROM req LEFT JOIN near USING (request_id) LEFT JOIN smart USING (request_id)),
+      typed AS (SELECT found.* , html, lower(regexp_extract(found.archive_path, '[^/](\.[^./]*)$', 1)) AS ext FROM found LEFT JOIN captures USING (archive_path)),
+      sent AS (SELECT *, CASE WHEN ts_dir IS NOT NULL AND (ext IN {_in(SERVED_AS_HTML)} OR ext IN ('.css', '.js')) THEN {_served(_cleaned_for_server("html"), "ts_dir")} ELSE html END AS t FROM typed)"""
+_ANSWER = rf"""request_id, CASE WHEN archive_path IS NULL THEN 404 ELSE 200 END AS status, archive_path, md5({_BODY}) AS body_md5,
+        CASE WHEN archive_path IS NULL THEN 'text/plain' ELSE CASE ext {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MIME_TYPES.items())} ELSE 'application/octet-stream' END ||
+          CASE WHEN ext IN {_in(SERVED_AS_HTML)} THEN '; charset=' || coalesce(nullif(regexp_extract(t[1:8192], '(?i)<meta[^>]+charset\s*=\s*["'']?([a-zA-Z0-9\-_]+)', 1), ''), 'iso-8859-1') ELSE '' END END AS content_type"""
+
 ORACLES = {
     "web_pages": _flag("web_pages", f"NOT contains(archive_path, 'screenshot') AND (ext IN {_in(HTML_EXTENSIONS)} OR {_IS_INDEX})"),
     "flat_web_pages": _flag("flat_web_pages", f"NOT contains(base, 'screenshot') AND (ext IN ('.html', '.htm') OR {_IS_INDEX})"),
@@ -337,22 +355,9 @@ ORACLES = {
     "rewrite_server": f"WITH {MARKED} SELECT archive_path, {_BYTES} FROM (SELECT archive_path, {_served(_cleaned_for_server('text'), repr('20050101'))} AS t FROM marked)",
     "extract_css_urls": rf"""WITH {MARKED} SELECT archive_path, unnest(list_concat(regexp_extract_all(text, '(?i)url\(\s*["'']?([^\n\r]*?)["'']?\s*\)', 1),
       list_transform(regexp_extract_all(text, '(?i)@import\s+(?:url\(\s*)?["'']?([^\n\r]+?)["'']?\s*\)?\s*;', 1), lambda u: trim(regexp_replace(u, '["'']', '', 'g'))))) AS url FROM marked""",
-    "serve_requests": rf"""WITH {CLASSIFIED}, req AS (
-        SELECT page_id * 5 + k AS request_id, k, [strftime(DATE '2005-01-01' + to_months(CAST(page_id % 12 AS INTEGER)), '%Y%m'), '20041231im_', NULL, NULL, NULL][k + 1] AS ts,
-          CASE WHEN k < 2 THEN regexp_replace(lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://', '')), '/$', '') WHEN k = 3 THEN 'http/' || regexp_replace(lower(regexp_replace(regexp_replace(url, '\?.*$', ''), '^[a-z]+://', '')), '/$', '') END AS fold
-        FROM (SELECT *, unnest(range(0, 5)) AS k FROM pages)
-      ), files AS (SELECT archive_path, ts_dir, ts, unnest([lower(regexp_extract(archive_path, '/web/[^/]*/(.*)$', 1)), regexp_replace(lower(regexp_extract(archive_path, '/web/[^/]*/(.*)$', 1)), '/index\.html$', '')]) AS fold FROM cls WHERE is_wayback),
-      direct AS (SELECT archive_path, unnest([lower(archive_path), regexp_replace(lower(archive_path), '/index\.html$', '')]) AS fold, unnest([0, 1]) AS variant FROM cls WHERE NOT is_wayback),
-      near AS (SELECT request_id, arg_min({{'d': ts_dir, 'p': archive_path}}, (ts_dir <> req.ts, abs(CAST(rpad(files.ts, 14, '0') AS BIGINT) - CAST(rpad(regexp_extract(req.ts, '^\d+'), 14, '0') AS BIGINT)), ts_dir, archive_path)) AS b
-        FROM req JOIN files ON req.fold = files.fold WHERE k < 2 GROUP BY request_id),
-      tried AS (SELECT request_id, unnest([fold, regexp_replace(fold, '^http/', 'http/www.'), regexp_replace(fold, '^http/www\.', 'http/')]) AS fold FROM req WHERE k = 3),
-      smart AS (SELECT request_id, arg_min(archive_path, (variant, archive_path)) AS p FROM tried JOIN direct USING (fold) GROUP BY request_id),
-      found AS (SELECT req.request_id, k AS k, coalesce(b.p, p) AS archive_path, b.d AS ts_dir FROM req LEFT JOIN near USING (request_id) LEFT JOIN smart USING (request_id)),
-      typed AS (SELECT found.* , html, lower(regexp_extract(found.archive_path, '[^/](\.[^./]*)$', 1)) AS ext FROM found LEFT JOIN captures USING (archive_path)),
-      sent AS (SELECT *, CASE WHEN ts_dir IS NOT NULL AND (ext IN {_in(SERVED_AS_HTML)} OR ext IN ('.css', '.js')) THEN {_served(_cleaned_for_server("html"), "ts_dir")} ELSE html END AS t FROM typed)
-      SELECT request_id, CASE WHEN archive_path IS NULL THEN 404 ELSE 200 END AS status, archive_path, md5(coalesce(t, CASE WHEN k < 2 THEN '404: Page not found locally.' ELSE '404 Not Found' END)) AS body_md5,
-        CASE WHEN archive_path IS NULL THEN 'text/plain' ELSE CASE ext {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MIME_TYPES.items())} ELSE 'application/octet-stream' END ||
-          CASE WHEN ext IN {_in(SERVED_AS_HTML)} THEN '; charset=' || coalesce(nullif(regexp_extract(t[1:8192], '(?i)<meta[^>]+charset\s*=\s*["'']?([a-zA-Z0-9\-_]+)', 1), ''), 'iso-8859-1') ELSE '' END END AS content_type FROM sent""",
+    "serve_requests": f"{_SENT} SELECT {_ANSWER} FROM sent",
+    "serve_indexed": f"{_SENT} SELECT {_ANSWER}, CAST(strlen({_BODY}) AS BIGINT) AS content_length FROM sent",
+    "serve_pieces": f"{_SENT}, b AS (SELECT request_id, CAST(strlen({_BODY}) AS BIGINT) AS n FROM sent), o AS (SELECT *, unnest(range(0, n, 1000)) AS \"offset\" FROM b) SELECT request_id, \"offset\", least(1000, n - \"offset\") AS n_bytes FROM o",
     "serve_plan": f"""WITH {TYPED} SELECT archive_path, CASE ext {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MIME_TYPES.items())} ELSE 'application/octet-stream' END AS mime,
       ext IN {_in(SERVED_AS_HTML)} OR ext IN ('.css', '.js') AS buffered_archived, ext IN {_in(SERVED_AS_HTML)} AS buffered_plain FROM typed""",
 }

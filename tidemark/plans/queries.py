@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from ..operators import resolve as R
 from ..operators import rewrite as W
 from ..operators import serve as V
 from ..sources import captures as S
-from ..sources.staging import staged
+from ..operators.lookup import ServingIndex
+from ..sources.staging import staged, staging_dir
 from . import fixtures as X
 
 QUERIES = {}
@@ -313,6 +316,24 @@ def serve_requests(spark, sf_dir):
     return V.serve(X.paths_requested(spark, sf_dir), X.captures(spark, sf_dir)).select("request_id", "status", "content_type", "archive_path", F.md5("body").alias("body_md5"))
 
 
+@query
+def serve_indexed(spark, sf_dir):
+    """As serve_requests, by an index that takes in the captures in two parts, which are then merged."""
+    captures = X.captures(spark, sf_dir)
+    index = ServingIndex(spark, f"{staging_dir(spark)}/index-{uuid.uuid4().hex}")
+    for part in (0, 1):
+        index.add(captures.filter(F.pmod(F.length("archive_path"), F.lit(2)) == part), 16)
+    index.merge()
+    return V.serve(X.paths_requested(spark, sf_dir), captures, index=index).select("request_id", "status", "content_type", "content_length", "archive_path", F.md5("body").alias("body_md5"))
+
+
+@query
+def serve_pieces(spark, sf_dir):
+    """The bodies of all responses in pieces of at most 1000 bytes."""
+    sent = V.serve(X.paths_requested(spark, sf_dir), X.captures(spark, sf_dir))
+    return V.in_pieces(sent, 1000).select("request_id", "offset", F.octet_length("piece").cast("long").alias("n_bytes"))
+
+
 def _digest(text):
     """A digest of the bytes of a page's text."""
     return F.md5(F.encode(text, "ISO-8859-1"))
