@@ -1,7 +1,7 @@
 """URL functions as columns: parsing, index keys, storage paths and fallback paths.
 
-Parsing covers the http, https and ftp schemes of the WHATWG URL standard; what lies outside (other
-schemes, hosts beyond ASCII, percent signs in hosts) parses to null rather than to a guess.
+Parsing covers the http, https and ftp schemes of the WHATWG URL standard, with hosts in their normal form
+(``hosts.py``); what lies outside, such as other schemes, parses to null rather than to a guess.
 """
 
 from __future__ import annotations
@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import hosts, sql
+from .hosts import normal_host
 from .paths import DOT, let, needs_html_suffix, sanitize, strip_query
+from .sql import regex
 
 # Names that stand for a folder, the name of a stored folder, and the archive's own hosts.
 DEFAULT_DOCS = ("index.html", "index.htm", "default.asp", "default.aspx", "default.htm", "default.html", "default.shtml", "index.shtml", "home.asp", "home.html", "main.html")
@@ -19,23 +22,18 @@ INFRASTRUCTURE = ("archive.org", "web.archive.org", "web-static.archive.org", "a
 _SPECIAL = r"(?s)^(https?|ftp):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
-def _encoded(text: Column, keep: str) -> Column:
-    """Percent-encodes the characters of ``text`` that aren't in the class ``keep``."""
-    one = lambda c: F.when(c.rlike(keep), c).when(c == " ", "%20").otherwise(F.url_encode(c))
-    return F.when(text.rlike(f"(?s)^(?:{keep})*$"), text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
+def _encoded(text: str, keep: str) -> str:
+    """Percent-encodes the characters of ``text`` (the name of a value) that aren't in the class ``keep``."""
+    one = f"CASE WHEN sign rlike {regex(keep)} THEN sign WHEN sign = ' ' THEN '%20' ELSE url_encode(sign) END"
+    return f"if({text} rlike {regex(f'(?s)^(?:{keep})*$')}, {text}, array_join(transform(split({text}, ''), sign -> {one}), ''))"
 
 
-def _clean_path(path: Column) -> Column:
+def _clean_path(path: str) -> str:
     """An absolute path without dot segments."""
-    low = lambda s: F.regexp_replace(F.lower(s), "%2e", ".")
-    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-
-    def clean(parts: Column) -> Column:
-        kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, s: F.when(low(s) == "..", up(acc)).when(low(s) == ".", acc).otherwise(F.concat(acc, F.array(s))))
-        end = F.when(low(F.element_at(parts, F.lit(-1))).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-        return F.concat(F.lit("/"), F.array_join(F.concat(kept, end), "/"))
-
-    return let(F.split(F.regexp_replace(path, r"^[/\\]", ""), r"[/\\]"), clean)
+    low = lambda s: f"regexp_replace(lower({s}), '%2e', '.')"
+    kept = f"aggregate(segs, cast(array() AS array<string>), (acc, seg) -> CASE WHEN {low('seg')} = '..' THEN slice(acc, 1, greatest(size(acc) - 1, 0)) WHEN {low('seg')} = '.' THEN acc ELSE concat(acc, array(seg)) END)"
+    end = f"if({low('element_at(segs, -1)')} IN ('.', '..'), array(''), cast(array() AS array<string>))"
+    return sql.let(f"split({sql.without(path, r'^[/\\]')}, {regex(r'[/\\]')})", "segs", f"concat('/', array_join(concat({kept}, {end}), '/'))")
 
 
 # A URL in its own normal form already: a lower-case host with a name at its end and no port, no segment
@@ -43,52 +41,43 @@ def _clean_path(path: Column) -> Column:
 _PLAIN = r"^(https?|ftp)://((?:[a-z0-9-]+\.)+[a-z][a-z-]*)((?:/(?!\.)[\w!$&()*+,;=:@~.-]*)*)(\?[\w!$&()*+,;=:@~./-]*)?(#[\w!$&()*+,;=:@~./-]*)?\z"
 
 
+def _parsed(text: str) -> str:
+    """The whole algorithm, of the name of a value."""
+    trimmed = sql.without(sql.without(text, r"^[\x00-\x20]+|[\x00-\x20]+$"), r"[\t\n\r]")
+    lowered = f"concat(lower({sql.part('tidy_url', r'^[^:]*', 0)}), {sql.part('tidy_url', r'(?s)^[^:]*(:.*)$', 1)})"
+    cut = "named_struct('special', low_url rlike " + regex(_SPECIAL) + ", " + ", ".join(f"'p{i}', {sql.part('low_url', _SPECIAL, i)}" for i in range(1, 6)) + ")"
+    host = sql.let(sql.without("authority", r":\d*$"), "host", f"if(x.special, {normal_host('host')}, null)")
+    port = sql.without(sql.part("authority", r":(\d*)$", 1), r"^0+(?=\d)")
+    good = "x.special AND at.host IS NOT NULL AND length(at.port) <= 5 AND coalesce(try_cast(at.port AS int), 0) <= 65535"
+    default = "CASE x.p1 WHEN 'http' THEN '80' WHEN 'https' THEN '443' ELSE '21' END"
+    path = sql.let(f"if(x.p3 = '', '/', {_clean_path('x.p3')})", "whole_path", _encoded("whole_path", r"[!#-;=@-_a-z|~]"))
+    whole = f"""named_struct('protocol', x.p1, 'hostname', at.host, 'port', if(at.port = {default}, '', at.port), 'pathname', {path},
+      'search', if(x.p4 = '?', '', {_encoded("x.p4", r"[!$-&(-;=?-~]")}), 'hash', if(x.p5 = '#', '', {_encoded("x.p5", r"[!#-;=?-_a-~]")}))"""
+    parts = sql.let(sql.without("x.p2", r"^.*@"), "authority", sql.let(f"named_struct('host', {host}, 'port', {port})", "at", f"if({good}, {whole}, null)"))
+    return sql.let(trimmed, "tidy_url", sql.let(lowered, "low_url", sql.let(cut, "x", parts)))
+
+
+def _plain(text: str) -> str:
+    get = lambda i: sql.part(text, _PLAIN, i)
+    bare = lambda i, sign: f"if({get(i)} = '{sign}', '', {get(i)})"
+    return f"named_struct('protocol', {get(1)}, 'hostname', {get(2)}, 'port', '', 'pathname', if({get(3)} = '', '/', {get(3)}), 'search', {bare(4, '?')}, 'hash', {bare(5, '#')})"
+
+
+_PARSE_ANY = f"given -> {_parsed('given')}"
+_PARSE = f"given -> if(given rlike {regex(_PLAIN)}, {_plain('given')}, {_parsed('given')})"
+
+
 def parse(url: Column) -> Column:
     """(protocol, hostname, port, pathname, search, hash), or null where the URL has no parse.
 
     What is in normal form is cut by one expression; all else goes through the whole algorithm.
     """
-
-    def cut(text: Column) -> Column:
-        part = lambda i: F.regexp_extract(text, _PLAIN, i)
-        bare = lambda i, sign: F.when(part(i) == sign, "").otherwise(part(i))
-        path = F.when(part(3) == "", "/").otherwise(part(3))
-        plain = F.struct(part(1).alias("protocol"), part(2).alias("hostname"), F.lit("").alias("port"), path.alias("pathname"), bare(4, "?").alias("search"), bare(5, "#").alias("hash"))
-        return F.when(text.rlike(_PLAIN), plain).otherwise(parse_any(text))
-
-    return let(url, cut)
+    return sql.apply(_PARSE, url)
 
 
 def parse_any(url: Column) -> Column:
     """As ``parse``, by the whole algorithm."""
-    text = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
-    lowered = let(text, lambda t: F.concat(F.lower(F.regexp_extract(t, r"^[^:]*", 0)), F.regexp_extract(t, r"(?s)^[^:]*(:.*)$", 1)))
-    parts = lambda t: F.struct(t.rlike(_SPECIAL).alias("special"), *[F.regexp_extract(t, _SPECIAL, i).alias(f"p{i}") for i in range(1, 6)])
-    return let(let(lowered, parts), _parsed)
-
-
-def _parsed(x: Column) -> Column:
-    authority = F.regexp_replace(x["p2"], r"^.*@", "")
-    port = F.regexp_replace(F.regexp_extract(authority, r":(\d*)$", 1), r"^0+(?=\d)", "")
-    return let(F.struct(F.lower(F.regexp_replace(authority, r":\d*$", "")).alias("host"), port.alias("port")), lambda a: _checked(x, a["host"], a["port"]))
-
-
-def _checked(x: Column, host: Column, number: Column) -> Column:
-    protocol = x["p1"]
-    default = F.when(protocol == "http", "80").when(protocol == "https", "443").otherwise("21")
-    quad = host.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$")
-    numeric_end = host.rlike(r"(?:^|\.)(?:\d+|0x[0-9a-f]*)\.?$")
-    good = x["special"] & host.rlike(r"^[!$&'()*+,\-.0-9;=_`a-z{}~\"]+$") & (quad | ~numeric_end) & (F.length(number) <= 5) & (F.coalesce(number.try_cast("int"), F.lit(0)) <= 65535)
-    path = F.when(x["p3"] == "", F.lit("/")).otherwise(_clean_path(x["p3"]))
-    return F.when(
-        good,
-        F.struct(
-            protocol.alias("protocol"), host.alias("hostname"), F.when(number == default, "").otherwise(number).alias("port"),
-            let(path, lambda p: _encoded(p, r"[!#-;=@-_a-z|~]")).alias("pathname"),
-            F.when(x["p4"] == "?", "").otherwise(_encoded(x["p4"], r"[!$-&(-;=?-~]")).alias("search"),
-            F.when(x["p5"] == "#", "").otherwise(_encoded(x["p5"], r"[!#-;=?-_a-~]")).alias("hash"),
-        ),
-    )
+    return sql.apply(_PARSE_ANY, url)
 
 
 def parse_link(url: Column) -> Column:
@@ -109,10 +98,7 @@ def www_toggled(host: Column) -> Column:
 
 def decoded_strictly(text: Column) -> Column:
     """``text`` with its percent signs decoded as UTF-8; null where one encodes nothing, or bytes that aren't UTF-8."""
-    # What can't be decoded comes out as this sign: there may be as many of it as the text has, in either form.
-    signs = lambda t: F.regexp_count(t, F.lit("\ufffd"))
-    plain = F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
-    return F.when(~text.contains("%"), text).otherwise(let(plain, lambda d: F.when(signs(d) == F.regexp_count(text, F.lit("(?i)\ufffd|%EF%BF%BD")), d)))
+    return sql.apply(f"given -> {hosts.decoded_strictly('given')}", text)
 
 
 def _decoded(segment: Column) -> Column:
@@ -153,7 +139,7 @@ def _stored(u: Column, x: Column) -> Column:
         last = F.when(x["raw"].endswith("/"), F.array(F.lit(DIRECTORY_INDEX))).when(F.size(parts) <= 1, F.array(F.lit("index.html"))).otherwise(F.array().cast("array<string>"))
         return F.concat(prefix, F.lit("/"), F.array_join(F.concat(parts, last), "/"))
 
-    return let(F.concat(F.array(u["hostname"]), port, names), whole)
+    return let(F.concat(F.array(sanitize(u["hostname"])), port, names), whole)
 
 
 def _archive_path(prefix: Column, host: Column, path: Column) -> Column:

@@ -17,6 +17,12 @@ INJECTED = (
     "<style>p{background:url( '/img/c.png' )}\n@import \"/css/d.css\";</style><script>var u='//web.archive.org/web/2005im_/http://x.com/e.js';var s='https://web-static.archive.org/_static/f.css'</script>"
 )
 
+#: Hosts as URLs may have them, and in normal form; None where there is none.
+HOSTS = (
+    ("münchen.de", "xn--mnchen-3ya.de"), ("BÜCHER.example", "xn--bcher-kva.example"), ("例え。テスト", "xn--r8jz45g.xn--zckzah"), ("ＥＸ.com", "ex.com"), ("%61.com", "a.com"), ("m%C3%BCnchen.de", "xn--mnchen-3ya.de"),
+    ("127.1", "127.0.0.1"), ("0x7f000001", "127.0.0.1"), ("0177.0.0.01", "127.0.0.1"), ("3232235777", "192.168.1.1"), ("256.1", None), ("[::1]", "[::1]"), ("[2001:DB8:0:0:1:0:0:1]", "[2001:db8::1:0:0:1]"), ("[::FFFF:1.2.3.4]", "[::ffff:102:304]"), ("[1::2::3]", None), ("a%FF.com", None), ("a b.com", None),
+)
+
 ENDINGS = (".asp", ".css.asp", ".php", ".html", "", ".JS", "/index.html", ".jsp")
 
 
@@ -24,6 +30,13 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def other_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url): pages under one of HOSTS each, some with a port, and with a name that isn't UTF-8 or is."""
+    spelling = F.element_at(F.array(*[F.lit(h) for h, _ in HOSTS]), (F.col("page_id") % len(HOSTS) + 1).cast("int"))
+    port = F.when(F.col("page_id") % 3 == 0, ":8080").when(F.col("page_id") % 3 == 1, ":80").otherwise("")
+    return pages(spark, sf_dir).select("page_id", F.concat(F.lit("http://"), spelling, port, F.lit("/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, "/%FF.html").otherwise("/%C3%A9.html")).alias("url"))
+
+
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_pages(pages(spark, sf_dir))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from ..functions.paths import ASSET_ENDINGS, ASSET_NAMES, HTML_EXTENSIONS, INDEX_NAMES, MIME_TYPES, NON_NATIVE_EXTENSIONS, SERVED_AS_HTML, TEXT_EXTENSIONS
 from ..functions.urls import DEFAULT_DOCS, DIRECTORY_INDEX, INFRASTRUCTURE
 from ..operators.rewrite import FLAT_REMOVALS, SHARED_REMOVALS
-from .fixtures import ENDINGS, INJECTED, TARGET
+from .fixtures import ENDINGS, HOSTS, INJECTED, TARGET
 
 
 def _in(names) -> str:
@@ -209,6 +209,8 @@ _LISTING = f"""WITH {TYPED}, levels AS (
       row_number() OVER (PARTITION BY dir ORDER BY is_dir DESC, lower(name), name) AS pos FROM e"""
 
 
+_HOSTED = f"""WITH h AS (
+      SELECT page_id, {_list(n or "" for _, n in HOSTS)}[page_id % {len(HOSTS)} + 1] AS host, CASE WHEN page_id % 3 = 0 THEN '8080' ELSE '' END AS port FROM pages)"""
 _BODY = "coalesce(t, CASE WHEN k < 2 THEN '404: Page not found locally.' ELSE '404 Not Found' END)"
 _SENT = rf"""WITH {CLASSIFIED}, req AS (
         SELECT page_id * 5 + k AS request_id, k, [strftime(DATE '2005-01-01' + to_months(CAST(page_id % 12 AS INTEGER)), '%Y%m'), '20041231im_', NULL, NULL, NULL][k + 1] AS ts,
@@ -276,6 +278,9 @@ ORACLES = {
     "parse_urls": r"""SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS protocol, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS hostname, '' AS port,
       CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) END AS pathname,
       regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) AS search, regexp_extract(url, '(#.*)$', 1) AS hash FROM pages""",
+    "parse_hosts": f"""{_HOSTED} SELECT page_id, nullif(host, '') AS hostname, CASE WHEN host <> '' THEN port END AS port,
+      CASE WHEN host <> '' THEN '/' || page_id || CASE WHEN page_id % 2 = 0 THEN '/%FF.html' ELSE '/%C3%A9.html' END END AS pathname FROM h""",
+    "storage_hosts": f"""{_HOSTED} SELECT page_id, CASE WHEN host <> '' THEN 'http/' || replace(host, ':', '_') || CASE WHEN port <> '' THEN '/' || port ELSE '' END || '/' || page_id || CASE WHEN page_id % 2 = 0 THEN '/%FF.html' ELSE '/é.html' END END AS dest FROM h""",
     "sanitize_segments": r"""WITH s AS (SELECT page_id, regexp_replace(url, '[<>:"/\\|?*]', '_', 'g') AS a, repeat('x', 190) || regexp_replace(url, '[<>:"/\\|?*]', '_', 'g') AS b FROM pages)
       SELECT page_id, CASE WHEN length(a) > 200 THEN a[1:150] || '_' || md5(a)[1:8] || regexp_extract(a, '[^/](\.[^./]*)$', 1) ELSE a END AS short_name,
         CASE WHEN length(b) > 200 THEN b[1:150] || '_' || md5(b)[1:8] || regexp_extract(b, '[^/](\.[^./]*)$', 1) ELSE b END AS long_name FROM s""",

@@ -179,6 +179,17 @@ def parse_urls(spark, sf_dir):
     return X.pages(spark, sf_dir).select("page_id", U.parse_link(F.col("url")).alias("u")).select("page_id", "u.*")
 
 
+@query
+def parse_hosts(spark, sf_dir):
+    """URLs with hosts in other scripts, as numbers, as IPv6 literals, and with signs that no host has."""
+    return X.other_hosts(spark, sf_dir).select("page_id", U.parse_link(F.col("url")).alias("u")).select("page_id", "u.hostname", "u.port", "u.pathname")
+
+
+@query
+def storage_hosts(spark, sf_dir):
+    return X.other_hosts(spark, sf_dir).select("page_id", U.storage_path(F.col("url")).alias("dest"))
+
+
 @query
 def sanitize_segments(spark, sf_dir):
     long = F.concat(F.repeat(F.lit("x"), 190), "url")
