@@ -285,17 +285,18 @@ def test_ingestion_resumes(spark, tmp_path):
     (tmp_path / "lists").mkdir()
     (tmp_path / "lists" / "one.txt").write_text("http://a/ok\nhttp://a/none\n# no\n")
     ingest(spark, lists, state, root, fetcher()).awaitTermination()
-    done = lambda: sorted(r.url for r in spark.read.parquet(f"{state}/done").collect())
+    from tidemark.streaming.ingest import compact, recorded
+
+    done = lambda: sorted(r.url for r in recorded(spark, state).collect())
     assert done() == ["http://a/ok"] and (tmp_path / "root/http/a/ok/index.html").read_bytes() == b"page"
     (tmp_path / "lists" / "two.txt").write_text("http://a/ok\nhttp://a/d.js\n")
     ingest(spark, lists, state, root, fetcher()).awaitTermination()
     assert done() == ["http://a/d.js", "http://a/ok"]
     ingest(spark, lists, state, root, fetcher()).awaitTermination()
     assert done() == ["http://a/d.js", "http://a/ok"]
-    from tidemark.streaming.ingest import compact
-
     compact(spark, state)
-    assert done() == ["http://a/d.js", "http://a/ok"] and len(list((tmp_path / "state/done").glob("part-*"))) == 1
+    compact(spark, state)
+    assert done() == ["http://a/d.js", "http://a/ok"] and len(list((tmp_path / "state/record/segments").iterdir())) == 1 and not list((tmp_path / "state/fetched").iterdir())
 
 
 def test_ingestion_skips_stored_files_and_keeps_the_first_of_a_path(spark, tmp_path):
@@ -318,6 +319,9 @@ def test_ingestion_skips_stored_files_and_keeps_the_first_of_a_path(spark, tmp_p
     fetched = {x.name for x in calls.iterdir()}
     assert fetched == {u.replace("/", "_") for u in ("http://a/empty.js", "http://a/ok/index.html", "http://a/t.js#gone", "http://a/t.js#1")}
     files = {u: (tmp_path / "root/http/a" / u).read_bytes() for u in ("d.js", "_x/page/index.html", "empty.js", "ok/index.html", "t.js")}
+    from tidemark.streaming.ingest import recorded
+
+    assert {r.url for r in recorded(spark, state).collect()} == set(urls) - {"http://a/t.js#gone"}
     assert files == {"d.js": b"kept", "_x/page/index.html": b"kept", "empty.js": b"http://a/empty.js", "ok/index.html": b"http://a/ok/index.html", "t.js": b"http://a/t.js#1"}
 
 

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.paths import MAX_SEGMENT, inferred_ext, sanitize
 from ..functions.urls import decoded_names, storage_path
 
-#: Redirects followed at most, and requests at a time.
-MAX_REDIRECTS, CONCURRENCY = 5, 8
+#: Redirects followed at most; tasks that fetch, requests that each has under way at most, and those to one host.
+MAX_REDIRECTS, TASKS, EACH, PER_HOST = 5, 2, 4, 4
+#: Variants of one path that a fetcher holds at a time.
+VARIANTS = 1000
 # Seconds that a request may take, and what it says of itself.
 TIMEOUT = 30
 HEADERS = {
@@ -81,32 +83,91 @@ def http_get(url: str) -> tuple[int, dict, bytes]:
         return answer.status, {k.lower(): v for k, v in answer.headers.items()}, answer.read()
 
 
-def fetch(plan: DataFrame, get: Callable[[str], tuple[int, dict, bytes]] = http_get) -> DataFrame:
-    """(url, dest, status, error, content) of a plan (url, dest).
-
-    ``get`` returns a status, headers and a body for one URL; it is called on the executors, with at
-    most CONCURRENCY tasks. Redirects are followed up to a limit; an empty body is an error. What has
-    an error has no content.
+def _one(get, url: str) -> tuple[int, str, str | None, bytes | None]:
+    """Status, content type, error and content of a URL, with redirects followed."""
+    at, status, headers, body = url, 0, {}, b""
+    try:
+        for _ in range(MAX_REDIRECTS + 1):
+            status, headers, body = get(at)
+            if not (300 <= status < 400 and headers.get("location")):
+                break
+            at = redirected(at, headers["location"])
+        else:
+            return status, "", "too many redirects", None
+        error = f"HTTP {status}" if status != 200 else None if body else "empty"
+    except Exception as e:  # a fetcher may fail in any way; the URL stays to be fetched
+        return status, headers.get("content-type", ""), str(e), None
+    return status, headers.get("content-type", ""), error, None if error else body
+
+
+class _Pool:
+    """Fetches paths side by side: the variants of one path one after the other, until one succeeds."""
+
+    def __init__(self, get, each: int, per_host: int):
+        from collections import defaultdict
+        from concurrent.futures import ThreadPoolExecutor
+        from threading import BoundedSemaphore
+
+        self.get, self.each, self.pool = get, each, ThreadPoolExecutor(each)
+        self.hosts = defaultdict(lambda: BoundedSemaphore(per_host))
+        self.under_way = {}
+
+    def _path(self, host, rows, before):
+        if before is not None and before.result()[1]:
+            return [], True
+        tried = []
+        for url, dest in rows:
+            with host:
+                tried.append((url, dest, *_one(self.get, url)))
+            if tried[-1][4] is None:
+                return tried, True
+        return tried, False
+
+    def results(self, rows):
+        """Tried (url, dest, status, content_type, error, content), in any order; ``rows`` (host, key, url, dest) have equal keys together."""
+        from itertools import groupby
+        from operator import itemgetter
+
+        for (host, key), own in groupby(rows, itemgetter(0, 1)):
+            before = None
+            while some := [r[2:] for _, r in zip(range(VARIANTS), own, strict=False)]:
+                while len(self.under_way) >= self.each:
+                    yield from self._settled()
+                before = self.pool.submit(self._path, self.hosts[host], some, before)
+                self.under_way[before] = key
+        while self.under_way:
+            yield from self._settled()
+        self.pool.shutdown()
+
+    def _settled(self):
+        from concurrent.futures import FIRST_COMPLETED, wait
+
+        for f in wait(self.under_way, return_when=FIRST_COMPLETED).done:
+            del self.under_way[f]
+            yield from f.result()[0]
+
+
+def path_key(dest):
+    """What URLs with one place in the tree have in common: a folder's index.html is at the folder's place."""
+    return F.regexp_replace(dest, "/index\\.html$", "")
+
+
+def fetch(plan: DataFrame, get: Callable[[str], tuple[int, dict, bytes]] = http_get, tasks: int = TASKS, each: int = EACH, per_host: int = PER_HOST) -> DataFrame:
+    """(url, dest, status, error, content) of the URLs of a plan (url, dest; line_no, where there is one, is their order) that were tried.
+
+    ``get`` returns a status, headers and a body for one URL; it is called on the executors, by ``tasks`` tasks with
+    ``each`` requests at a time. All of a host's URLs are in one task, so that ``per_host`` holds for all. Of URLs with
+    one place in the tree the first is tried, and the next where it fails. Redirects are followed up to a limit; an empty
+    body is an error. What has an error has no content.
     """
 
     def run(frames):
-        for frame in frames:
-            rows = []
-            for url, dest in zip(frame["url"], frame["dest"], strict=True):
-                at, status, headers, body, error = url, 0, {}, b"", None
-                try:
-                    for _ in range(MAX_REDIRECTS + 1):
-                        status, headers, body = get(at)
-                        if not (300 <= status < 400 and headers.get("location")):
-                            break
-                        at = redirected(at, headers["location"])
-                    else:
-                        error = "too many redirects"
-                    error = error or (f"HTTP {status}" if status != 200 else "empty" if not body else None)
-                except Exception as e:  # a fetcher may fail in any way; the URL stays to be fetched
-                    error = str(e)
-                rows.append((url, dest, status, headers.get("content-type", ""), error, None if error else body))
-            yield pd.DataFrame(rows, columns=["url", "dest", "status", "content_type", "error", "content"])
-
-    got = plan.select("url", "dest").repartition(CONCURRENCY).mapInPandas(run, "url string, dest string, status int, content_type string, error string, content binary")
+        rows = (r for frame in frames for r in zip(frame["host"], frame["key"], frame["url"], frame["dest"], strict=True))
+        for r in _Pool(get, each, per_host).results(rows):
+            yield pd.DataFrame([r], columns=["url", "dest", "status", "content_type", "error", "content"])
+
+    order = F.col("line_no") if "line_no" in plan.columns else F.lit(0)
+    dealt = plan.select("url", "dest", order.cast("long").alias("line_no"), F.get(F.split("dest", "/"), F.lit(1)).alias("host"), path_key(F.col("dest")).alias("key"))
+    dealt = dealt.repartition(tasks, "host").sortWithinPartitions("host", "key", "line_no", "url")
+    got = dealt.select("host", "key", "url", "dest").mapInPandas(run, "url string, dest string, status int, content_type string, error string, content binary")
     return got.select("url", inferred_ext(F.col("dest"), F.col("content_type")).alias("dest"), "status", "error", "content")
