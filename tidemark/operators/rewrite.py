@@ -2,7 +2,8 @@
 
 Contents are bytes read as Latin-1, so that every byte survives. Removals are regular expressions in
 Catalyst. Links are extracted by SQL, resolved set-wise and once per distinct link, and put back by
-an Arrow UDF that only looks replacements up.
+an Arrow UDF that only looks up what its passes have matched. What a pass matches that no one has asked
+for yet, as an earlier pass has brought it about, is resolved in a further round for the pages concerned.
 """
 
 from __future__ import annotations
@@ -86,12 +87,16 @@ def rewrite_server(text: Column, ts: Column) -> Column:
 
 
 # The passes over a flattened page, each over what the one before has left.
+_WORD = r"""[^\s\u00a0\ufeff"'<>)\]]+"""
 ATTRIBUTE = rf"""(href|src|action|background|data){S}*={S}*(["'])({DOT}*?)\2"""
 CSS_URL = rf"""url\({S}*["']?({DOT}*?)["']?{S}*\)"""
 IMPORT = rf"""@import{S}+(?:url\({S}*)?["']?({DOT}+?)["']?{S}*\)?{S}*;"""
-WAYBACK_ANYWHERE = r"""(?:https?:)?//(?:www\.)?web\.archive\.org/web/(\d{4,14})([a-z0-9_]*)/([^\s"'<>)\]]+)"""
-WAYBACK_PATH = r"""(?<=["'(\s])(/web/\d{4,14}[a-z0-9_]*/[^\s"'<>)\]]+)"""
-STATIC = r"""(["'(])(https?://web-static\.archive\.org/_static/([^\s"'<>)\]]+))"""
+WAYBACK_ANYWHERE = rf"""(?:https?:)?//(?:www\.)?web\.archive\.org/web/(\d{{4,14}})([a-z0-9_]*)/({_WORD})"""
+WAYBACK_PATH = rf"""(?<=["'(\s\u00a0\ufeff])(/web/\d{{4,14}}[a-z0-9_]*/{_WORD})"""
+STATIC = rf"""(["'(])(https?://web-static\.archive\.org/_static/({_WORD}))"""
+
+#: What a pass has matched, by its form: a link, an import as it stands, what follows an archive's timestamp, an archive's path, a static file.
+LINK, IMPORTED, ARCHIVED, ARCHIVE_PATH, STATIC_FILE = "link", "import", "archived", "path", "static"
 
 
 def _original(rest: Column) -> Column:
@@ -110,7 +115,11 @@ def css_links(text: Column) -> Column:
 
 
 def import_links(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit("(?i)" + IMPORT), F.lit(1)), lambda u: F.trim(F.regexp_replace(u, "['\"]", "")))
+    return F.transform(F.regexp_extract_all(text, F.lit("(?i)" + IMPORT), F.lit(1)), _imported)
+
+
+def _imported(url: Column) -> Column:
+    return F.trim(F.regexp_replace(url, "['\"]", ""))
 
 
 def cleaned(captures: DataFrame) -> DataFrame:
@@ -121,99 +130,123 @@ def cleaned(captures: DataFrame) -> DataFrame:
 
 
 def page_links(texts: DataFrame) -> DataFrame:
-    """Distinct (src_path, url, kind) of all links that a flattened page's passes may meet."""
+    """Distinct (src_path, form, matched) of what a flattened page's passes match in its text as it is."""
     text = F.col("text")
-    plain = F.transform(F.concat(attribute_links(text), css_links(text), import_links(text)), lambda u: F.struct(u.alias("url"), link_kind(u).alias("kind")))
-    anywhere = F.transform(F.regexp_extract_all(text, F.lit("(?i)" + WAYBACK_ANYWHERE), F.lit(3)), lambda r: F.struct(_original(r).alias("url"), F.lit("absolute").alias("kind")))
-    bare = F.transform(F.regexp_extract_all(text, F.lit("(?i)" + WAYBACK_PATH), F.lit(1)), lambda u: F.struct(u.alias("url"), F.lit("wayback").alias("kind")))
-    every = texts.select(F.col("archive_path").alias("src_path"), F.explode(F.array_distinct(F.concat(plain, anywhere, bare))).alias("l")).select("src_path", "l.*")
-    return every.filter(F.col("kind").isin("wayback", "root", "absolute"))
+    every = lambda pattern, group, form: F.transform(F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(group)), lambda m: F.struct(F.lit(form).alias("form"), m.alias("matched")))
+    found = F.concat(every(ATTRIBUTE, 3, LINK), every(CSS_URL, 1, LINK), every(IMPORT, 1, IMPORTED), every(WAYBACK_ANYWHERE, 3, ARCHIVED), every(WAYBACK_PATH, 1, ARCHIVE_PATH), every(STATIC, 3, STATIC_FILE))
+    wanted = F.filter(F.array_distinct(found), lambda x: (x["form"] != LINK) | x["matched"].rlike("(?i)^(https?:|ftp:|/)"))
+    return texts.select(F.col("archive_path").alias("src_path"), F.explode(wanted).alias("l")).select("src_path", "l.*")
+
+
+def _classified(links: DataFrame) -> DataFrame:
+    """``links`` (src_path, form, matched) with the url that a match names, and how it is resolved."""
+    form, matched = F.col("form"), F.col("matched")
+    url = F.when(form == IMPORTED, _imported(matched)).when(form == ARCHIVED, _original(matched)).otherwise(matched)
+    fixed = F.when(form == ARCHIVED, "absolute").when(form == ARCHIVE_PATH, "wayback").when(form == STATIC_FILE, "static")
+    return links.withColumn("url", url).withColumn("kind", F.coalesce(fixed, link_kind(F.col("url"))))
 
 
-def resolved_links(links: DataFrame, captures: DataFrame, target: int) -> DataFrame:
-    """(src_path, url, kind, target_path, how, rel): where each link goes, seen from its page."""
-    # The best captures serve three kinds of links.
-    best, links = best_captures(url_entries(captures), target), staged(links, "links")
+def resolved_links(links: DataFrame, best: DataFrame, html: DataFrame, target: int) -> DataFrame:
+    """``links`` (src_path, form, matched) with rel, where they go, seen from their page; null where they stay as they are.
+
+    ``best`` is of ``best_captures`` and ``html`` has the archive_path of files of server-side types that are HTML.
+    """
+    links = staged(_classified(links), "links")
     of_kind = lambda k: links.filter(F.col("kind") == k)
-    one = resolve_links(of_kind("absolute"), None, target, best).withColumn("kind", F.lit("absolute"))
-    two = resolve_wayback_paths(of_kind("wayback"), None, target, best).withColumn("kind", F.lit("wayback"))
-    by_url = links.filter("kind <> 'root'").join(one.unionByName(two), ["url", "kind"])
+    one = resolve_links(of_kind("absolute"), None, target, best).select("url", "target_path", F.lit("absolute").alias("kind"))
+    two = resolve_wayback_paths(of_kind("wayback"), None, target, best).select("url", "target_path", F.lit("wayback").alias("kind"))
+    four = of_kind("static").select("url").distinct().select("url", F.concat(F.lit("https/web-static.archive.org/_static/"), "url").alias("target_path"), F.lit("static").alias("kind"))
     three = resolve_root_relative(of_kind("root"), None, target, best)
     context = r"(?i)^(?:https?/)?web\.archive\.org/web/(\d{4,14}[a-z0-9_]*)/([^/]+)"
-    roots = of_kind("root").withColumn("ts_dir", F.regexp_extract("src_path", context, 1)).withColumn("host", F.regexp_extract("src_path", context, 2)).join(three, ["ts_dir", "host", "url"])
-    every = by_url.select("src_path", "url", "kind", "target_path", "how").unionByName(roots.select("src_path", "url", "kind", "target_path", "how")).filter("target_path IS NOT NULL")
-    html = sniffed(captures).filter("is_html").select(F.col("archive_path").alias("target_path"), F.lit(True).alias("is_html"))
-    every = every.join(html, "target_path", "left")
+    roots = of_kind("root").withColumn("ts_dir", F.regexp_extract("src_path", context, 1)).withColumn("host", F.regexp_extract("src_path", context, 2))
+    roots = roots.join(three.select("ts_dir", "host", "url", "target_path"), ["ts_dir", "host", "url"], "left").drop("ts_dir", "host")
+    every = links.filter("kind <> 'root'").join(one.unionByName(two).unionByName(four), ["url", "kind"], "left").unionByName(roots)
+    every = every.join(html.select(F.col("archive_path").alias("target_path"), F.lit(True).alias("is_html")), "target_path", "left")
     stored = F.concat("target_path", F.when(needs_html_suffix(F.col("target_path"), F.col("is_html")), ".html").otherwise(""))
-    rel = F.concat(relative(dir_of(F.col("src_path")), stored), hash_of(F.col("url")))
-    return every.select("src_path", "url", "kind", "target_path", "how", rel.alias("rel"))
+    away = F.when(F.col("kind") == "static", F.col("target_path")).otherwise(stored)
+    rel = F.concat(relative(dir_of(F.col("src_path")), away), F.when(F.col("kind") == "static", "").otherwise(hash_of(F.col("url"))))
+    return every.select("src_path", "form", "matched", rel.alias("rel"))
 
 
-def rewritten(texts: DataFrame, links: DataFrame) -> DataFrame:
-    """(archive_path, text) with the replacements put in; a link that only a pass brings about stays.
+_PASSES = tuple((form, group, re.compile(p, re.I | re.A)) for form, group, p in ((LINK, 3, ATTRIBUTE), (LINK, 1, CSS_URL), (IMPORTED, 1, IMPORT), (ARCHIVED, 3, WAYBACK_ANYWHERE), (ARCHIVE_PATH, 1, WAYBACK_PATH), (STATIC_FILE, 3, STATIC)))
+_AWAY = re.compile(r"https?:|ftp:|/", re.I)
 
-    A page that can't be rewritten has a null text: its bytes are then copied as they are.
-    """
-    # The links of one page, which its own text bounds.
-    maps = links.groupBy("src_path").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit(" "), "url"), "rel"))).alias("to"))
-    top = F.array_join(F.array_repeat(F.lit(".."), F.size(F.split("archive_path", "/")) - 1), "/")
-    top = F.when(top == "", "./").otherwise(F.concat(top, F.lit("/")))
 
-    @F.pandas_udf("string")
-    def put(texts: pd.Series, maps: pd.Series, tops: pd.Series) -> pd.Series:
-        def one(t, m, p):
-            try:
-                return _passes(t, dict(m) if m is not None else {}, p)
-            except (ValueError, RecursionError, re.error):
-                return None
+def _replaced(text: str, to: dict[str, str | None]) -> tuple[str, list[tuple[str, str]]]:
+    """A text after all passes, and what they have matched that ``to`` doesn't know.
 
-        return pd.Series([one(t, m, p) for t, m, p in zip(texts, maps, tops, strict=True)], dtype=object)
+    ``to`` has by form and match where a link goes, or None where it stays.
+    """
+    missed = {}
+    puts = (lambda m, rel: f"{m[1]}={m[2]}{rel}{m[2]}", lambda _, rel: f"url({rel})", lambda _, rel: f'@import "{rel}";', lambda _, rel: rel, lambda _, rel: rel, lambda m, rel: f"{m[1]}{rel}")
+    for (form, group, pattern), put in zip(_PASSES, puts, strict=True):
 
-    joined = texts.join(maps, texts["archive_path"] == maps["src_path"], "left")
-    return joined.select("archive_path", put("text", "to", top).alias("text"))
+        def one(m, form=form, group=group, put=put):
+            if form == LINK and not _AWAY.match(m[group]):
+                return m[0]
+            key = f"{form} {m[group]}"
+            if key not in to:
+                missed[form, m[group]] = True
+                return m[0]
+            return m[0] if to[key] is None else put(m, to[key])
 
+        text = pattern.sub(one, text)
+    return text, list(missed)
 
-_PASSES = {name: re.compile(p, re.I) for name, p in (("attribute", ATTRIBUTE), ("css", CSS_URL), ("import", IMPORT), ("anywhere", WAYBACK_ANYWHERE), ("path", WAYBACK_PATH), ("static", STATIC))}
-_KINDS = ((re.compile(r"/web/\d{4,14}", re.I), "wayback"), (re.compile(r"/(?!/)"), "root"), (re.compile(r"https?:|ftp:|//", re.I), "absolute"))
 
+_PUT = "text string, failed boolean, missed array<struct<form:string,matched:string>>"
 
-def _passes(text: str | None, to: dict[str, str], top: str) -> str | None:
-    if text is None:
-        return None
 
-    def look(url: str) -> str | None:
-        return next((to.get(f"{kind} {url}") for pattern, kind in _KINDS if pattern.match(url)), None)
+def _put(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(archive_path, text, failed, missed): texts with the replacements put in, and matches that weren't known."""
+    # The links of one page, which its own text bounds.
+    maps = known.groupBy("src_path").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("form", F.lit(" "), "matched"), "rel"))).alias("to"))
 
-    def original(rest: str) -> str:
-        m = re.match(r"(https?|ftp)/([^/]+)(/[^\n\r]*)?\Z", rest)
-        url = f"{m[1]}://{m[2]}{m[3] or ''}" if m else rest if re.match(r"https?://", rest, re.I) else f"http://{rest}"
-        return re.sub(r"\A(https?://)(https?://)", r"\1", url, flags=re.I)
+    @F.pandas_udf(_PUT)
+    def put(texts: pd.Series, maps: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, to in zip(texts, maps, strict=True):
+            try:
+                new, missed = (None, []) if text is None else _replaced(text, dict(to) if to is not None else {})
+                rows.append((new, False, [{"form": f, "matched": m} for f, m in missed]))
+            except (ValueError, RecursionError, re.error):
+                rows.append((None, True, []))
+        return pd.DataFrame(rows, columns=["text", "failed", "missed"])
 
-    def attribute(m):
-        rel = look(m[3])
-        return m[0] if rel is None else f"{m[1]}={m[2]}{rel}{m[2]}"
+    joined = texts.join(maps, texts["archive_path"] == maps["src_path"], "left")
+    return joined.select("archive_path", put("text", "to").alias("r")).select("archive_path", "r.*")
 
-    def css(m):
-        rel = look(m[1])
-        return m[0] if rel is None else f"url({rel})"
 
-    def imported(m):
-        rel = look(re.sub("['\"]", "", m[1]).strip())
-        return m[0] if rel is None else f'@import "{rel}";'
+def rewritten(texts: DataFrame, captures: DataFrame, target: int) -> DataFrame:
+    """(archive_path, text, failed) of ``texts`` (archive_path, text) with all links that lead anywhere put in.
 
-    text = _PASSES["attribute"].sub(attribute, text)
-    text = _PASSES["css"].sub(css, text)
-    text = _PASSES["import"].sub(imported, text)
-    text = _PASSES["anywhere"].sub(lambda m: to.get(f"absolute {original(m[3])}", m[0]), text)
-    text = _PASSES["path"].sub(lambda m: to.get(f"wayback {m[1]}", m[0]), text)
-    return _PASSES["static"].sub(lambda m: f"{m[1]}{top}https/web-static.archive.org/_static/{m[3]}", text)
+    The passes work one after the other, each on what the one before has left. A page that can't be rewritten has a null
+    text: its bytes are then copied as they are. Each round settles one pass more, so that there are at most as many
+    rounds as passes; nearly all pages need but one.
+    """
+    best = best_captures(url_entries(captures), target)
+    html = sniffed(captures).filter("is_html").select("archive_path")
+    known = staged(resolved_links(page_links(texts), best, html, target), "known")
+    done = staged(_put(texts, known), "put")
+    while not (more := done.filter(F.size("missed") > 0)).isEmpty():
+        links = more.select(F.col("archive_path").alias("src_path"), F.explode("missed").alias("l")).select("src_path", "l.*")
+        known = known.unionByName(staged(resolved_links(links, best, html, target), "known"))
+        again = _put(texts.join(more.select("archive_path"), "archive_path", "left_semi"), known.join(more.select(F.col("archive_path").alias("src_path")), "src_path", "left_semi"))
+        done = staged(done.filter(F.size("missed") == 0).unionByName(again), "put")
+    return done.drop("missed")
 
 
 def flatten(captures: DataFrame, target: int) -> DataFrame:
-    """(archive_path, output_path, action, content): the standalone tree of all captures."""
+    """(archive_path, output_path, action, failed, content): the standalone tree of all captures.
+
+    ``action`` is rewritten, copied, or error for a file whose content isn't there; ``failed`` says of a copied one that
+    it would have been rewritten if that had been possible.
+    """
     texts = staged(cleaned(captures), "texts")
-    done = rewritten(texts, resolved_links(page_links(texts), captures, target)).select("archive_path", F.encode("text", "ISO-8859-1").alias("rewritten"))
+    done = rewritten(texts, captures, target).select("archive_path", F.encode("text", "ISO-8859-1").alias("rewritten"), "failed")
     html = sniffed(captures).filter("is_html").select("archive_path", F.lit(True).alias("is_html"))
     every = captures.select("archive_path", "content").join(done, "archive_path", "left").join(html, "archive_path", "left")
     out = F.concat("archive_path", F.when(needs_html_suffix(F.col("archive_path"), F.col("is_html")), ".html").otherwise(""))
-    return every.select("archive_path", out.alias("output_path"), F.when(F.col("rewritten").isNotNull(), "rewritten").otherwise("copied").alias("action"), F.coalesce("rewritten", "content").alias("content"))
+    content = F.coalesce("rewritten", "content")
+    action = F.when(content.isNull(), "error").when(F.col("rewritten").isNotNull(), "rewritten").otherwise("copied")
+    return every.select("archive_path", out.alias("output_path"), action.alias("action"), F.coalesce("failed", F.lit(False)).alias("failed"), content.alias("content"))

@@ -23,6 +23,16 @@ HOSTS = (
     ("127.1", "127.0.0.1"), ("0x7f000001", "127.0.0.1"), ("0177.0.0.01", "127.0.0.1"), ("3232235777", "192.168.1.1"), ("256.1", None), ("[::1]", "[::1]"), ("[2001:DB8:0:0:1:0:0:1]", "[2001:db8::1:0:0:1]"), ("[::FFFF:1.2.3.4]", "[::ffff:102:304]"), ("[1::2::3]", None), ("a%FF.com", None), ("a b.com", None),
 )
 
+#: Marks that archives leave, one for each way; and whether the flattener and the server take them out. The last ones are a page's own.
+MARKS = (
+    ("<!-- BEGIN WAYBACK TOOLBAR INSERT -->\n<b>x</b>\n<!-- END WAYBACK TOOLBAR INSERT -->", True, True), ("<SCRIPT type='a' src='//archive.example/js/athena.js'>\n</SCRIPT>", True, True),
+    ("<script>window.addEventListener('DOMContentLoaded',function(){var v=archive_analytics.values;archive_analytics.send_pageview({});});</script>", True, True), ("<script>\n window.RufflePlayer=window.RufflePlayer||{};\n</script>", True, True),
+    ('<script type="t" src="/_static/js/ruffle/ruffle.js"></script>', True, True), ('<script src="/_static/js/wombat.js?v=txqj7nKC" charset="utf-8"></script>', True, False), ('<script src="/_static/js/bundle-playback.js?v=1"></script>', True, False),
+    ('<script type="t">\n<!-- \n __wm.init("/web");\n</script>', True, False), ('<script>__wm.wombat("http://x","2001","/","web");</script>', True, False), ("<BASE  target=_top>", True, False), ("<base>", True, False), ("<!-- End Wayback Rewrite JS Include -->", True, True),
+    ('<script src="//archive.org/includes/analytics.js?v=1"></script>', True, False), ("<link rel='x' href='https://www.archive.org/a.css' />", True, False),
+    ("<script src='/js/own.js'></script>", False, False), ("<script>window.other=1</script>", False, False), ("<basefont size=2>", False, False), ("<!-- BEGIN OTHER INSERT --><!-- END OTHER INSERT -->", False, False), ("<link href='/own.css'>", False, False),
+)
+
 ENDINGS = (".asp", ".css.asp", ".php", ".html", "", ".JS", "/index.html", ".jsp")
 
 
@@ -108,3 +118,18 @@ def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.concat(F.lit('<a href="http://'), F.regexp_replace("archive_path", r"^https/web\.archive\.org/web/[^/]*/|^[a-z]+/", ""), F.lit('#top">own</a>'))
     content = F.encode(F.concat(F.decode("content", "ISO-8859-1"), F.lit(INJECTED), own), "ISO-8859-1")
     return captures(spark, sf_dir).withColumn("content", content).withColumn("archive_path", F.concat(F.regexp_replace("archive_path", r"/$|\.html$", ""), F.lit(".html")))
+
+
+def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, text): pages with one of MARKS each in their middle."""
+    piece = F.element_at(F.array(*[F.lit(m) for m, _, _ in MARKS]), (F.col("page_id") % len(MARKS) + 1).cast("int"))
+    return pages(spark, sf_dir).select("page_id", F.concat(F.lit("<p>"), F.col("page_id").cast("string"), piece, F.lit("</p>"), "html").alias("text"))
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archived style sheets, scripts, images and pages of a server-side type."""
+    c = captures(spark, sf_dir).filter("archive_path LIKE 'https/web.archive.org/%'")
+    kind = F.pmod(F.length("archive_path"), F.lit(4))
+    ending = F.element_at(F.array(*map(F.lit, (".css", ".js", ".gif", ".php"))), (kind + 1).cast("int"))
+    text = F.element_at(F.array(F.lit("body{background:url( '/img/a.png' )}\n@import \"/css/b.css\";"), F.lit('var u="/web/2001im_/http://y.com/z.js";'), F.lit("GIF89a url(/x)"), F.lit('<html><a href="x.htm">')), (kind + 1).cast("int"))
+    return c.withColumn("content", text.cast("binary")).withColumn("archive_path", F.concat(F.regexp_replace("archive_path", r"/$", ""), ending))

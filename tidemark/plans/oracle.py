@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from ..functions.paths import ASSET_ENDINGS, ASSET_NAMES, HTML_EXTENSIONS, INDEX_NAMES, MIME_TYPES, NON_NATIVE_EXTENSIONS, SERVED_AS_HTML, TEXT_EXTENSIONS
 from ..functions.urls import DEFAULT_DOCS, DIRECTORY_INDEX, INFRASTRUCTURE
-from ..operators.rewrite import FLAT_REMOVALS, SHARED_REMOVALS
-from .fixtures import ENDINGS, HOSTS, INJECTED, TARGET
+from .fixtures import ENDINGS, HOSTS, INJECTED, MARKS, TARGET
 
 
 def _in(names) -> str:
@@ -119,8 +118,11 @@ def _tail(path: str) -> str:
 
 _SUFFIX = rf"""(ext IN {_in(NON_NATIVE_EXTENSIONS)} AND NOT regexp_matches(stem, '\.({"|".join(ASSET_ENDINGS)})$') AND stem NOT IN {_in(ASSET_NAMES)})"""
 _IS_INDEX = f"(ext = '' AND lower(base) IN {_in(INDEX_NAMES)})"
-_HTML_ROWS = """
-'<tr class="' || CASE WHEN pos % 2 = 1 THEN 'row-norm' ELSE 'row-alt' END || '"><td>' || type || '</td><td>' || date_display || '</td><td>' || domain || '</td><td><a href="' || file_path || '">' || file_path || '</a></td><td align="right">' || size || '</td></tr>'"""
+_CELLS = ["""'<td align="center"><span class="' || CASE WHEN type = 'Wayback' THEN 'b-wb' ELSE 'b-dir' END || '">' || upper(type) || '</span></td>'""", """'<td class="sml">' || date_display || '</td>'""", """'<td class="dom">' || domain || '</td>'""",
+  """'<td><a href="' || file_path || '" target="_blank">' || file_path || '</a></td>'""", """'<td class="sml" align="right">' || size || '</td>'"""]
+_STRIPE = """'<tr class="' || CASE WHEN pos % 2 = 1 THEN 'row-norm' ELSE 'row-alt' END || '">'"""
+_FLAT_ROWS = f"{_STRIPE} || {' || '.join(_CELLS)} || '</tr>'"
+_HTML_ROWS = f"'    ' || {_STRIPE} || {' || '.join(f"chr(10) || '        ' || {c}" for c in _CELLS)} || chr(10) || '    </tr>'"
 _CATALOGUE = (
     CAPTURES
     + r""", named AS (SELECT *, regexp_replace(archive_path, '/$|\.html$', '') || '.html' AS path FROM captures), listed AS (
@@ -140,14 +142,19 @@ MARKED_CLASSIFIED = CLASSIFIED.replace("captures AS (", "plain AS (").replace(")
 _BYTES = "CAST(strlen(t) AS BIGINT) AS n_bytes, md5(t) AS text_md5"
 
 
-def _without(text: str, patterns) -> str:
-    for pattern in patterns:
-        text = f"regexp_replace({text}, {_quoted(pattern)}, '', 'gi')"
+# What of INJECTED a server takes out, and what a flattener does, as it stands there.
+_SERVER_CUTS = ("<!-- BEGIN WAYBACK TOOLBAR INSERT --><div>bar</div><!-- END WAYBACK TOOLBAR INSERT -->", '<script src="/js/athena.js"></script>', "<script>window.RufflePlayer={}</script>")
+_FLAT_CUTS = (*_SERVER_CUTS, '<base href="http://x.com/">')
+
+
+def _without(text: str, cuts) -> str:
+    for cut in cuts:
+        text = f"replace({text}, {_quoted(cut)}, '')"
     return text
 
 
 def _cleaned_for_server(text: str) -> str:
-    return f"regexp_replace(regexp_replace({_without(text, SHARED_REMOVALS)}, 'https?://web-static\\.archive\\.org/_static/', '/_static/', 'gi'), '<!-- End Wayback Rewrite JS Include -->', '', 'gi')".replace("\\\\", "\\")
+    return f"regexp_replace(regexp_replace({_without(text, _SERVER_CUTS)}, 'https?://web-static\\.archive\\.org/_static/', '/_static/', 'gi'), '<!-- End Wayback Rewrite JS Include -->', '', 'gi')".replace("\\\\", "\\")
 
 
 def _served(text: str, ts: str) -> str:
@@ -171,7 +178,7 @@ def _flattened(columns: str) -> str:
     direct = "CASE WHEN url = 'http://x.com/' THEN 'http/x.com/index.html' WHEN url = 'http://archive.org/logo.png' THEN 'http/archive.org/logo.png' WHEN url = 'https://web.archive.org/web/20050101/http://x.com/b' THEN 'https/web.archive.org/web/20050101/x.com/b' END"
     direct = direct.replace(" END", f" WHEN ends_with(url, '#top') THEN {_page("regexp_replace(url, '[?#].*$', '')")} END")
     return rf"""WITH {MARKED_CLASSIFIED}, pages_in AS (
-      SELECT archive_path, is_wayback, CASE WHEN is_wayback THEN {_without("text", FLAT_REMOVALS)} ELSE text END AS text,
+      SELECT archive_path, is_wayback, CASE WHEN is_wayback THEN {_without("text", _FLAT_CUTS)} ELSE text END AS text,
         list_filter(string_split(regexp_replace(archive_path, '/[^/]*$', ''), '/'), lambda x: x <> '') AS dir, CASE WHEN is_wayback THEN 'https/web.archive.org/web/' || p[4] || '/' || p[5] END AS root FROM seg
     ), attrs AS (
       SELECT archive_path, m, regexp_extract(m, '^[a-zA-Z]+') AS attr, m[-1:] AS quote, regexp_extract(m, '=\s*["''](.*)["'']$', 1) AS url
@@ -193,7 +200,7 @@ def _flattened(columns: str) -> str:
     swapped AS (
       SELECT archive_path, dir, list_reduce(list_concat([{{'m': text, 'n': ''}}], coalesce(swaps, [])), lambda a, x: {{'m': replace(a.m, x.m, x.n), 'n': ''}}).m AS text FROM pages_in LEFT JOIN swaps USING (archive_path)
     ), done AS (
-      SELECT archive_path, replace(text, '''https://web-static.archive.org/_static/', '''' || CASE WHEN len(dir) = 0 THEN './' ELSE repeat('../', len(dir)) END || 'https/web-static.archive.org/_static/') AS t FROM swapped
+      SELECT archive_path, replace(text, '''https://web-static.archive.org/_static/', '''' || CASE WHEN len(dir) = 0 THEN './https/' WHEN dir[1] = 'https' THEN repeat('../', len(dir) - 1) ELSE repeat('../', len(dir)) || 'https/' END || 'web-static.archive.org/_static/') AS t FROM swapped
     ) SELECT archive_path, {columns} FROM done"""
 
 
@@ -258,7 +265,7 @@ ORACLES = {
     "flat_catalogue_html": f"""WITH {TYPED}, o AS (
       SELECT 'Direct' AS type, strftime(mtime, '%Y-%m-%d %H:%M') AS date_display, regexp_extract(archive_path, '^[^/]*') AS domain, archive_path AS file_path, CAST(CAST(ceil(size / 1024.0) AS BIGINT) AS VARCHAR) || 'KB' AS size,
         row_number() OVER (ORDER BY regexp_extract(archive_path, '^[^/]*'), mtime DESC, archive_path) AS pos
-      FROM typed WHERE size > 0 AND base <> 'index.html' AND NOT contains(base, 'screenshot') AND (ext IN ('.html', '.htm') OR {_IS_INDEX})) SELECT pos, {_HTML_ROWS} AS html FROM o""",
+      FROM typed WHERE size > 0 AND base <> 'index.html' AND NOT contains(base, 'screenshot') AND (ext IN ('.html', '.htm') OR {_IS_INDEX})) SELECT pos, {_FLAT_ROWS} AS html FROM o""",
     "directory_listing": _LISTING,
     "listing_pages": f"""WITH l AS ({_LISTING}), e AS (
       SELECT *, replace(replace(name, '&', '&amp;'), '''', '&#39;') AS shown, replace(replace(dir, '&', '&amp;'), '''', '&#39;') AS place FROM l
@@ -354,7 +361,15 @@ ORACLES = {
     "static_lookup": "SELECT page_id * 5 + 2 AS request_id, CASE WHEN page_id % 10 = 0 THEN 'https/web-static.archive.org/_static/js/' || page_id || '.js' END AS archive_path FROM pages",
     "rewrite_flat": _flattened(_BYTES),
     "flatten_outputs": _flattened("archive_path AS output_path, 'rewritten' AS action, md5(t) AS content_md5"),
-    "clean_flat": f"WITH {MARKED} SELECT archive_path, {_BYTES} FROM (SELECT archive_path, {_without('text', FLAT_REMOVALS)} AS t FROM marked)",
+    "flatten_mixed": rf"""WITH {CAPTURES}, m AS (
+      SELECT length(archive_path) % 4 AS kind, regexp_replace(archive_path, '/$', '') || ['.css', '.js', '.gif', '.php'][length(archive_path) % 4 + 1] AS archive_path FROM captures WHERE k >= 0
+    ), d AS (SELECT *, len(string_split(archive_path, '/')) - 1 AS depth FROM m),
+    r AS (SELECT *, CASE WHEN depth = 5 THEN './' ELSE repeat('../', depth - 5) END AS root, repeat('../', depth - 3) AS web FROM d)
+    SELECT archive_path, archive_path || CASE WHEN kind = 3 THEN '.html' ELSE '' END AS output_path, CASE WHEN kind = 2 THEN 'copied' ELSE 'rewritten' END AS action, false AS failed,
+      md5(['body{{background:url(' || root || 'img/a.png)}}' || chr(10) || '@import "' || root || 'css/b.css";', 'var u="' || web || '2001im_/y.com/z.js";', 'GIF89a url(/x)', '<html><a href="x.htm">'][kind + 1]) AS content_md5 FROM r""",
+    "clean_marks": f"""WITH m AS (SELECT page_id, html, [{", ".join(_quoted(m) for m, _, _ in MARKS)}][page_id % {len(MARKS)} + 1] AS piece, {[f for _, f, _ in MARKS]}[page_id % {len(MARKS)} + 1] AS flat, {[f for _, _, f in MARKS]}[page_id % {len(MARKS)} + 1] AS server FROM pages)
+      SELECT page_id, md5('<p>' || page_id || CASE WHEN flat THEN '' ELSE piece END || '</p>' || html) AS flat_md5, md5('<p>' || page_id || CASE WHEN server THEN '' ELSE piece END || '</p>' || html) AS server_md5 FROM m""",
+    "clean_flat": f"WITH {MARKED} SELECT archive_path, {_BYTES} FROM (SELECT archive_path, {_without('text', _FLAT_CUTS)} AS t FROM marked)",
     "clean_server": rf"""WITH {MARKED} SELECT archive_path, {_BYTES} FROM (
       SELECT archive_path, regexp_replace(regexp_replace({_cleaned_for_server("text")}, '__wm\.init\(["''][^"'']*["'']\)', '__wm.init("http://localhost:8080/web")', 'g'), '"https?://web\.archive\.org/"', '"http://localhost:8080/"', 'g') AS t FROM marked)""",
     "rewrite_server": f"WITH {MARKED} SELECT archive_path, {_BYTES} FROM (SELECT archive_path, {_served(_cleaned_for_server('text'), repr('20050101'))} AS t FROM marked)",

@@ -108,7 +108,7 @@ def catalogue_html(spark, sf_dir):
 
 @query
 def flat_catalogue_html(spark, sf_dir):
-    return C.html_rows(C.ordered(C.describe(C.flat_pages(X.typed(spark, sf_dir)), flat=True)))
+    return C.html_rows(C.ordered(C.describe(C.flat_pages(X.typed(spark, sf_dir)), flat=True)), flat=True)
 
 
 @query
@@ -372,7 +372,7 @@ def clean_flat(spark, sf_dir):
 def rewrite_flat(spark, sf_dir):
     captures = X.marked(spark, sf_dir)
     texts = staged(W.cleaned(captures), "texts")
-    done = W.rewritten(texts, W.resolved_links(W.page_links(texts), captures, X.TARGET))
+    done = W.rewritten(texts, captures, X.TARGET)
     return done.select("archive_path", F.length("text").cast("long").alias("n_bytes"), _digest(F.col("text")).alias("text_md5"))
 
 
@@ -381,3 +381,13 @@ def flatten_outputs(spark, sf_dir):
     return W.flatten(X.marked(spark, sf_dir), X.TARGET).select("archive_path", "output_path", "action", F.md5("content").alias("content_md5"))
 
 
+@query
+def flatten_mixed(spark, sf_dir):
+    """Style sheets, scripts and pages that are rewritten, and images that are copied."""
+    return W.flatten(X.mixed(spark, sf_dir), X.TARGET).select("archive_path", "output_path", "action", "failed", F.md5("content").alias("content_md5"))
+
+
+@query
+def clean_marks(spark, sf_dir):
+    marked = X.marks(spark, sf_dir)
+    return marked.select("page_id", F.md5(F.encode(W.clean_flat(F.col("text")), "UTF-8")).alias("flat_md5"), F.md5(F.encode(W.clean_server(F.col("text")), "UTF-8")).alias("server_md5"))
