@@ -108,26 +108,27 @@ def flattened(spark, body, path=PAGE, more=None):
     return {r.archive_path: r for r in out}[path].content.decode("latin-1")
 
 
-@pytest.mark.parametrize(
-    ("body", "want"),
-    [
-        ('<a href="/img/c.gif">', '<a href="../img/c.gif">'),
-        ('<a href="/dir/q.htm#s">', '<a href="./q.htm#s">'),
-        ("<a href = 'q.htm'>", "<a href = 'q.htm'>"),
-        ('<a href="#top"><a href="mailto:a@b">', '<a href="#top"><a href="mailto:a@b">'),
-        ('p{background:url("/dir/b.png")}', "p{background:url(./b.png)}"),
-        ('<a href="/dir/r.asp">', '<a href="./r.asp.html">'),
-        ("<img DATA-SRC = '/i.gif'>", "<img DATA-SRC='../i.gif'>"),
-        ('@import url("/c.css");', "@import url(../c.css);"),
-        ('@import "/c.css" ;', '@import "../c.css";'),
-        ('<a href="/web/2001/http://y.com/z.htm?q#h">', '<a href="../../../2001/y.com/z.htm?q#h#h">'),  # a computed path keeps the query
-        ('var u = "//web.archive.org/web/2001im_/http://y.com/z.gif";', 'var u = "../../../../../../http/y.com/z.gif";'),
-        ("'https://web-static.archive.org/_static/a.css?v=1'", "'../../../../../../https/web-static.archive.org/_static/a.css?v=1'"),
-        ("x\x85\xa0\xff y", "x\x85\xa0\xff y"),
-    ],
-)
-def test_flattening_rewrites(spark, body, want):
-    assert flattened(spark, body) == want
+REWRITES = [
+    ('<a href="/img/c.gif">', '<a href="../img/c.gif">'),
+    ('<a href="/dir/q.htm#s">', '<a href="./q.htm#s">'),
+    ("<a href = 'q.htm'>", "<a href = 'q.htm'>"),
+    ('<a href="#top"><a href="mailto:a@b">', '<a href="#top"><a href="mailto:a@b">'),
+    ('p{background:url("/dir/b.png")}', "p{background:url(./b.png)}"),
+    ('<a href="/dir/r.asp">', '<a href="./r.asp.html">'),
+    ("<img DATA-SRC = '/i.gif'>", "<img DATA-SRC='../i.gif'>"),
+    ('@import url("/c.css");', "@import url(../c.css);"),
+    ('@import "/c.css" ;', '@import "../c.css";'),
+    ('<a href="/web/2001/http://y.com/z.htm?q#h">', '<a href="../../../2001/y.com/z.htm?q#h#h">'),  # a computed path keeps the query
+    ('var u = "//web.archive.org/web/2001im_/http://y.com/z.gif";', 'var u = "../../../../../../http/y.com/z.gif";'),
+    ("'https://web-static.archive.org/_static/a.css?v=1'", "'../../../../../web-static.archive.org/_static/a.css?v=1'"),
+    ("x\x85\xa0\xff y", "x\x85\xa0\xff y"),
+]
+
+
+def test_flattening_rewrites(spark):
+    pages = {PAGE.replace("p.htm", f"p{i}.htm"): body for i, (body, _) in enumerate(REWRITES)}
+    out = {r.archive_path: r.content.decode("latin-1") for r in W.flatten(archive(spark, pages), 20080101000000).collect()}
+    assert [out[PAGE.replace("p.htm", f"p{i}.htm")] for i in range(len(REWRITES))] == [want for _, want in REWRITES]
 
 
 def test_flattening_of_direct_pages_and_of_what_is_there(spark):
@@ -207,9 +208,20 @@ def test_catalogue_rows(spark, tmp_path):
     assert [(r.pos, r.type, r.date_display, r.domain, r.size) for r in rows.orderBy("pos").collect()] == [
         (1, "Direct", "2023-11-14 22:13", "http", "1KB"), (2, "Direct", "2023-11-14 22:13", "http", "1KB"), (3, "Direct", "2023-11-14 22:13", "https", "1KB"), (4, "Wayback", "2003-04-04 18:35", "www.x.com", "2KB"),
     ]
-    C.write_report(rows, str(tmp_path / "r"), "Index", "end")
-    text = "\n".join(r.value for r in spark.read.text(sorted(str(p) for p in (tmp_path / "r").glob("part-*"))).collect())
-    assert text.count("<tr class=") == 4 and text.index("row-norm") < text.index("row-alt")
+    (page,) = C.report(rows, "now").collect()
+    text = bytes(page.content).decode()
+    assert page.path == "index.html" and text.count("<tr class=") == 4 and text.index('"row-norm"') < text.index('"row-alt"') and "<h1>Local Web Archive Index (4 Pages)</h1>" in text and "Generated on now" in text
+    assert '\n    <tr class="row-alt">\n        <td align="center"><span class="b-wb">WAYBACK</span></td>\n        <td class="sml">2003-04-04 18:35</td>\n        <td class="dom">www.x.com</td>\n' in text
+
+
+def test_reports_of_many_pages_and_of_none(spark, monkeypatch):
+    monkeypatch.setattr(C, "LISTED", 2)
+    rows = C.ordered(C.describe(C.flat_pages(archive(spark, [f"http/x.com/{i}.html" for i in range(5)] + ["index-2.html", "index.html"])), flat=True))
+    out = {r.path: bytes(r.content).decode() for r in C.report(rows, "now", flat=True).collect()}
+    assert {p: t.count("<tr class=") for p, t in out.items()} == {"index.html": 2, "index-2.html": 2, "index-3.html": 1}
+    assert "(5 Pages)" in out["index-3.html"] and 'href="index-3.html">more' in out["index-2.html"] and "more" not in out["index-3.html"]
+    (none,) = C.report(rows.limit(0), "now").collect()
+    assert none.path == "index.html" and b"(0 Pages)" in bytes(none.content)
 
 
 def test_listing_has_folders_first(spark):
@@ -330,26 +342,50 @@ def test_a_mark_in_a_page_stays(spark):
         assert texts(spark, text, lambda c: W.rewrite_server(c, F.lit("2005"))) == text
 
 
-def test_the_flattening_job_writes_a_tree_and_its_report(spark, tmp_path):
-    from tidemark import jobs
+def test_pages_that_cannot_be_rewritten_are_copied(spark, monkeypatch):
+    rows = spark.createDataFrame([("a.html", None), ("b.html", "<p>")], "archive_path string, text string")
+    assert {r.archive_path: r.text for r in W.rewritten(rows, archive(spark, []), 2008).collect()} == {"a.html": None, "b.html": "<p>"}
+    files = archive(spark, {"http/x.com/a.html": "<p>", "http/x.com/b.gif": "g"}).withColumn("content", F.when(F.col("archive_path").endswith("gif"), F.lit(None)).otherwise(F.col("content")))
+    assert {r.archive_path: r.action for r in W.flatten(files, 2008).collect()} == {"http/x.com/a.html": "rewritten", "http/x.com/b.gif": "error"}
 
-    archive_dir, out = tmp_path / "in", tmp_path / "out"
-    files = {PAGE: '<a href="/img/c.gif">', WB + "20030404183527/www.x.com/img/c.gif": "GIF", WB + "20030404183527/www.x.com/a.php": "<html>\xe9"}
-    for path, text in files.items():
-        (archive_dir / path).parent.mkdir(parents=True, exist_ok=True)
-        (archive_dir / path).write_bytes(text.encode("latin-1"))
-    done = jobs.flatten_tree(spark, str(archive_dir), str(out), 20080101000000).collect()
-    assert {r.action: r.n for r in done} == {"rewritten": 2, "copied": 1}
-    assert (out / PAGE).read_text() == '<a href="../img/c.gif">'
-    assert (out / (WB + "20030404183527/www.x.com/a.php.html")).read_bytes() == b"<html>\xe9"
-    report = "".join(p.read_text() for p in sorted((out / "index.report").glob("part-*")))
-    assert report.count("<tr class=") == 2 and "p.htm" in report
+    def broken(frame, known):
+        return frame.select("archive_path", F.lit(None).cast("string").alias("text"), F.lit(True).alias("failed"), F.array().cast("array<struct<form:string,matched:string>>").alias("missed"))
 
+    monkeypatch.setattr(W, "_put", broken)
+    assert [(r.action, r.failed, bytes(r.content)) for r in W.flatten(archive(spark, {"http/x.com/a.html": "<p>"}), 2008).collect()] == [("copied", True, b"<p>")]
 
-def test_pages_that_cannot_be_rewritten_are_copied(spark, monkeypatch):
-    rows = spark.createDataFrame([("a.html", None), ("b.html", "<p>")], "archive_path string, text string")
-    none = spark.createDataFrame([], "src_path string, url string, kind string, target_path string, how string, rel string")
-    assert {r.archive_path: r.text for r in W.rewritten(rows, none).collect()} == {"a.html": None, "b.html": "<p>"}
+
+def by_passes(spark, text, path, captures):
+    """The passes in their order, each link resolved by itself as it is met."""
+    best = R.best_captures(I.url_entries(captures), 20080101000000)
+    html = I.sniffed(captures).filter("is_html").select("archive_path")
+    for _ in range(200):
+        missed = W._replaced(text, known := {} if _ == 0 else known)[1]
+        if not missed:
+            return W._replaced(text, known)[0]
+        form, matched = missed[0]
+        one = spark.createDataFrame([(path, form, matched)], "src_path string, form string, matched string")
+        known[f"{form} {matched}"] = W.resolved_links(one, best, html, 20080101000000).first().rel
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        # The first pass appends .html to the name that the second one meets.
+        ('<a data="http://x.com/url(/q.php" )>', '<a data="../../../../../../http/x.com/url(../q.php.html)>'),
+        ('<a data="http://x.com/url(/url(/q.php" )>', None),
+        ("'https://web-static.archive.org/_static/../a/./b.css'", "'../../../../../web-static.archive.org/a/b.css'"),
+        ("x\xa0/web/2001/http://y.com/z\xa0y", "x\xa0../../../2001/y.com/z\xa0y"),
+    ],
+)
+def test_links_that_a_pass_brings_about(spark, body, want):
+    got = flattened(spark, body)
+    assert got == (want or got) and got == by_passes(spark, body, PAGE, archive(spark, {PAGE: body}))
+
+
+def test_static_files_share_the_folder_that_the_page_is_in(spark):
+    assert flattened(spark, "'https://web-static.archive.org/_static/js/a.js'", "https/x.com/a/p.html") == "'../../web-static.archive.org/_static/js/a.js'"
+    assert flattened(spark, "'https://web-static.archive.org/_static/js/a.js'", "p.html") == "'./https/web-static.archive.org/_static/js/a.js'"
 
 
 def test_configuration(spark, tmp_path):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,8 @@ def pages(captures: DataFrame) -> DataFrame:
 
 
 def flat_pages(captures: DataFrame) -> DataFrame:
-    """The files that a flattened tree's catalogue lists; index.html never is one."""
-    return visible(captures, ("index.html",)).filter((F.col("size") > 0) & is_flat_web_page(F.col("archive_path")))
+    """The files that a flattened tree's catalogue lists; index.html never is one, nor a further page of the report."""
+    return visible(captures, ("index.html",)).filter((F.col("size") > 0) & is_flat_web_page(F.col("archive_path")) & ~F.col("archive_path").rlike(r"^index-\d+\.html$"))
 
 
 def describe(files: DataFrame, flat: bool = False) -> DataFrame:
@@ -49,21 +51,45 @@ def ordered(rows: DataFrame) -> DataFrame:
     return ranked(rows, [], [F.col("domain"), F.desc("date_raw"), F.col("file_path")]).select("pos", *rows.columns)
 
 
-def html_rows(catalogue: DataFrame) -> DataFrame:
-    """(pos, html): the report's table rows, striped by place."""
-    cells = [F.concat(F.lit("<td>"), escape_html(F.col(c)), F.lit("</td>")) for c in ("type", "date_display", "domain")]
-    link = F.concat(F.lit('<td><a href="'), escape_html(F.col("file_path")), F.lit('">'), escape_html(F.col("file_path")), F.lit("</a></td>"))
-    size = F.concat(F.lit('<td align="right">'), F.col("size"), F.lit("</td>"))
-    stripe = F.when(F.col("pos") % 2 == 1, "row-norm").otherwise("row-alt")
-    return catalogue.select("pos", F.concat(F.lit('<tr class="'), stripe, F.lit('">'), *cells, link, size, F.lit("</tr>")).alias("html"))
+# The cells of a report's row, in one line or with a line each, and the head of its table.
+_CELLS = ('<td align="center"><span class="{badge}">{type}</span></td>', '<td class="sml">{date}</td>', '<td class="dom">{domain}</td>', '<td><a href="{path}" target="_blank">{path}</a></td>', '<td class="sml" align="right">{size}</td>')
+_HEAD = ('<th width="80">Type</th>', '<th width="140">Date</th>', '<th width="180">Domain</th>', "<th>Path</th>", '<th width="60">Size</th>')
+TITLES = {False: "Local Web Mirror Index", True: "Local Web Archive"}
+HEADINGS = {False: "Local Web Archive Index ({n} Pages)", True: "Local Web Archive ({n} Pages)"}
+FOOTERS = {False: "Best viewed in Internet Explorer 6", True: "Standalone archive"}
+
+_STYLE = "body{font:11px Verdana,sans-serif;margin:15px}table{width:100%;border-collapse:collapse}th,td{border:1px solid #999;padding:3px 5px;text-align:left}.row-alt{background:#f7f7f7}.b-wb,.b-dir{color:#fff;font-weight:bold;padding:1px 3px}.b-wb{background:#c60}.b-dir{background:#06c}.dom{font-weight:bold}.sml{color:#666;font-size:10px}.footer{color:#999;font-size:10px;text-align:center}"
+
 
+def html_rows(catalogue: DataFrame, flat: bool = False) -> DataFrame:
+    """(pos, html): the report's table rows, striped by place; a flattened tree's have one line each."""
+    values = {
+        "badge": F.when(F.col("type") == "Wayback", "b-wb").otherwise("b-dir"), "type": escape_html(F.upper("type")), "date": escape_html(F.col("date_display")),
+        "domain": escape_html(F.col("domain")), "path": escape_html(F.col("file_path")), "size": escape_html(F.col("size")),
+    }
+    template = '<tr class="{stripe}">' + "".join(_CELLS) + "</tr>" if flat else '    <tr class="{stripe}">\n        ' + "\n        ".join(_CELLS) + "\n    </tr>"
+    values["stripe"] = F.when(F.col("pos") % 2 == 1, "row-norm").otherwise("row-alt")
+    parts = re.split(r"\{(\w+)\}", template)
+    return catalogue.select("pos", F.concat(*[values[x] if k % 2 else F.lit(x) for k, x in enumerate(parts)]).alias("html"))
 
-def write_report(catalogue: DataFrame, path: str, title: str, footer: str) -> None:
-    """The HTML report as text files in order: head, rows, foot."""
-    head = f'<!DOCTYPE HTML PUBLIC "-//W3C//DTD HTML 4.01//EN" "http://www.w3.org/TR/html4/strict.dtd">\n<html><head><title>{title}</title></head><body><table>\n<tr><th>Type</th><th>Date</th><th>Domain</th><th>Path</th><th>Size</th></tr>'
-    spark = catalogue.sparkSession
-    ends = spark.createDataFrame([(0, head), (1 << 62, f"</table><hr><div>{footer}</div></body></html>")], "pos long, html string")
-    html_rows(catalogue).unionByName(ends).repartitionByRange("pos").sortWithinPartitions("pos").select("html").write.text(path)
+
+def report(catalogue: DataFrame, generated: str, flat: bool = False) -> DataFrame:
+    """(path, content): the report's pages, index.html and from LISTED rows on index-2.html and so forth, each with a link to the next.
+
+    ``generated`` is the time that the foot names.
+    """
+    total = catalogue.agg(F.count("*").alias("total"))
+    paged = html_rows(catalogue, flat).withColumn("page", F.expr(f"(pos - 1) div {LISTED}")).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("pos", "html"))).alias("rows"))
+    # An empty catalogue has a page too; the counts are a table of one row.
+    pages = F.broadcast(total).join(paged, F.lit(True), "left").withColumn("page", F.coalesce("page", F.lit(0)))
+    heading = F.concat(*[F.col("total").cast("string") if k % 2 else F.lit(x) for k, x in enumerate(re.split(r"\{(n)\}", HEADINGS[flat]))])
+    head = f'<!DOCTYPE HTML PUBLIC "-//W3C//DTD HTML 4.01 Transitional//EN">\n<html>\n<head>\n<meta http-equiv="Content-Type" content="text/html; charset=utf-8">\n<title>{TITLES[flat]}</title>\n<style type="text/css">{_STYLE}</style>\n</head>\n<body>\n<h1>'
+    table = '</h1>\n<table cellpadding="0" cellspacing="0">\n<tr>' + "".join(_HEAD) + "</tr>\n"
+    rows = F.coalesce(F.array_join(F.transform("rows", lambda r: r["html"]), "\n"), F.lit(""))
+    more = F.when((F.col("page") + 1) * LISTED < F.col("total"), F.concat(F.lit('<p><a href="index-'), (F.col("page") + 2).cast("string"), F.lit('.html">more</a></p>\n'))).otherwise("")
+    foot = F.concat(F.lit("\n</table>\n"), more, F.lit(f'<div class="footer">Generated on {generated} &bull; {FOOTERS[flat]}</div>\n</body>\n</html>'))
+    name = F.when(F.col("page") == 0, "index.html").otherwise(F.concat(F.lit("index-"), (F.col("page") + 1).cast("string"), F.lit(".html")))
+    return pages.select(name.alias("path"), F.encode(F.concat(F.lit(head), heading, F.lit(table), rows, foot), "UTF-8").alias("content"))
 
 
 def listing(captures: DataFrame) -> DataFrame:

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .staging import staged
+from .writer import file_system
+
+#: Levels of folders that are listed one by one before tasks go down on their own, and tasks that do.
+LEVELS, FOLDERS = 4, 64
 
 IGNORED = ("node_modules", "download_state.json", "filename_mapping.json", "__MACOSX", ".DS_Store", "http_", "https_")
 
@@ -17,6 +25,66 @@ def from_files(spark: SparkSession, root: str) -> DataFrame:
     return base.filter(F.col("at").startswith(top)).select(F.col("at").substr(F.lit(len(top) + 1), F.length("at")).alias("archive_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
 
 
+def list_folder(where, folder: str) -> list[tuple[str, bool, int, int]]:
+    """(name, whether a folder, size, microseconds since 1970) of a folder's entries."""
+    from pyarrow import fs
+
+    found = where.get_file_info(fs.FileSelector(folder))
+    return [(f.base_name, f.type == fs.FileType.Directory, f.size or 0, (f.mtime_ns or 0) // 1000) for f in found if f.type != fs.FileType.NotFound]
+
+
+_WALKED = "kind string, archive_path string, size long, mtime long, error string"
+
+
+def walk(spark: SparkSession, root: str, ignored: tuple[str, ...] = ("node_modules",), listed=list_folder) -> DataFrame:
+    """(kind, archive_path, size, mtime, error) of the files under ``root``, and of folders that can't be read, whose kind is unread.
+
+    Tasks list folders, level by level until there are enough of them, and then each the whole of what lies below its
+    own. Hidden folders and ``ignored`` ones aren't entered. What can't be read is reported, and the rest goes on.
+    """
+
+    def run(frames, whole: bool):
+        where, top = file_system(root)
+        for frame in frames:
+            for start in frame["archive_path"]:
+                left, rows = [start], []
+                while left:
+                    folder = left.pop()
+                    try:
+                        entries = listed(where, f"{top.rstrip('/')}/{folder}".rstrip("/"))
+                    except OSError as e:
+                        rows.append(("unread", folder, None, None, str(e)))
+                        continue
+                    for name, is_folder, size, mtime in entries:
+                        path = f"{folder}/{name}".lstrip("/")
+                        if not is_folder:
+                            rows.append(("file", path, size, mtime, None))
+                        elif not (name.startswith(".") or name in ignored):
+                            if whole:
+                                left.append(path)
+                            else:
+                                rows.append(("folder", path, None, None, None))
+                    if len(rows) >= 10_000:
+                        yield _walked(rows)
+                        rows = []
+                yield _walked(rows)
+
+    found, front = [], spark.createDataFrame([("",)], "archive_path string")
+    for level in range(LEVELS + 1):
+        last = level == LEVELS
+        step = staged(front.repartition(FOLDERS).mapInPandas(lambda frames, last=last: run(frames, last), _WALKED), "walk")
+        found.append(step.filter("kind <> 'folder'"))
+        front = step.filter("kind = 'folder'").select("archive_path")
+        if front.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found).withColumn("mtime", F.timestamp_micros("mtime"))
+
+
+def _walked(rows: list) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=["kind", "archive_path", "size", "mtime", "error"])
+    return frame.astype({"size": "Int64", "mtime": "Int64"})
+
+
 def from_pages(pages: DataFrame) -> DataFrame:
     """Derived captures of a table of pages (page_id, url, html): a fixture, not observed captures.
 
