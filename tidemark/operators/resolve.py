@@ -30,13 +30,6 @@ def probe_keys(u: Column, with_extensions: bool) -> Column:
     return F.array_distinct(F.flatten(F.transform(pairs, lambda x: F.transform(paths, lambda q: key(x["p"], x["h"], u["port"], q)))))
 
 
-def _probes(links: DataFrame, url: str, with_extensions: bool, carry: list[str]) -> DataFrame:
-    # A URL without a parse has null keys, which meet nothing.
-    distinct = links.select(F.col(url).alias("url"), *carry).distinct().withColumn("u", parse_link(F.col("url")))
-    probes = distinct.select("url", *carry, F.col("u.protocol").alias("protocol"), F.posexplode(probe_keys(F.col("u"), with_extensions)).alias("key_rank", "url_key"))
-    return probes.withColumn("other_protocol", F.substring_index("url_key", "://", 1) != F.col("protocol"))
-
-
 def best_captures(index: DataFrame, target: int) -> DataFrame:
     """(url_key, ts_dir, distance, archive_path): of each key and folder the capture nearest to ``target``.
 
@@ -47,91 +40,81 @@ def best_captures(index: DataFrame, target: int) -> DataFrame:
     return staged(best.select("url_key", "ts_dir", "best.distance", "best.archive_path"), "best")
 
 
-def _of_key(best: DataFrame) -> DataFrame:
-    return best.groupBy("url_key").agg(F.min(F.struct("distance", "archive_path")).alias("b")).select("url_key", "b.distance", "b.archive_path")
+#: What names a link's resolution: its kind, the URL that is looked up, and of a Wayback link or page the folder and host.
+ASKED = ["kind", "lookup", "ts_dir", "host"]
 
 
-def resolve(links: DataFrame, best: DataFrame, url: str = "url") -> DataFrame:
-    """(url, target_path) of every distinct URL that has a capture.
+def resolve(asked: DataFrame, best: DataFrame) -> DataFrame:
+    """``asked`` (kind, lookup, ts_dir, host; no nulls) with target_path, for those that have a capture; each once.
 
-    ``best`` is of ``best_captures``. Of all captures under the tried keys the best has the URL's own
-    protocol, then the smallest distance of its timestamp as a number, then the earlier key, then the
-    first path.
+    ``best`` is of ``best_captures``. Of all captures under the tried keys the best has the URL's own protocol, then the
+    smallest distance of its timestamp as a number, then the earlier key, then the first path. An ``absolute`` link is
+    tried with extensions added. For a ``wayback`` link a capture in its own folder comes before all else, and no
+    extensions are added. A ``root`` link has four attempts: as a Wayback link of its page's folder and host under http and
+    https, and with extensions added under http and https. All kinds and attempts meet the index in one go, ranked. The
+    keys under http and https are the same but for their order, so that https is tried only where a host has a port,
+    which one of them may imply.
     """
-    hits = _probes(links, url, True, []).join(_of_key(best), "url_key")
-    rank = F.struct("other_protocol", "distance", "key_rank", "archive_path")
-    return hits.groupBy("url").agg(F.min(rank).alias("best")).select("url", F.col("best.archive_path").alias("target_path"))
+    root = F.col("kind") == "root"
+    schemes = F.when(root & F.col("host").contains(":"), F.array(F.lit("http://"), F.lit("https://"))).when(root, F.array(F.lit("http://"))).otherwise(F.array(F.lit("")))
+    urls = asked.select(*ASKED).distinct().select(*ASKED, F.posexplode(schemes).alias("attempt", "scheme"))
+    # A URL without a parse has null keys, which meet nothing.
+    urls = urls.withColumn("u", parse_link(F.when(root, F.concat("scheme", "host", "lookup")).otherwise(F.col("lookup"))))
+    urls = urls.withColumn("plain", probe_keys(F.col("u"), False)).withColumn("wide", probe_keys(F.col("u"), True))
+    flagged = lambda keys, added: F.transform(keys, lambda k: F.struct(F.lit(added).alias("added"), k.alias("url_key")))
+    keys = F.when(F.col("kind") == "absolute", flagged(F.col("wide"), False)).when(root, F.concat(flagged(F.col("plain"), False), flagged(F.array_except("wide", "plain"), True))).otherwise(flagged(F.col("plain"), False))
+    probes = urls.select(*ASKED, "attempt", F.col("u.protocol").alias("protocol"), F.posexplode(keys).alias("key_rank", "k"))
+    probes = probes.select(*ASKED, "key_rank", "k.url_key", "k.added", (F.col("attempt") + F.when(F.col("k.added"), 2).otherwise(0)).alias("attempt"), (F.substring_index("k.url_key", "://", 1) != F.col("protocol")).alias("other_protocol"))
+    of_key = best.groupBy("url_key").agg(F.min(F.struct("distance", "archive_path")).alias("b")).select("url_key", "b.distance", "b.archive_path")
+    wanted = [*ASKED, "attempt", "elsewhere", "other_protocol", "distance", "key_rank", "archive_path"]
+    apart = (F.col("kind") != "absolute") & ~F.col("added") & ~F.col("archive_path").contains(F.concat(F.lit("/"), F.col("ts_dir"), F.lit("/")))
+    hits = probes.join(of_key, "url_key").withColumn("elsewhere", apart).select(*wanted)
+    exact = probes.join(best, ["url_key", "ts_dir"]).withColumn("elsewhere", F.lit(False)).select(*wanted)
+    rank = F.struct("attempt", "elsewhere", "other_protocol", "distance", "key_rank", "archive_path")
+    return hits.unionByName(exact).groupBy(*ASKED).agg(F.min(rank).alias("b")).select(*ASKED, F.col("b.archive_path").alias("target_path"))
 
 
-def _preferring(probes: DataFrame, best: DataFrame, more: list[str]) -> DataFrame:
-    """Captures under ``probes`` (url, ts_dir, url_key, ...) with ``elsewhere``: whether not in the folder ts_dir.
+def lookups(links: DataFrame) -> DataFrame:
+    """``links`` (src_path, url, kind) with lookup, ts_dir and host, which name their resolution; lookup is null for what isn't looked up."""
+    w, c = F.col("_w"), F.col("_c")
+    found = links.withColumn("_w", F.when(F.col("kind") == "wayback", wayback_lookup(F.col("url")))).withColumn("_c", F.when(F.col("kind") == "root", page_context(F.col("src_path"))))
+    lookup = strip_query(F.when(F.col("kind") == "wayback", w["lookup"]).when((F.col("kind") == "absolute") | c.isNotNull(), F.col("url")))
+    folder = F.coalesce(F.concat(w["ts"], w["flags"]), F.concat(c["ts"], c["flags"]), F.lit(""))
+    return found.select(*links.columns, lookup.alias("lookup"), folder.alias("ts_dir"), F.coalesce(c["host"], F.lit("")).alias("host"))
 
-    Of each key the best capture of all, and the best in the folder.
-    """
-    wanted = ["url", "ts_dir", *more, "elsewhere", "other_protocol", "distance", "key_rank", "archive_path"]
-    plain = probes.join(_of_key(best), "url_key").withColumn("elsewhere", ~F.col("archive_path").contains(F.concat(F.lit("/"), F.col("ts_dir"), F.lit("/"))))
-    exact = probes.join(best, ["url_key", "ts_dir"]).withColumn("elsewhere", F.lit(False))
-    return plain.select(*wanted).unionByName(exact.select(*wanted))
 
+def destinations(links: DataFrame, best: DataFrame) -> DataFrame:
+    """``links`` (src_path, url, kind; kinds absolute, wayback and root) with lookup, ts_dir, host, target_path and how: from the index, else a computed fallback."""
+    asked = lookups(links)
+    joined = asked.join(resolve(asked.filter("lookup IS NOT NULL"), best), ASKED, "left")
+    beside = F.concat(F.lit("https/web.archive.org/web/"), "ts_dir", F.lit("/"), "host", "lookup")
+    fallback = F.when(F.col("kind") == "root", beside).otherwise(fallback_path(F.when(F.col("kind") == "wayback", F.col("url")).otherwise(F.col("lookup"))))
+    joined = joined.withColumn("_fallback", fallback)
+    how = F.when(F.col("target_path").isNotNull(), "index").when(F.col("_fallback").isNotNull(), "fallback")
+    return joined.select(*asked.columns, F.coalesce("target_path", "_fallback").alias("target_path"), how.alias("how"))
 
-def resolve_preferring(links: DataFrame, best: DataFrame) -> DataFrame:
-    """(url, ts_dir, target_path) for distinct (url, ts_dir): a capture in the folder ts_dir comes first.
 
-    Else as ``resolve``, without the keys that add an extension.
-    """
-    hits = _preferring(_probes(links, "url", False, ["ts_dir"]), best, [])
-    rank = F.struct("elsewhere", "other_protocol", "distance", "key_rank", "archive_path")
-    return hits.groupBy("url", "ts_dir").agg(F.min(rank).alias("best")).select("url", "ts_dir", F.col("best.archive_path").alias("target_path"))
+def _of_kind(links: DataFrame, kind: str, index: DataFrame, target: int) -> DataFrame:
+    source = F.col("src_path") if kind == "root" else F.lit("").alias("src_path")
+    return destinations(links.select(source, "url", F.lit(kind).alias("kind")).distinct(), best_captures(index, target))
 
 
-def resolve_links(links: DataFrame, index: DataFrame | None, target: int, best: DataFrame | None = None) -> DataFrame:
+def resolve_links(links: DataFrame, index: DataFrame, target: int) -> DataFrame:
     """(url, target_path, how) of distinct absolute links: from the index, else a computed fallback."""
-    best = best_captures(index, target) if best is None else best
-    distinct = links.select("url").distinct().withColumn("lookup", strip_query(F.col("url")))
-    found = resolve(distinct, best, "lookup").withColumnRenamed("url", "lookup")
-    joined = distinct.join(found, "lookup", "left").withColumn("fallback", fallback_path(F.col("lookup")))
-    how = F.when(F.col("target_path").isNotNull(), "index").when(F.col("fallback").isNotNull(), "fallback")
-    return joined.select("url", F.coalesce("target_path", "fallback").alias("target_path"), how.alias("how"))
+    return _of_kind(links, "absolute", index, target).select("url", "target_path", "how")
 
 
-def resolve_wayback_paths(links: DataFrame, index: DataFrame | None, target: int, best: DataFrame | None = None) -> DataFrame:
+def resolve_wayback_paths(links: DataFrame, index: DataFrame, target: int) -> DataFrame:
     """(url, target_path, how) of distinct /web/<ts><flags>/<rest> links."""
-    best = best_captures(index, target) if best is None else best
-    w = wayback_lookup(F.col("link"))
-    distinct = links.select(F.col("url").alias("link")).distinct().withColumn("w", w).filter("w IS NOT NULL")
-    distinct = distinct.select("link", strip_query(F.col("w.lookup")).alias("url"), F.concat("w.ts", "w.flags").alias("ts_dir"))
-    found = resolve_preferring(distinct, best)
-    joined = distinct.join(found, ["url", "ts_dir"], "left").withColumn("fallback", fallback_path(F.col("link")))
-    how = F.when(F.col("target_path").isNotNull(), "index").when(F.col("fallback").isNotNull(), "fallback")
-    return joined.select(F.col("link").alias("url"), F.coalesce("target_path", "fallback").alias("target_path"), how.alias("how"))
-
-
-def resolve_root_relative(links: DataFrame, index: DataFrame | None, target: int, best: DataFrame | None = None) -> DataFrame:
-    """(ts_dir, host, url, target_path, how) of distinct root-relative links of Wayback pages.
-
-    ``links`` has src_path and url. Four attempts: in the page's own folder first under http and https,
-    then with an extension added under http and https; else a path beside the page. All attempts' keys
-    meet the index in one go, ranked by attempt. The keys under http and https are the same but for
-    their order, so that https is tried only where a host has a port, which one of them may imply.
-    """
-    best = best_captures(index, target) if best is None else best
+    return _of_kind(links, "wayback", index, target).filter("lookup IS NOT NULL").select("url", "target_path", "how")
+
+
+def resolve_root_relative(links: DataFrame, index: DataFrame, target: int) -> DataFrame:
+    """(ts_dir, host, url, target_path, how) of distinct root-relative links of Wayback pages; ``links`` has src_path and url."""
     pages = links.select("src_path", "url").withColumn("c", page_context(F.col("src_path"))).filter("c IS NOT NULL")
-    asked = pages.select(F.concat("c.ts", "c.flags").alias("ts_dir"), F.col("c.host").alias("host"), F.col("url").alias("link")).distinct().withColumn("clean", strip_query(F.col("link")))
-    schemes = F.when(F.col("host").contains(":"), F.array(F.lit("http://"), F.lit("https://"))).otherwise(F.array(F.lit("http://")))
-    urls = asked.select("ts_dir", "host", "clean").distinct().select("ts_dir", "host", "clean", F.posexplode(schemes).alias("attempt", "scheme"))
-    urls = urls.withColumn("url", F.concat("scheme", "host", "clean")).withColumn("u", parse_link(F.col("url")))
-    flagged = lambda keys, added: F.transform(keys, lambda k: F.struct(F.lit(added).alias("added"), k.alias("url_key")))
-    plain = probe_keys(F.col("u"), False)
-    keys = F.concat(flagged(plain, False), flagged(F.array_except(probe_keys(F.col("u"), True), plain), True))
-    probes = urls.select("url", "ts_dir", "host", "clean", "attempt", F.col("u.protocol").alias("protocol"), F.posexplode(keys).alias("key_rank", "k"))
-    probes = probes.select("url", "ts_dir", "host", "clean", "key_rank", "k.url_key", "k.added", (F.col("attempt") + F.when(F.col("k.added"), 2).otherwise(0)).alias("attempt"), (F.substring_index("k.url_key", "://", 1) != F.col("protocol")).alias("other_protocol"))
-    hits = _preferring(probes, best, ["host", "clean", "attempt", "added"]).withColumn("elsewhere", F.col("elsewhere") & ~F.col("added"))
-    rank = F.struct("attempt", "elsewhere", "other_protocol", "distance", "key_rank", "archive_path")
-    found = hits.groupBy("ts_dir", "host", "clean").agg(F.min(rank).alias("b")).select("ts_dir", "host", "clean", F.col("b.archive_path").alias("target_path"))
-    joined = asked.join(found, ["ts_dir", "host", "clean"], "left")
-    beside = F.concat(F.lit("https/web.archive.org/web/"), "ts_dir", F.lit("/"), "host", "clean")
-    how = F.when(F.col("target_path").isNotNull(), "index").otherwise("fallback")
-    return joined.select("ts_dir", "host", F.col("link").alias("url"), F.coalesce("target_path", beside).alias("target_path"), how.alias("how"))
+    # One page of each folder and host will do for all.
+    one = pages.groupBy("c.ts", "c.flags", "c.host", "url").agg(F.min("src_path").alias("src_path"))
+    return _of_kind(one, "root", index, target).select("ts_dir", "host", "url", "target_path", "how")
 
 
 def request_path(url: Column) -> Column:

@@ -18,7 +18,7 @@ from ..functions.paths import DOT, S, dir_of, hash_of, is_html_file, is_text_fil
 from ..functions.urls import INFRASTRUCTURE, link_kind
 from ..sources.staging import staged
 from .index import sniffed, url_entries
-from .resolve import best_captures, resolve_links, resolve_root_relative, resolve_wayback_paths
+from .resolve import best_captures, destinations
 
 # What archives inject into pages. Each is removed wherever it stands.
 _ANY = r"[\s\S]*?"
@@ -152,15 +152,9 @@ def resolved_links(links: DataFrame, best: DataFrame, html: DataFrame, target: i
     ``best`` is of ``best_captures`` and ``html`` has the archive_path of files of server-side types that are HTML.
     """
     links = staged(_classified(links), "links")
-    of_kind = lambda k: links.filter(F.col("kind") == k)
-    one = resolve_links(of_kind("absolute"), None, target, best).select("url", "target_path", F.lit("absolute").alias("kind"))
-    two = resolve_wayback_paths(of_kind("wayback"), None, target, best).select("url", "target_path", F.lit("wayback").alias("kind"))
-    four = of_kind("static").select("url").distinct().select("url", F.concat(F.lit("https/web-static.archive.org/_static/"), "url").alias("target_path"), F.lit("static").alias("kind"))
-    three = resolve_root_relative(of_kind("root"), None, target, best)
-    context = r"(?i)^(?:https?/)?web\.archive\.org/web/(\d{4,14}[a-z0-9_]*)/([^/]+)"
-    roots = of_kind("root").withColumn("ts_dir", F.regexp_extract("src_path", context, 1)).withColumn("host", F.regexp_extract("src_path", context, 2))
-    roots = roots.join(three.select("ts_dir", "host", "url", "target_path"), ["ts_dir", "host", "url"], "left").drop("ts_dir", "host")
-    every = links.filter("kind <> 'root'").join(one.unionByName(two).unionByName(four), ["url", "kind"], "left").unionByName(roots)
+    led = destinations(links.filter(F.col("kind").isin("absolute", "wayback", "root")), best).select("src_path", "form", "matched", "url", "kind", "target_path")
+    static = F.when(F.col("kind") == "static", F.concat(F.lit("https/web-static.archive.org/_static/"), "url"))
+    every = led.unionByName(links.filter(~F.col("kind").isin("absolute", "wayback", "root")).withColumn("target_path", static))
     every = every.join(html.select(F.col("archive_path").alias("target_path"), F.lit(True).alias("is_html")), "target_path", "left")
     stored = F.concat("target_path", F.when(needs_html_suffix(F.col("target_path"), F.col("is_html")), ".html").otherwise(""))
     away = F.when(F.col("kind") == "static", F.col("target_path")).otherwise(stored)
