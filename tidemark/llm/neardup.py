@@ -208,7 +208,8 @@ def link_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = 80, b
     the row's own). Equal sets are one node from the start, so copies are never paired.
 
     A null or wordless text has an empty set and links with nothing. A text of fewer than ``width``
-    words is one shingle. A row with a null doc_id links with nothing: its component_id is null and
+    words is one shingle. Hashes are folded to 2**20 places for the signatures: sets of very many more shingles share
+    all their buckets, which costs time; links are confirmed on whole sets all the same. A row with a null doc_id links with nothing: its component_id is null and
     it is kept. Rows that repeat a doc_id with other texts are linked by their texts alone, each in
     its own class. An empty table gives an empty result.
     """

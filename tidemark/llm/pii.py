@@ -220,7 +220,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     as arrays of (kind, start, end) in the order of KINDS and then of start; code points, ends
     exclusive. Secrets (opaque tokens such as keys) are added by contexts only. An added span
     overlaps no other span of the row; what fails a card's check sum is never added. Contexts reach
-    REACH code points to either side. A null or empty text has no spans; repeated rows give repeated
+    REACH code points to either side. Spelt-out addresses, which contexts may add, are looked for as long as
+    mail allows: 64 characters before the sign and 9 labels of 63 after it; the fixed patterns have no such bound. A null or empty text has no spans; repeated rows give repeated
     results; further columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
