@@ -405,6 +405,27 @@ def test_staged_tables_are_in_one_folder_of_the_run(spark):
     assert kept.count() == 3 and all(staging_dir(spark) in f for f in kept.inputFiles())
 
 
+def test_what_a_scope_has_staged_goes_with_it(spark):
+    import os
+    from urllib.parse import urlsplit
+
+    from tidemark.sources.staging import staged, staging_scope
+
+    at = lambda df: os.path.exists(urlsplit(df.inputFiles()[0]).path)
+    outside = staged(spark.range(3), "outside")
+    with staging_scope(spark):
+        outer = staged(spark.range(4), "outer")
+        with staging_scope(spark):
+            inner = staged(outer, "inner")
+            assert inner.count() == 4
+        assert not at(inner) and at(outer)
+    assert not at(outer) and outside.count() == 3
+    with pytest.raises(ZeroDivisionError), staging_scope(spark):
+        outer = staged(spark.range(4), "outer")
+        raise ZeroDivisionError
+    assert not at(outer)
+
+
 def test_a_cluster_without_a_shared_folder_is_refused():
     from types import SimpleNamespace as Fake
 

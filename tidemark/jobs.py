@@ -21,7 +21,7 @@ from tidemark.operators.rewrite import flatten
 from tidemark.operators.serve import serve_files
 from tidemark.sources.captures import from_files, walk
 from tidemark.sources.config import save_location
-from tidemark.sources.staging import clear_staged
+from tidemark.sources.staging import clear_staged, staging_scope
 from tidemark.sources.writer import write_tree
 from tidemark.streaming.ingest import compact, ingest, write_state
 
@@ -43,15 +43,17 @@ def flatten_tree(spark: SparkSession, archive: str, output: str, target: int, ge
     """
     count = Observation()
     is_ = lambda action: F.count_if(F.col("action") == action)
-    done = flatten(from_files(spark, archive), target).observe(count, is_("rewritten").alias("rewritten"), is_("copied").alias("copied"), F.count_if("failed").alias("failed"), is_("error").alias("errors"))
-    write_tree(done.select(F.col("output_path").alias("path"), "content"), output)
-    write_tree(report(ordered(describe(flat_pages(_listed(spark, output)), flat=True)), generated or _now(), flat=True), output)
-    return count.get
+    with staging_scope(spark):
+        done = flatten(from_files(spark, archive), target).observe(count, is_("rewritten").alias("rewritten"), is_("copied").alias("copied"), F.count_if("failed").alias("failed"), is_("error").alias("errors"))
+        write_tree(done.select(F.col("output_path").alias("path"), "content"), output)
+        write_tree(report(ordered(describe(flat_pages(_listed(spark, output)), flat=True)), generated or _now(), flat=True), output)
+        return count.get
 
 
 def write_catalogue(spark: SparkSession, archive: str, output: str, generated: str | None = None) -> None:
     """The report of an archive's pages, as index.html in ``output``."""
-    write_tree(report(ordered(describe(pages(_listed(spark, archive)))), generated or _now()), output)
+    with staging_scope(spark):
+        write_tree(report(ordered(describe(pages(_listed(spark, archive)))), generated or _now()), output)
 
 
 def serve_stream(spark: SparkSession, archive: str, requests: str, index: str, state: str, output: str):
@@ -67,9 +69,10 @@ def serve_stream(spark: SparkSession, archive: str, requests: str, index: str, s
 
     def batch(asked: DataFrame, batch_id: int) -> None:
         session = asked.sparkSession
-        heads, bodies = serve_files(asked, ServingIndex(session, index), archive)
-        heads.write.mode("overwrite").parquet(f"{output}/responses/batch={batch_id}")
-        bodies.write.mode("overwrite").parquet(f"{output}/bodies/batch={batch_id}")
+        with staging_scope(session):
+            heads, bodies = serve_files(asked, ServingIndex(session, index), archive)
+            heads.write.mode("overwrite").parquet(f"{output}/responses/batch={batch_id}")
+            bodies.write.mode("overwrite").parquet(f"{output}/bodies/batch={batch_id}")
 
     stream = spark.readStream.schema("request_id long, path string").json(requests)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{state}/requests").trigger(availableNow=True).start()

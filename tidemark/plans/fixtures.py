@@ -133,3 +133,35 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     ending = F.element_at(F.array(*map(F.lit, (".css", ".js", ".gif", ".php"))), (kind + 1).cast("int"))
     text = F.element_at(F.array(F.lit("body{background:url( '/img/a.png' )}\n@import \"/css/b.css\";"), F.lit('var u="/web/2001im_/http://y.com/z.js";'), F.lit("GIF89a url(/x)"), F.lit('<html><a href="x.htm">')), (kind + 1).cast("int"))
     return c.withColumn("content", text.cast("binary")).withColumn("archive_path", F.concat(F.regexp_replace("archive_path", r"/$", ""), ending))
+
+
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a file for every page, of which some are empty, and some have a path that would lead out of the tree."""
+    n = F.col("page_id").cast("string")
+    path = F.concat(F.when(F.col("page_id") % 11 == 0, "../").otherwise("./"), F.lit("d"), (F.col("page_id") % 7).cast("string"), F.lit("//"), n, F.lit(".html"))
+    return pages(spark, sf_dir).select(path.alias("path"), F.when(F.col("page_id") % 13 == 0, "").otherwise(F.col("html")).cast("binary").alias("content"))
+
+
+def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, value): configurations, some without a location and some that can't be parsed."""
+    named = F.concat(F.lit('{"currentSaveLocation": "'), F.when(F.col("page_id") % 2 == 0, "__USER_DOCUMENTS__/").otherwise("/data/"), F.col("page_id").cast("string"), F.lit('"}'))
+    return pages(spark, sf_dir).select("page_id", F.when(F.col("page_id") % 5 == 3, '{"other": 1}').when(F.col("page_id") % 5 == 4, "{broken").otherwise(named).alias("value"))
+
+
+def answers():
+    """A getter without a network, whose answer follows from the length of the URL before its query: missing, moved, or a page.
+
+    Made here, so that workers get it by value.
+    """
+
+    def get(url):
+        size = len(url.split("?")[0].split("#")[0])
+        if url.endswith("/moved"):
+            return 200, {"content-type": "text/css"}, url.encode()
+        if size % 3 == 0:
+            return 404, {}, b""
+        if size % 3 == 1:
+            return 302, {"location": "/moved"}, b""
+        return 200, {"content-type": "text/plain"}, url.encode()
+
+    return get

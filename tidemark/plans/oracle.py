@@ -367,6 +367,14 @@ ORACLES = {
     r AS (SELECT *, CASE WHEN depth = 5 THEN './' ELSE repeat('../', depth - 5) END AS root, repeat('../', depth - 3) AS web FROM d)
     SELECT archive_path, archive_path || CASE WHEN kind = 3 THEN '.html' ELSE '' END AS output_path, CASE WHEN kind = 2 THEN 'copied' ELSE 'rewritten' END AS action, false AS failed,
       md5(['body{{background:url(' || root || 'img/a.png)}}' || chr(10) || '@import "' || root || 'css/b.css";', 'var u="' || web || '2001im_/y.com/z.js";', 'GIF89a url(/x)', '<html><a href="x.htm">'][kind + 1]) AS content_md5 FROM r""",
+    "tree_files": "SELECT 'd' || page_id % 7 || '/' || page_id || '.html' AS archive_path, CAST(strlen(html) AS BIGINT) AS size FROM pages WHERE page_id % 13 <> 0 AND strlen(html) > 0",
+    "save_locations": "SELECT page_id, CASE WHEN page_id % 5 < 3 THEN CASE WHEN page_id % 2 = 0 THEN '/home/docs/' ELSE '/data/' END || page_id END AS location FROM pages",
+    "fetch_results": rf"""WITH {LINES}, placed AS (SELECT url, line_no, {DEST} AS dest, length(regexp_replace(url, '[?#].*$', '')) % 3 AS kind FROM urls),
+      tried AS (SELECT *, coalesce(min(CASE WHEN kind <> 0 THEN line_no END) OVER (PARTITION BY regexp_replace(dest, '/index\.html$', '')), line_no) >= line_no AS asked FROM placed)
+      SELECT url, dest || CASE WHEN kind = 1 AND regexp_extract(dest, '[^/](\.[^./]*)$', 1) = '' THEN '.css' ELSE '' END AS dest, CAST(CASE WHEN kind = 0 THEN 404 ELSE 200 END AS INTEGER) AS status, CASE WHEN kind = 0 THEN 'HTTP 404' END AS error,
+        CASE kind WHEN 1 THEN md5(regexp_extract(url, '^[a-z]+://[^/]*') || '/moved') WHEN 2 THEN md5(url) END AS content_md5 FROM tried WHERE asked""",
+    "ingest_record": rf"""WITH urls AS (SELECT DISTINCT trim(url) AS url FROM pages WHERE NOT contains(url, '/screenshot/')), placed AS (SELECT url, {DEST} AS dest FROM urls)
+      SELECT url FROM placed WHERE length(regexp_replace(url, '[?#].*$', '')) % 3 <> 0""",
     "clean_marks": f"""WITH m AS (SELECT page_id, html, [{", ".join(_quoted(m) for m, _, _ in MARKS)}][page_id % {len(MARKS)} + 1] AS piece, {[f for _, f, _ in MARKS]}[page_id % {len(MARKS)} + 1] AS flat, {[f for _, _, f in MARKS]}[page_id % {len(MARKS)} + 1] AS server FROM pages)
       SELECT page_id, md5('<p>' || page_id || CASE WHEN flat THEN '' ELSE piece END || '</p>' || html) AS flat_md5, md5('<p>' || page_id || CASE WHEN server THEN '' ELSE piece END || '</p>' || html) AS server_md5 FROM m""",
     "clean_flat": f"WITH {MARKED} SELECT archive_path, {_BYTES} FROM (SELECT archive_path, {_without('text', _FLAT_CUTS)} AS t FROM marked)",

@@ -17,7 +17,10 @@ from ..operators import rewrite as W
 from ..operators import serve as V
 from ..sources import captures as S
 from ..operators.lookup import ServingIndex
+from ..sources.config import location_of
 from ..sources.staging import staged, staging_dir
+from ..sources.writer import write_tree
+from ..streaming.ingest import ingest, recorded
 from . import fixtures as X
 
 QUERIES = {}
@@ -391,3 +394,35 @@ def flatten_mixed(spark, sf_dir):
 def clean_marks(spark, sf_dir):
     marked = X.marks(spark, sf_dir)
     return marked.select("page_id", F.md5(F.encode(W.clean_flat(F.col("text")), "UTF-8")).alias("flat_md5"), F.md5(F.encode(W.clean_server(F.col("text")), "UTF-8")).alias("server_md5"))
+
+
+@query
+def tree_files(spark, sf_dir):
+    """The files of a tree that is written as a transaction, and then walked."""
+    root = f"{staging_dir(spark)}/tree-{uuid.uuid4().hex}"
+    write_tree(X.tree(spark, sf_dir), root)
+    return S.walk(spark, root).filter("kind = 'file'").select("archive_path", "size")
+
+
+@query
+def save_locations(spark, sf_dir):
+    return X.configs(spark, sf_dir).select("page_id", location_of(F.col("value"), "/home/docs").alias("location"))
+
+
+def _planned(spark, sf_dir):
+    return N.pending(N.load_urls(X.lines(spark, sf_dir)), X.pages(spark, sf_dir).select("url").filter("false"), X.captures(spark, sf_dir).select("archive_path", F.lit(0).alias("size")))
+
+
+@query
+def fetch_results(spark, sf_dir):
+    """What fetching all URLs of a list gives, of each place in the tree until one succeeds."""
+    return N.fetch(_planned(spark, sf_dir), X.answers()).select("url", "dest", "status", "error", F.md5("content").alias("content_md5"))
+
+
+@query
+def ingest_record(spark, sf_dir):
+    """The record of an ingested list: all URLs but those that could not be fetched."""
+    home = f"{staging_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    X.pages(spark, sf_dir).select("url").write.text(f"{home}/lists")
+    ingest(spark, f"{home}/lists", f"{home}/state", f"{home}/tree", X.answers()).awaitTermination()
+    return recorded(spark, f"{home}/state").select("url")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,20 +32,43 @@ def staging_dir(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
 
 
+#: The tables staged in each of the scopes that are open here.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read again.
 
     Cuts the lineage: a lost executor costs no recomputation of what led here, and later readers
-    see one fixed set of rows. Results of the operators read these tables: they stay until
-    ``clear_staged``.
+    see one fixed set of rows. Results of the operators read these tables: they stay until the
+    ``staging_scope`` ends that they are made in, or else until ``clear_staged``.
     """
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for tables in _SCOPES.get():
+        tables.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _deleted(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what is staged within it; for results that are written before it ends."""
+    tables: list[str] = []
+    outer = _SCOPES.set((*_SCOPES.get(), tables))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(outer)
+        for path in tables:
+            _deleted(spark, path)
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Deletes all tables that this application has staged; for when its results have been written."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(staging_dir(spark))
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _deleted(spark, staging_dir(spark))
