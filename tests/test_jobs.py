@@ -20,7 +20,7 @@ def test_flattening_writes_a_tree_and_its_report_and_may_be_run_again(spark, tmp
     archive, out = tmp_path / "in", tmp_path / "out"
     put(archive, {WB + "dir/p.htm": '<a href="/img/c.gif">', WB + "img/c.gif": "GIF", WB + "a.php": "<html>\xe9", "http/x.com/s.css": "p{}"})
     for _ in range(2):
-        assert jobs.flatten_tree(spark, str(archive), str(out), 20080101000000, "now") == {"rewritten": 3, "copied": 1, "failed": 0, "errors": 0}
+        assert jobs.flatten_tree(spark, str(archive), str(out), 20080101000000, "now") == {"rewritten": 3, "copied": 1, "failed": 0, "errors": 0, "unread": 0}
         assert (out / WB / "dir/p.htm").read_text() == '<a href="../img/c.gif">' and (out / WB / "a.php.html").read_bytes() == b"<html>\xe9"
         text = (out / "index.html").read_text()
         assert text.count("<tr class=") == 2 and "Local Web Archive (2 Pages)" in text and "Generated on now &bull; Standalone archive" in text
@@ -86,3 +86,16 @@ def test_a_walk_gives_what_the_files_are(spark, tmp_path):
     put(root, {f"d{i % 5}/{i}": "x" * i for i in range(1, 40)})
     walked = {(r.archive_path, r.size) for r in S.walk(spark, str(root)).collect()}
     assert walked == {(r.archive_path, r.size) for r in S.from_files(spark, str(root)).select("archive_path", "size").collect()}
+
+
+def test_contents_are_read_where_they_can_be(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "READ_AT_ONCE", 800)
+    root = tmp_path / "t"
+    put(root, {f"d{i % 5}/{i}": "x" * i for i in range(40)})
+    files = S.walk(spark, str(root)).filter("kind = 'file'").select("archive_path", "size").cache()
+    files.count()
+    (root / "d2/7").unlink()
+    got = {r.archive_path: (r.size, None if r.content is None else bytes(r.content)) for r in S.with_content(files, str(root)).collect()}
+    assert got == {f"d{i % 5}/{i}": (i, None if i == 7 else b"x" * i) for i in range(40)}
+    files.unpersist()
+    assert S.with_content(files.limit(0), str(root)).collect() == []

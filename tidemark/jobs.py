@@ -19,7 +19,7 @@ from tidemark.operators.catalogue import describe, flat_pages, ordered, pages, r
 from tidemark.operators.lookup import ServingIndex
 from tidemark.operators.rewrite import flatten
 from tidemark.operators.serve import serve_files
-from tidemark.sources.captures import from_files, walk
+from tidemark.sources.captures import walk, with_content
 from tidemark.sources.config import save_location
 from tidemark.sources.staging import clear_staged, staging_scope
 from tidemark.sources.writer import write_tree
@@ -39,15 +39,18 @@ def flatten_tree(spark: SparkSession, archive: str, output: str, target: int, ge
     """Flattens the files under ``archive`` into ``output`` and writes their report, index.html, beside them; may be run again.
 
     Returns how many files were rewritten and how many copied byte by byte, how many of those because they could not be
-    rewritten (failed), and how many could not be read (errors); counted by the pass that writes them.
+    rewritten (failed), and how many could not be read (errors); counted by the pass that writes them. Folders that can't
+    be read are passed over, and counted as unread.
     """
     count = Observation()
     is_ = lambda action: F.count_if(F.col("action") == action)
     with staging_scope(spark):
-        done = flatten(from_files(spark, archive), target).observe(count, is_("rewritten").alias("rewritten"), is_("copied").alias("copied"), F.count_if("failed").alias("failed"), is_("error").alias("errors"))
+        walked = walk(spark, archive)
+        files = walked.filter("kind = 'file'").select("archive_path", "size")
+        done = flatten(files, target, lambda some: with_content(some, archive)).observe(count, is_("rewritten").alias("rewritten"), is_("copied").alias("copied"), F.count_if("failed").alias("failed"), is_("error").alias("errors"))
         write_tree(done.select(F.col("output_path").alias("path"), "content"), output)
         write_tree(report(ordered(describe(flat_pages(_listed(spark, output)), flat=True)), generated or _now(), flat=True), output)
-        return count.get
+        return count.get | {"unread": walked.filter("kind = 'unread'").count()}
 
 
 def write_catalogue(spark: SparkSession, archive: str, output: str, generated: str | None = None) -> None:

@@ -9,12 +9,13 @@ for yet, as an earlier pass has brought it about, is resolved in a further round
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import DOT, S, dir_of, hash_of, is_html_file, is_text_file, needs_html_suffix, relative
+from ..functions.paths import DOT, NON_NATIVE_EXTENSIONS, S, dir_of, ext_of, hash_of, is_html_file, is_text_file, needs_html_suffix, relative
 from ..functions.urls import INFRASTRUCTURE, link_kind
 from ..sources.staging import staged
 from .index import sniffed, url_entries
@@ -211,15 +212,17 @@ def _put(texts: DataFrame, known: DataFrame) -> DataFrame:
     return joined.select("archive_path", put("text", "to").alias("r")).select("archive_path", "r.*")
 
 
-def rewritten(texts: DataFrame, captures: DataFrame, target: int) -> DataFrame:
+def rewritten(texts: DataFrame, captures: DataFrame, target: int, html: DataFrame | None = None) -> DataFrame:
     """(archive_path, text, failed) of ``texts`` (archive_path, text) with all links that lead anywhere put in.
 
+    ``html`` has the archive_path of captures of server-side types that are HTML; without it their contents are looked at.
+
     The passes work one after the other, each on what the one before has left. A page that can't be rewritten has a null
     text: its bytes are then copied as they are. Each round settles one pass more, so that there are at most as many
     rounds as passes; nearly all pages need but one.
     """
     best = best_captures(url_entries(captures), target)
-    html = sniffed(captures).filter("is_html").select("archive_path")
+    html = sniffed(captures).filter("is_html").select("archive_path") if html is None else html
     known = staged(resolved_links(page_links(texts), best, html, target), "known")
     done = staged(_put(texts, known), "put")
     while not (more := done.filter(F.size("missed") > 0)).isEmpty():
@@ -230,16 +233,16 @@ def rewritten(texts: DataFrame, captures: DataFrame, target: int) -> DataFrame:
     return done.drop("missed")
 
 
-def flatten(captures: DataFrame, target: int) -> DataFrame:
+def flatten(captures: DataFrame, target: int, read: Callable[[DataFrame], DataFrame] = lambda files: files) -> DataFrame:
     """(archive_path, output_path, action, failed, content): the standalone tree of all captures.
 
     ``action`` is rewritten, copied, or error for a file whose content isn't there; ``failed`` says of a copied one that
-    it would have been rewritten if that had been possible.
+    it would have been rewritten if that had been possible. ``read`` gives captures that have no content theirs.
     """
-    texts = staged(cleaned(captures), "texts")
-    done = rewritten(texts, captures, target).select("archive_path", F.encode("text", "ISO-8859-1").alias("rewritten"), "failed")
-    html = sniffed(captures).filter("is_html").select("archive_path", F.lit(True).alias("is_html"))
-    every = captures.select("archive_path", "content").join(done, "archive_path", "left").join(html, "archive_path", "left")
+    texts = staged(cleaned(read(captures.filter(is_text_file(F.col("archive_path"))))), "texts")
+    html = staged(sniffed(read(captures.filter(ext_of(F.col("archive_path")).isin(*NON_NATIVE_EXTENSIONS)))).filter("is_html").select("archive_path"), "html")
+    done = rewritten(texts, captures, target, html).select("archive_path", F.encode("text", "ISO-8859-1").alias("rewritten"), "failed")
+    every = read(captures).select("archive_path", "content").join(done, "archive_path", "left").join(html.withColumn("is_html", F.lit(True)), "archive_path", "left")
     out = F.concat("archive_path", F.when(needs_html_suffix(F.col("archive_path"), F.col("is_html")), ".html").otherwise(""))
     content = F.coalesce("rewritten", "content")
     action = F.when(content.isNull(), "error").when(F.col("rewritten").isNotNull(), "rewritten").otherwise("copied")

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .staging import staged
-from .writer import file_system
+from .writer import file_system, place_of
 
 #: Levels of folders that are listed one by one before tasks go down on their own, and tasks that do.
 LEVELS, FOLDERS = 4, 64
+#: Bytes of files that a task reads, about.
+READ_AT_ONCE = 1 << 26
 
 IGNORED = ("node_modules", "download_state.json", "filename_mapping.json", "__MACOSX", ".DS_Store", "http_", "https_")
 
@@ -85,6 +87,37 @@ def _walked(rows: list) -> pd.DataFrame:
     return frame.astype({"size": "Int64", "mtime": "Int64"})
 
 
+def with_content(files: DataFrame, root: str) -> DataFrame:
+    """``files`` (archive_path, size and others) with their content under ``root``; null for a file that can't be read.
+
+    Files are dealt to tasks of some 64 MB each. Nothing is read before the content is asked for, but then for each
+    use, and for all rows: filter first.
+    """
+    total = files.agg(F.sum("size")).first()[0] or 0
+    tasks = max(FOLDERS, total // READ_AT_ONCE)
+
+    def run(frames):
+        where, top = file_system(root)
+        for frame in frames:
+            begin, held, contents = 0, 0, []
+            for k, path in enumerate(frame["archive_path"]):
+                try:
+                    with where.open_input_stream(place_of(top, path)) as f:
+                        contents.append(f.read())
+                except OSError:
+                    contents.append(None)
+                held += len(contents[-1] or b"")
+                if held > READ_AT_ONCE // 8:
+                    yield frame.iloc[begin : k + 1].assign(content=pd.Series(contents, dtype=object).values)
+                    begin, held, contents = k + 1, 0, []
+            if contents:
+                yield frame.iloc[begin:].assign(content=pd.Series(contents, dtype=object).values)
+
+    columns = files.drop("content").columns
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.select(*columns).schema)
+    return files.select(*columns).repartition(tasks).mapInPandas(run, f"{schema}, content binary")
+
+
 def from_pages(pages: DataFrame) -> DataFrame:
     """Derived captures of a table of pages (page_id, url, html): a fixture, not observed captures.
 
