@@ -24,7 +24,7 @@ def decoded_strictly(text: str) -> str:
     """``text`` with its percent signs decoded as UTF-8; null where one encodes nothing, or bytes that aren't UTF-8."""
     # What can't be decoded comes out as this sign: there may be as many of it as the text has, in either form.
     plain = f"try_url_decode(replace({text}, '+', '%2B'))"
-    same = f"regexp_count(dec, '�') = regexp_count({text}, '(?i)�|%EF%BF%BD')"
+    same = f"regexp_count(dec, '\ufffd') = regexp_count({text}, '(?i)\ufffd|%EF%BF%BD')"
     return f"if(contains({text}, '%'), {let(plain, 'dec', f'if({same}, dec, null)')}, {text})"
 
 
@@ -65,7 +65,7 @@ def _mapped(host: str) -> str:
     letters = [c for c in range(0x21, 0x7F) if chr(c) not in "'\\"]
     wide = "".join(chr(c + 0xFEE0) for c in letters) + "。｡Σ"
     thin = "".join(map(chr, letters)) + "..σ"
-    return let(f"lower(translate({without(host, '[­​⁠﻿]')}, r'{wide}', r'{thin}'))", "narrow", f"if(narrow rlike {regex(_UNSURE)}, null, narrow)")
+    return let(f"lower(translate({without(host, r'[\x{ad}\x{200b}\x{2060}\x{feff}]')}, r'{wide}', r'{thin}'))", "narrow", f"if(narrow rlike {regex(_UNSURE)}, null, narrow)")
 
 
 def _ascii(host: str) -> str:
