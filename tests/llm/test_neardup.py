@@ -100,6 +100,31 @@ def test_pairs_of_large_buckets_meet_in_a_grid(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(rows)
 
 
+def alike(spark, members, copies):
+    """Sets of 60 shingles that all have and 20 that some four have; of the first ones also near copies."""
+    sets = [sorted({*range(60), *(1000 + (node * 20 + k * 7919) % (members * 5) for k in range(20))}) for node in range(members)]
+    sets += [sorted({*s[:-3], *(10**9 + 10 * i + k for k in range(3))}) for i, s in enumerate(sets[:copies])]
+    counts = [[sum(x % neardup.PARTS == k for x in s) for k in range(neardup.PARTS)] for s in sets]
+    rows = spark.createDataFrame([(1, i, i, len(s), len(s)) for i, s in enumerate(sets)], "bucket long, node long, own long, n int, v int")
+    return rows, spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>"), spark.createDataFrame(list(enumerate(counts)), "node long, c array<int>")
+
+
+def test_the_last_search_grows_with_the_sets_of_a_bucket(spark):
+    """Sets of one bucket, three quarters of each in all others: pairs come from what is rarer."""
+    pairs = {m: {(r.a, r.b) for r in neardup._pairs_apart(*alike(spark, m, 50), 80).collect()} for m in (400, 1600)}
+    for m, found in pairs.items():
+        assert {(i, m + i) for i in range(50)} <= found
+        assert len(found) < 20 * m
+
+
+def test_prefixes_are_the_rarest_shingles(spark):
+    sets = {1: [1, 2, 3, 4, 5, 6, 7, 8, 9, 10], 2: [1, 2, 3, 4, 5, 6, 7, 8, 9, 11], 3: [1, 2, 12], 4: [13]}
+    rows = spark.createDataFrame([(i,) for i in sets], "node long")
+    got = neardup._prefixes(rows, spark.createDataFrame(list(sets.items()), "node long, shingles array<long>"), 80).collect()
+    # 10 - 8 + 1 places, the first of them held by nobody else; 3 - 3 + 1 and 1 - 1 + 1 places.
+    assert sorted((r.node, r.place, r.key) for r in got) == [(1, 1, 3), (1, 2, 4), (2, 1, 3), (2, 2, 4)]
+
+
 def test_circulant_signature_is_the_definition_and_estimates_similarity():
     c = neardup.Circulant(64, universe=1 << 12)
     rng = np.random.default_rng(0)

@@ -5,8 +5,8 @@ the second, shifted circularly by k, gives coordinate k. Rows of coordinates mak
 that agree in a band share a bucket. In every bucket each member meets one hub, chosen at random
 per bucket, so that the pairs grow with the documents and not with the square of a group's size.
 Buckets whose members are not all in one component after that are searched further: first against
-the member that has most in common with the others, then each member that is still outside that
-one's component against those members of other components that it can be similar to at all. What can
+the member that has most in common with the others, then by the rarest shingles of the members that are still
+apart: similar sets share one of a set's rarest fifth, whatever else they and all others share. What can
 be similar is bounded exactly: shingles that only one of the searched sets has are in no overlap, and
 an overlap is at most the sum, over the parts of the universe, of the smaller count. All pairs are
 confirmed on full shingle sets.
@@ -33,7 +33,7 @@ UNIVERSE = 1 << 20
 #: Parts of the universe in which overlaps are bounded one by one.
 PARTS = 64
 
-#: Members of a bucket that meet in one task at most, of those outside the head's component and of all.
+#: Sets that meet in one task at most at one shingle, of those outside the head's component and of all.
 LEFT, RIGHT = 4096, 512
 
 _SIGNATURE = "doc_id long, text_key long, n_shingles long, h1 long, h2 long, bands array<long>"
@@ -125,29 +125,49 @@ def _possible(similarity: int, n_x: str, n_y: str, overlap: Column) -> Column:
     return 100 * overlap >= similarity * (F.col(n_x) + F.col(n_y) - overlap)
 
 
-def _pairs_apart(rows: DataFrame, shares: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (a, b) of members of a bucket that are in different components and can be similar at all.
+def _prefixes(rows: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """(node, key, place): the rarest shingles of each searched set, as many as decide, with their places.
 
-    ``rows`` has bucket, node, own (its component), n and v; ``shares`` node and c. Only members outside
-    the component of the bucket's head ask; they meet all others. A bucket is dealt into a grid, so
-    that no task has more than some LEFT of those that ask and RIGHT of the others, whatever its size.
+    All sets order their shingles alike, by how many of the searched sets have them. Sets of n that are
+    similar enough share at least ``need`` = n * similarity / 100 shingles, so that they share one of their
+    first n - need + 1. A shingle that no other searched set has counts as a place, but meets nobody.
     """
-    rows = staged(rows, "open")
-    heads = rows.groupBy("bucket").agg(F.max(F.struct(F.col("v") / F.col("n"), "node", "own")).alias("head"), F.count("*").alias("members")).select("bucket", F.col("head.own").alias("of_head"), "members")
-    asking = rows.join(heads, "bucket").filter("own <> of_head").groupBy("bucket").agg(F.count("*").alias("asking"))
-    grid = heads.join(asking, "bucket").select("bucket", "of_head", F.ceil(F.col("asking") / LEFT).alias("rows"), F.ceil(F.col("members") / RIGHT).alias("columns"))
-    rows = staged(rows.join(grid, "bucket"), "open")
+    searched = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("s"))
+    counts = searched.groupBy("s").agg(F.count("*").alias("held"))
+    ranked = searched.join(counts, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "s"))).alias("ranked"))
+    first = F.size("ranked") - F.floor((F.size("ranked") * F.lit(similarity) + 99) / 100).cast("int") + 1
+    placed = ranked.select("node", F.posexplode(F.slice("ranked", F.lit(1), first)).alias("place", "r"))
+    return placed.filter("r.held > 1").select("node", F.col("r.s").alias("key"), "place")
+
+
+def _pairs_apart(rows: DataFrame, sets: DataFrame, shares: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) of searched sets that are in different components and can be similar at all.
+
+    ``rows`` has node, own (its component), n and v; ``sets`` node and shingles; ``shares`` node and c.
+    Sets meet at the shingles of their prefixes, so that what many sets share brings them together
+    only where they have nothing rarer. A pair that meets first at places i and j has at most
+    min(n_x - i, n_y - j) in common. Of those that meet at a shingle only members outside the component of
+    its head ask; they meet all others, in a grid, so that no task has more than some LEFT of those that
+    ask and RIGHT of the others, however many sets share it.
+    """
+    rows = staged(rows.select("node", "own", "n", "v").distinct(), "open")
+    rows = staged(_prefixes(rows, sets, similarity).join(rows, "node"), "prefixes")
+    heads = rows.groupBy("key").agg(F.max(F.struct(F.col("v") / F.col("n"), "node", "own")).alias("head"), F.count("*").alias("members")).select("key", F.col("head.own").alias("of_head"), "members")
+    asking = rows.join(heads, "key").filter("own <> of_head").groupBy("key").agg(F.count("*").alias("asking"))
+    grid = heads.join(asking, "key").select("key", "of_head", F.ceil(F.col("asking") / LEFT).alias("rows"), F.ceil(F.col("members") / RIGHT).alias("columns"))
+    rows = rows.join(grid, "key")
     cell = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    x = rows.filter("own <> of_head").join(shares, "node").withColumn("i", cell("rows")).withColumn("j", every("columns"))
-    x = x.select("bucket", "i", "j", F.col("node").alias("x"), F.col("own").alias("own_x"), F.col("n").alias("n_x"), F.col("v").alias("v_x"), F.col("c").alias("c_x"))
-    y = rows.join(shares, "node").withColumn("j", cell("columns")).withColumn("i", every("rows"))
-    y = y.select(F.col("bucket").alias("_bucket"), F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("node").alias("y"), F.col("own").alias("own_y"), "of_head", F.col("n").alias("n_y"), F.col("v").alias("v_y"), F.col("c").alias("c_y"))
+    x = rows.filter("own <> of_head").withColumn("i", cell("rows")).withColumn("j", every("columns"))
+    x = x.select("key", "i", "j", F.col("node").alias("x"), F.col("own").alias("own_x"), F.col("n").alias("n_x"), F.col("v").alias("v_x"), F.col("place").alias("place_x"))
+    y = rows.withColumn("j", cell("columns")).withColumn("i", every("rows"))
+    y = y.select(F.col("key").alias("_key"), F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("node").alias("y"), F.col("own").alias("own_y"), "of_head", F.col("n").alias("n_y"), F.col("v").alias("v_y"), F.col("place").alias("place_y"))
     apart = (F.col("own_x") != F.col("own_y")) & ((F.col("own_y") == F.col("of_head")) | (F.col("x") < F.col("y")))
+    left = F.least("v_x", "v_y", F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+    met = x.join(y, (F.col("key") == F.col("_key")) & (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")) & apart & _possible(similarity, "n_x", "n_y", left))
+    met = met.select("x", "y", "n_x", "n_y").distinct().join(shares.toDF("x", "c_x"), "x").join(shares.toDF("y", "c_y"), "y")
     overlap = sum((F.least(F.get("c_x", F.lit(k)), F.get("c_y", F.lit(k))) for k in range(1, PARTS)), F.least(F.get("c_x", F.lit(0)), F.get("c_y", F.lit(0))))
-    bound = _possible(similarity, "n_x", "n_y", F.least("v_x", "v_y")) & _possible(similarity, "n_x", "n_y", overlap)
-    met = x.join(y, (F.col("bucket") == F.col("_bucket")) & (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")) & apart & bound)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return met.filter(_possible(similarity, "n_x", "n_y", overlap)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _classes(docs: DataFrame, width: int, similarity: int, bands: int, rows: int, signer) -> tuple[DataFrame, DataFrame]:
@@ -194,7 +214,7 @@ def _classes(docs: DataFrame, width: int, similarity: int, bands: int, rows: int
     owner = staged(_relabelled(owner, staged(_verified(second, sets, similarity), "links")), "owner")
 
     # What is still apart meets outright, where the bound lets it.
-    third = _pairs_apart(_open(waiting, owner), shares.select("node", "c"), similarity).join(first.union(second), ["a", "b"], "left_anti")
+    third = _pairs_apart(_open(waiting, owner), sets, shares.select("node", "c"), similarity).join(first.union(second), ["a", "b"], "left_anti")
     owner = _relabelled(owner, staged(_verified(third, sets, similarity), "links"))
     return signed, staged(nodes.drop("bands").join(owner, "node", "left").withColumn("own", F.coalesce("own", "node")), "classes")
 
