@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -40,6 +41,20 @@ def test_a_full_cache_changes_nothing():
     assert small(text.encode()) == packing.ChunkTokenizer.of(word_tokenizer())(text.encode()) == small(text.encode())
 
 
+def test_a_worker_keeps_no_cache_beyond_a_task():
+    fast = packing.ChunkTokenizer.of(word_tokenizer())
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["one two three", "one zwei #3", None])], names=["doc_id", "text"])
+    rows = [r for b in packing._cut(word_tokenizer(), 2048)(iter([batch, batch])) for r in b.to_pylist()]
+    assert fast.chunks == {} and fast.parts == {"": b""}
+    want = [[*whole().encode(t, add_special_tokens=False).ids, 0] for t in ("one two three", "one zwei #3", "")]
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in rows] == want * 2
+    broken = packing._cut(word_tokenizer(), 2048)(iter([batch, batch]))
+    next(broken)
+    assert fast.chunks
+    broken.close()
+    assert fast.chunks == {} and fast.parts == {"": b""}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=80))
 def test_best_fit_fills_bins_without_gaps(lengths):

@@ -3,7 +3,8 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm.common import slices, utf8
+from tidemark.llm import neardup, quality
+from tidemark.llm.common import frugal, slices, utf8
 from tidemark.llm.words import BLANKS, NOT_WORD, shingle_hashes, shingle_sets, word_hashes
 
 TEXT = st.text(st.sampled_from(list("abAB 1\t\n.,é—日\x7f")), max_size=60)
@@ -44,3 +45,33 @@ def test_slices_cover_all_rows_and_nulls_are_empty():
     assert list(slices(np.zeros(1, np.int64))) == []
     sliced, at = utf8(pa.array(["xx", "yy", "zz"]).slice(1, 2))
     assert bytes(sliced[at[0] : at[-1]]) == b"yyzz"
+
+
+def test_scans_give_arrows_free_memory_back(monkeypatch):
+    """At the end of a task, also of one that is broken off or fails; and what they yield is as it was."""
+    back = []
+
+    class Pool:
+        def release_unused(self):
+            back.append(1)
+
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+
+    @frugal
+    def halves(batches):
+        for b in batches:
+            yield b // 2
+
+    assert list(halves([2, 4])) == [1, 2] and len(back) == 1
+    broken = halves([2, 4])
+    assert next(broken) == 1 and len(back) == 1
+    broken.close()
+    assert len(back) == 2
+    try:
+        list(halves([None]))
+    except TypeError:
+        pass
+    assert len(back) == 3
+    for scan in (neardup._sign(4, 2, 2, neardup.Circulant), neardup._sets(4), quality._features):
+        back.clear()
+        assert list(scan([])) == [] and len(back) == 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,6 +37,23 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def frugal(scan):
+    """``scan``, a generator over a task's Arrow batches, that gives Arrow's free memory back at its end.
+
+    Workers outlive their tasks, several to a core where scans follow each other in a stage, and
+    each would keep what its largest batch once took.
+    """
+
+    @wraps(scan)
+    def run(batches):
+        try:
+            yield from scan(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows; a null reads as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

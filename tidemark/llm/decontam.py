@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, slices, staged, utf8
+from .common import boxed, frugal, slices, staged, utf8
 from .words import NOT_WORD, word_hashes
 
 #: Bytes of text in a segment of the index.
@@ -36,6 +36,7 @@ _FAR = 1 << 40
 def _build(known, gap: int):
     """Rows of the index; ``known`` is the broadcast filter of terms."""
 
+    @frugal
     def run(batches):
         wanted, at = np.unpackbits(known.value).view(bool), 0
         shift = np.uint64(65 - len(wanted).bit_length())
@@ -104,6 +105,7 @@ def _followed(lists: dict[int, np.ndarray], terms: np.ndarray, anchor: int, low:
 
 
 def _search(probes, slack: int, gap: int):
+    @frugal
     def run(batches):
         asked = probes.value
         anchors = np.array(sorted(asked), np.int64)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, slices, staged, utf8
+from .common import boxed, frugal, slices, staged, utf8
 from .components import components
 from .words import mix, shingle_sets
 
@@ -60,6 +60,7 @@ class Circulant:
 
 
 def _sign(width: int, bands: int, rows: int, signer):
+    @frugal
     def run(batches):
         circulant = signer(bands * rows)
         weights = (mix(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)).reshape(bands, rows)
@@ -85,6 +86,7 @@ def _sign(width: int, bands: int, rows: int, signer):
 
 
 def _sets(width: int):
+    @frugal
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(1))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import frugal, staged
 
 CAPACITY = 2048
 END = 0
@@ -46,7 +46,7 @@ class ChunkTokenizer:
 
     @classmethod
     def of(cls, path: str) -> "ChunkTokenizer":
-        """The worker's own tokenizer for this file; it stays for the worker's later tasks."""
+        """The worker's own tokenizer for this file; it stays for the worker's later tasks, its caches don't."""
         if path not in cls.made:
             cls.made[path] = cls(path)
         return cls.made[path]
@@ -96,6 +96,37 @@ class ChunkTokenizer:
                     found[i] = ids
         return b"".join(found)
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        self.chunks, self.parts = {}, {"": b""}
+
+
+def _cut(tokenizer: str, capacity: int):
+    @frugal
+    def run(batches):
+        encode, step = ChunkTokenizer.of(tokenizer), 4 * capacity
+        names = [x.split()[0] for x in _PIECE.split(", ")]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        try:
+            for batch in batches:
+                rows, size = [], 0
+                texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "").cast(pa.large_binary())
+                for doc_id, text in zip(batch.column(0), texts, strict=True):
+                    doc_id, ids = doc_id.as_py(), encode(text.as_py()) + END.to_bytes(4, "little")
+                    for k, i in enumerate(range(0, len(ids), step)):
+                        own = ids[i : i + step]
+                        rows.append((doc_id, k, i // 4, len(own) // 4, own))
+                    size += len(ids)
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        finally:
+            encode.forget()
+
+    return run
+
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Documents as token pieces: doc_id, piece (from 0), start, length and ids (little-endian
@@ -106,26 +137,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     are ignored; repeated rows give repeated pieces.
     """
 
-    def run(batches):
-        encode, step = ChunkTokenizer.of(tokenizer), 4 * capacity
-        names = [x.split()[0] for x in _PIECE.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        for batch in batches:
-            rows, size = [], 0
-            texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "").cast(pa.large_binary())
-            for doc_id, text in zip(batch.column(0), texts, strict=True):
-                doc_id, ids = doc_id.as_py(), encode(text.as_py()) + END.to_bytes(4, "little")
-                for k, i in enumerate(range(0, len(ids), step)):
-                    own = ids[i : i + step]
-                    rows.append((doc_id, k, i // 4, len(own) // 4, own))
-                size += len(ids)
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_cut(tokenizer, capacity), _PIECE)
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -155,6 +167,7 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
 
 
 def _local(capacity: int, block: int):
+    @frugal
     def run(batches):
         # Bins are numbered through within a task, which has 40 bits for it.
         made, held, rows = TaskContext.get().partitionId() << 40, [], 0

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, staged
+from .common import boxed, frugal, staged
 
 #: The fixed patterns' kinds, and after them the kind that contexts alone vouch for.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -162,6 +162,7 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return [" ".join(p) for p in out if any(w[0].isalnum() for w in p)]
 
 
+@frugal
 def _scan(batches):
     part, at = TaskContext.get().partitionId() << 36, 0
     span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, slices, staged, utf8
+from .common import boxed, frugal, slices, staged, utf8
 from .words import BLANKS, word_hashes
 
 STATISTICS = ("log_words", "word_length", "upper", "digits", "stops", "dashes", "bars", "marks", "shouts", "other_signs", "high_bytes", "new_words", "line_length", "new_lines", "sign_words", "stutters")
@@ -59,6 +59,7 @@ _NEWLINE = np.zeros(256, bool)
 _NEWLINE[[0x0A, 0x0D]] = True
 
 
+@frugal
 def _features(batches):
     for batch in batches:
         data, offsets = utf8(batch.column(1))
