@@ -383,6 +383,37 @@ def test_links_that_a_pass_brings_about(spark, body, want):
     assert got == (want or got) and got == by_passes(spark, body, PAGE, archive(spark, {PAGE: body}))
 
 
+def test_captures_that_share_a_path_are_rewritten_each_by_itself(spark):
+    bodies = ['<a href="/img/a.gif"><a href="/q.php">', '<a href="/img/a.gif"><a href="/b.htm">', '<a data="http://x.com/url(/q.php" )>']
+    files = [(PAGE, b) for b in bodies] + [(WB + "20030404183527/www.x.com/q.php", b) for b in ("<html>", "<html>2")]
+    rows = spark.createDataFrame([(p, len(b), b.encode()) for p, b in files], "archive_path string, size long, content binary")
+    out = sorted((r.output_path, bytes(r.content).decode()) for r in W.flatten(rows, 20080101000000).collect())
+    alone = [flattened(spark, b, more={files[-1][0]: "<html>"}) for b in bodies]
+    assert out == sorted([(PAGE, a) for a in alone] + [(files[-1][0] + ".html", b) for b in ("<html>", "<html>2")])
+
+
+def test_no_failing_capture_is_lost_or_doubled(spark, monkeypatch):
+    put = W._put
+
+    def broken(frame, known):
+        failed = F.col("text").contains("broken")
+        return put(frame, known).withColumn("failed", failed).withColumn("text", F.when(~failed, F.col("text")))
+
+    monkeypatch.setattr(W, "_put", broken)
+    files = {"http/x.com/a.html": "broken", "http/x.com/b.asp": "broken <html>", "http/x.com/c.html": "<p>", "http/x.com/d.gif": "broken"}
+    out = {r.output_path: (r.action, r.failed, bytes(r.content).decode()) for r in W.flatten(archive(spark, files), 2008).collect()}
+    assert out == {"http/x.com/a.html": ("copied", True, "broken"), "http/x.com/b.asp.html": ("copied", True, "broken <html>"), "http/x.com/c.html": ("rewritten", False, "<p>"), "http/x.com/d.gif": ("copied", False, "broken")}
+
+
+def test_tables_that_grow_with_the_pages_are_not_broadcast(spark):
+    files = archive(spark, {PAGE: '<a href="/b.asp">', WB + "2003/www.x.com/b.asp": "<html>"})
+    best, texts = R.best_captures(I.url_entries(files), 2008), W.cleaned(files)
+    known = W.resolved_links(W.page_links(texts), best, I.sniffed(files).filter("is_html").select("archive_path"), 2008)
+    for df in (known, W._put(texts, known), R.resolve_links(spark.createDataFrame([("http://x.com/b.asp",)], "url string"), I.url_entries(files), 2008), W.flatten(files, 2008)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan, plan
+
+
 def test_static_files_share_the_folder_that_the_page_is_in(spark):
     assert flattened(spark, "'https://web-static.archive.org/_static/js/a.js'", "https/x.com/a/p.html") == "'../../web-static.archive.org/_static/js/a.js'"
     assert flattened(spark, "'https://web-static.archive.org/_static/js/a.js'", "p.html") == "'./https/web-static.archive.org/_static/js/a.js'"

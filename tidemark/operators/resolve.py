@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import sanitize, strip_query, ts_number, ts_seconds
 from ..functions.urls import DEFAULT_DOCS, fallback_path, key, page_context, parse_link, wayback_lookup, www_toggled
-from ..sources.staging import staged
+from ..sources.staging import merged, staged
 from .lookup import Lookup, chunked, files, snapshots
 
 
@@ -57,21 +57,26 @@ def resolve(asked: DataFrame, best: DataFrame) -> DataFrame:
     """
     root = F.col("kind") == "root"
     schemes = F.when(root & F.col("host").contains(":"), F.array(F.lit("http://"), F.lit("https://"))).when(root, F.array(F.lit("http://"))).otherwise(F.array(F.lit("")))
-    urls = asked.select(*ASKED).distinct().select(*ASKED, F.posexplode(schemes).alias("attempt", "scheme"))
-    # A URL without a parse has null keys, which meet nothing.
-    urls = urls.withColumn("u", parse_link(F.when(root, F.concat("scheme", "host", "lookup")).otherwise(F.col("lookup"))))
+    asked = asked.select(*ASKED).distinct().select(*ASKED, F.posexplode(schemes).alias("attempt", "scheme"))
+    asked = asked.withColumn("address", F.when(root, F.concat("scheme", "host", "lookup")).otherwise(F.col("lookup"))).drop("scheme")
+    # Pages in very many folders ask for the same addresses: each is parsed, and its keys are tried, once.
+    # An address without a parse has null keys, which meet nothing.
+    urls = asked.select("kind", "address").distinct().withColumn("u", parse_link(F.col("address")))
     urls = urls.withColumn("plain", probe_keys(F.col("u"), False)).withColumn("wide", probe_keys(F.col("u"), True))
     flagged = lambda keys, added: F.transform(keys, lambda k: F.struct(F.lit(added).alias("added"), k.alias("url_key")))
     keys = F.when(F.col("kind") == "absolute", flagged(F.col("wide"), False)).when(root, F.concat(flagged(F.col("plain"), False), flagged(F.array_except("wide", "plain"), True))).otherwise(flagged(F.col("plain"), False))
-    probes = urls.select(*ASKED, "attempt", F.col("u.protocol").alias("protocol"), F.posexplode(keys).alias("key_rank", "k"))
-    probes = probes.select(*ASKED, "key_rank", "k.url_key", "k.added", (F.col("attempt") + F.when(F.col("k.added"), 2).otherwise(0)).alias("attempt"), (F.substring_index("k.url_key", "://", 1) != F.col("protocol")).alias("other_protocol"))
+    probes = urls.select("kind", "address", F.col("u.protocol").alias("protocol"), F.posexplode(keys).alias("key_rank", "k"))
+    probes = probes.select("kind", "address", "key_rank", "k.url_key", "k.added", (F.substring_index("k.url_key", "://", 1) != F.col("protocol")).alias("other_protocol"))
     of_key = best.groupBy("url_key").agg(F.min(F.struct("distance", "archive_path")).alias("b")).select("url_key", "b.distance", "b.archive_path")
-    wanted = [*ASKED, "attempt", "elsewhere", "other_protocol", "distance", "key_rank", "archive_path"]
-    apart = (F.col("kind") != "absolute") & ~F.col("added") & ~F.col("archive_path").contains(F.concat(F.lit("/"), F.col("ts_dir"), F.lit("/")))
-    hits = probes.join(of_key, "url_key").withColumn("elsewhere", apart).select(*wanted)
-    exact = probes.join(best, ["url_key", "ts_dir"]).withColumn("elsewhere", F.lit(False)).select(*wanted)
-    rank = F.struct("attempt", "elsewhere", "other_protocol", "distance", "key_rank", "archive_path")
-    return hits.unionByName(exact).groupBy(*ASKED).agg(F.min(rank).alias("b")).select(*ASKED, F.col("b.archive_path").alias("target_path"))
+    # One hit for each of an address's keys at most, some sixty.
+    hits = probes.join(merged(of_key), "url_key").groupBy("kind", "address").agg(F.collect_list(F.struct("key_rank", "url_key", "added", "other_protocol", "distance", "archive_path")).alias("hits"))
+    met = asked.join(merged(hits), ["kind", "address"])
+    order = lambda h, elsewhere, found: F.struct((F.col("attempt") + F.when(h["added"], 2).otherwise(0)).alias("attempt"), elsewhere.alias("elsewhere"), h["other_protocol"].alias("other_protocol"), found["distance"].alias("distance"), h["key_rank"].alias("key_rank"), found["archive_path"].alias("archive_path"))
+    apart = lambda h: (F.col("kind") != "absolute") & ~h["added"] & ~h["archive_path"].contains(F.concat(F.lit("/"), F.col("ts_dir"), F.lit("/")))
+    nearest = met.select(*ASKED, F.array_min(F.transform("hits", lambda h: order(h, apart(h), h))).alias("b"))
+    own = met.filter("kind <> 'absolute'").select(*ASKED, "attempt", F.explode("hits").alias("h")).withColumn("url_key", F.col("h.url_key"))
+    exact = own.join(merged(best), ["url_key", "ts_dir"]).select(*ASKED, order(F.col("h"), F.lit(False), {c: F.col(c) for c in ("distance", "archive_path")}).alias("b"))
+    return nearest.unionByName(exact).groupBy(*ASKED).agg(F.min("b").alias("b")).select(*ASKED, F.col("b.archive_path").alias("target_path"))
 
 
 def lookups(links: DataFrame) -> DataFrame:
@@ -86,7 +91,7 @@ def lookups(links: DataFrame) -> DataFrame:
 def destinations(links: DataFrame, best: DataFrame) -> DataFrame:
     """``links`` (src_path, url, kind; kinds absolute, wayback and root) with lookup, ts_dir, host, target_path and how: from the index, else a computed fallback."""
     asked = lookups(links)
-    joined = asked.join(resolve(asked.filter("lookup IS NOT NULL"), best), ASKED, "left")
+    joined = asked.join(merged(resolve(asked.filter("lookup IS NOT NULL"), best)), ASKED, "left")
     beside = F.concat(F.lit("https/web.archive.org/web/"), "ts_dir", F.lit("/"), "host", "lookup")
     fallback = F.when(F.col("kind") == "root", beside).otherwise(fallback_path(F.when(F.col("kind") == "wayback", F.col("url")).otherwise(F.col("lookup"))))
     joined = joined.withColumn("_fallback", fallback)

@@ -51,6 +51,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast, so that the driver holds none of it.
+
+    For tables that grow with the input: a staged one's files, and what is exploded from it, are many times smaller by
+    Spark's measure than in memory.
+    """
+    return df.hint("merge")
+
+
 def _deleted(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
