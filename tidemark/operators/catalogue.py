@@ -106,22 +106,24 @@ def placed(listed: DataFrame) -> DataFrame:
     return order.select("dir", "name", "is_dir", F.when(F.col("is_dir"), "-").otherwise(listing_size(F.col("bytes"))).alias("size"), F.col("pos").cast("long").alias("pos"))
 
 
-def listing_html(entries: DataFrame) -> DataFrame:
+def listing_html(entries: DataFrame, whole: bool = False) -> DataFrame:
     """(dir, page, html): listing pages of every folder, from the rows of ``listing``.
 
     A page has at most LISTED entries, so that a folder of any size has pages of bounded size; a full
-    one ends with a link to the next. All but the root's first begin with a row for the folder above.
+    one ends with a link to the next. Where a ``whole`` folder is asked for it has one page, 0, of all its entries.
+    All but the root's first begin with a row for the folder above.
     """
     here = F.concat(F.lit("/"), F.col("dir"))
     inside = F.when(F.col("dir") == "", "/").otherwise(F.concat(here, F.lit("/")))
     cells = lambda kind, href, name, size: F.concat(F.lit(f'<tr><td class="type">{kind}</td><td><a href="'), href, F.lit('">'), name, F.lit('</a></td><td class="size">'), size, F.lit("</td></tr>"))
     href = F.concat(escape_html(F.concat(inside, "name")), F.when(F.col("is_dir"), "/").otherwise(""))
     row = F.when(F.col("is_dir"), cells("[DIR]", href, escape_html(F.col("name")), F.col("size"))).otherwise(cells("[FILE]", href, escape_html(F.col("name")), F.col("size")))
-    rows = entries.select("dir", F.expr(f"(pos - 1) div {LISTED}").alias("page"), F.struct("pos", row.alias("row")).alias("r"))
+    page = F.lit(0).cast("long") if whole else F.expr(f"(pos - 1) div {LISTED}")
+    rows = entries.select("dir", page.alias("page"), F.struct("pos", row.alias("row")).alias("r"))
     pages = rows.groupBy("dir", "page").agg(F.array_sort(F.collect_list("r")).alias("rows"))
     above = F.when(F.col("dir").contains("/"), F.concat(F.lit("/"), F.regexp_replace("dir", "/[^/]*$", ""))).otherwise("/")
     up = F.when((F.col("dir") != "") & (F.col("page") == 0), cells("[DIR]", escape_html(above), F.lit("[ Parent Directory ]"), F.lit("-"))).otherwise("")
-    more = F.when(F.size("rows") == LISTED, F.concat(F.lit('<p><a href="?page='), (F.col("page") + 1).cast("string"), F.lit('">more</a></p>'))).otherwise("")
+    more = F.when(F.lit(not whole) & (F.size("rows") == LISTED), F.concat(F.lit('<p><a href="?page='), (F.col("page") + 1).cast("string"), F.lit('">more</a></p>'))).otherwise("")
     title = F.concat(F.lit("Index of "), escape_html(here))
     table = F.concat(F.lit("<table><tr><th>Type</th><th>Name</th><th>Size</th></tr>"), up, F.array_join(F.transform("rows", lambda x: x["row"]), ""), F.lit("</table>"))
     return pages.select("dir", "page", F.concat(F.lit("<html><head><title>"), title, F.lit("</title></head><body><h2>"), title, F.lit("</h2>"), table, more, F.lit("</body></html>")).alias("html"))
