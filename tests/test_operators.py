@@ -436,6 +436,27 @@ def test_staged_tables_are_in_one_folder_of_the_run(spark):
     assert kept.count() == 3 and all(staging_dir(spark) in f for f in kept.inputFiles())
 
 
+def test_shuffles_that_are_to_be_freed_go_once_a_table_is_staged(spark):
+    import time
+
+    from tidemark.sources.staging import staged
+
+    def blocks():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {b for b in (found.apply(i).name() for i in range(found.size())) if b.startswith("shuffle_")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rows, before, was = spark.range(1000).repartition(3, "id"), blocks(), spark.conf.get(setting)
+    assert staged(rows, "freed", freed=True).count() == 1000 and spark.conf.get(setting) == was
+    until = time.time() + 20
+    while (left := {b for b in blocks() - before if b.endswith(".data")}) and time.time() < until:
+        # The count above has a shuffle of its own, which is one block of one map.
+        if len({b.split("_")[1] for b in left}) == 1:
+            break
+        time.sleep(0.2)
+    assert len({b.split("_")[1] for b in left}) <= 1
+
+
 def test_what_a_scope_has_staged_goes_with_it(spark):
     import os
     from urllib.parse import urlsplit

@@ -37,7 +37,7 @@ def best_captures(index: DataFrame, target: int) -> DataFrame:
     """
     distance = F.abs(F.col("ts_num") - F.lit(target))
     best = index.groupBy("url_key", "ts_dir").agg(F.min(F.struct(distance.alias("distance"), "archive_path")).alias("best"))
-    return staged(best.select("url_key", "ts_dir", "best.distance", "best.archive_path"), "best")
+    return staged(best.select("url_key", "ts_dir", "best.distance", "best.archive_path"), "best", freed=True)
 
 
 #: What names a link's resolution: its kind, the URL that is looked up, and of a Wayback link or page the folder and host.

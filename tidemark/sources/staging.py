@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,18 +36,31 @@ def staging_dir(spark: SparkSession) -> str:
 _SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def _freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
+def staged(df: DataFrame, name: str, freed: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read again.
 
     Cuts the lineage: a lost executor costs no recomputation of what led here, and later readers
     see one fixed set of rows. Results of the operators read these tables: they stay until the
-    ``staging_scope`` ends that they are made in, or else until ``clear_staged``.
+    ``staging_scope`` ends that they are made in, or else until ``clear_staged``. The shuffles that led here stay until
+    the driver collects its garbage; where they are to be ``freed`` they go as soon as the table is written.
     """
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
     for tables in _SCOPES.get():
         tables.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    with _freeing_shuffles(spark) if freed else nullcontext():
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
